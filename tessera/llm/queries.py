@@ -5,15 +5,25 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.llm import simhash
+from tessera.llm import pii, secrets, simhash
 from tessera.session import table
 
 
+def op4_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Plain and disguised personal data of every document."""
+    return pii.personal_data(table(spark, sf_dir, "documents"), ["doc_id"])
+
+
 def op7_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Fingerprint and near-duplicate component of every document."""
     near = simhash.near_duplicates(table(spark, sf_dir, "documents"), ["doc_id"])
     return near.select("doc_id", simhash.hex_of("print").alias("fingerprint"), F.col("component").alias("component_id"))
 
 
-QUERIES = {"op7_simhash": op7_simhash}
+def op9_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Secrets of every document, told from examples by owners (sources) and repositories (documents)."""
+    return secrets.secrets(table(spark, sf_dir, "documents"), ["doc_id"])
+
+
+QUERIES = {"op4_pii": op4_pii, "op7_simhash": op7_simhash, "op9_secrets": op9_secrets}
 SQL: dict[str, str] = {}

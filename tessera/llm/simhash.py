@@ -28,7 +28,7 @@ from pyspark.sql import types as T
 
 from tessera.llm.common import raw, with_columns
 from tessera.operators.components import connected_components
-from tessera.session import cut_lineage
+from tessera.session import cut_lineage, unused
 
 #: Fingerprints of a bucket that one task compares with each other.
 TILE = 4096
@@ -214,12 +214,14 @@ def near_duplicates(docs: DataFrame, ids: list[str], text: str = "text", *, word
 def representatives(docs: DataFrame, id_col: str = "doc_id", text: str = "text", *, words: int = 4, seed: int = 42, radius: int = 4) -> DataFrame:
     """``docs`` with one row of each component: the least id, nulls last.
 
-    Rows that share an id are told apart by their place in the scan.  All columns stay.
+    Of rows that share that id, the least hash of text and then of all columns decides, so one
+    stays even of repeated rows.  All columns stay.
     """
-    from tessera.session import unused
-
-    (row,) = unused(docs, "row_number_of")
-    placed = docs.withColumn(row, F.monotonically_increasing_id())
-    near = near_duplicates(placed, [id_col, row], text, words=words, seed=seed, radius=radius)
-    keep = near.where(F.col(f"component.{row}") == F.col(row)).select(row)
-    return placed.join(keep, row, "left_semi").select(*docs.columns)
+    mark, same, place = unused(docs, "hash_of_text", "hash_kept", "place_of_row")
+    marked = docs.withColumn(mark, F.xxhash64(text))
+    near = near_duplicates(marked, [id_col, mark], text, words=words, seed=seed, radius=radius)
+    own = F.col(f"component.{id_col}").eqNullSafe(F.col(id_col)) & (F.col(f"component.{mark}") == F.col(mark))
+    keep = near.where(own).select(F.col(id_col).alias("id_kept"), F.col(mark).alias(same)).distinct()
+    kept = marked.join(keep, F.col(id_col).eqNullSafe(keep["id_kept"]) & (F.col(mark) == F.col(same)), "left_semi")
+    first = Window.partitionBy(id_col, mark).orderBy(F.xxhash64(*docs.columns))
+    return kept.withColumn(place, F.row_number().over(first)).where(F.col(place) == 1).select(*docs.columns)
