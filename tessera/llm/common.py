@@ -27,9 +27,9 @@ def slices(batch: pa.RecordBatch, column: str, limit: int = SLICE_BYTES) -> Iter
         start = end
 
 
-def with_columns(df: DataFrame, text: str, compute: Callable[[pa.RecordBatch], list[pa.Array]], fields: list[T.StructField], limit: int = SLICE_BYTES) -> DataFrame:
-    """Replace column ``text`` by the columns that ``compute`` makes from each slice of rows."""
-    kept = [c for c in df.columns if c != text]
+def with_columns(df: DataFrame, text: str, compute: Callable[[pa.RecordBatch], list[pa.Array]], fields: list[T.StructField], limit: int = SLICE_BYTES, keep_text: bool = False) -> DataFrame:
+    """Replace column ``text`` by, or with ``keep_text`` add, the columns that ``compute`` makes from each slice of rows."""
+    kept = [c for c in df.columns if keep_text or c != text]
     schema = T.StructType([df.schema[c] for c in kept] + fields)
     names = [f.name for f in schema.fields]
 

@@ -5,10 +5,17 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.llm import pii, secrets, simhash
+from tessera.llm import language, pii, secrets, simhash
 from tessera.session import table
 
 
+def op2_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Predicted language of every document, learnt outside the held-out fold."""
+    docs = table(spark, sf_dir, "documents")
+    known = language.fit(docs.where(~language.held_out()), "lang", "text", F.col("doc_id").cast("string"))
+    return language.predict(docs.select("doc_id", language.held_out().alias("held_out"), "text"), known)
+
+
 def op4_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Plain and disguised personal data of every document."""
     return pii.personal_data(table(spark, sf_dir, "documents"), ["doc_id"])
@@ -25,5 +32,5 @@ def op9_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secrets.secrets(table(spark, sf_dir, "documents"), ["doc_id"])
 
 
-QUERIES = {"op4_pii": op4_pii, "op7_simhash": op7_simhash, "op9_secrets": op9_secrets}
+QUERIES = {"op2_language": op2_language, "op4_pii": op4_pii, "op7_simhash": op7_simhash, "op9_secrets": op9_secrets}
 SQL: dict[str, str] = {}
