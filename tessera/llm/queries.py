@@ -5,10 +5,16 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.llm import language, pii, secrets, simhash
+from tessera.llm import language, mixture, pii, secrets, simhash
 from tessera.session import table
 
 
+def op1_mixture(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Words that a mix of all sources takes from each document."""
+    mix = mixture.mixture(table(spark, sf_dir, "documents"), ["doc_id"])
+    return mix.select("doc_id", "size", "source_size", "target", "taken")
+
+
 def op2_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Predicted language of every document, learnt outside the held-out fold."""
     docs = table(spark, sf_dir, "documents")
@@ -32,5 +38,40 @@ def op9_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secrets.secrets(table(spark, sf_dir, "documents"), ["doc_id"])
 
 
-QUERIES = {"op2_language": op2_language, "op4_pii": op4_pii, "op7_simhash": op7_simhash, "op9_secrets": op9_secrets}
-SQL: dict[str, str] = {}
+QUERIES = {"op1_mixture": op1_mixture, "op2_language": op2_language, "op4_pii": op4_pii, "op7_simhash": op7_simhash, "op9_secrets": op9_secrets}
+
+
+def _mixture_sql(rounds: int = mixture.ROUNDS) -> str:
+    """Thresholds by running sums over the hash; cap and level as in the operator."""
+    sql = r"""
+WITH rows AS (
+  SELECT doc_id, source, CAST(len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')) AS BIGINT) AS size,
+    CAST('0x' || substr(md5(coalesce(CAST(doc_id AS VARCHAR), 'text ' || text, '')), 1, 15) AS BIGINT) AS place
+  FROM documents),
+sizes AS (SELECT source, CAST(sum(size) AS BIGINT) AS source_size, row_number() OVER (ORDER BY source NULLS LAST) - 1 AS n FROM rows GROUP BY source),
+weighed AS (SELECT *, CASE n % 3 WHEN 0 THEN 5.0::DOUBLE WHEN 1 THEN 2.0::DOUBLE ELSE 1.0::DOUBLE END AS weight, source_size * 3 AS cap FROM sizes),
+levels AS (
+  SELECT *, (sum(source_size) OVER () - coalesce(sum(cap) OVER (ORDER BY cap / weight, n ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0))
+    / sum(weight) OVER (ORDER BY cap / weight, n ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS level FROM weighed),
+level AS (SELECT *, (SELECT f.level FROM levels f WHERE f.cap > f.level * f.weight ORDER BY f.cap / f.weight, f.n LIMIT 1) AS common FROM levels),
+goals AS (SELECT source, source_size, CASE WHEN source_size = 0 THEN 0.0::DOUBLE ELSE least(cap::DOUBLE, coalesce(common * weight, cap::DOUBLE)) END AS target FROM level),
+plan AS (SELECT *, CASE WHEN source_size = 0 THEN 0 ELSE CAST(floor(target / source_size) AS BIGINT) END AS times FROM goals),
+state_0 AS (SELECT r.doc_id, r.source, r.size, r.place, p.source_size, p.target, p.times, p.target - p.times * p.source_size AS budget, 1e300::DOUBLE AS fit, false AS hit
+  FROM rows r JOIN plan p ON r.source IS NOT DISTINCT FROM p.source)"""
+    for k in range(rounds):
+        last = k == rounds - 1
+        sql += f""",
+free_{k} AS (SELECT source, place, sum(size) AS w, any_value(budget) AS budget FROM state_{k} WHERE size > 0 AND size <= fit AND NOT hit GROUP BY source, place),
+run_{k} AS (SELECT *, sum(w) OVER (PARTITION BY source ORDER BY place) AS upto FROM free_{k}),
+cross_{k} AS (SELECT source, min(place) AS threshold, arg_min(upto - w, place) AS spent, arg_min(upto, place) AS upto FROM run_{k} WHERE upto > budget GROUP BY source),
+state_{k + 1} AS (
+  SELECT s.doc_id, s.source, s.size, s.place, s.source_size, s.target, s.times,
+    CASE WHEN c.threshold IS NULL THEN 0 ELSE s.budget - c.spent END AS budget,
+    CASE WHEN c.threshold IS NULL THEN 0 ELSE s.budget - c.spent END AS fit,
+    s.hit OR (s.size > 0 AND s.size <= s.fit AND (c.threshold IS NULL OR s.place < c.threshold{" OR s.place = c.threshold AND c.spent + c.upto <= 2 * s.budget" if last else ""})) AS hit
+  FROM state_{k} s LEFT JOIN cross_{k} c ON s.source IS NOT DISTINCT FROM c.source)"""
+    return sql + f"""
+SELECT doc_id, size, source_size, target, CAST((times + CASE WHEN hit THEN 1 ELSE 0 END) * size AS BIGINT) AS taken FROM state_{rounds}"""
+
+
+SQL: dict[str, str] = {"op1_mixture": _mixture_sql()}
