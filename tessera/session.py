@@ -3,22 +3,32 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
 
+def _shared_folder(spark: SparkSession) -> str:
+    """The cluster's checkpoint folder; only where none is set (tests, a laptop) is one made."""
+    context = spark.sparkContext
+    if not spark.conf.get("spark.checkpoint.dir", None) and not context.getCheckpointDir():
+        context.setCheckpointDir(tempfile.mkdtemp(prefix="tessera-checkpoint-"))
+    return spark.conf.get("spark.checkpoint.dir", None) or context.getCheckpointDir()
+
+
 def cut_lineage(df: DataFrame) -> DataFrame:
-    """Write ``df`` to the shared checkpoint folder and return the stored rows.
-
-    The folder is the cluster's ``spark.checkpoint.dir``.  Only where that is unset (tests, a
-    laptop) is a folder made, since then driver and executors share one machine.
-    """
-    spark = df.sparkSession
-    if not spark.conf.get("spark.checkpoint.dir", None) and not spark.sparkContext.getCheckpointDir():
-        spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="tessera-checkpoint-"))
+    """The rows of ``df``, computed once and kept in the shared checkpoint folder."""
+    _shared_folder(df.sparkSession)
     return df.checkpoint(eager=True)
 
 
+def stored(df: DataFrame) -> DataFrame:
+    """Like ``cut_lineage``, as a Parquet table: columns are compressed and read singly."""
+    path = f"{_shared_folder(df.sparkSession)}/tessera-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return df.sparkSession.read.parquet(path)
+
+
 def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     """One of the standard Parquet tables below ``folder``."""
     return spark.read.parquet(f"{folder}/{name}.parquet")
