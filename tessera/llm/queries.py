@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.llm import language, mixture, pii, secrets, simhash
+from tessera.llm import bpe, language, mixture, pii, secrets, simhash
 from tessera.session import table
 
 
@@ -38,7 +39,18 @@ def op9_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secrets.secrets(table(spark, sf_dir, "documents"), ["doc_id"])
 
 
-QUERIES = {"op1_mixture": op1_mixture, "op2_language": op2_language, "op4_pii": op4_pii, "op7_simhash": op7_simhash, "op9_secrets": op9_secrets}
+#: Vocabulary of the BPE query; the file is installed with the Python packages of every executor.
+VOCABULARY = public_tokenizers.path("byte_bpe_50k.json")
+
+
+def op10_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Token ids of every document and the text that they decode to, as digests."""
+    both = bpe.round_trip(table(spark, sf_dir, "documents"), ["doc_id"], VOCABULARY)
+    written = F.array_join(F.col("tokens").cast("array<string>"), ",")
+    return both.select("doc_id", F.size("tokens").cast("long").alias("n_tokens"), F.sha2(written, 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
+
+
+QUERIES = {"op1_mixture": op1_mixture, "op2_language": op2_language, "op4_pii": op4_pii, "op7_simhash": op7_simhash, "op9_secrets": op9_secrets, "op10_bpe": op10_bpe}
 
 
 def _mixture_sql(rounds: int = mixture.ROUNDS) -> str:
