@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.llm import bpe, language, mixture, multi_index, pii, secrets, simhash
+from tessera.llm import audio, bpe, language, mixture, multi_index, pii, secrets, simhash
 from tessera.session import table
 
 
@@ -28,6 +28,11 @@ def op4_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.personal_data(table(spark, sf_dir, "documents"), ["doc_id"])
 
 
+def op5_audio(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document as 8-bit audio, stored, read back and described."""
+    return audio.audio_features(audio.store_media(table(spark, sf_dir, "documents"), ["doc_id"]))
+
+
 def op6_multi_index(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The 20 nearest found of every twentieth vector, among all others."""
     return multi_index.nearest(table(spark, sf_dir, "embeddings"), F.col("id") % 20 == 0)
@@ -55,7 +60,7 @@ def op10_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return both.select("doc_id", F.size("tokens").cast("long").alias("n_tokens"), F.sha2(written, 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
 
 
-QUERIES = {"op1_mixture": op1_mixture, "op2_language": op2_language, "op4_pii": op4_pii, "op6_multi_index": op6_multi_index, "op7_simhash": op7_simhash, "op9_secrets": op9_secrets, "op10_bpe": op10_bpe}
+QUERIES = {"op1_mixture": op1_mixture, "op2_language": op2_language, "op4_pii": op4_pii, "op5_audio": op5_audio, "op6_multi_index": op6_multi_index, "op7_simhash": op7_simhash, "op9_secrets": op9_secrets, "op10_bpe": op10_bpe}
 
 
 def _mixture_sql(rounds: int = mixture.ROUNDS) -> str:
