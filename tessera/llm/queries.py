@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.llm import audio, bpe, language, mixture, multi_index, pii, secrets, simhash
+from tessera.llm import audio, bpe, html_text, language, mixture, multi_index, perspectives, pii, secrets, simhash
 from tessera.session import table
 
 
@@ -23,6 +23,11 @@ def op2_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language.predict(docs.select("doc_id", language.held_out().alias("held_out"), "text"), known)
 
 
+def op3_html(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Visible text of every page."""
+    return html_text.visible_text(table(spark, sf_dir, "pages"), ["page_id", "url"])
+
+
 def op4_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Plain and disguised personal data of every document."""
     return pii.personal_data(table(spark, sf_dir, "documents"), ["doc_id"])
@@ -44,6 +49,13 @@ def op7_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near.select("doc_id", simhash.hex_of("print").alias("fingerprint"), F.col("component").alias("component_id"))
 
 
+def op8_perspectives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every conversation from each participant's side, masks written as start:end."""
+    sides = perspectives.perspectives(table(spark, sf_dir, "conversations"))
+    mask = F.array_join(F.transform("mask", lambda m: F.concat_ws(":", m["start"].cast("string"), m["end"].cast("string"))), ",")
+    return sides.select("conv_id", "perspective", "part", "n_messages", "rendered", mask.alias("mask"))
+
+
 def op9_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Secrets of every document, told from examples by owners (sources) and repositories (documents)."""
     return secrets.secrets(table(spark, sf_dir, "documents"), ["doc_id"])
@@ -60,7 +72,7 @@ def op10_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return both.select("doc_id", F.size("tokens").cast("long").alias("n_tokens"), F.sha2(written, 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
 
 
-QUERIES = {"op1_mixture": op1_mixture, "op2_language": op2_language, "op4_pii": op4_pii, "op5_audio": op5_audio, "op6_multi_index": op6_multi_index, "op7_simhash": op7_simhash, "op9_secrets": op9_secrets, "op10_bpe": op10_bpe}
+QUERIES = {"op1_mixture": op1_mixture, "op2_language": op2_language, "op3_html": op3_html, "op4_pii": op4_pii, "op5_audio": op5_audio, "op6_multi_index": op6_multi_index, "op7_simhash": op7_simhash, "op8_perspectives": op8_perspectives, "op9_secrets": op9_secrets, "op10_bpe": op10_bpe}
 
 
 def _mixture_sql(rounds: int = mixture.ROUNDS) -> str:
@@ -96,4 +108,19 @@ state_{k + 1} AS (
 SELECT doc_id, size, source_size, target, CAST((times + CASE WHEN hit THEN 1 ELSE 0 END) * size AS BIGINT) AS taken FROM state_{rounds}"""
 
 
-SQL: dict[str, str] = {"op1_mixture": _mixture_sql()}
+_PERSPECTIVES_SQL = f"""
+WITH said AS (
+  SELECT conv_id, CAST(turn AS BIGINT) AS turn, coalesce(role, 'unknown') AS speaker, coalesce(text, '') AS content FROM conversations),
+people AS (SELECT DISTINCT conv_id, speaker AS perspective FROM said WHERE speaker <> 'system'),
+seen AS (
+  SELECT s.conv_id, p.perspective, CAST(floor(s.turn / {perspectives.TURNS}) AS BIGINT) AS part, s.turn, s.speaker, s.content, s.speaker = p.perspective AS own,
+    CASE WHEN s.speaker = 'system' THEN '<|system|>' || chr(10) WHEN s.speaker = p.perspective THEN '<|assistant|>' || chr(10) ELSE '<|user ' || s.speaker || '|>' || chr(10) END AS head
+  FROM said s JOIN people p ON s.conv_id IS NOT DISTINCT FROM p.conv_id),
+numbered AS (SELECT *, row_number() OVER (PARTITION BY conv_id, perspective, part ORDER BY turn NULLS FIRST, speaker, content) AS k FROM seen),
+placed AS (
+  SELECT *, sum(length(head) + length(content) + 8) OVER (PARTITION BY conv_id, perspective, part ORDER BY k) - length(content) - 8 AS start FROM numbered)
+SELECT conv_id, perspective, part, count(*) AS n_messages, string_agg(head || content || '<|end|>' || chr(10), '' ORDER BY k) AS rendered,
+  coalesce(string_agg(start || ':' || (start + length(content)), ',' ORDER BY k) FILTER (WHERE own), '') AS mask
+FROM placed GROUP BY conv_id, perspective, part"""
+
+SQL: dict[str, str] = {"op1_mixture": _mixture_sql(), "op8_perspectives": _PERSPECTIVES_SQL}
