@@ -23,6 +23,7 @@ import unicodedata
 import zlib
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark import TaskContext
@@ -146,17 +147,21 @@ def _split(ids: list[str], parts: int, path: str):
             nonlocal number, lists, held, size, blocks
             coded = [w.encode() for w in number]
             part = np.fromiter(map(zlib.crc32, coded), np.uint32, len(coded)) % parts
-            order = np.argsort(part, kind="stable")
-            place = np.empty(len(order), np.int64)
-            place[order] = np.arange(len(order))
-            bounds = np.searchsorted(part[order], np.arange(parts + 1))
-            dealt = [{"p": p, "words": _pack_words([coded[i] for i in order[bounds[p] : bounds[p + 1]].tolist()])} for p in range(parts) if bounds[p] < bounds[p + 1]]
-            at = place[np.concatenate(lists)] if number else np.empty(0, np.int64)
+            # Words by falling frequency: small numbers are common ones and pack well.
+            at = np.concatenate(lists)
+            order = np.argsort(-np.bincount(at, minlength=len(coded)), kind="stable")
+            rank = np.empty(len(order), np.int64)
+            rank[order] = np.arange(len(order))
+            part = part[order]
+            by_part = order[np.argsort(part, kind="stable")]
+            bounds = np.searchsorted(np.sort(part), np.arange(parts + 1))
+            dealt = [{"p": p, "words": _pack_words([coded[i] for i in by_part[bounds[p] : bounds[p + 1]].tolist()])} for p in range(parts) if bounds[p] < bounds[p + 1]]
+            at = rank[at] if number else at
             columns = [pa.array([(task << 32) + blocks])]
             for i in range(len(ids)):
                 whole = pa.concat_arrays([h[i] for h in held])
                 columns.append(pa.ListArray.from_arrays(pa.array([0, len(whole)], pa.int32()), whole))
-            columns += [pa.array([_pack(np.fromiter(map(len, lists), np.int64, len(lists)), at)], pa.binary()), pa.array([dealt], pa.list_(pa.struct([("p", pa.int32()), ("words", pa.binary())])))]
+            columns += [pa.array([_pack(np.fromiter(map(len, lists), np.int64, len(lists)), at, part)], pa.binary()), pa.array([dealt], pa.list_(pa.struct([("p", pa.int32()), ("words", pa.binary())])))]
             number, lists, held, size = {}, [], [], 0
             blocks += 1
             return pa.RecordBatch.from_arrays(columns, ["block", *[f"id_{i}" for i in range(len(ids))], "at", "dealt"])
@@ -196,17 +201,16 @@ def _encode(path: str):
     return run
 
 
-def _in_order(parts: list[dict]) -> tuple[np.ndarray, np.ndarray]:
-    """Numbers of ids and ids of a block's words, in the order of their positions."""
+def _joined(parts: list[dict]) -> tuple[np.ndarray, np.ndarray]:
+    """Numbers of ids and ids of a block's words, part by part."""
     both = [_unpack(x["ids"]) for x in sorted(parts, key=lambda x: x["p"])]
     return tuple(np.concatenate([b[i] for b in both] or [np.empty(0, np.uint32)]).astype(np.int64) for i in (0, 1))
 
 
-def _used(batches):
+@F.pandas_udf(T.ArrayType(T.IntegerType()))
+def _used(parts: pd.Series) -> pd.Series:
     """The distinct ids of each block."""
-    for batch in batches:
-        for block, parts in zip(batch.column("block").to_pylist(), batch.column("parts").to_pylist(), strict=True):
-            yield pa.RecordBatch.from_arrays([pa.array([block]), pa.array([np.unique(_in_order(parts)[1]).astype(np.int32)], pa.list_(pa.int32()))], ["block", "used"])
+    return parts.map(lambda x: np.unique(_joined(list(x))[1]).astype(np.int32))
 
 
 def _assemble(count: int, names: list[str]):
@@ -215,9 +219,11 @@ def _assemble(count: int, names: list[str]):
     def run(batches):
         for batch in batches:
             for r in range(batch.num_rows):
-                lengths, at = _unpack(batch.column("at")[r].as_py())
-                numbers, ids = _in_order(batch.column("parts")[r].as_py() or [])
-                ends = np.cumsum(numbers)
+                lengths, at, part = _unpack(batch.column("at")[r].as_py())
+                dealt, ids = _joined(batch.column("parts")[r].as_py() or [])
+                place = np.argsort(part, kind="stable")
+                numbers, ends = np.empty(len(part), np.int64), np.empty(len(part), np.int64)
+                numbers[place], ends[place] = dealt, np.cumsum(dealt)
                 starts = ends - numbers
                 found = batch.column("pieces")[r].values
                 piece = dict(zip(found.field("id").to_pylist(), found.field("piece").to_pylist(), strict=True)) if found is not None else {}
@@ -265,10 +271,11 @@ def round_trip(docs: DataFrame, ids: list[str], path: str, text: str = "text") -
 
     words = blocks.select("block", F.explode("dealt").alias("d")).select("block", "d.p", "d.words")
     encoded = words.repartition(parts, "p").mapInArrow(_encode(path), "block long, p int, ids binary")
-    encoded = cut_lineage(encoded.groupBy("block").agg(F.collect_list(F.struct("p", "ids")).alias("parts")))
+    # Dealt by block from here on: what follows needs no further shuffle of it.
+    encoded = encoded.groupBy("block").agg(F.collect_list(F.struct("p", "ids")).alias("parts"))
 
     pieces = spark.createDataFrame(pa.Table.from_pylist([{"id": i, "piece": b} for i, b in piece_rows(path)], pa.schema([("id", pa.int32()), ("piece", pa.binary())])))
-    used = encoded.mapInArrow(_used, "block long, used array<int>").select("block", F.explode("used").alias("id"))
+    used = encoded.select("block", F.explode(_used("parts")).alias("id"))
     # The vocabulary bounds this side: one row for each of its entries.
     spelled = used.join(F.broadcast(pieces), "id").groupBy("block").agg(F.collect_list(F.struct("id", "piece")).alias("pieces"))
 
