@@ -108,7 +108,7 @@ def exact_identity(state: Column, provider: Column, site_id: Column) -> Column:
 
 def split_list(text: Column) -> Column:
     """Items of a text that separates them by semicolon, bar, comma or line; blanks go."""
-    return F.filter(F.transform(F.split(F.coalesce(text, F.lit("")), r"[;|,\n]"), F.trim), lambda x: x != "")
+    return F.filter(F.transform(F.split(F.coalesce(text, F.lit("")), r"[;|,\n]"), lambda x: F.trim(x)), lambda x: x != "")
 
 
 def has_cjk(text: Column) -> Column:

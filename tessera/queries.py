@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from tessera.functions import text as keys
 from tessera.functions import values
-from tessera.operators import aggregates, diff, entity, graph, matching, ranking, rules
+from tessera.operators import aggregates, classify, diff, entity, graph, matching, ranking, rules
 from tessera.plans import catalog, incremental, release
 from tessera.session import table
 from tessera.streaming import intake
@@ -655,3 +655,78 @@ SELECT event_id, CASE WHEN r IS NULL THEN 'unknown' WHEN ts > r + INTERVAL 3 HOU
 def two_phase_intake(spark, d):
     e = table(spark, d, "events").select("event_id", "ts", "user_id", F.when(F.col("event_id") % 2 == 0, "reserve").otherwise("commit").alias("action"))
     return intake.reservations(e, "user_id", "ts", "event_id", "action", "3 HOURS").select("event_id", "status")
+
+
+# -- classification -----------------------------------------------------------------------------
+
+
+@query(r"""
+WITH t AS (SELECT p_partkey, p_name || CASE p_partkey % 5 WHEN 0 THEN ' vol. ' || p_size WHEN 1 THEN ' ' || p_size WHEN 2 THEN ' Limited Edition' WHEN 3 THEN ' 番外' ELSE '' END AS title FROM part)
+SELECT p_partkey, CASE WHEN p_partkey % 5 IN (0, 1, 3) THEN 'child_candidate' WHEN p_partkey % 5 = 2 THEN 'edition_or_release_candidate' ELSE 'work_candidate' END AS boundary,
+  CASE WHEN p_partkey % 5 IN (0, 1, 3) THEN 'volume_like_title' WHEN p_partkey % 5 = 2 THEN 'edition_or_release_like_source_row' ELSE 'stable_work_candidate' END AS boundary_reason,
+  CASE WHEN p_partkey % 5 = 3 OR p_partkey % 5 = 0 OR p_partkey % 5 = 1 THEN regexp_extract(title, '^([a-zA-Z# ]+?)( vol\. [0-9]+| [0-9]+| 番外)$', 1) ELSE '' END AS parent FROM t""")
+def boundary_detection(spark, d):
+    p = table(spark, d, "part")
+    r = F.col("p_partkey") % 5
+    tail = F.when(r == 0, F.concat(F.lit(" vol. "), F.col("p_size").cast("string"))).when(r == 1, F.concat(F.lit(" "), F.col("p_size").cast("string"))).when(r == 2, " Limited Edition").when(r == 3, " 番外").otherwise("")
+    rows = p.select("p_partkey", F.concat("p_name", tail).alias("title"), F.lit("").alias("raw_path"), F.lit("").alias("source_url"))
+    return classify.boundary(rows).select("p_partkey", "boundary", "boundary_reason", "parent")
+
+
+@query("""
+WITH t AS (SELECT page_id, lower(html) AS h FROM pages), a AS (SELECT page_id, regexp_matches(h, 'restricted|hidden|quarantine') AS r, regexp_matches(h, 'doujinshi|loose extra') AS e FROM t)
+SELECT page_id, CASE WHEN e AND r THEN 'doujinshi_or_extra,restricted' WHEN e THEN 'doujinshi_or_extra' WHEN r THEN 'restricted' ELSE '' END AS advisories, CASE WHEN r THEN 'restricted' WHEN e THEN 'adult' ELSE 'ordinary' END AS visibility FROM a""")
+def content_advisories(spark, d):
+    out = classify.advisories(table(spark, d, "pages"), F.col("html"))
+    return out.select("page_id", F.array_join("advisories", ",").alias("advisories"), "visibility")
+
+
+@query("""
+WITH r AS (SELECT o_orderkey, CASE WHEN o_orderkey % 50 = 0 THEN '' ELSE 'w' END AS w, o_orderkey % 31 = 0 AS manual, CASE WHEN o_orderkey % 37 = 0 THEN '' ELSE 's' END AS s, o_orderkey % 3 = 0 AS ai, o_orderkey % 2 = 0 AS complete, o_orderkey % 19 = 0 AS ident, o_orderkey % 23 = 0 AS prot,
+  ['needs_external_research','ready_for_ai_assessment_with_warnings','needs_identity_or_series_review','?'][CAST(o_custkey % 4 AS INTEGER) + 1] AS ready FROM orders),
+q AS (SELECT o_orderkey, CASE WHEN w = '' THEN 'invalid_record' WHEN manual THEN 'protected_or_manual_review' WHEN s = '' THEN 'invalid_record' WHEN ai AND complete THEN 'already_ai_assessed' WHEN ready = 'needs_identity_or_series_review' OR ident THEN 'identity_review'
+  WHEN prot THEN 'protected_or_manual_review' WHEN ready = 'needs_external_research' THEN 'external_research' WHEN ready = 'ready_for_ai_assessment_with_warnings' THEN 'ready_for_ai_assessment' ELSE 'unclassified' END AS queue FROM r)
+SELECT o_orderkey, queue, queue IN ('identity_review', 'external_research', 'ready_for_ai_assessment') AS actionable FROM q""")
+def catalog_queues(spark, d):
+    k = F.col("o_orderkey")
+    ready = F.element_at(F.array(F.lit("needs_external_research"), F.lit("ready_for_ai_assessment_with_warnings"), F.lit("needs_identity_or_series_review"), F.lit("?")), (F.col("o_custkey") % 4 + 1).cast("int"))
+    rows = table(spark, d, "orders").select("o_orderkey", F.when(k % 50 == 0, "").otherwise("w").alias("work_id"), F.when(k % 37 == 0, "").otherwise("s").alias("site_id"), (k % 31 == 0).alias("manual"), (k % 3 == 0).alias("ai_marker"), (k % 2 == 0).alias("complete"), (k % 19 == 0).alias("identity"), (k % 23 == 0).alias("protected"), ready.alias("readiness"))
+    return classify.queue(rows).select("o_orderkey", "queue", "actionable")
+
+
+@query("""
+WITH t AS (SELECT s_suppkey, s_name || CASE s_suppkey % 4 WHEN 0 THEN ' (' WHEN 1 THEN ': 「work」 監督' ELSE '' END AS n FROM supplier),
+r AS (SELECT s_suppkey, (s_suppkey % 4 = 1)::INT * 11 + (s_suppkey % 4 = 0)::INT * 4 + (regexp_matches(lower(n), 's[0-9]+|vol|chapter|episode|season|scene|u[0-9]+|#[0-9]+'))::INT * 3 + (length(n) >= 24)::INT AS score FROM t)
+SELECT s_suppkey, score, CASE WHEN score >= 8 THEN 'high' WHEN score >= 4 THEN 'medium' ELSE 'low' END AS severity FROM r""")
+def entity_risk(spark, d):
+    r = F.col("s_suppkey") % 4
+    rows = table(spark, d, "supplier").select("s_suppkey", F.concat("s_name", F.when(r == 0, " (").when(r == 1, ": 「work」 監督").otherwise("")).alias("n"))
+    return classify.name_risk(rows, "n").select("s_suppkey", "score", "severity")
+
+
+@query("""
+WITH s AS (SELECT o_orderkey, ['multiple_secondary_supported','single_secondary_supported',' ','official'][CAST(o_orderkey % 4 AS INTEGER) + 1] AS st, o_custkey % 3 AS n, CASE WHEN o_custkey % 7 = 0 THEN NULL ELSE o_custkey % 101 END AS p FROM orders)
+SELECT o_orderkey, CASE WHEN st = 'multiple_secondary_supported' AND n = 1 THEN 'single_secondary_supported' WHEN st IN ('multiple_secondary_supported', 'single_secondary_supported') AND n = 0 THEN 'insufficient_evidence' WHEN trim(st) = '' THEN 'unknown' ELSE st END AS evidence,
+  CASE WHEN p IS NULL THEN 'none' WHEN p >= 90 THEN 'very_high' WHEN p >= 75 THEN 'high' WHEN p >= 50 THEN 'medium' ELSE 'low' END AS band FROM s""")
+def evidence_bands(spark, d):
+    status = F.element_at(F.array(F.lit("multiple_secondary_supported"), F.lit("single_secondary_supported"), F.lit(" "), F.lit("official")), (F.col("o_orderkey") % 4 + 1).cast("int"))
+    percent = F.when(F.col("o_custkey") % 7 != 0, F.col("o_custkey") % 101)
+    return table(spark, d, "orders").select("o_orderkey", classify.honest_evidence(status, F.col("o_custkey") % 3).alias("evidence"), classify.band(percent).alias("band"))
+
+
+@query("""
+WITH s AS (SELECT o_orderkey, ['match','missing','other','absent','?'][CAST(o_orderkey % 5 AS INTEGER) + 1] AS p, ['match','missing','other','absent','?'][CAST(o_custkey % 5 AS INTEGER) + 1] AS d FROM orders)
+SELECT o_orderkey, CASE WHEN p = 'match' THEN 'published_matches' WHEN d = 'match' AND p = 'missing' THEN 'draft_only_match' WHEN d = 'match' AND p = 'other' THEN 'draft_matches_published_other' WHEN d = 'other' THEN 'draft_has_other'
+  WHEN p = 'absent' OR d = 'absent' THEN 'work_or_plan_missing' WHEN p = 'missing' AND d = 'missing' THEN 'missing_from_both' ELSE 'needs_review' END AS status FROM s""")
+def publication_gaps(spark, d):
+    pick = lambda c: F.element_at(F.array(*[F.lit(x) for x in ("match", "missing", "other", "absent", "?")]), (F.col(c) % 5 + 1).cast("int"))
+    gap = classify.publication_gap(pick("o_orderkey"), pick("o_custkey"), match=("match",), missing=("missing",), absent=("absent",), other="other")
+    return table(spark, d, "orders").select("o_orderkey", gap.alias("status"))
+
+
+@query(None)
+def seq_dedup(spark, d):
+    """Parts as candidates, folded in the order of their keys; tested against the fold by brute force."""
+    p = table(spark, d, "part")
+    name = F.concat_ws(" ", "p_name", (F.col("p_size") % 10).cast("string"))
+    return entity.sequential_dedup(p.select(F.col("p_partkey").alias("ordinal"), F.lit("").alias("site_id"), name.alias("original_title"), F.col("p_type").alias("media"), (1990 + F.col("p_size") % 3).alias("year"), F.lit("").alias("provider_id"), F.array(F.concat(F.lit("shop:"), (F.col("p_partkey") % 700).cast("string"))).alias("external_ids"), (F.col("p_size") % 5 == 0).alias("version")))
