@@ -5,13 +5,13 @@ times; which of them are taken once more is decided by a threshold on a hash of
 
 1. Words are summed by source and hash bucket, the top ``BITS`` bits of the hash.
 2. Running sums over the buckets of a source find the one in which its budget runs out.
-3. Only that bucket's documents are summed again by the next ``BITS`` bits, and then, a few rows
-   by now, by the whole hash.  The result is one threshold for each source.
+3. Only that bucket's documents, a millionth of the source, are summed again, by the whole hash.
+   The result is one threshold for each source.
 4. What the budget still lacks, less than the document at the threshold, is a smaller budget for
    the documents past it that fit in; their threshold is found the same way, and so on.
 
 The decision on a document compares its hash and size with its source's few numbers.  Nothing is
-sorted but the bucket sums, of which a source has at most ``2**BITS``.
+sorted but the bucket sums, of which a source has at most ``2**BITS`` and never more than documents.
 """
 
 from __future__ import annotations
@@ -22,7 +22,7 @@ from pyspark.sql import functions as F
 from tessera.session import cut_lineage, unused
 
 #: Bits of the hash (60 in all) that a bucket stands for.
-BITS = 12
+BITS = 20
 HASH_BITS = 60
 #: Nested budgets for each source.
 ROUNDS = 3
@@ -66,39 +66,27 @@ def targets(sizes: DataFrame, weights: tuple[float, ...], most: int) -> DataFram
     return dealt.select("source_of", "source_size", target.alias("target"))
 
 
-def _crossing(sums: DataFrame, key: str) -> DataFrame:
-    """For each source, the first ``key`` by whose end its words pass the budget, and what came before."""
+def _crossing(sums: DataFrame, key: str, *carried: str) -> DataFrame:
+    """For each source, the first ``key`` by whose end its words pass the budget: the key, what was
+    spent before it and with it, and carried columns."""
     run = Window.partitionBy("source_of").orderBy(key)
-    passed = sums.withColumn("upto", F.sum("words").over(run)).where("upto > budget")
-    first = passed.groupBy("source_of").agg(F.min_by(F.struct(F.col(key), F.col("budget"), (F.col("upto") - F.col("words")).alias("spent"), F.col("upto")), key).alias("c"))
+    passed = sums.withColumn("upto", F.col("base") + F.sum("words").over(run)).where("upto > budget")
+    first = passed.groupBy("source_of").agg(F.min_by(F.struct(key, (F.col("upto") - F.col("words")).alias("spent"), "upto", *carried), key).alias("c"))
     return first.select("source_of", "c.*")
 
 
-def _threshold(rows: DataFrame, budgets: DataFrame) -> DataFrame:
+def _threshold(rows: DataFrame) -> DataFrame:
     """``source_of``, ``threshold``, ``spent``, ``upto``: rows below the threshold fit the budget.
 
-    ``rows`` has source_of, size, place; ``budgets`` has source_of and budget.  Sources whose rows
-    all fit are left out.
+    ``rows`` has source_of, size, place and its source's budget.  Sources whose rows all fit are
+    left out.
     """
-    for level in (1, 2, 0):
-        shift = HASH_BITS - BITS * level if level else 0
-        bucket = F.shiftright("place", shift).alias("bucket")
-        joined = rows.join(budgets, rows["source_of"].eqNullSafe(budgets["source_of"])).drop(rows["source_of"])
-        if level != 1:
-            joined = joined.where(F.shiftright("place", HASH_BITS - BITS * (level - 1 if level else 2)) == F.col("inside"))
-        sums = joined.groupBy("source_of", bucket).agg(F.sum("size").alias("words"), F.first("budget").alias("budget"), *([F.first("base").alias("base")] if level != 1 else []))
-        if level == 1:
-            sums = sums.withColumn("base", F.lit(0).cast("long"))
-        # Budgets of the deeper levels start at what the buckets before took.
-        sums = sums.withColumn("budget", F.col("budget") - F.col("base"))
-        found = _crossing(sums, "bucket")
-        bases = sums.groupBy("source_of").agg(F.first("base").alias("base"))
-        found = found.join(bases, found["source_of"].eqNullSafe(bases["source_of"])).drop(bases["source_of"])
-        found = found.select("source_of", F.col("bucket"), (F.col("budget") + F.col("base")).alias("budget"), (F.col("spent") + F.col("base")).alias("spent"), (F.col("upto") + F.col("base")).alias("upto"))
-        if level == 0:
-            return found.select("source_of", F.col("bucket").alias("threshold"), "spent", "upto")
-        budgets = cut_lineage(found.select("source_of", "budget", F.col("bucket").alias("inside"), F.col("spent").alias("base")))
-    raise AssertionError
+    bucket = F.shiftright("place", HASH_BITS - BITS)
+    sums = rows.groupBy("source_of", bucket.alias("bucket")).agg(F.sum("size").alias("words"), F.first("budget").alias("budget"), F.lit(0).cast("long").alias("base"))
+    inside = cut_lineage(_crossing(sums, "bucket").select(F.col("source_of").alias("source_i"), "bucket", F.col("spent").alias("base")))
+    near = rows.join(inside, rows["source_of"].eqNullSafe(inside["source_i"]) & (bucket == F.col("bucket")))
+    exact = near.groupBy("source_of", "place").agg(F.sum("size").alias("words"), F.first("budget").alias("budget"), F.first("base").alias("base"))
+    return _crossing(exact, "place").withColumnRenamed("place", "threshold")
 
 
 def plan(rows: DataFrame, goals: DataFrame, rounds: int = ROUNDS) -> DataFrame:
@@ -113,9 +101,8 @@ def plan(rows: DataFrame, goals: DataFrame, rounds: int = ROUNDS) -> DataFrame:
     for k in range(rounds):
         out = out.withColumn(f"fit_{k}", F.col("left") if k else F.lit(float("inf")))
         budgets = out.select(F.col("source_of").alias("source_b"), F.col("left").alias("budget"), *[f"upto_{i}" for i in range(k)], *[f"fit_{i}" for i in range(k + 1)])
-        free = rows.join(budgets, rows["source_of"].eqNullSafe(budgets["source_b"])).where((F.col("size") > 0) & (F.col("size") <= F.col(f"fit_{k}")) & ~_taken(k)).select("source_of", "size", "place")
-        found = _threshold(free, budgets.select(F.col("source_b").alias("source_of"), "budget"))
-        found = found.select(F.col("source_of").alias("source_f"), "threshold", "spent", "upto")
+        free = rows.join(budgets, rows["source_of"].eqNullSafe(budgets["source_b"])).where((F.col("size") > 0) & (F.col("size") <= F.col(f"fit_{k}")) & ~_taken(k)).select("source_of", "size", "place", "budget")
+        found = _threshold(free).select(F.col("source_of").alias("source_f"), "threshold", "spent", "upto")
         # The last round may pass the budget where that comes nearer to it.
         nearer = (F.col("spent") + F.col("upto") <= 2 * F.col("left")) if k == rounds - 1 else F.lit(False)
         out = out.join(found, out["source_of"].eqNullSafe(found["source_f"]), "left")
