@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from tessera.functions import text as keys
 from tessera.functions import values
-from tessera.operators import aggregates, classify, diff, entity, graph, matching, ranking, rules
+from tessera.operators import aggregates, classify, creators, diff, entity, graph, matching, ranking, rules, survivorship
 from tessera.plans import catalog, incremental, release
 from tessera.session import table
 from tessera.streaming import intake
@@ -730,3 +730,104 @@ def seq_dedup(spark, d):
     p = table(spark, d, "part")
     name = F.concat_ws(" ", "p_name", (F.col("p_size") % 10).cast("string"))
     return entity.sequential_dedup(p.select(F.col("p_partkey").alias("ordinal"), F.lit("").alias("site_id"), name.alias("original_title"), F.col("p_type").alias("media"), (1990 + F.col("p_size") % 3).alias("year"), F.lit("").alias("provider_id"), F.array(F.concat(F.lit("shop:"), (F.col("p_partkey") % 700).cast("string"))).alias("external_ids"), (F.col("p_size") % 5 == 0).alias("version")))
+
+
+# -- creators and survivorship ------------------------------------------------------------------
+
+
+def _credits(spark, d):
+    """Suppliers as creators of parts, return flags as roles."""
+    return table(spark, d, "lineitem").select(F.col("l_suppkey").alias("creator_id"), F.col("l_partkey").alias("work_id"), F.col("l_returnflag").alias("role"), F.concat(F.lit("Name "), (F.col("l_suppkey") % 7).cast("string")).alias("name"))
+
+
+@query("""
+SELECT l_suppkey AS creator_id, l_partkey AS work_id, string_agg(DISTINCT l_returnflag, ',' ORDER BY l_returnflag) AS roles, 'Name ' || (l_suppkey % 7) AS "names" FROM lineitem GROUP BY l_suppkey, l_partkey""")
+def creator_works(spark, d):
+    return creators.works_of(_credits(spark, d))
+
+
+@query("""
+SELECT l_suppkey AS creator_id, count(DISTINCT l_partkey) AS works, CASE WHEN l_suppkey % 10 = 0 THEN 'review' WHEN count(DISTINCT l_partkey) >= CASE WHEN l_suppkey % 2 = 0 THEN 575 ELSE 590 END THEN 'selected' ELSE 'below' END AS decision FROM lineitem GROUP BY l_suppkey""")
+def creator_selection(spark, d):
+    counts = creators.work_counts(_credits(spark, d))
+    kind = F.when(F.col("creator_id") % 2 == 0, "person").otherwise("organization")
+    return creators.selected(counts, kind, {"person": 575, "organization": 590}, F.col("creator_id") % 10 == 0)
+
+
+@query("""
+WITH e AS (SELECT DISTINCT l_partkey AS w, lower('Name ' || (l_suppkey % 7)) AS n, lower(l_returnflag) AS r, l_suppkey AS c FROM lineitem WHERE l_quantity > 25),
+g AS (SELECT w, n, r, string_agg(CAST(c AS VARCHAR), ',' ORDER BY c) AS ids FROM e GROUP BY ALL)
+SELECT DISTINCT l_partkey AS work_id, l_returnflag AS role, 'Name ' || (l_suppkey % 7) AS name, coalesce(ids, '') AS creator_ids FROM lineitem LEFT JOIN g ON w = l_partkey AND n = lower('Name ' || (l_suppkey % 7)) AND r = lower(l_returnflag)""")
+def credit_binding(spark, d):
+    edges = _credits(spark, d).join(table(spark, d, "lineitem").where("l_quantity > 25").select(F.col("l_suppkey").alias("creator_id"), F.col("l_partkey").alias("work_id"), F.col("l_returnflag").alias("role")).distinct(), ["creator_id", "work_id", "role"], "left_semi")
+    credits = _credits(spark, d).select("work_id", F.concat(F.lit(" "), F.upper("name")).alias("raw"), "role", "name").drop("raw").distinct()
+    out = creators.attach(credits, edges, compose=False)
+    return out.select("work_id", "role", "name", F.array_join(F.transform("creator_ids", lambda c: c.cast("string")), ",").alias("creator_ids"))
+
+
+@query("""
+WITH u AS (SELECT user_id, event_type, min(event_id) AS first, count(*) AS uses FROM events GROUP BY ALL)
+SELECT user_id, CAST(row_number() OVER (PARTITION BY user_id ORDER BY first) AS INTEGER) AS number, event_type, uses FROM u""")
+def reference_numbers(spark, d):
+    return creators.numbered_references(table(spark, d, "events"), "user_id", "event_type", "event_id")
+
+
+@query("""
+SELECT user_id, event_type, min(event_id) AS first, arg_max(value_text, event_id) FILTER (WHERE trim(value_text) <> '') AS value_text
+FROM (SELECT user_id, event_type, event_id, CASE WHEN event_id % 3 = 0 THEN ' ' ELSE CAST(event_id % 100 AS VARCHAR) END AS value_text FROM events) GROUP BY user_id, event_type""")
+def key_merge(spark, d):
+    e = table(spark, d, "events").select("user_id", "event_type", "event_id", F.when(F.col("event_id") % 3 == 0, " ").otherwise((F.col("event_id") % 100).cast("string")).alias("value_text"))
+    return survivorship.merged_by_key(e, "user_id", "event_type", "event_id", ["value_text"])
+
+
+@query("""
+WITH m AS (SELECT o_orderkey AS k, CASE WHEN o_orderkey % 4 = 0 THEN '' ELSE o_orderstatus END AS m, CASE WHEN o_orderkey % 6 = 0 THEN ' ' WHEN o_orderkey % 5 = 0 THEN 'Z' ELSE o_orderstatus END AS o FROM orders)
+SELECT k, 'status' AS field, CASE WHEN m = '' AND o = ' ' THEN 'empty' WHEN m = '' THEN 'fill' WHEN o = ' ' THEN 'keep' WHEN m = o THEN 'same' ELSE 'conflict' END AS action, coalesce(nullif(m, ''), nullif(trim(o), '')) AS value FROM m""")
+def field_plans(spark, d):
+    o, k = table(spark, d, "orders"), F.col("o_orderkey")
+    master = o.select(k.alias("k"), F.when(k % 4 == 0, "").otherwise(F.col("o_orderstatus")).alias("status"))
+    other = o.select(k.alias("k"), F.when(k % 6 == 0, " ").when(k % 5 == 0, "Z").otherwise(F.col("o_orderstatus")).alias("status"))
+    return survivorship.field_plan(master, other, "k", ["status"])
+
+
+@query("""
+WITH r AS (SELECT event_id, CASE WHEN user_id % 3 = 0 THEN '' ELSE 'u' || user_id END AS a, CASE WHEN user_id % 2 = 0 THEN NULL ELSE event_type END AS b, props AS c FROM events),
+k AS (SELECT event_id, CASE WHEN a <> '' THEN '0:' || a WHEN trim(b) <> '' THEN '1:' || b WHEN trim(c) <> '' THEN '2:' || c END AS group_key FROM r)
+SELECT group_key, count(*) AS records, min(event_id) AS event_id FROM k GROUP BY 1""")
+def record_collapse(spark, d):
+    u = F.col("user_id")
+    parts = [F.when(u % 3 == 0, "").otherwise(F.concat(F.lit("u"), u.cast("string"))), F.when(u % 2 != 0, F.col("event_type")), F.col("props")]
+    return survivorship.collapsed(table(spark, d, "events"), "event_id", *parts).select("group_key", "records", "event_id")
+
+
+@query("SELECT user_id, arg_min(event_id, {'f': event_type, 'i': event_id}) AS event_id FROM events GROUP BY user_id")
+def first_ingested(spark, d):
+    return survivorship.first_ingested(table(spark, d, "events").select("user_id", "event_type", "event_id"), "user_id", "event_type", "event_id").select("user_id", "event_id")
+
+
+@query("""
+SELECT p_name, count(*) AS members, CASE WHEN count(DISTINCT p_type) > 1 THEN 'media_mismatch' WHEN count(DISTINCT p_brand) > 1 THEN 'season_split' WHEN max(p_size) - min(p_size) > 1 THEN 'hold' ELSE 'safe' END AS verdict FROM part GROUP BY p_name""")
+def group_classes(spark, d):
+    return survivorship.group_class(table(spark, d, "part"), "p_name", media="p_type", year="p_size", season="p_brand")
+
+
+@query("""
+WITH a AS (SELECT DISTINCT doc_id FROM documents), b AS (SELECT doc_id, count(*) AS n FROM labels GROUP BY 1)
+SELECT coalesce(a.doc_id, b.doc_id) AS doc_id, CASE WHEN a.doc_id IS NULL THEN 'extra' WHEN n IS NULL THEN 'missing' WHEN n > 1 THEN 'duplicate' ELSE 'covered' END AS status, coalesce(n, 0) AS n_works FROM a FULL JOIN b ON a.doc_id = b.doc_id""")
+def source_coverage(spark, d):
+    return survivorship.coverage(table(spark, d, "documents"), table(spark, d, "labels"), "doc_id")
+
+
+@query("""
+WITH p AS (SELECT s.s_suppkey AS x, c.c_custkey AS y, s.s_nationkey AS n, CAST(1990 + s.s_suppkey % 3 AS INTEGER) AS ya, CAST(1990 + c.c_custkey % 4 AS INTEGER) AS yb, s.s_suppkey % 5 = 0 AS ma, c.c_custkey % 2 AS fb FROM supplier s JOIN customer c ON c.c_custkey = s.s_suppkey),
+q AS (SELECT *, abs(ya - yb) AS dy FROM p),
+r AS (SELECT x, y, CASE dy WHEN 0 THEN 2 WHEN 1 THEN 1 ELSE 0 END + CASE WHEN fb = 1 THEN 2 ELSE 0 END + 2 + 3 AS score, dy > 1 AS bad, fb = 0 AS same, ma FROM q)
+SELECT x, y, score, array_to_string(list_filter([CASE WHEN bad THEN 'date_conflict' END, CASE WHEN same THEN 'not_confirmed_cross_source' END, CASE WHEN ma THEN 'already_merged_or_deprecated' END], lambda v: v IS NOT NULL), ',') AS blockers,
+  CASE WHEN bad OR same OR ma THEN 'blocked' WHEN score >= 6 THEN 'candidate' ELSE 'weak' END AS verdict FROM r""")
+def cross_language_scores(spark, d):
+    side = lambda year, family, title, merged: F.struct(F.lit("anime").alias("media"), F.lit(None).cast("string").alias("format"), year.cast("int").alias("year"), family.alias("family"), F.lit(title).alias("title"), F.array().cast("array<string>").alias("titles"), F.array().cast("array<string>").alias("source_keys"), merged.alias("merged"))
+    s, c = table(spark, d, "supplier"), table(spark, d, "customer")
+    a = s.select(F.col("s_suppkey").alias("x"), side(1990 + F.col("s_suppkey") % 3, F.lit("f0"), "漢字", F.col("s_suppkey") % 5 == 0).alias("a"))
+    b = c.select(F.col("c_custkey").alias("y"), side(1990 + F.col("c_custkey") % 4, F.concat(F.lit("f"), (F.col("c_custkey") % 2).cast("string")), "Latin title", F.lit(False)).alias("b"))
+    pairs = a.join(b, F.col("x") == F.col("y")).withColumn("tokens", F.array(F.struct(F.lit("rarest").alias("token"), F.lit(2).alias("df")), F.struct(F.lit("common").alias("token"), F.lit(40).alias("df"))))
+    return survivorship.pair_score(pairs).select("x", "y", "score", F.array_join("blockers", ",").alias("blockers"), "verdict")
