@@ -50,8 +50,9 @@ def unwrapped(documents: DataFrame, text: str) -> DataFrame:
 def files(spark: SparkSession, root: str, *, suffixes: tuple[str, ...] = ("json", "jsonl", "ndjson", "csv"), ignored: tuple[str, ...] = ("node_modules", ".git", "tmp"), most_json_bytes: int = 50_000_000) -> DataFrame:
     """path, bytes and modification time of the files below a folder that are to be read."""
     listed = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(root).select("path", F.col("length").alias("bytes"), "modificationTime")
-    name = F.lower(F.col("path"))
-    fits = name.rlike(r"\.(" + "|".join(map(re.escape, suffixes)) + ")$") & ~name.rlike("/(" + "|".join(map(re.escape, ignored)) + ")/")
+    below = F.element_at(F.split("path", re.escape(re.sub(r"^\w+:/*", "/", root).rstrip("/")) + "/", 2), -1)
+    name = F.lower(below)
+    fits = name.rlike(r"\.(" + "|".join(map(re.escape, suffixes)) + ")$") & ~name.rlike("(^|/)(" + "|".join(map(re.escape, ignored)) + ")/")
     return listed.where(fits & ~(name.endswith(".json") & (F.col("bytes") > most_json_bytes)))
 
 
