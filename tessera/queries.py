@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from tessera.functions import text as keys
 from tessera.functions import values
-from tessera.operators import aggregates, classify, creators, diff, entity, graph, matching, ranking, rules, survivorship
+from tessera.operators import aggregates, classify, creators, diff, entity, graph, matching, ranking, rules, survivorship, validation
 from tessera.plans import catalog, incremental, release
 from tessera.session import table
 from tessera.streaming import intake
@@ -831,3 +831,108 @@ def cross_language_scores(spark, d):
     b = c.select(F.col("c_custkey").alias("y"), side(1990 + F.col("c_custkey") % 4, F.concat(F.lit("f"), (F.col("c_custkey") % 2).cast("string")), "Latin title", F.lit(False)).alias("b"))
     pairs = a.join(b, F.col("x") == F.col("y")).withColumn("tokens", F.array(F.struct(F.lit("rarest").alias("token"), F.lit(2).alias("df")), F.struct(F.lit("common").alias("token"), F.lit(40).alias("df"))))
     return survivorship.pair_score(pairs).select("x", "y", "score", F.array_join("blockers", ",").alias("blockers"), "verdict")
+
+
+# -- validation ---------------------------------------------------------------------------------
+
+
+@query("""
+SELECT 'orders_rows' AS "check", CAST(15000 AS BIGINT) AS expected, count(*) AS actual, count(*) = 15000 AS ok FROM orders
+UNION ALL SELECT 'part_name_brand_unique', 0, count(*) - count(DISTINCT (p_name, p_brand)), count(*) - count(DISTINCT (p_name, p_brand)) = 0 FROM part
+UNION ALL SELECT 'orders_customers', 0, count(*), count(*) = 0 FROM orders WHERE o_custkey NOT IN (SELECT c_custkey FROM customer)
+UNION ALL SELECT 'status_letters', 0, count(*), count(*) = 0 FROM orders WHERE o_orderstatus NOT IN ('F', 'O')""")
+def release_checks(spark, d):
+    o, p = table(spark, d, "orders"), table(spark, d, "part")
+    return validation.checks(
+        validation.row_count("orders_rows", o, 15000), validation.unique("part_name_brand_unique", p, ["p_name", "p_brand"]),
+        validation.referenced("orders_customers", o, "o_custkey", table(spark, d, "customer"), "c_custkey"), validation.holds("status_letters", o, F.col("o_orderstatus").isin("F", "O")),
+    )
+
+
+@query("""
+WITH e(k, n) AS (VALUES ('F', 7000), ('O', 1), ('Q', 5)), a AS (SELECT o_orderstatus AS k, count(*) AS n FROM orders GROUP BY 1)
+SELECT coalesce(e.k, a.k) AS o_orderstatus, CAST(coalesce(e.n, 0) AS BIGINT) AS expected, coalesce(a.n, 0) AS actual, coalesce(e.n, 0) = coalesce(a.n, 0) AS ok FROM e FULL JOIN a ON e.k = a.k""")
+def manifest_histogram(spark, d):
+    return validation.histogram(table(spark, d, "orders"), "o_orderstatus", {"F": 7000, "O": 1, "Q": 5})
+
+
+@query("""
+SELECT 'props' AS field, count(*) FILTER (WHERE trim(props) <> '') AS filled, count(*) AS rows FROM events
+UNION ALL SELECT 'event_type', count(*) FILTER (WHERE trim(event_type) <> ''), count(*) FROM events UNION ALL SELECT 'value', count(value), count(*) FROM events""")
+def field_coverage(spark, d):
+    return validation.field_coverage(table(spark, d, "events"), ["props", "event_type", "value"])
+
+
+@query("""
+WITH h AS (SELECT page_id, lower(html) AS h, [url, 'article', 'zzz' || page_id] AS v FROM pages), m AS (SELECT page_id, unnest(v) AS v, h FROM h)
+SELECT page_id, string_agg(DISTINCT v, ',' ORDER BY v) AS missing FROM m WHERE NOT contains(h, lower(v)) GROUP BY 1""")
+def search_coverage(spark, d):
+    p = table(spark, d, "pages")
+    values_of = F.array(F.col("url"), F.lit("article"), F.concat(F.lit("zzz"), F.col("page_id").cast("string")))
+    return validation.search_coverage(p, "page_id", values_of, F.col("html")).select("page_id", F.array_join("missing", ",").alias("missing"))
+
+
+@query("""
+WITH per AS (SELECT p_name, p_brand, count(DISTINCT p_size) AS n FROM part GROUP BY ALL), c AS (SELECT p_name, count(*) AS n FROM per WHERE n > 1 GROUP BY 1),
+g AS (SELECT p_name, count(*) AS members, count(DISTINCT p_type) > 1 AS mixed_media, count(DISTINCT p_size % 4) > 1 AS mixed_grades FROM part GROUP BY 1 HAVING count(*) > 1)
+SELECT g.*, coalesce(c.n, 0) AS provider_conflicts FROM g LEFT JOIN c USING (p_name)""")
+def merge_audit(spark, d):
+    return validation.group_audit(table(spark, d, "part").withColumn("grade", F.col("p_size") % 4), "p_name", "p_brand", "p_size", "p_type", "grade")
+
+
+@query("""
+SELECT doc_id, array_to_string(list_filter([CASE WHEN doc_id % 5 = 4 THEN 'kind' END, CASE WHEN doc_id % 5 < 2 AND doc_id % 3 = 0 THEN 'work_id' END, CASE WHEN length(trim(source)) > 200 OR length(trim(source)) = 0 THEN 'title' END,
+  CASE WHEN length(trim(text, ' ')) NOT BETWEEN 10 AND 3000 THEN 'description' END, CASE WHEN doc_id % 7 = 0 THEN 'sources' END, CASE WHEN doc_id % 11 = 0 THEN 'consent' END], lambda x: x IS NOT NULL), ',') AS problems FROM documents""")
+def submission_problems(spark, d):
+    k = F.col("doc_id")
+    rows = table(spark, d, "documents").select(
+        "doc_id", F.when(k % 5 == 4, "other").when(k % 5 < 2, "correction").otherwise("new_work").alias("kind"), F.when(k % 3 == 0, "x1").otherwise("12").alias("work_id"), F.col("source").alias("title"), F.col("text").alias("description"),
+        F.when(k % 7 == 0, F.array(F.lit("http://plain.example"))).otherwise(F.array(F.lit("https://ok.example/a"))).alias("sources"), F.lit("").alias("website"), (k % 11 != 0).alias("consent"),
+    )
+    return validation.submission_problems(rows).select("doc_id", F.array_join("problems", ",").alias("problems"))
+
+
+@query("""
+WITH l AS (SELECT user_id, arg_max(event_type, {'t': ts, 'e': event_id}) AS t FROM events GROUP BY 1), c AS (SELECT DISTINCT user_id, CASE WHEN user_id % 2 = 0 THEN 'click' ELSE 'view' END AS t FROM events WHERE user_id % 5 <> 0)
+SELECT user_id, CASE WHEN c.t IS NULL THEN 'work_missing' WHEN c.t = l.t THEN 'match' ELSE 'differs' END AS status, CASE WHEN c.t <> l.t THEN 'event_type' ELSE '' END AS changed FROM l LEFT JOIN c USING (user_id)""")
+def event_reconciliation(spark, d):
+    e = table(spark, d, "events")
+    current = e.where("user_id % 5 <> 0").select("user_id").distinct().withColumn("event_type", F.when(F.col("user_id") % 2 == 0, "click").otherwise("view"))
+    out = validation.reconciled_events(e, current, "user_id", "ts", "event_id", ["event_type"])
+    return out.select("user_id", "status", F.array_join("changed", ",").alias("changed"))
+
+
+@query("""
+WITH a AS (SELECT DISTINCT split_part(p_name, ' ', 1) AS t FROM part WHERE length(split_part(p_name, ' ', 1)) >= 5), r AS (SELECT p_partkey, p_name || 'x' AS t FROM part),
+m AS (SELECT p_partkey, a.t AS anchor FROM r JOIN a ON contains(r.t, a.t))
+SELECT p_partkey, count(*) AS n, max(length(anchor)) AS longest FROM m GROUP BY 1""")
+def anchor_matches(spark, d):
+    p = table(spark, d, "part")
+    first = p.select(F.substring_index("p_name", " ", 1).alias("t")).where(F.char_length("t") >= 5).distinct()
+    out = validation.anchors(p, first.withColumn("id", F.col("t")), "p_partkey", F.concat("p_name", F.lit("x")), "id", "t")
+    return out.select("p_partkey", "n", F.char_length("anchor").alias("longest"))
+
+
+@query("""
+SELECT event_id, array_to_string(list_sort(list_filter(json_keys(props), lambda k: k NOT IN ('k', 'a'))), ',') AS unknown_fields FROM events""")
+def known_fields(spark, d):
+    e = table(spark, d, "events")
+    return validation.known_fields(e, F.col("props"), ["k", "a"]).select("event_id", F.array_join("unknown_fields", ",").alias("unknown_fields"))
+
+
+@query("""
+WITH n AS (SELECT 's' || s_suppkey AS node_id, 1 AS seq, s_name AS label FROM supplier UNION ALL SELECT 's' || c_custkey, 2, c_name FROM customer)
+SELECT node_id, arg_min(label, seq) AS label FROM n GROUP BY 1""")
+def first_nodes(spark, d):
+    s = table(spark, d, "supplier").select(F.concat(F.lit("s"), F.col("s_suppkey").cast("string")).alias("node_id"), F.lit(1).alias("seq"), F.col("s_name").alias("label"))
+    c = table(spark, d, "customer").select(F.concat(F.lit("s"), F.col("c_custkey").cast("string")).alias("node_id"), F.lit(2).alias("seq"), F.col("c_name").alias("label"))
+    return graph.nodes(s, c).select("node_id", "label")
+
+
+@query("""
+WITH f AS (SELECT event_id, props AS doc FROM events), g AS (SELECT event_id, CASE WHEN event_id % 4 = 0 THEN '{"k": -1}' ELSE doc END AS doc FROM f)
+SELECT count(DISTINCT event_id) AS changed FROM f JOIN g USING (event_id) WHERE f.doc <> g.doc""")
+def json_changes(spark, d):
+    e = table(spark, d, "events").select("event_id", F.col("props").alias("doc"))
+    after = e.withColumn("doc", F.when(F.col("event_id") % 4 == 0, '{"k": -1}').otherwise(F.col("doc")))
+    return diff.json_diff(e, after, "event_id", "doc").agg(F.count_distinct("event_id").alias("changed"))
