@@ -8,7 +8,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tessera.functions import text as keys
@@ -16,6 +16,7 @@ from tessera.functions import values
 from tessera.operators import aggregates, classify, creators, diff, entity, graph, matching, ranking, rules, survivorship, validation
 from tessera.plans import catalog, incremental, release
 from tessera.session import table
+from tessera.sources import writers
 from tessera.streaming import intake
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -936,3 +937,42 @@ def json_changes(spark, d):
     e = table(spark, d, "events").select("event_id", F.col("props").alias("doc"))
     after = e.withColumn("doc", F.when(F.col("event_id") % 4 == 0, '{"k": -1}').otherwise(F.col("doc")))
     return diff.json_diff(e, after, "event_id", "doc").agg(F.count_distinct("event_id").alias("changed"))
+
+
+@query("""
+WITH m AS (SELECT p_partkey, ['game','visual_novel','other',NULL,'anime'][CAST(p_partkey % 5 AS INTEGER) + 1] AS kind, CASE WHEN p_partkey % 3 = 0 THEN 'partial' ELSE 'exact' END AS st, CASE WHEN p_partkey % 7 = 0 THEN ' ' ELSE p_brand END AS pr FROM part)
+SELECT p_partkey, CASE WHEN kind IN ('game', 'visual_novel') THEN 'game' WHEN kind IS NULL OR kind = 'other' THEN 'unknown' ELSE kind END AS bucket, CASE WHEN st = 'exact' AND trim(pr) <> '' THEN lower(pr) || '|' || p_partkey END AS identity FROM m""")
+def identity_keys(spark, d):
+    k = F.col("p_partkey")
+    kind = F.element_at(F.array(F.lit("game"), F.lit("visual_novel"), F.lit("other"), F.lit(None), F.lit("anime")), (k % 5 + 1).cast("int"))
+    identity = keys.exact_identity(F.when(k % 3 == 0, "partial").otherwise("exact"), F.when(k % 7 == 0, " ").otherwise(F.col("p_brand")), k.cast("string"))
+    return table(spark, d, "part").select("p_partkey", keys.media_bucket(kind).alias("bucket"), identity.alias("identity"))
+
+
+@query("""
+WITH w AS (SELECT o_custkey, o_orderkey, CASE WHEN o_orderkey % 9 = 0 THEN NULL ELSE strftime(o_orderdate, '%Y-%m-%d') END AS dt, o_orderpriority AS t FROM orders)
+SELECT o_custkey, o_orderkey, row_number() OVER (PARTITION BY o_custkey ORDER BY CAST(substr(dt, 1, 4) AS INTEGER) DESC NULLS LAST, dt DESC NULLS LAST, t, o_orderkey) AS place FROM w""")
+def creator_display_order(spark, d):
+    o = table(spark, d, "orders")
+    w = o.select("o_custkey", "o_orderkey", F.when(F.col("o_orderkey") % 9 != 0, F.date_format("o_orderdate", "yyyy-MM-dd")).alias("dt"), "o_orderpriority")
+    order = creators.display_order(F.col("dt"), F.col("o_orderpriority"), F.col("o_orderkey").cast("string"))
+    return w.select("o_custkey", "o_orderkey", F.row_number().over(Window.partitionBy("o_custkey").orderBy(*order)).alias("place"))
+
+
+@query(r"""
+WITH t AS (SELECT conv_id, turn, replace(replace(text, '. ', ';'), ', ', '|') AS t FROM conversations), s AS (SELECT conv_id, turn, unnest(regexp_split_to_array(t, '[;|,\n]')) AS x FROM t)
+SELECT conv_id, turn, count(*) AS items FROM s WHERE trim(x) <> '' GROUP BY ALL""")
+def list_items(spark, d):
+    c = table(spark, d, "conversations")
+    text = F.replace(F.replace("text", F.lit(". "), F.lit(";")), F.lit(", "), F.lit("|"))
+    return c.select("conv_id", "turn", F.size(keys.split_list(text)).cast("long").alias("items")).where("items > 0")
+
+
+@query("""
+SELECT bucket, n, digest FROM (SELECT CAST(n_regionkey AS BIGINT) AS bucket, count(*) AS n, string_agg(md5(n_name), ',' ORDER BY n_name) AS digest FROM nation GROUP BY 1)""")
+def child_table_digest(spark, d):
+    """Nested rows to a child table and back: names of each region, hashed and in order."""
+    nested = table(spark, d, "nation").groupBy(F.col("n_regionkey").cast("long").alias("bucket")).agg(F.array_sort(F.collect_list(F.struct("n_name"))).alias("names"))
+    child = writers.children(nested, "bucket", "names")
+    back = child.groupBy("bucket").agg(F.count("*").alias("n"), F.array_sort(F.collect_list(F.struct("ordinal", F.md5("n_name").alias("h")))).alias("a"))
+    return back.select("bucket", "n", F.array_join(F.transform("a", lambda x: x["h"]), ",").alias("digest"))
