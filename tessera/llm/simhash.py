@@ -180,7 +180,7 @@ def links(prints: DataFrame, column: str = "print", *, radius: int = 4, tile: in
     """Links (src, dst) that join all distinct fingerprints within the radius, directly or by chains."""
     cuts = np.linspace(0, 64, radius + 3).round().astype(int).tolist()
     piece = [F.shiftrightunsigned(F.col("p"), a).bitwiseAND(F.lit((1 << (b - a)) - 1)) for a, b in zip(cuts[:-1], cuts[1:], strict=True)]
-    keys = F.array(*[F.lit(n << 58) + F.shiftleft(piece[i], 24) + piece[j] for n, (i, j) in enumerate(combinations(range(radius + 2), 2))])
+    keys = F.array(*[F.lit(n << 48) + F.shiftleft(piece[i], 24) + piece[j] for n, (i, j) in enumerate(combinations(range(radius + 2), 2))])
     rows = prints.select(F.col(column).alias("p")).select("p", F.explode(keys).alias("key"))
     rows = rows.withColumn("n", F.count("*").over(Window.partitionBy("key"))).where("n > 1")
     rows = rows.withColumn("tiles", F.ceil(F.col("n") / tile)).withColumn("mine", F.pmod(F.xxhash64("p"), F.col("tiles")))
