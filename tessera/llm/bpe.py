@@ -42,6 +42,10 @@ REMEMBERED = 1 << 20
 PLAIN_END = 0x250
 
 
+def _small(body: bytes) -> bytes:
+    return pa.Codec("zstd", compression_level=9).compress(body, asbytes=True)
+
+
 def _class(keep) -> str:
     return "".join(re.escape(chr(c)) for c in range(PLAIN_END) if keep(chr(c)))
 
@@ -64,7 +68,7 @@ def _pack(*arrays: np.ndarray) -> bytes:
         planes = np.ascontiguousarray(x.astype("<u4").view(np.uint8).reshape(-1, 4).T).tobytes()
         parts += [len(x).to_bytes(8, "little"), planes]
     body = b"".join(parts)
-    return len(body).to_bytes(8, "little") + pa.compress(body, codec="zstd", asbytes=True)
+    return len(body).to_bytes(8, "little") + _small(body)
 
 
 def _unpack(blob: bytes) -> list[np.ndarray]:
@@ -81,7 +85,7 @@ def _unpack(blob: bytes) -> list[np.ndarray]:
 def _pack_words(words: list[bytes]) -> bytes:
     lengths = _pack(np.fromiter(map(len, words), np.int64, len(words)))
     body = b"".join(words)
-    return len(lengths).to_bytes(8, "little") + len(body).to_bytes(8, "little") + lengths + pa.compress(body, codec="zstd", asbytes=True)
+    return len(lengths).to_bytes(8, "little") + len(body).to_bytes(8, "little") + lengths + _small(body)
 
 
 def _unpack_words(blob: bytes) -> list[str]:
@@ -150,8 +154,8 @@ def _split(ids: list[str], parts: int, path: str):
             # Words by falling frequency: small numbers are common ones and pack well.
             at = np.concatenate(lists)
             order = np.argsort(-np.bincount(at, minlength=len(coded)), kind="stable")
-            rank = np.empty(len(order), np.int64)
-            rank[order] = np.arange(len(order))
+            rank = np.empty(len(order), np.uint32)
+            rank[order] = np.arange(len(order), dtype=np.uint32)
             part = part[order]
             by_part = order[np.argsort(part, kind="stable")]
             bounds = np.searchsorted(np.sort(part), np.arange(parts + 1))
@@ -173,7 +177,7 @@ def _split(ids: list[str], parts: int, path: str):
                     yield row()
                 for x in chunk.column("text_of").to_pylist():
                     found = all_pieces(x) if x else []
-                    lists.append(np.fromiter([number.setdefault(w, len(number)) for w in found], np.int64, len(found)))
+                    lists.append(np.fromiter((number.setdefault(w, len(number)) for w in found), np.uint32, len(found)))
                 held.append([chunk.column(f"id_{i}") for i in range(len(ids))])
                 size += more
         if lists:
