@@ -154,7 +154,10 @@ def rewrite(text: str) -> tuple[str, list[tuple[int, int, int]]]:
 
 
 def disguised(text: str, found: list[Span]) -> list[Span]:
-    """Identifiers that only the normalised text shows, at source offsets."""
+    """Identifiers that only the normalised text shows, at source offsets.
+
+    One that reaches past a plain identifier of its kind stands beside it; one inside it is dropped.
+    """
     odd = not text.isascii() and ODD.search(text) is not None
     if not odd and not CLUE.search(text.lower()):
         return []
@@ -173,7 +176,7 @@ def disguised(text: str, found: list[Span]) -> list[Span]:
     out = []
     for a, k, b in plain(new):
         start, end = origin(a, False), origin(b - 1, True)
-        if new[a:b] != text[start:end] and not any(x < end and start < y for x, y in taken.get(k, ())):
+        if new[a:b] != text[start:end] and not any(x <= start and end <= y for x, y in taken.get(k, ())):
             out.append((start, k, end))
     return out
 

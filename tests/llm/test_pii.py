@@ -41,6 +41,22 @@ def test_disguises_map_to_source_characters():
         assert (kind, piece) in found and len(found) == 1, (text, found)
 
 
+def test_disguised_addresses_stand_beside_their_plain_fragments():
+    addresses = [
+        "jаne.doe@example.com", "jane.doe@exаmple.com", "jane@example.cоm",
+        "ja​ne.doe@example.com", "jane.doe@exa​mple.com", "jane.doe@example.c​om",
+        "jane [dot] doe@example.com", "jane@mail [dot] example.com", "jane@mail.example [dot] com", "jane@example.co [dot] uk",
+        "ｊane.doe@example.com", "jane.doe@example．com", "jane.doe@example.cｏm",
+    ]
+    for address in addresses:
+        text = f"to {address} now"
+        base = pii.plain(text)
+        found = [(pii.KINDS[k], text[a:b]) for a, k, b in pii.disguised(text, base)]
+        assert found == [("email", address)], (address, found)
+    for text in ("jane@example.com [at] noon", "\u0430 jane@example.com 10.0.0.1"):
+        assert pii.disguised(text, pii.plain(text)) == []
+
+
 def test_clean_prose_stays_clean():
     for text in ("", "Meet me at home (at noon). One or two dots.", "un deux trois", "two at a time, dot by dot", "Привет, как дела? Один два.", "[at] [dot]", "look at this dot"):
         assert pii.plain(text) == [] and pii.disguised(text, []) == []
