@@ -84,7 +84,10 @@ ENDINGS = "com|org|net|edu|gov|info|io|dev|ai|co|de|fr|es|it|nl|ch|at|eu|uk|us"
 WORD = "|".join(sorted(SPELLED, key=len, reverse=True))
 DIGIT = f"(?:{WORD}|[0-9])"
 ODD = re.compile("[\u00ad\u0250-\U0010ffff]")
-CLUE = re.compile(rf"[\[({{<]\s?(?:at|dot|@|\.)\s?[\])}}>]| dot |(?:{WORD})[ -]{DIGIT}\b")
+# Letters that match ASCII ones where case is ignored, though lower() leaves them.
+FOLDED = re.compile("[\u0130\u0131\u017f]")
+# Found, in lower case, in each text without ODD or FOLDED characters that REWRITTEN would change.
+CLUE = re.compile(rf"[\[({{<]\s?(?:at|dot|@|\.)\s?[\])}}>]| dot |(?:{WORD})(?:[ -]| (?:point|punkt|punto) ){DIGIT}\b|[0-9](?:[ -](?:{WORD})| (?:point|punkt|punto) {DIGIT})\b|plus ?{DIGIT}\b")
 REWRITTEN = re.compile(
     rf"""
     (?P<gone>[\u00ad\u200b-\u200f\u2060\ufeff]+)
@@ -158,7 +161,7 @@ def disguised(text: str, found: list[Span]) -> list[Span]:
 
     One that reaches past a plain identifier of its kind stands beside it; one inside it is dropped.
     """
-    odd = not text.isascii() and ODD.search(text) is not None
+    odd = not text.isascii() and (ODD.search(text) or FOLDED.search(text)) is not None
     if not odd and not CLUE.search(text.lower()):
         return []
     new, pieces = rewrite(text)

@@ -57,6 +57,18 @@ def test_disguised_addresses_stand_beside_their_plain_fragments():
         assert pii.disguised(text, pii.plain(text)) == []
 
 
+def test_the_prefilter_never_changes_a_result(monkeypatch):
+    rng = random.Random(2)
+    bits = ["eight", "acht", "Fünf", "UN", "fİve", "ſix", "8", "10", "256", "plus", " ", " ", " ", "-", ".", " dot ", " point ", " Punkt ", " punto ", " at ", "[at]", "( . )", "@", "joe", "com", "é", "x", "\n", "4041 8949 7460 879", " five"]
+    texts = ["".join(rng.choice(bits) for _ in range(rng.randint(1, 14))) for _ in range(20000)]
+    texts += [w.join([d] * 4) for d in ("eight", "acht", "8") for w in (" dot ", " point ", " punkt ", " punto ")]
+    texts += ["card 4 0 4 1 8 9 4 9 7 4 6 0 8 7 9 five", "call plus 1 4 1 5 5 5 5 2 6 7 1", "8.8.8 point 8", "un point deux point trois point quatre"]
+    got = [pii.disguised(x, pii.plain(x)) for x in texts]
+    monkeypatch.setattr(pii, "CLUE", re.compile(""))
+    assert got == [pii.disguised(x, pii.plain(x)) for x in texts]
+    assert all(got[20000:])
+
+
 def test_clean_prose_stays_clean():
     for text in ("", "Meet me at home (at noon). One or two dots.", "un deux trois", "two at a time, dot by dot", "Привет, как дела? Один два.", "[at] [dot]", "look at this dot"):
         assert pii.plain(text) == [] and pii.disguised(text, []) == []
