@@ -199,7 +199,11 @@ class TreeBuilder(HTMLParser):
         if tag == "table":
             lines += _aligned(node.rows)
         if tag in ROWS:
-            above.rows += node.rows
+            box = next((n for n in reversed(self.flow) if n.tag in ROWS or n.tag == "table"), None)
+            if box is not None:
+                box.rows += node.rows
+            else:  # a row group outside a table: its rows are lines
+                lines += _aligned(node.rows)
         if not lines:
             return
         if tag == "li":

@@ -52,6 +52,36 @@ def test_all_words_of_visible_text_come_out_once():
         assert sorted(found) == sorted(words), "".join(page)
 
 
+STRAY = {
+    "<table><form><tbody><tr><td>x</td></tr></tbody></form></table>": "x",
+    "<div><tbody><tr><td>x</td></tr></tbody></div>": "x",
+    "<tbody><tr><td>a<td>b<tr><td>cc<td>d</tbody>e": "a   b\ncc  d\ne",
+    "<table><center><thead><tr><th>h<th>i</thead></center><tbody><tr><td>long<td>z</table>": "h     i\nlong  z",
+    "<table><form><tbody hidden><tr><td>x</tbody></form><tr><td>y</table>": "y",
+}
+
+
+@pytest.mark.parametrize("page", STRAY)
+def test_rows_of_stray_row_groups(page):
+    assert html_text.render(page) == STRAY[page]
+
+
+def test_all_words_come_out_once_with_row_groups():
+    rng = random.Random(7)
+    tags = ["tbody", "thead", "tfoot", "tbody", "table", "tr", "td", "th", "caption", "form", "center", "div", "p", "b", "li", "ul", "pre", "dd"]
+    for _ in range(6000):
+        page, words = [], []
+        for i in range(rng.randint(1, 40)):
+            kind = rng.random()
+            if kind < 0.4:
+                words.append(f"w{i}x")
+                page.append(f" w{i}x ")
+            else:
+                page.append(f"<{'/' if kind < 0.6 else ''}{rng.choice(tags)}>")
+        found = re.findall(r"w\d+x", html_text.render("".join(page)))
+        assert sorted(found) == sorted(words), "".join(page)
+
+
 def test_deep_and_long_pages():
     assert html_text.render("<div>" * 5000 + "x" + "</div>" * 5000 + "y").split() == ["x", "y"]
     assert len(html_text.render("<p>word " * 50_000).split()) == 50_000
