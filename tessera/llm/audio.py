@@ -2,7 +2,8 @@
 
 Texts stand for recordings: their UTF-8 bytes are the samples.  ``store_media`` writes them as WAV;
 ``audio_features`` and ``audio_tensors`` read stored bytes back, resample by a polyphase filter,
-take overlapped log-mel frames, and cut segments of high energy with two thresholds.  Each clip is
+take overlapped log-mel frames, and cut segments of high energy with two thresholds.
+``tensor_features`` describes each clip by the tensors that were made of it.  Each clip is
 worked on alone and in pieces of fixed length, so equal media give equal values wherever they lie.
 """
 
@@ -29,6 +30,10 @@ FRAME, HOP, FFT, MELS = 192, 96, 256, 32
 TENSOR_FRAMES = 64
 #: Frames worked on at once.
 PIECE = 8192
+#: Tensors in one batch of rows, 4 MB.
+WINDOWS = 512
+#: Of log-mel sums, which travel as whole numbers so that their order cannot matter.
+MICRO = 1_000_000
 #: Decibels against the clip's median: a segment starts above the first and lasts down to the second.
 ON_DB, OFF_DB = 1.0, -1.0
 
@@ -90,10 +95,13 @@ def mel_bank() -> np.ndarray:
 
 
 def log_mel(samples: bytes) -> tuple[np.ndarray, np.ndarray]:
-    """Frames x MELS of log-mel power, and the energy of each frame in decibels."""
+    """Frames x MELS of log-mel power, and the energy of each frame in decibels.
+
+    Every sample is in a frame: the last one is filled up with zeros.
+    """
     x = (np.frombuffer(samples, np.uint8).astype(np.float64) - 128) / 128
     y = resample(x)
-    n = max(1, 1 + (len(y) - FRAME) // HOP)
+    n = 1 + max(0, -(-(len(y) - FRAME) // HOP))
     y = np.concatenate((y, np.zeros(max(0, (n - 1) * HOP + FRAME - len(y)))))
     frames = np.lib.stride_tricks.sliding_window_view(y, FRAME)[::HOP][:n]
     window, bank = np.hanning(FRAME), mel_bank()
@@ -141,6 +149,13 @@ def store_media(docs: DataFrame, ids: list[str], text: str = "text") -> DataFram
     return with_columns(docs.select(*ids, F.col(text).alias("text_of")), "text_of", compute, [T.StructField("n_bytes", T.LongType()), T.StructField("media", T.BinaryType())])
 
 
+STORED = {"payload_bytes": T.LongType(), "payload_sha256": T.StringType(), "tail_crc32": T.LongType(), "media_bytes": T.LongType(), "media_sha256": T.StringType()}
+
+
+def _stored(stored: bytes, samples: bytes) -> tuple:
+    return len(samples), hashlib.sha256(samples).hexdigest(), zlib.crc32(samples[-16:]), len(stored), hashlib.sha256(stored).hexdigest()
+
+
 def audio_features(media: DataFrame, column: str = "media") -> DataFrame:
     """Adds to each row what its stored media hold, and drops the media.
 
@@ -156,13 +171,13 @@ def audio_features(media: DataFrame, column: str = "media") -> DataFrame:
         bands = mels.astype(np.float64).mean(axis=0).reshape(8, -1).mean(axis=1)
         spoken = sum(milliseconds(b) - milliseconds(a) for a, b in found)
         feature = f"frames={len(mels)};tensors={-(-len(mels) // TENSOR_FRAMES)};segments={len(found)};ms={spoken};mel=" + ",".join(f"{x:.3f}" for x in bands)
-        return len(samples), hashlib.sha256(samples).hexdigest(), zlib.crc32(samples[-16:]), len(stored), hashlib.sha256(stored).hexdigest(), feature
+        return *_stored(stored, samples), feature
 
     def compute(part: pa.RecordBatch) -> list[pa.Array]:
         rows = [one(x) for x in part.column(column).to_pylist()]
         return [pa.array([r[i] for r in rows], t) for i, t in enumerate((pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.string(), pa.string()))]
 
-    kinds = {"payload_bytes": T.LongType(), "payload_sha256": T.StringType(), "tail_crc32": T.LongType(), "media_bytes": T.LongType(), "media_sha256": T.StringType(), "feature": T.StringType()}
+    kinds = {**STORED, "feature": T.StringType()}
     return with_columns(media, column, compute, [T.StructField(k, t) for k, t in kinds.items()])
 
 
@@ -170,30 +185,74 @@ def audio_tensors(media: DataFrame, ids: list[str], column: str = "media") -> Da
     """One row for each window of ``TENSOR_FRAMES`` frames of each clip.
 
     Returns ``ids``, ``window``, ``start_ms``, ``end_ms``, ``segments`` (the time spans of high
-    energy that start in the window) and ``tensor``, TENSOR_FRAMES x MELS floats row by row, as
-    ``as_tensors`` reads them.  Media must not be null.
+    energy that start in the window), ``tensor``, TENSOR_FRAMES x MELS floats row by row, as
+    ``as_tensors`` reads them, ``frames``, those of the clip in the window, and ``bands``, their
+    log-mel sums in eight bands times MICRO.  Media must not be null.
     """
     spans = T.ArrayType(T.StructType([T.StructField("start_ms", T.LongType()), T.StructField("end_ms", T.LongType())]))
-    schema = T.StructType([media.schema[c] for c in ids] + [T.StructField("window", T.IntegerType()), T.StructField("start_ms", T.LongType()), T.StructField("end_ms", T.LongType()), T.StructField("segments", spans), T.StructField("tensor", T.ArrayType(T.FloatType()))])
+    own = [("window", T.IntegerType()), ("start_ms", T.LongType()), ("end_ms", T.LongType()), ("segments", spans), ("tensor", T.ArrayType(T.FloatType())), ("frames", T.LongType()), ("bands", T.ArrayType(T.LongType()))]
+    schema = T.StructType([media.schema[c] for c in ids] + [T.StructField(k, t) for k, t in own])
+
+    def clip(r: int, stored: bytes) -> tuple:
+        mels, energy = log_mel(from_wav(stored))
+        windows = tensors(mels)
+        held: list[list[dict]] = [[] for _ in windows]
+        for a, b in segments(energy):
+            held[a // TENSOR_FRAMES].append({"start_ms": milliseconds(a), "end_ms": milliseconds(b)})
+        starts = np.arange(len(windows)) * TENSOR_FRAMES
+        summed = np.add.reduceat(mels.astype(np.float64).reshape(len(mels), 8, -1).sum(axis=2), starts)
+        return np.full(len(windows), r), starts, np.minimum(starts + TENSOR_FRAMES, len(mels)), held, windows, np.rint(summed * MICRO).astype(np.int64)
+
+    def listed(x: np.ndarray) -> pa.Array:
+        return pa.ListArray.from_arrays(pa.array(np.arange(len(x) + 1, dtype=np.int32) * x[0].size), pa.array(x.reshape(-1)))
+
+    def written(batch: pa.RecordBatch, clips: list[tuple]):
+        of, starts, ends, windows, bands = (np.concatenate([c[i] for c in clips]) for i in (0, 1, 2, 4, 5))
+        held = [x for c in clips for x in c[3]]
+        for a in range(0, len(of), WINDOWS):
+            cut = slice(a, a + WINDOWS)
+            kept = [batch.column(c).take(pa.array(of[cut])) for c in ids]
+            times = [pa.array((starts[cut] // TENSOR_FRAMES).astype(np.int32)), pa.array(milliseconds(starts[cut])), pa.array(milliseconds(ends[cut])), pa.array(held[cut], pa.list_(pa.struct([("start_ms", pa.int64()), ("end_ms", pa.int64())])))]
+            yield pa.RecordBatch.from_arrays([*kept, *times, listed(windows[cut]), pa.array(ends[cut] - starts[cut]), listed(bands[cut])], [f.name for f in schema.fields])
 
     def run(batches):
         for batch in batches:
+            clips, size = [], 0
             for r in range(batch.num_rows):
-                mels, energy = log_mel(from_wav(batch.column(column)[r].as_py()))
-                windows, n = tensors(mels), len(mels)
-                held: list[list[dict]] = [[] for _ in windows]
-                for a, b in segments(energy):
-                    held[a // TENSOR_FRAMES].append({"start_ms": milliseconds(a), "end_ms": milliseconds(b)})
-                count = len(windows)
-                starts = np.arange(count) * TENSOR_FRAMES
-                own = [pa.concat_arrays([batch.column(c).slice(r, 1)] * count) for c in ids]
-                own += [pa.array(np.arange(count, dtype=np.int32)), pa.array([milliseconds(int(a)) for a in starts]), pa.array([milliseconds(min(n, int(a) + TENSOR_FRAMES)) for a in starts]), pa.array(held, pa.list_(pa.struct([("start_ms", pa.int64()), ("end_ms", pa.int64())])))]
-                flat = pa.ListArray.from_arrays(pa.array(np.arange(count + 1, dtype=np.int32) * TENSOR_FRAMES * MELS), pa.array(windows.reshape(-1)))
-                yield pa.RecordBatch.from_arrays([*own, flat], [f.name for f in schema.fields])
+                clips.append(clip(r, batch.column(column)[r].as_py()))
+                size += len(clips[-1][0])
+                if size >= WINDOWS:
+                    yield from written(batch, clips)
+                    clips, size = [], 0
+            if clips:
+                yield from written(batch, clips)
 
     return media.select(*ids, column).mapInArrow(run, schema)
 
 
+def tensor_features(media: DataFrame, column: str = "media") -> DataFrame:
+    """What ``audio_features`` adds, with ``feature`` taken from the rows of ``audio_tensors``.
+
+    ``feature`` also has the time span of the clip's tensors and the xor of their rows' hashes, which
+    no order changes.  Only these leave the task that makes the tensors.  Rows stay one for one.
+    """
+
+    def compute(part: pa.RecordBatch) -> list[pa.Array]:
+        rows = [_stored(x, from_wav(x)) for x in part.column(column).to_pylist()]
+        return [pa.array([r[i] for r in rows], t) for i, t in enumerate((pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.string()))]
+
+    facts = with_columns(media, column, compute, [T.StructField(k, t) for k, t in STORED.items()], keep_text=True)
+    ids = [c for c in facts.columns if c != column]
+    rows = audio_tensors(facts.withColumn("clip", F.monotonically_increasing_id()), ["clip", *ids], column)
+    spoken = F.aggregate("segments", F.lit(0).cast("long"), lambda x, s: x + s["end_ms"] - s["start_ms"])
+    hashed = F.xxhash64("window", "start_ms", "end_ms", "segments", "tensor")
+    bands = [F.sum(F.col("bands")[i]).alias(f"band_{i}") for i in range(8)]
+    clips = rows.groupBy("clip", *ids).agg(F.sum("frames").alias("frames"), F.count("*").alias("tensors"), F.min("start_ms").alias("first"), F.max("end_ms").alias("last"), F.sum(F.size("segments")).alias("found"), F.sum(spoken).alias("spoken"), F.bit_xor(hashed).alias("xor"), *bands)
+    mel = F.concat_ws(",", *[F.format_string("%.3f", F.col(f"band_{i}") / MICRO / (F.col("frames") * (MELS // 8))) for i in range(8)])
+    feature = F.concat(F.format_string("frames=%d;tensors=%d;span=%d-%d;segments=%d;ms=%d;digest=", "frames", "tensors", "first", "last", "found", "spoken"), F.lpad(F.lower(F.hex("xor")), 16, "0"), F.lit(";mel="), mel)
+    return clips.select(*ids, feature.alias("feature"))
+
+
 def as_tensors(table: pa.Table, column: str = "tensor") -> pa.Table:
     """A table read from such rows, with the column as Arrow's fixed-shape tensor type."""
     kind = pa.fixed_shape_tensor(pa.float32(), (TENSOR_FRAMES, MELS))

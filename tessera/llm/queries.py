@@ -34,8 +34,8 @@ def op4_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op5_audio(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Every document as 8-bit audio, stored, read back and described."""
-    return audio.audio_features(audio.store_media(table(spark, sf_dir, "documents"), ["doc_id"]))
+    """Every document as 8-bit audio, stored, read back, cut into tensors and described by these."""
+    return audio.tensor_features(audio.store_media(table(spark, sf_dir, "documents"), ["doc_id"]))
 
 
 def op6_multi_index(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -3,8 +3,9 @@ import zlib
 
 import numpy as np
 import pyarrow as pa
+from pyspark.sql import functions as F
 
-from tessera.llm import audio
+from tessera.llm import audio, queries
 
 
 def slow_resample(x):
@@ -82,3 +83,38 @@ def test_stored_tensors(spark, tmp_path):
     assert sum(len(s) for s in mine["segments"].to_pylist()) == len(audio.segments(energy))
     ends = mine["end_ms"].to_pylist()
     assert mine["start_ms"].to_pylist()[1:] == ends[:-1]
+
+
+def test_every_sample_is_in_a_frame():
+    for units in range(1, 12):
+        mels, energy = audio.log_mel(b"\x80" * (audio.UNIT * units - 32) + b"\xff" * 32)
+        size = audio.UNIT * units * audio.UP // audio.DOWN
+        assert len(mels) == len(energy) == 1 + max(0, -(-(size - audio.FRAME) // audio.HOP))
+        assert energy[-1] > -40  # the sound at the very end is heard
+
+
+def test_features_come_from_the_tensors(spark):
+    texts = [None, "", "word " * 9000, "word " * 9000, "loud ~~~~ " * 50 + " " * 9000 + "~z" * 700, "a" * 577, "x" * 8192 * 3]
+    docs = spark.createDataFrame([(min(i, 5), t) for i, t in enumerate(texts)] + [(None, "x")], "doc_id long, text string").repartition(3)
+    media = audio.store_media(docs, ["doc_id"]).cache()
+    old = {(r["doc_id"], r["payload_sha256"]): r.asDict() for r in audio.audio_features(media).collect()}
+    got = audio.tensor_features(media).collect()
+    assert len(got) == len(texts) + 1 and set(old) == {(r["doc_id"], r["payload_sha256"]) for r in got}
+    rows = {}
+    for r in audio.audio_tensors(media.withColumn("sha", F.sha2("media", 256)), ["doc_id", "sha"]).collect():
+        rows.setdefault((r["doc_id"], r["sha"]), []).append(r)
+    for r in got:
+        was, mine = old[r["doc_id"], r["payload_sha256"]], rows[r["doc_id"], r["media_sha256"]]
+        assert {k: v for k, v in r.asDict().items() if k != "feature"} == {k: v for k, v in was.items() if k != "feature"}
+        new, before = (dict(x.split("=") for x in f.split(";")) for f in (r["feature"], was["feature"]))
+        assert new["span"] == f"0-{max(x['end_ms'] for x in mine)}" and len(new["digest"]) == 16
+        assert int(new["tensors"]) == len(mine) and int(new["segments"]) == sum(len(x["segments"]) for x in mine)
+        assert {k: new[k] for k in ("frames", "tensors", "segments", "ms")} == {k: before[k] for k in ("frames", "tensors", "segments", "ms")}
+        assert np.allclose([float(x) for x in new["mel"].split(",")], [float(x) for x in before["mel"].split(",")], atol=2e-3)
+    again = audio.tensor_features(media.repartition(5)).collect()
+    assert sorted(map(str, again)) == sorted(map(str, got))
+
+
+def test_registered_query_gives_digests_of_its_tensors(spark, tmp_path):
+    spark.createDataFrame([(1, "some words " * 3000), (2, "")], "doc_id long, text string").write.parquet(str(tmp_path / "documents.parquet"))
+    assert all(";digest=" in r["feature"] for r in queries.op5_audio(spark, str(tmp_path)).collect())
