@@ -423,6 +423,20 @@ def pair_decisions(spark, d):
     return entity.decide_pairs(pairs, "left", "right").select("a", "b", "action", "confidence")
 
 
+@query("""
+WITH c AS (SELECT p_partkey AS id, regexp_replace(lower(p_name), '[^a-z0-9]', '', 'g') || CAST(p_size % 4 AS VARCHAR) AS t, p_type AS media, 1990 + p_size % 3 AS y, p_brand || CAST(p_size AS VARCHAR) AS s FROM part),
+k AS (SELECT *, min(id) OVER (PARTITION BY t, media, y) AS rep, count(*) OVER (PARTITION BY t, media, y) AS n, min(id) OVER (PARTITION BY t, s) AS same FROM c),
+r AS (SELECT DISTINCT t, media, rep, n FROM k)
+SELECT 'classes' AS kind, x.rep AS a, y.rep AS b, CASE WHEN x.media = y.media THEN 'merge' ELSE 'conflict' END AS action, CASE WHEN x.media = y.media THEN 'exact_original_title' ELSE 'same_title_different_media' END AS confidence
+FROM r x JOIN r y ON x.t = y.t AND (x.rep < y.rep OR x.rep = y.rep AND x.n > 1)
+UNION ALL SELECT 'member', rep, id, NULL, NULL FROM k UNION ALL SELECT 'site', same, id, 'merge', 'exact_site_id' FROM k WHERE id <> same""")
+def all_pair_decisions(spark, d):
+    """The candidates of pair_decisions, each against every other of its title, by classes."""
+    title = F.concat(F.regexp_replace(F.lower("p_name"), "[^a-z0-9]", ""), (F.col("p_size") % 4).cast("string"))
+    c = F.struct(F.concat("p_brand", F.col("p_size").cast("string")).alias("site_id"), title.alias("original_title"), F.array(title).alias("titles"), F.array("p_name").alias("names"), F.col("p_type").alias("media"), (1990 + F.col("p_size") % 3).alias("year"), F.lit("").alias("provider_id"), F.create_map().cast("map<string,string>").alias("external_ids"))
+    return entity.block_decisions(table(spark, d, "part").select("p_partkey", title.alias("t"), c.alias("c")), "p_partkey", "t")
+
+
 @query("""
 WITH r AS (SELECT c_custkey, list_filter([CASE WHEN c_acctbal < 0 THEN 'negative_balance' END, CASE WHEN c_custkey NOT IN (SELECT o_custkey FROM orders) THEN 'no_orders' END,
   CASE WHEN c_mktsegment = 'HOUSEHOLD' THEN 'household' END], lambda x: x IS NOT NULL) AS r FROM customer)
