@@ -363,6 +363,18 @@ def title_similarity(spark, d):
     return entity.similar_pairs(p, "p_partkey", "p_brand", title, 0.8).select("b", "id1", "id2", F.round("score", 6).alias("score"))
 
 
+@query("""
+WITH r AS (SELECT p_partkey, p_brand AS b, regexp_replace(lower(p_name), '[^a-z0-9]', '', 'g') AS t FROM part),
+t AS (SELECT b, t, min(p_partkey) AS first, count(*) AS n FROM r GROUP BY ALL),
+p AS (SELECT x.first, y.n, x.t AS t1, y.t AS t2, CASE WHEN length(x.t) <= length(y.t) THEN x.t ELSE y.t END AS sh, CASE WHEN length(x.t) <= length(y.t) THEN y.t ELSE x.t END AS lo FROM t x JOIN t y ON x.b = y.b AND x.t <> y.t),
+l AS (SELECT first, sum(n) AS near FROM p WHERE CASE WHEN contains(lo, sh) AND length(sh) >= 4 THEN length(sh) / length(lo)::DOUBLE ELSE jaccard(t1, t2) END >= 0.8 GROUP BY first)
+SELECT p_partkey, r.b, t.first, CAST(t.n - 1 + coalesce(near, 0) AS BIGINT) AS links FROM r JOIN t ON r.b = t.b AND r.t = t.t LEFT JOIN l ON l.first = t.first""")
+def title_members(spark, d):
+    """Every part's class in title_similarity, whose pairs name classes by their least ids."""
+    title = F.regexp_replace(F.lower("p_name"), "[^a-z0-9]", "")
+    return entity.similar_members(table(spark, d, "part"), "p_partkey", "p_brand", title, 0.8).select(F.col("id").alias("p_partkey"), "b", "first", "links")
+
+
 @query(r"""
 WITH k AS (SELECT doc_id, regexp_replace(lower(text), '[\s\p{Z}\p{P}\p{S}]+', '', 'g') AS k FROM documents),
 g AS (SELECT k, min(doc_id) AS first_id, count(*) AS n FROM k WHERE length(k) >= 80 GROUP BY 1 HAVING count(*) > 1)
