@@ -234,6 +234,17 @@ def multi_key_matches(spark, d):
     return matching.any_key_matches(s, c, "s_suppkey", "c_custkey", F.array(F.concat(F.col("s_nationkey").cast("string"), F.lit("n")), bucket("s_acctbal")), F.array(F.concat(F.col("c_nationkey").cast("string"), F.lit("x")), bucket("c_acctbal")))
 
 
+@query("""
+WITH k AS (SELECT s_suppkey, unnest([s_nationkey || '|' || CAST(floor(s_acctbal / 500) AS BIGINT) || 'n', CAST(floor(s_acctbal / 20) AS BIGINT) || 'b']) AS k FROM supplier),
+c AS (SELECT c_custkey, unnest([c_nationkey || '|' || CAST(floor(c_acctbal / 500) AS BIGINT) || 'n', CAST(floor(c_acctbal / 20) AS BIGINT) || 'b']) AS k FROM customer)
+SELECT DISTINCT s_suppkey, c_custkey FROM k JOIN c USING (k)""")
+def whole_key_matches(spark, d):
+    """Whole tables, unlike multi_key_matches, by two keys that can both match."""
+    floor = lambda c, n: F.floor(F.col(c) / n).cast("string")
+    both = lambda p: F.array(F.concat(F.col(f"{p}_nationkey").cast("string"), F.lit("|"), floor(f"{p}_acctbal", 500), F.lit("n")), F.concat(floor(f"{p}_acctbal", 20), F.lit("b")))
+    return matching.any_key_matches(table(spark, d, "supplier"), table(spark, d, "customer"), "s_suppkey", "c_custkey", both("s"), both("c"))
+
+
 # -- order and windows --------------------------------------------------------------------------
 
 
@@ -496,6 +507,16 @@ def candidate_groups(spark, d):
     return graph.grouped_candidates(pairs, "l_suppkey", "l_partkey", "q").withColumn("band", graph.band(F.col("best"), {"strong": 50, "medium": 48}))
 
 
+@query("""
+WITH p AS (SELECT l_suppkey, l_partkey, max(CAST(l_quantity AS BIGINT)) AS q FROM lineitem GROUP BY ALL)
+SELECT l_suppkey, max(q) AS best, string_agg(CAST(l_partkey AS VARCHAR), ',' ORDER BY CAST(l_partkey AS VARCHAR)) AS members, count(*) AS n,
+  CASE WHEN max(q) >= 50 THEN 'strong' WHEN max(q) >= 48 THEN 'medium' ELSE 'none' END AS band FROM p GROUP BY 1""")
+def whole_candidate_groups(spark, d):
+    """All lines, unlike candidate_groups."""
+    pairs = table(spark, d, "lineitem").select("l_suppkey", "l_partkey", F.col("l_quantity").cast("long").alias("q"))
+    return graph.grouped_candidates(pairs, "l_suppkey", "l_partkey", "q").withColumn("band", graph.band(F.col("best"), {"strong": 50, "medium": 48}))
+
+
 # -- rules --------------------------------------------------------------------------------------
 
 

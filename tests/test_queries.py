@@ -46,3 +46,16 @@ def test_same_rows_as_sql(spark, con, name):
 def test_entry_points(spark):
     assert set(__spark_entry__.oracle_sql()) <= set(__spark_entry__.queries())
     assert __spark_entry__.entry(spark).limit(1).count() == 1
+
+
+def test_whole_key_matches_use_both_keys(spark, con):
+    s, c = con.execute("SELECT s_suppkey, s_nationkey, s_acctbal FROM supplier").fetchall(), con.execute("SELECT c_custkey, c_nationkey, c_acctbal FROM customer").fetchall()
+    nation = {(a, b) for a, n, x in s for b, m, y in c if n == m and x // 500 == y // 500}
+    balance = {(a, b) for a, _, x in s for b, _, y in c if x // 20 == y // 20}
+    assert nation - balance and balance - nation
+    assert sorted((r["s_suppkey"], r["c_custkey"]) for r in queries.QUERIES["whole_key_matches"](spark, FOLDER).collect()) == sorted(nation | balance)
+
+
+def test_whole_candidate_groups_hold_every_pair(spark, con):
+    got = queries.QUERIES["whole_candidate_groups"](spark, FOLDER).collect()
+    assert sum(r["n"] for r in got) == con.execute("SELECT count(*) FROM (SELECT DISTINCT l_suppkey, l_partkey FROM lineitem)").fetchone()[0]
