@@ -27,7 +27,7 @@ def test_recall_against_brute_force(spark):
     rng = np.random.default_rng(2)
     centres = rng.normal(size=(10, 32))
     x = (centres[rng.integers(0, 10, 3000)] + rng.normal(size=(3000, 32))).astype(np.float32).astype(float)
-    want, got = brute(range(3000), x), run(spark, range(3000), x, share=0.4, least=100)
+    want, got = brute(range(3000), x), run(spark, range(3000), x)
     assert got.keys() == want.keys() and all(len(v) == 20 and [r for _, _, r in v] == list(range(1, 21)) for v in got.values())
     hits = sum(len({i for i, _, _ in got[q]} & {i for i, _ in want[q]}) for q in want)
     assert hits >= 0.9 * 20 * len(want)
@@ -36,8 +36,51 @@ def test_recall_against_brute_force(spark):
             assert s == float((x[q] * x[i]).sum())
 
 
+def scored(x, share, queries):
+    """Share of all query-vector products that cell_scores makes, blocks as in the operator, and the recall."""
+    half = x.shape[1] // 2
+    many = min(128, len(x) // 4, int(np.sqrt(len(x) / 4)))
+    c1, c2 = multi_index.codebook(x[:10_000, :half], many), multi_index.codebook(x[:10_000, half:], many)
+    cell = multi_index._nearest(x[:, :half], c1) * many + multi_index._nearest(x[:, half:], c2)
+    order = np.lexsort((np.arange(len(x)), cell))
+    v, counts, filled = x[order], np.bincount(cell, minlength=many * many), np.unique(cell)
+    edges, q = np.concatenate(([0], np.cumsum(counts[filled]))), x[queries]
+    place = lambda d: np.argsort(np.argsort(d, kind="stable"), kind="stable")
+    visits = np.array([(place(b)[None, :] < multi_index.visit(a, b, counts.reshape(many, many), int(share * len(x)))[:, None]).reshape(-1)[filled] for a, b in zip(*multi_index.distances(q, c1, c2))])
+    made, found = 0, np.full((len(q), len(x)), -np.inf)
+    for c, rows, score in multi_index.cell_scores(q, v, edges, visits):
+        made += score.size
+        found[rows[:, None], order[edges[c] : edges[c + 1]][None, :]] = score
+    true = q @ x.T
+    true[np.arange(len(q)), queries] = found[np.arange(len(q)), queries] = -np.inf
+    hits = sum(len(set(np.argsort(-a)[:20]) & set(np.argsort(-b)[:20])) for a, b in zip(true, found))
+    return made / (len(q) * len(x)), hits / (20 * len(q))
+
+
+def test_only_visited_cells_are_scored():
+    rng = np.random.default_rng(5)
+    centres = rng.normal(size=(100, 64))
+    x = centres[rng.integers(0, 100, 8000)] + 0.4 * rng.normal(size=(8000, 64))
+    made, recall = scored(x, 0.1, np.arange(0, 8000, 80))
+    assert made <= 0.2 and recall >= 0.9
+    made, _ = scored(rng.normal(size=(8000, 64)), 0.3, np.arange(0, 8000, 80))
+    assert 0.3 <= made <= 0.35
+
+
+def test_budget_follows_structure(spark, monkeypatch):
+    rng, asked = np.random.default_rng(6), []
+    keep = multi_index.budget
+    monkeypatch.setattr(multi_index, "budget", lambda *a: asked.append(keep(*a)) or asked[-1])
+    centres = rng.normal(size=(50, 16))
+    for x in (centres[rng.integers(0, 50, 2000)] + 0.3 * rng.normal(size=(2000, 16)), rng.normal(size=(2000, 16))):
+        want, got = brute(range(2000), x), run(spark, range(2000), x.tolist())
+        assert sum(len({i for i, _, _ in got[q]} & {i for i, _ in want[q]}) for q in want) >= 0.9 * 20 * len(want)
+    assert asked[0] < 200 < asked[1] < 1500
+
+
 def test_exact_where_all_cells_are_visited(spark, monkeypatch):
     monkeypatch.setattr(multi_index, "VECTOR_BLOCK", 64)
+    monkeypatch.setattr(multi_index, "QUERIES_EACH", 5)
     rng = np.random.default_rng(3)
     x = rng.integers(-3, 4, (500, 7)).astype(float)
     x[100:300] = x[40]  # one very common vector, split over blocks
