@@ -9,7 +9,7 @@ and table cells in aligned columns.  Elements that a browser would not show give
 from __future__ import annotations
 
 import re
-from html.parser import HTMLParser
+from html import unescape
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -20,11 +20,15 @@ from tessera.llm.common import with_columns
 
 # The element classes of HTML.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
-UNSHOWN = frozenset("head title script style template noscript iframe object audio video canvas svg math datalist noframes".split())
-BLOCK = frozenset("address article aside blockquote body center dd details dialog dir div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hgroup hr html legend li main menu nav ol optgroup option p pre search section summary table tbody td tfoot th thead tr ul caption textarea".split())
+UNSHOWN = frozenset("head title script style template noscript iframe object audio video canvas svg math datalist noframes noembed".split())
+BLOCK = frozenset("address article aside blockquote body center dd details dialog dir div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hgroup hr html legend li main menu nav ol optgroup option p pre search section summary table tbody td tfoot th thead tr ul caption textarea xmp plaintext listing".split())
 SPACED = frozenset("blockquote dl figure h1 h2 h3 h4 h5 h6 hr menu ol p pre table ul".split())
 LISTS = frozenset(("ul", "ol", "menu", "dir"))
 ROWS = frozenset(("tbody", "thead", "tfoot"))
+#: Elements whose content holds no tags; in the last two it holds character references.
+RAW = frozenset("script style xmp iframe noembed noframes plaintext textarea title".split())
+CODED = frozenset(("textarea", "title"))
+PRE = frozenset(("pre", "textarea", "xmp", "plaintext", "listing"))
 HEADINGS = frozenset(("h1", "h2", "h3", "h4", "h5", "h6"))
 #: What opening an element closes, and the elements past which it does not look.
 CLOSES = {
@@ -44,72 +48,202 @@ ENDS_P = BLOCK - frozenset("html body td th tr tbody thead tfoot caption dt dd l
 SCOPE = frozenset(("table", "td", "th", "caption", "html", "button"))
 HIDDEN = re.compile(r"display\s*:\s*none|visibility\s*:\s*(?:hidden|collapse)", re.IGNORECASE)
 SPACE = re.compile(r"[ \t\n\r\f]+")
+#: Elements that may be open in one another; deeper ones only say whether their text shows.
 DEEPEST = 512
+#: Columns of a table; longest cell that widens its column; items and quotes that indent.
+COLUMNS, WIDEST, INDENTS = 1000, 120, 20
+#: Padding of all tables of a page, as a multiple of its length; tables past that stand unaligned.
+PADDING = 8
+
+TAG = re.compile(r"[^ \t\n\f/>]+")
+BETWEEN = re.compile(r"[ \t\n\f/]*")
+NAME = re.compile(r"=?[^ \t\n\f/>=]*")
+EQUALS = re.compile(r"[ \t\n\f]*=[ \t\n\f]*")
+COMMENT_END = re.compile(r"--!?>")
+BARE = re.compile(r"[^ \t\n\f>]*")
+LONG = re.compile(r"&#(?:([0-9]{8,})|[xX]([0-9a-fA-F]{8,}));?")
+RAW_END = {tag: re.compile(rf"</{tag}(?=[ \t\n\f/>])", re.IGNORECASE) for tag in RAW}
+
+
+def decoded(text: str) -> str:
+    """Character references replaced; numbers of any length are read once."""
+    if "&" not in text:
+        return text
+
+    def short(m: re.Match) -> str:
+        digits = (m[1] or m[2]).lstrip("0") or "0"
+        return "\ufffd" if len(digits) > 7 else f"&#{'x' if m[2] else ''}{digits};"
+
+    return unescape(LONG.sub(short, text) if "&#" in text else text)
+
+
+def attributes(page: str, at: int) -> tuple[dict[str, str], int]:
+    """Attributes of a tag, the first of equal names, and the place past its ``>``, -1 if the page ends before."""
+    found: dict[str, str] = {}
+    while True:
+        at = BETWEEN.match(page, at).end()
+        if at >= len(page):
+            return found, -1
+        if page[at] == ">":
+            return found, at + 1
+        name = NAME.match(page, at)
+        value, at = "", name.end()
+        if m := EQUALS.match(page, at):
+            at = m.end()
+            quote = page[at : at + 1]
+            if quote in ('"', "'") and quote:
+                end = page.find(quote, at + 1)
+                if end < 0:
+                    return found, -1
+                value, at = page[at + 1 : end], end + 1
+            else:
+                m = BARE.match(page, at)
+                value, at = m[0], m.end()
+        found.setdefault(name[0].lower(), value)
+
+
+def whole_number(text: str | None, default: int, most: int) -> int:
+    """Leading digits as a number, ``most`` at most."""
+    m = re.match(r"[ \t\n\f]*([0-9]+)", text or "")
+    return default if not m else most if len(digits := m[1].lstrip("0")) > 9 else min(most, int(digits or "0"))
 
 
 class Node:
-    """An open element: its finished lines, and the line being written."""
+    """An open element; a block also has its finished lines and the line being written."""
 
-    __slots__ = ("tag", "lines", "line", "gap", "hidden", "pre", "item", "rows", "attrs", "shown")
+    __slots__ = ("tag", "lines", "line", "gap", "hidden", "pre", "item", "rows", "attrs")
 
     def __init__(self, tag: str, attrs: dict, hidden: bool, pre: bool):
         self.tag, self.attrs, self.hidden, self.pre = tag, attrs, hidden, pre
-        self.lines: list[str] = []
-        self.line: list[str] = []
-        self.gap = 0  # blank lines wanted before the next line
-        self.item = 0
-        self.rows: list[list[list[str]]] = []
-        self.shown = False
+        if tag in BLOCK or tag == "#root":
+            self.lines: list[str] = []
+            self.line: list[str] = []
+            self.gap = 0  # blank lines wanted before the next line
+            self.item = 0
+            self.rows: list[list[Cell]] = []
 
 
-class TreeBuilder(HTMLParser):
-    """Feeds a page to the stack of open elements and renders elements as they close."""
+#: A cell's lines, and the columns and rows that it spans.
+Cell = tuple[list[str], int, int]
+
+
+class TreeBuilder:
+    """Feeds a page to the stack of open elements and renders elements as they close.
+
+    The page is read once, in steps that never go back, so time grows with its length.
+    """
 
     def __init__(self):
-        super().__init__(convert_charrefs=True)
         self.stack = [Node("#root", {}, False, False)]
         self.flow = [self.stack[0]]  # the blocks among them
+        self.open: dict[str, int] = {}  # how many of each tag are on the stack
+        self.deep: list[tuple[str, bool, bool]] = []  # past DEEPEST: tag, whether it is hidden and its text
+        self.deep_open: dict[str, int] = {}
+        self.room = 0
+
+    # -- tokens -------------------------------------------------------------------------------
+
+    def feed(self, page: str) -> None:
+        if "\r" in page:
+            page = page.replace("\r\n", "\n").replace("\r", "\n")
+        self.room = PADDING * len(page)
+        at = 0
+        while 0 <= at < len(page):
+            start = page.find("<", at)
+            if start != at:
+                self.handle_data(page[at : start if start >= 0 else len(page)])
+            if start < 0:
+                return
+            at = self._markup(page, start)
+
+    def _markup(self, page: str, start: int) -> int:
+        """Handle what begins with ``<`` at ``start``; the place past it, -1 if the page ends inside."""
+        kind = page[start + 1 : start + 2]
+        closing = kind == "/"
+        first = page[start + 2 : start + 3] if closing else kind
+        if first.isascii() and first.isalpha():
+            m = TAG.match(page, start + 1 + closing)
+            tag, at, attrs = m[0].lower(), m.end(), {}
+            if page.startswith(">", at):
+                at += 1
+            else:
+                attrs, at = attributes(page, at)
+            if at < 0:
+                return at
+            if closing:
+                self.handle_endtag(tag)
+                return at
+            self.handle_starttag(tag, attrs)
+            if tag in RAW:
+                end = RAW_END[tag].search(page, at) if tag != "plaintext" else None
+                self.handle_data(page[at : end.start() if end else len(page)], tag in CODED)
+                return end.start() if end else -1
+            return at
+        if page.startswith("<!--", start):
+            if page.startswith((">", "->"), start + 4):
+                return page.find(">", start) + 1
+            m = COMMENT_END.search(page, start + 4)
+            return m.end() if m else -1
+        if kind in ("!", "?") or closing and first:
+            end = page.find(">", start)
+            return end + 1 if end >= 0 else -1
+        self.handle_data("<")
+        return start + 1
 
     # -- tree ---------------------------------------------------------------------------------
 
-    def handle_starttag(self, tag: str, attrs: list) -> None:
-        if tag in CLOSES:
-            self._close_until(*CLOSES[tag], outermost=True)
-        if tag in ENDS_P:
-            self._close_until(frozenset(("p",)), SCOPE)
-        if tag in HEADINGS and self.stack[-1].tag in HEADINGS:
-            self._pop()
-        if tag == "body":
-            self._close_until(frozenset(("head",)), frozenset())
-        if tag in ("td", "th") and self.stack[-1].tag in ROWS | {"table"}:
-            self._push("tr", {})
+    def handle_starttag(self, tag: str, attrs: dict[str, str]) -> None:
+        if not self.deep:
+            if tag in CLOSES:
+                self._close_until(*CLOSES[tag], outermost=True)
+            if tag in ENDS_P:
+                self._close_until(frozenset(("p",)), SCOPE)
+            if tag in HEADINGS and self.stack[-1].tag in HEADINGS:
+                self._pop()
+            if tag == "body":
+                self._close_until(frozenset(("head",)), frozenset())
+            if tag in ("td", "th") and self.stack[-1].tag in ROWS | {"table"}:
+                self._push("tr", {})
         if tag == "br":
             self._end_line(True)
         elif tag == "hr":
             self._end_line()
             self.flow[-1].gap = max(self.flow[-1].gap, 1)
         elif tag == "input":
-            kind = (dict(attrs).get("type") or "text").lower()
+            kind = (attrs.get("type") or "text").lower()
             if kind in ("submit", "reset", "button", "text", "search", "email", "url", "tel", "number"):
-                self.handle_data(f" {dict(attrs).get('value') or ''} ")
+                self.handle_data(f" {attrs.get('value') or ''} ")
         if tag not in VOID:
-            self._push(tag, dict(attrs))
-
-    def handle_startendtag(self, tag: str, attrs: list) -> None:
-        self.handle_starttag(tag, attrs)  # HTML ignores the slash
+            self._push(tag, attrs)
 
     def handle_endtag(self, tag: str) -> None:
+        if self.deep:
+            if self.deep_open.get(tag):
+                while self._leave_deep() != tag:
+                    pass
+                return
+            if any(self.deep_open.get(x) for x in ("table", "td", "th", "caption")):
+                return
         if tag == "br":
             self._end_line(True)
-        elif tag == "p" and not any(n.tag == "p" for n in self.stack):
+        elif tag == "p" and not self.open.get("p"):
             self._push("p", {})
             self._pop()
         elif tag not in VOID:
             limit = frozenset(("table",)) if tag in BLOCK and tag != "table" else frozenset() if tag in BLOCK else frozenset(("td", "th", "table"))
             self._close_until(frozenset((tag,)), limit)
 
+    def _leave_deep(self) -> str:
+        tag = self.deep.pop()[0]
+        self.deep_open[tag] -= 1
+        if tag in BLOCK:
+            self._end_line()
+        return tag
+
     def _close_until(self, tags: frozenset, limit: frozenset, outermost: bool = False) -> None:
         """Close the nearest (or outermost) element in ``tags`` this side of ``limit``, and all inside it."""
+        if not any(self.open.get(t) for t in tags):
+            return
         found = 0
         for i in range(len(self.stack) - 1, 0, -1):
             if self.stack[i].tag in tags:
@@ -123,30 +257,33 @@ class TreeBuilder(HTMLParser):
 
     def _push(self, tag: str, attrs: dict) -> None:
         above = self.stack[-1]
-        hidden = above.hidden or tag in UNSHOWN or "hidden" in attrs or bool(HIDDEN.search(attrs.get("style") or "")) or tag == "dialog" and "open" not in attrs
-        hidden = hidden or above.tag == "details" and "open" not in above.attrs and tag != "summary"
-        if tag == "summary" and above.tag == "details":
-            hidden = above.hidden
-        node = Node(tag, attrs, hidden, above.pre or tag in ("pre", "textarea"))
-        if len(self.stack) >= DEEPEST:  # browsers stop nesting, too: text goes on in the open element
-            if tag in BLOCK:
-                self._end_line()
-            return
+        inside, hidden, text_hidden = self.deep[-1] if self.deep else (above.tag, above.hidden, above.hidden or above.tag == "details" and "open" not in above.attrs)
+        if not (tag == "summary" and inside == "details"):
+            hidden = text_hidden or tag in UNSHOWN or "hidden" in attrs or bool(HIDDEN.search(attrs.get("style") or "")) or tag == "dialog" and "open" not in attrs
         if tag in BLOCK:
             self._end_line()
+        if len(self.stack) >= DEEPEST:
+            self.deep.append((tag, hidden, hidden or tag == "details" and "open" not in attrs))
+            self.deep_open[tag] = self.deep_open.get(tag, 0) + 1
+            return
+        node = Node(tag, attrs, hidden, above.pre or tag in PRE)
+        if tag in BLOCK:
             self.flow.append(node)
         self.stack.append(node)
+        self.open[tag] = self.open.get(tag, 0) + 1
 
     # -- text ---------------------------------------------------------------------------------
 
-    def handle_data(self, data: str) -> None:
+    def handle_data(self, data: str, coded: bool = True) -> None:
         node, block = self.stack[-1], self.flow[-1]
-        if node.hidden or node.tag == "details" and "open" not in node.attrs:
+        if self.deep[-1][2] if self.deep else node.hidden or node.tag == "details" and "open" not in node.attrs:
             return
         if node.tag in ("table", "tr", "tbody", "thead", "tfoot", "colgroup") and not data.strip():
             return
+        if coded:
+            data = decoded(data)
         if node.pre:
-            first, *rest = data.replace("\r\n", "\n").split("\n")
+            first, *rest = data.split("\n")
             block.line.append(first)
             for x in rest:
                 self._end_line(True)
@@ -172,40 +309,38 @@ class TreeBuilder(HTMLParser):
     # -- rendering ----------------------------------------------------------------------------
 
     def _pop(self) -> None:
-        node = self.stack.pop()
-        if node.tag not in BLOCK:
+        while self.deep:
+            self._leave_deep()
+        node = self.stack[-1]
+        tag = node.tag
+        if tag in BLOCK:
+            self._end_line()
+            self.flow.pop()
+        self.stack.pop()
+        self.open[tag] -= 1
+        if tag not in BLOCK:
             return
-        self._end_line()
-        self.flow.pop()
-        lines = node.lines
-        while lines and not lines[0]:
-            lines.pop(0)
-        while lines and not lines[-1]:
-            lines.pop()
-        above, tag = self.flow[-1], node.tag
+        lines, above = _trimmed(node.lines), self.flow[-1]
         if tag == "tr":
-            self._add_rows(node, lines)
+            self._add_row(node, lines)
+            return
+        if tag in ("td", "th") and self.open.get("tr"):
+            row = next(n for n in reversed(self.flow) if n.tag == "tr")
+            wide, tall = max(1, whole_number(node.attrs.get("colspan"), 1, COLUMNS)), whole_number(node.attrs.get("rowspan"), 1, 65534)
+            row.rows.append((lines if not node.hidden else [], wide, tall or 65534))
             return
-        if tag in ("td", "th"):
-            row = next((n for n in reversed(self.flow) if n.tag == "tr"), None)
-            if row is not None:
-                try:
-                    wide = min(1000, max(1, int(node.attrs.get("colspan") or 1)))
-                except ValueError:
-                    wide = 1
-                row.rows.append(lines if not node.hidden else [])
-                row.rows += [[] for _ in range(wide - 1)]
-                return
-        if tag == "table":
-            lines += _aligned(node.rows)
         if tag in ROWS:
+            rows = [[(x, wide, min(tall, len(node.rows) - i)) for x, wide, tall in row] for i, row in enumerate(node.rows)]  # no cell reaches past its group
             box = next((n for n in reversed(self.flow) if n.tag in ROWS or n.tag == "table"), None)
             if box is not None:
-                box.rows += node.rows
+                box.rows += rows
             else:  # a row group outside a table: its rows are lines
-                lines += _aligned(node.rows)
+                lines += self._aligned(rows)
+        if tag == "table":
+            lines += self._aligned(node.rows)
         if not lines:
             return
+        indents = self.open.get("li", 0) + self.open.get("blockquote", 0) + self.open.get("dd", 0) < INDENTS
         if tag == "li":
             box = next((n for n in reversed(self.flow) if n.tag in LISTS), None)
             mark = "- "
@@ -213,46 +348,94 @@ class TreeBuilder(HTMLParser):
                 start = str(box.attrs.get("start") or "1")
                 box.item += 1
                 mark = f"{box.item - 1 + (int(start) if re.fullmatch(r'-?[0-9]{1,9}', start) else 1)}. "
-            lines = [(mark if i == 0 else " " * len(mark) if x else "") + x for i, x in enumerate(lines)]
-        elif tag in ("blockquote", "dd"):
+            if indents:
+                lines = [(mark if i == 0 else " " * len(mark) if x else "") + x for i, x in enumerate(lines)]
+            else:
+                lines[0] = mark + lines[0]
+        elif tag in ("blockquote", "dd") and indents:
             lines = ["  " + x if x else x for x in lines]
-        spaced = int(tag in SPACED and not (tag in LISTS and any(n.tag in LISTS for n in self.flow)))
+        spaced = int(tag in SPACED and not (tag in LISTS and any(self.open.get(x) for x in LISTS)))
         self._add(above, lines, spaced, spaced)
 
-    def _add_rows(self, node: Node, loose: list[str]) -> None:
+    def _add_row(self, node: Node, loose: list[str]) -> None:
         table = next((n for n in reversed(self.flow) if n.tag in ROWS or n.tag == "table"), None)
-        cells = node.rows + ([loose] if loose else [])
-        if table is None:  # a row outside a table: its cells are lines
-            for lines in cells:
-                self._add(self.flow[-1], lines, 0, 0)
-        elif any(cells):
+        cells = node.rows + ([(loose, 1, 1)] if loose else [])
+        if table is not None:
             table.rows.append(cells)
+            return
+        for lines, _, _ in cells:  # a row outside a table: its cells are lines
+            if lines:
+                self._add(self.flow[-1], lines, 0, 0)
+
+    def _aligned(self, rows: list[list[Cell]]) -> list[str]:
+        """Rows of cells as lines, columns two spaces apart.
+
+        A column is as wide as its longest line of up to WIDEST characters; longer lines push what
+        follows to the right.  Once the page's tables have used up their padding, cells stand two
+        spaces apart and are not aligned.
+        """
+        placed, width = _placed(rows)
+        offset, at = [], 0
+        for i in range(1 + max((c for row in placed for c, _ in row), default=-1)):
+            offset.append(at)
+            at += width.get(i, -2) + 2
+        out, padding = [], 0
+        for row in placed:
+            lines: list[list[str]] = [[] for _ in range(max((len(c) for _, c in row), default=0))]
+            ends = [0] * len(lines)
+            for column, cell in row:
+                for k, text in enumerate(cell):
+                    if text:
+                        gap = max(offset[column] - ends[k], 2 if ends[k] else 0)
+                        padding += gap
+                        lines[k].append((" " * gap if padding <= self.room else "  " if ends[k] else "") + text)
+                        ends[k] += gap + len(text)
+            out += ["".join(x).rstrip() for x in lines]
+        self.room -= min(self.room, padding)
+        return out
 
     def text(self) -> str:
-        self.close()
         while len(self.stack) > 1:
             self._pop()
         self._end_line()
-        lines = self.stack[0].lines
-        while lines and not lines[-1]:
-            lines.pop()
-        return "\n".join(lines).strip("\n")
-
-
-def _aligned(rows: list) -> list[str]:
-    """Rows of cells (lists of lines) as lines, columns two spaces apart."""
-    width: list[int] = []
-    for row in rows:
-        for i, cell in enumerate(row):
-            if i == len(width):
-                width.append(0)
-            width[i] = max(width[i], max(map(len, cell), default=0))
-    out = []
-    for row in rows:
-        for k in range(max((len(c) for c in row), default=0)):
-            line = "  ".join((c[k] if k < len(c) else "").ljust(width[i]) for i, c in enumerate(row) if width[i])
-            out.append(line.rstrip())
-    return out
+        return "\n".join(_trimmed(self.stack[0].lines)).strip("\n")
+
+
+def _trimmed(lines: list[str]) -> list[str]:
+    """Lines without empty ones at either end."""
+    a, b = 0, len(lines)
+    while a < b and not lines[a]:
+        a += 1
+    while b > a and not lines[b - 1]:
+        b -= 1
+    return lines if b - a == len(lines) else lines[a:b]
+
+
+def _placed(rows: list[list[Cell]]) -> tuple[list[list[tuple[int, list[str]]]], dict[int, int]]:
+    """Each row's cells with their columns, past those that cells of rows above span; the columns' widths.
+
+    Cells past COLUMNS share the last column.
+    """
+    until: dict[int, int] = {}
+    spanned = 0
+    placed, width = [], {}
+    for r, row in enumerate(rows):
+        column, out = 0, []
+        for lines, wide, tall in row:
+            while spanned > r and column < COLUMNS and until.get(column, 0) > r:
+                column += 1
+            if lines:
+                out.append((column, lines))
+                longest = max((len(x) for x in lines if len(x) <= WIDEST), default=0)
+                if longest > width.get(column, 0):
+                    width[column] = longest
+            end = min(COLUMNS, column + wide)
+            if tall > 1:
+                spanned = max(spanned, r + tall)
+                until.update(dict.fromkeys(range(column, end), r + tall))
+            column = end
+        placed.append(out)
+    return placed, width
 
 
 def render(page: str | None) -> str:
@@ -265,7 +448,11 @@ def render(page: str | None) -> str:
 def visible_text(pages: DataFrame, ids: list[str], html: str = "html") -> DataFrame:
     """``ids``, ``text`` as laid out, and ``n_lines``.
 
-    Null and empty pages give the empty text and 0 lines; malformed ones what their tree shows.
+    Null and empty pages give the empty text and 0 lines; malformed ones what their tree shows, a tag
+    that the page ends in nothing.  Pages of any length and depth take time in proportion to their
+    length: past ``DEEPEST`` open elements, further ones lay out as text of the innermost, shown or
+    hidden as they say; past ``INDENTS`` items and quotes, further ones are not indented; tables stand
+    unaligned once their padding passes ``PADDING`` times the page.  No text is dropped for these.
     Rows, repeated ones too, stay one for one; columns beyond ``ids`` and ``html`` are not read.
     """
 

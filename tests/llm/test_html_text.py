@@ -1,9 +1,12 @@
+import html
+import os
 import random
 import re
+import time
 
 import pytest
 
-from tessera.llm import html_text
+from tessera.llm import html_text, queries
 
 CASES = {
     "plain &amp; simple": "plain & simple",
@@ -82,6 +85,103 @@ def test_all_words_come_out_once_with_row_groups():
         assert sorted(found) == sorted(words), "".join(page)
 
 
+TOKENS = {
+    "<p>a<b": "a",
+    "a<!-- x <p> --!>b<!-->c<!---->d": "abcd",
+    "1 < 2 << 3 <> </> </": "1 < 2 << 3 <> </",
+    "<a title='x > y' href=z>t</a><i a=\"'\" b>u": "tu",
+    "<textarea><b>&lt;</textarea><xmp>&lt;<i></xmp>": "<b><\n&lt;<i>",
+    "&#65;&#0000000066;&#x00000043;&#99999999999999999999;&#" + "9" * 9000 + ";&unknown;": "ABC\ufffd\ufffd&unknown;",
+    "<script>if (a</b) '<p>'</script >x": "x",
+    "<p>a<script>never closed <p>b": "a",
+    "<table><tr><td rowspan=2>A<td>B1<td>C1<tr><td>B2<td>C2</table>": "A  B1  C1\n   B2  C2",
+    "<table><tbody><tr><td rowspan=0>A<td>b<tr><td>c</tbody><tbody><tr><td>d<td>e</table>": "A  b\n   c\nd  e",
+    "<table><tr><td colspan=2 rowspan=2>A<td>b<tr><td>c<tr><td>d<td>e<td>f</table>": "A     b\n      c\nd  e  f",
+}
+
+
+@pytest.mark.parametrize("page", TOKENS)
+def test_tokens_and_spans(page):
+    assert html_text.render(page) == TOKENS[page]
+
+
+def test_tables_against_a_grid():
+    """Random tables, placed cell by cell on a grid of characters."""
+    rng = random.Random(8)
+    for _ in range(1500):
+        rows, tall_left = [], {}
+        page = ["<table>"]
+        grid, width = {}, {}
+        n = rng.randint(1, 6)
+        for r in range(n):
+            page.append("<tr>")
+            c = 0
+            for _ in range(rng.randint(0, 5)):
+                text = rng.choice(["", "x", "word", "longer cell", "two<br>lines", "z" * 150])
+                wide, tall = rng.choice([1, 1, 1, 2, 3]), rng.choice([1, 1, 1, 2, 9])
+                page.append(f"<td colspan={wide} rowspan={tall}>{text}</td>")
+                while tall_left.get(c, 0) > r:
+                    c += 1
+                lines = text.split("<br>") if text else []
+                grid[r, c] = lines
+                width[c] = max([width.get(c, 0)] + [len(x) for x in lines if len(x) <= 120])
+                for k in range(c, c + wide):
+                    if tall > 1:
+                        tall_left[k] = r + min(tall, n - r)
+                c += wide
+        for r in range(n):
+            high = max([len(v) for (a, _), v in grid.items() if a == r] + [0])
+            for k in range(high):
+                line = ""
+                for c in sorted(c for a, c in grid if a == r):
+                    text = grid[r, c][k] if k < len(grid[r, c]) else ""
+                    if text:
+                        start = sum(w + 2 for x, w in width.items() if x < c and w)
+                        line = line.ljust(max(start, len(line) + 2 if line else 0)) + text
+                rows.append(line)
+        html_text_room, html_text.PADDING = html_text.PADDING, 1000
+        got = html_text.render("".join(page) + "</table>")
+        html_text.PADDING = html_text_room
+        assert got == "\n".join(rows).strip("\n"), page
+
+
+HOSTILE = {
+    "open tags": lambda n: "<a " * n,
+    "quotes": lambda n: "<a b='\"" * n,
+    "less-than": lambda n: "<" * n,
+    "comments": lambda n: "<!-- " * n,
+    "long cell over short rows": lambda n: "<table><tr><td>" + "w" * n + "<td>a" + "<tr><td>x<td>y" * (n // 8) + "</table>",
+    "staircase": lambda n: "<table>" + "<tr><td rowspan=9999>some text" * (n // 16) + "</table>",
+    "deep lists": lambda n: "<ul><li>" * 400 + "x<br>" * n,
+    "deep spans": lambda n: "<span>" * n + "x" + "</span>" * n,
+    "line breaks": lambda n: "<div>" + "<br>" * n + "</div>x",
+    "nested tables": lambda n: ("<table><tr><td>aaaaaaaaaaaaaaaaaaaaaaaaaaaaaaaaaaaaaaaaaaaaaa<td>b<tr><td>c<td>" * (n // 200)),
+    "references": lambda n: "&#" + "9" * n + ";" + "&a" * n,
+}
+
+
+@pytest.mark.parametrize("shape", HOSTILE)
+def test_time_and_size_grow_with_the_page(shape):
+    def seconds(page):
+        best = 9e9
+        for _ in range(3):
+            start = time.thread_time()
+            text = html_text.render(page)
+            best = min(best, time.thread_time() - start)
+        assert len(text) <= 60 * len(page) + 1000
+        return best
+
+    small, large = (seconds(HOSTILE[shape](n)) for n in (20_000, 80_000))
+    assert large < 8 * small + 0.05, (small, large)
+
+
+def test_visibility_holds_at_any_depth():
+    for n in (500, 511, 512, 600, 3000):
+        page = "<span>" * n + "<script>var leak=1</script><p hidden>hid<b>den</b></p><details>a<summary>s</summary>b</details><p>shown</p>" + "</span>" * n + "<div>after</div>"
+        assert html_text.render(page).split() == ["s", "shown", "after"], n
+        assert sorted(html_text.render("<table><tr><td>a" + "<i>" * n + "<table><tr><td>in</table>" + "</td>b</tr></table>").split()) == ["a", "b", "in"], n
+
+
 def test_deep_and_long_pages():
     assert html_text.render("<div>" * 5000 + "x" + "</div>" * 5000 + "y").split() == ["x", "y"]
     assert len(html_text.render("<p>word " * 50_000).split()) == 50_000
@@ -93,3 +193,15 @@ def test_rows(spark):
     got = html_text.visible_text(spark.createDataFrame(rows, "page_id long, html string, Text string"), ["page_id"]).collect()
     assert [tuple(r) for r in got if r["page_id"]] == [(1, "", 0), (2, "", 0), (3, "a\n\nb", 3), (3, "a\n\nb", 3)] and len(got) == 5
     assert html_text.visible_text(spark.createDataFrame([], "page_id long, html string"), ["page_id"]).count() == 0
+
+
+@pytest.mark.skipif(not os.path.isdir("/root/testdata/sf0.001"), reason="the standard tables are not here")
+def test_registered_query_shows_the_words_between_tags(spark):
+    """Against the standard pages with unshown elements and tags cut out by pattern; words in page order."""
+    pages = {r["page_id"]: r["html"] for r in spark.read.parquet("/root/testdata/sf0.001/pages.parquet").collect()}
+    got = {r["page_id"]: r["text"] for r in queries.op3_html(spark, "/root/testdata/sf0.001").collect()}
+    assert got.keys() == pages.keys()
+    for i, page in pages.items():
+        text = re.sub(r"(?is)<!doctype[^>]*>|<!--.*?-->|<(head|script|style|noscript|template|svg)\b.*?</\1\s*>", "", page or "")
+        text = html.unescape(re.sub(r"</?(\w+)[^>]*>", lambda m: "" if m[1].lower() in ("b", "i", "a", "em", "strong", "span") else " ", text))
+        assert re.sub(r"(?m)^ *(?:- |[0-9]+\. )", "", got[i]).split() == text.split(), page
