@@ -4,23 +4,26 @@ Texts stand for recordings: their UTF-8 bytes are the samples.  ``store_media``
 ``audio_features`` and ``audio_tensors`` read stored bytes back, resample by a polyphase filter,
 take overlapped log-mel frames, and cut segments of high energy with two thresholds.
 ``tensor_features`` describes each clip by the tensors that were made of it.  Each clip is
-worked on alone and in pieces of fixed length, so equal media give equal values wherever they lie.
+worked on alone and in pieces of fixed length, so equal media give equal values wherever they lie
+and a clip of any length takes a few times its bytes.
 """
 
 from __future__ import annotations
 
 import hashlib
-import io
+import struct
 import wave
 import zlib
+from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tessera.llm.common import raw, with_columns
+from tessera.llm.common import with_columns
 
 UNIT = 192
 RATE = 8000
@@ -40,24 +43,32 @@ ON_DB, OFF_DB = 1.0, -1.0
 
 def payload(text: bytes) -> bytes:
     """The bytes of a text, filled up with spaces to a positive multiple of ``UNIT``."""
-    return text + b" " * (-len(text) % UNIT if text else UNIT)
+    return b"".join((text, b" " * (-len(text) % UNIT if len(text) else UNIT)))
+
+
+def _header(n: int) -> bytes:
+    """What a WAV file has before its ``n`` bytes of mono 8-bit samples."""
+    return struct.pack("<4sI4s4sIHHIIHH4sI", b"RIFF", 36 + n, b"WAVE", b"fmt ", 16, 1, 1, RATE, RATE, 1, 8, b"data", n)
 
 
 def to_wav(samples: bytes) -> bytes:
-    out = io.BytesIO()
-    with wave.open(out, "wb") as w:
-        w.setnchannels(1)
-        w.setsampwidth(1)
-        w.setframerate(RATE)
-        w.writeframes(samples)
-    return out.getvalue()
+    """A WAV file of an even number of samples."""
+    return b"".join((_header(len(samples)), samples))
 
 
-def from_wav(media: bytes) -> bytes:
-    with wave.open(io.BytesIO(media), "rb") as w:
+def from_wav(media) -> bytes:
+    """The samples of a WAV file, read from bytes or an Arrow buffer; none for None."""
+    if media is None:
+        return b""
+    with wave.open(pa.BufferReader(media), "rb") as w:
         return w.readframes(w.getnframes())
 
 
+def _buffers(column: pa.Array) -> Iterator[pa.Buffer | None]:
+    """The values of a binary or string column, not copied."""
+    return (x.as_buffer() for x in column)
+
+
 def phases() -> np.ndarray:
     """UP rows of taps: a windowed sinc, cut off at the lower of both rates, dealt by phase.
 
@@ -70,18 +81,24 @@ def phases() -> np.ndarray:
     return h[past - n[0]]
 
 
-def resample(x: np.ndarray) -> np.ndarray:
-    """x at UP / DOWN times its rate; each output is one phase's dot product."""
+def resample(samples: bytes, start: int = 0, stop: int | None = None) -> np.ndarray:
+    """Outputs ``start`` to ``stop`` of 8-bit samples at UP / DOWN times their rate; start is a multiple of UP.
+
+    Each output is one phase's dot product; around the clip there is silence.
+    """
     bank = phases()
-    size = -(-len(x) * UP // DOWN)
-    each = -(-size // UP)
-    wide = np.concatenate((np.zeros(TAPS // 2 - 1), x, np.zeros(TAPS + DOWN * UP)))
+    size = -(-len(samples) * UP // DOWN)
+    stop = size if stop is None else min(stop, size)
+    each = max(0, -(-(stop - start) // UP))
+    first = start // UP * DOWN - (TAPS // 2 - 1)  # of the inputs that the outputs need
+    last = first + each * DOWN + TAPS + DOWN
+    held = np.frombuffer(samples, np.uint8)[max(0, first) : max(0, last)].astype(np.float64)
+    wide = np.zeros(last - first)
+    wide[max(0, -first) : max(0, -first) + len(held)] = (held - 128) / 128
     y = np.empty((each, UP))
     for p in range(UP):  # outputs p, p + UP, ... start DOWN inputs apart
-        windows = np.lib.stride_tricks.sliding_window_view(wide[p * DOWN // UP :], TAPS)[::DOWN]
-        for a in range(0, each, PIECE):
-            y[a : a + PIECE, p] = windows[a : min(a + PIECE, each)] @ bank[p * DOWN % UP]
-    return y.reshape(-1)[:size]
+        y[:, p] = np.lib.stride_tricks.sliding_window_view(wide[p * DOWN // UP :], TAPS)[::DOWN][:each] @ bank[p * DOWN % UP]
+    return y.reshape(-1)[: max(0, stop - start)]
 
 
 def mel_bank() -> np.ndarray:
@@ -94,24 +111,52 @@ def mel_bank() -> np.ndarray:
     return np.maximum(0, np.minimum(up, down))
 
 
-def log_mel(samples: bytes) -> tuple[np.ndarray, np.ndarray]:
-    """Frames x MELS of log-mel power, and the energy of each frame in decibels.
+def frame_count(samples: bytes) -> int:
+    """Frames of a clip: every sample is in one, the last frame is filled up with zeros."""
+    return 1 + max(0, -(-(-(-len(samples) * UP // DOWN) - FRAME) // HOP))
 
-    Every sample is in a frame: the last one is filled up with zeros.
-    """
-    x = (np.frombuffer(samples, np.uint8).astype(np.float64) - 128) / 128
-    y = resample(x)
-    n = 1 + max(0, -(-(len(y) - FRAME) // HOP))
-    y = np.concatenate((y, np.zeros(max(0, (n - 1) * HOP + FRAME - len(y)))))
-    frames = np.lib.stride_tricks.sliding_window_view(y, FRAME)[::HOP][:n]
-    window, bank = np.hanning(FRAME), mel_bank()
-    mels, energy = np.empty((n, MELS), np.float32), np.empty(n)
+
+def frames(samples: bytes) -> Iterator[np.ndarray]:
+    """All frames of a clip in order, PIECE at a time."""
+    n = frame_count(samples)
     for a in range(0, n, PIECE):
-        part = frames[a : a + PIECE] - frames[a : a + PIECE].mean(axis=1, keepdims=True)
-        power = np.abs(np.fft.rfft(part * window, FFT, axis=1)) ** 2
-        mels[a : a + PIECE] = np.log(power @ bank + 1e-6)
-        energy[a : a + PIECE] = 10 * np.log10((part * part).mean(axis=1) + 1e-9)
-    return mels, energy
+        b = min(n, a + PIECE)
+        y = resample(samples, a * HOP, (b - 1) * HOP + FRAME)
+        y = np.concatenate((y, np.zeros((b - 1 - a) * HOP + FRAME - len(y))))
+        yield np.lib.stride_tricks.sliding_window_view(y, FRAME)[::HOP][: b - a]
+
+
+def _level(part: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Frames without their mean, and their energy in decibels."""
+    part = part - part.mean(axis=1, keepdims=True)
+    return part, 10 * np.log10((part * part).mean(axis=1) + 1e-9)
+
+
+def loudness(parts: Iterable[np.ndarray]) -> np.ndarray:
+    """The energy of each frame in decibels."""
+    return np.concatenate([_level(part)[1] for part in parts])
+
+
+def mel_pieces(parts: Iterable[np.ndarray]) -> Iterator[np.ndarray]:
+    """Frames x MELS of log-mel power, piece by piece."""
+    window, bank = np.hanning(FRAME), mel_bank()
+    for part in parts:
+        power = np.abs(np.fft.rfft(_level(part)[0] * window, FFT, axis=1)) ** 2
+        yield np.log(power @ bank + 1e-6).astype(np.float32)
+
+
+def heard(samples: bytes) -> tuple[np.ndarray, Iterator[np.ndarray]]:
+    """``loudness`` and ``mel_pieces`` of a clip; one of several pieces is resampled for each of them."""
+    if frame_count(samples) <= PIECE:
+        held = list(frames(samples))
+        return loudness(held), mel_pieces(held)
+    return loudness(frames(samples)), mel_pieces(frames(samples))
+
+
+def log_mel(samples: bytes) -> tuple[np.ndarray, np.ndarray]:
+    """Frames x MELS of log-mel power, and the energy of each frame, of a whole clip."""
+    energy, pieces = heard(samples)
+    return np.concatenate(list(pieces)), energy
 
 
 def segments(energy: np.ndarray) -> list[tuple[int, int]]:
@@ -142,9 +187,14 @@ def store_media(docs: DataFrame, ids: list[str], text: str = "text") -> DataFram
     A null text counts as empty.  Rows stay one for one; other columns are not read.
     """
 
+    def wav(text: pa.Buffer | None) -> bytes:
+        n = text.size if text else 0
+        fill = -n % UNIT if n else UNIT
+        return b"".join((_header(n + fill), text or b"", b" " * fill))
+
     def compute(part: pa.RecordBatch) -> list[pa.Array]:
-        texts = [x or b"" for x in raw(part.column("text_of"))]
-        return [pa.array(list(map(len, texts)), pa.int64()), pa.array([to_wav(payload(x)) for x in texts], pa.binary())]
+        column = part.column("text_of")
+        return [pc.fill_null(pc.binary_length(column), 0).cast(pa.int64()), pa.array(map(wav, _buffers(column)), pa.binary())]
 
     return with_columns(docs.select(*ids, F.col(text).alias("text_of")), "text_of", compute, [T.StructField("n_bytes", T.LongType()), T.StructField("media", T.BinaryType())])
 
@@ -152,8 +202,8 @@ def store_media(docs: DataFrame, ids: list[str], text: str = "text") -> DataFram
 STORED = {"payload_bytes": T.LongType(), "payload_sha256": T.StringType(), "tail_crc32": T.LongType(), "media_bytes": T.LongType(), "media_sha256": T.StringType()}
 
 
-def _stored(stored: bytes, samples: bytes) -> tuple:
-    return len(samples), hashlib.sha256(samples).hexdigest(), zlib.crc32(samples[-16:]), len(stored), hashlib.sha256(stored).hexdigest()
+def _stored(stored: pa.Buffer | None, samples: bytes) -> tuple:
+    return len(samples), hashlib.sha256(samples).hexdigest(), zlib.crc32(samples[-16:]), stored.size if stored else 0, hashlib.sha256(stored or b"").hexdigest()
 
 
 def audio_features(media: DataFrame, column: str = "media") -> DataFrame:
@@ -161,20 +211,20 @@ def audio_features(media: DataFrame, column: str = "media") -> DataFrame:
 
     ``payload_bytes``, ``payload_sha256`` and ``tail_crc32`` (last 16 bytes) of the samples read
     back, ``media_bytes``, ``media_sha256``, and ``feature``: frames, segments, their milliseconds
-    and the mean log-mel of eight bands.  Media must not be null.
+    and the mean log-mel of eight bands.  Null media count as no bytes and no samples: one silent frame.
     """
 
-    def one(stored: bytes) -> tuple:
+    def one(stored: pa.Buffer | None) -> tuple:
         samples = from_wav(stored)
-        mels, energy = log_mel(samples)
-        found = segments(energy)
-        bands = mels.astype(np.float64).mean(axis=0).reshape(8, -1).mean(axis=1)
+        energy, pieces = heard(samples)
+        n, found = len(energy), segments(energy)
+        bands = sum(mels.astype(np.float64).sum(axis=0) for mels in pieces).reshape(8, -1).mean(axis=1) / n
         spoken = sum(milliseconds(b) - milliseconds(a) for a, b in found)
-        feature = f"frames={len(mels)};tensors={-(-len(mels) // TENSOR_FRAMES)};segments={len(found)};ms={spoken};mel=" + ",".join(f"{x:.3f}" for x in bands)
+        feature = f"frames={n};tensors={-(-n // TENSOR_FRAMES)};segments={len(found)};ms={spoken};mel=" + ",".join(f"{x:.3f}" for x in bands)
         return *_stored(stored, samples), feature
 
     def compute(part: pa.RecordBatch) -> list[pa.Array]:
-        rows = [one(x) for x in part.column(column).to_pylist()]
+        rows = [one(x) for x in _buffers(part.column(column))]
         return [pa.array([r[i] for r in rows], t) for i, t in enumerate((pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.string(), pa.string()))]
 
     kinds = {**STORED, "feature": T.StringType()}
@@ -187,25 +237,31 @@ def audio_tensors(media: DataFrame, ids: list[str], column: str = "media") -> Da
     Returns ``ids``, ``window``, ``start_ms``, ``end_ms``, ``segments`` (the time spans of high
     energy that start in the window), ``tensor``, TENSOR_FRAMES x MELS floats row by row, as
     ``as_tensors`` reads them, ``frames``, those of the clip in the window, and ``bands``, their
-    log-mel sums in eight bands times MICRO.  Media must not be null.
+    log-mel sums in eight bands times MICRO.  Null media count as no samples: one silent frame.
     """
     spans = T.ArrayType(T.StructType([T.StructField("start_ms", T.LongType()), T.StructField("end_ms", T.LongType())]))
     own = [("window", T.IntegerType()), ("start_ms", T.LongType()), ("end_ms", T.LongType()), ("segments", spans), ("tensor", T.ArrayType(T.FloatType())), ("frames", T.LongType()), ("bands", T.ArrayType(T.LongType()))]
     schema = T.StructType([media.schema[c] for c in ids] + [T.StructField(k, t) for k, t in own])
 
-    def clip(r: int, stored: bytes) -> tuple:
-        mels, energy = log_mel(from_wav(stored))
-        windows = tensors(mels)
-        held: list[list[dict]] = [[] for _ in windows]
-        for a, b in segments(energy):
-            held[a // TENSOR_FRAMES].append({"start_ms": milliseconds(a), "end_ms": milliseconds(b)})
-        starts = np.arange(len(windows)) * TENSOR_FRAMES
-        summed = np.add.reduceat(mels.astype(np.float64).reshape(len(mels), 8, -1).sum(axis=2), starts)
-        return np.full(len(windows), r), starts, np.minimum(starts + TENSOR_FRAMES, len(mels)), held, windows, np.rint(summed * MICRO).astype(np.int64)
-
     def listed(x: np.ndarray) -> pa.Array:
         return pa.ListArray.from_arrays(pa.array(np.arange(len(x) + 1, dtype=np.int32) * x[0].size), pa.array(x.reshape(-1)))
 
+    def parts(r: int, stored: pa.Buffer | None):
+        """A clip's windows, a piece at a time: row, starts and ends in frames, segments, tensors, bands."""
+        samples = from_wav(stored)
+        energy, pieces = heard(samples)
+        n, found, at = len(energy), segments(energy), 0
+        for p, mels in enumerate(pieces):
+            windows = tensors(mels)
+            starts = p * PIECE + np.arange(len(windows)) * TENSOR_FRAMES
+            held: list[list[dict]] = [[] for _ in windows]
+            while at < len(found) and found[at][0] < p * PIECE + len(mels):
+                a, b = found[at]
+                held[(a - p * PIECE) // TENSOR_FRAMES].append({"start_ms": milliseconds(a), "end_ms": milliseconds(b)})
+                at += 1
+            summed = np.add.reduceat(mels.astype(np.float64).reshape(len(mels), 8, -1).sum(axis=2), starts - p * PIECE)
+            yield np.full(len(windows), r), starts, np.minimum(starts + TENSOR_FRAMES, n), held, windows, np.rint(summed * MICRO).astype(np.int64)
+
     def written(batch: pa.RecordBatch, clips: list[tuple]):
         of, starts, ends, windows, bands = (np.concatenate([c[i] for c in clips]) for i in (0, 1, 2, 4, 5))
         held = [x for c in clips for x in c[3]]
@@ -218,12 +274,13 @@ def audio_tensors(media: DataFrame, ids: list[str], column: str = "media") -> Da
     def run(batches):
         for batch in batches:
             clips, size = [], 0
-            for r in range(batch.num_rows):
-                clips.append(clip(r, batch.column(column)[r].as_py()))
-                size += len(clips[-1][0])
-                if size >= WINDOWS:
-                    yield from written(batch, clips)
-                    clips, size = [], 0
+            for r, stored in enumerate(_buffers(batch.column(column))):
+                for piece in parts(r, stored):
+                    clips.append(piece)
+                    size += len(piece[0])
+                    if size >= WINDOWS:
+                        yield from written(batch, clips)
+                        clips, size = [], 0
             if clips:
                 yield from written(batch, clips)
 
@@ -234,11 +291,12 @@ def tensor_features(media: DataFrame, column: str = "media") -> DataFrame:
     """What ``audio_features`` adds, with ``feature`` taken from the rows of ``audio_tensors``.
 
     ``feature`` also has the time span of the clip's tensors and the xor of their rows' hashes, which
-    no order changes.  Only these leave the task that makes the tensors.  Rows stay one for one.
+    no order changes.  Only these leave the task that makes the tensors.  Rows stay one for one; null
+    media count as no bytes.
     """
 
     def compute(part: pa.RecordBatch) -> list[pa.Array]:
-        rows = [_stored(x, from_wav(x)) for x in part.column(column).to_pylist()]
+        rows = [_stored(x, from_wav(x)) for x in _buffers(part.column(column))]
         return [pa.array([r[i] for r in rows], t) for i, t in enumerate((pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.string()))]
 
     facts = with_columns(media, column, compute, [T.StructField(k, t) for k, t in STORED.items()], keep_text=True)

@@ -22,12 +22,63 @@ def slow_resample(x):
 def test_resampling_is_filtering_and_dropping():
     rng = np.random.default_rng(1)
     for size in (192, 193, 1000, 4801):
-        x = rng.normal(size=size)
-        got, want = audio.resample(x), slow_resample(x)
+        samples = rng.integers(0, 256, size).astype(np.uint8)
+        got, want = audio.resample(samples.tobytes()), slow_resample((samples - 128.0) / 128)
         assert len(got) == -(-size * audio.UP // audio.DOWN)
         assert np.allclose(got, want[: len(got)], atol=1e-9)
 
 
+def test_frames_in_pieces_are_those_of_the_whole(monkeypatch):
+    rng = np.random.default_rng(2)
+    samples = rng.integers(0, 256, 192 * 60).astype(np.uint8)
+    y = slow_resample((samples - 128.0) / 128)[: len(samples) * 3 // 4]
+    monkeypatch.setattr(audio, "PIECE", 64)
+    mels, energy = audio.log_mel(samples.tobytes())
+    top = audio.RATE * 3 / 4 / 2
+    points = 700 * (10 ** (np.linspace(0, 2595 * np.log10(1 + top / 700), audio.MELS + 2) / 2595) - 1)
+    y = np.concatenate((y, np.zeros(audio.FRAME)))
+    for i in range(len(mels)):
+        frame = y[i * audio.HOP : i * audio.HOP + audio.FRAME]
+        frame = frame - frame.mean()
+        assert abs(energy[i] - 10 * np.log10((frame**2).mean() + 1e-9)) < 1e-6
+        shaped = frame * (0.5 - 0.5 * np.cos(2 * np.pi * np.arange(audio.FRAME) / (audio.FRAME - 1)))
+        bins = np.arange(audio.FFT // 2 + 1)
+        power = np.array([abs((shaped * np.exp(-2j * np.pi * k * np.arange(audio.FRAME) / audio.FFT)).sum()) ** 2 for k in bins]) if i % 9 == 0 else None
+        if power is not None:
+            for b in range(audio.MELS):
+                low, mid, high = points[b : b + 3]
+                hz = bins * top / (audio.FFT // 2)
+                weight = np.clip(np.minimum((hz - low) / (mid - low), (high - hz) / (high - mid)), 0, None)
+                assert abs(mels[i, b] - np.log((power * weight).sum() + 1e-6)) < 1e-3
+
+
+def test_null_and_long_media(spark):
+    media = spark.createDataFrame([(1, None), (2, audio.to_wav(b""))], "doc_id long, media binary")
+    one, two = sorted(audio.tensor_features(media).collect())
+    assert one["payload_bytes"] == two["payload_bytes"] == 0 and one["feature"] == two["feature"] and one["media_bytes"] == 0
+    assert audio.audio_tensors(media, ["doc_id"]).count() == 2 and audio.audio_features(media).count() == 2
+    assert one["feature"].startswith("frames=1;tensors=1;")
+
+
+def test_wav_is_read_by_the_wave_module():
+    import io
+    import wave
+
+    with wave.open(io.BytesIO(audio.to_wav(bytes(range(200)))), "rb") as w:
+        assert (w.getnchannels(), w.getsampwidth(), w.getframerate(), w.readframes(999)) == (1, 1, audio.RATE, bytes(range(200)))
+
+
+def test_memory_of_a_long_clip():
+    import tracemalloc
+
+    samples = b"some words of it " * (1 << 20)
+    tracemalloc.start()
+    energy, pieces = audio.heard(samples)
+    assert sum(map(len, pieces)) == len(energy) and audio.segments(energy)
+    assert tracemalloc.get_traced_memory()[1] < len(samples) + (64 << 20)
+    tracemalloc.stop()
+
+
 def test_tone_lands_in_its_band():
     rate = audio.RATE
     x = (128 + 100 * np.sin(2 * np.pi * 1000 * np.arange(rate) / rate)).astype(np.uint8).tobytes()
