@@ -1,7 +1,8 @@
 """Connected components by alternating large-star and small-star steps.
 
 Each step is one aggregation and one join on the edge table; the number of rounds grows with the
-logarithm of the longest chain.  No adjacency list, link or component is gathered on the driver.
+logarithm of the longest chain.  A hub's edges are never gathered in one task or row, and no
+adjacency list, link or component on the driver.
 """
 
 from __future__ import annotations
@@ -9,17 +10,13 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tessera.operators.skew import join_facts
 from tessera.session import cut_lineage
 
 
-def _both_ways(edges: DataFrame) -> DataFrame:
-    return edges.select(F.explode(F.array(F.struct(F.col("u").alias("u"), F.col("v").alias("v")), F.struct(F.col("v").alias("u"), F.col("u").alias("v")))).alias("e")).select("e.u", "e.v")
-
-
-def _star(pairs: DataFrame) -> DataFrame:
-    """(u, v, m): every pair with the least of u and all its neighbours."""
-    least = pairs.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
-    return pairs.join(least, "u")
+def _least_below(edges: DataFrame) -> DataFrame:
+    """The least neighbour of each node that has one below it, of edges ``low`` < ``high``."""
+    return edges.groupBy(F.col("high").alias("low")).agg(F.min("low").alias("least"))
 
 
 def connected_components(edges: DataFrame, src: str = "src", dst: str = "dst", *, most_rounds: int = 50) -> DataFrame:
@@ -29,22 +26,24 @@ def connected_components(edges: DataFrame, src: str = "src", dst: str = "dst", *
     ``component``, one row per node, isolated nodes left out; no edges give no rows.  Nodes may be
     of any orderable type.
     """
-    e = edges.select(F.col(src).alias("u"), F.col(dst).alias("v")).where("u <> v").distinct()
+    u, v = F.col(src), F.col(dst)
+    e = edges.where(u != v).select(F.least(u, v).alias("low"), F.greatest(u, v).alias("high")).distinct()
     e = cut_lineage(e)
-    sum_of = F.coalesce(F.sum(F.xxhash64("u", "v").cast("decimal(38,0)")), F.lit(0).cast("decimal(38,0)"))
+    sum_of = F.coalesce(F.sum(F.xxhash64("low", "high").cast("decimal(38,0)")), F.lit(0).cast("decimal(38,0)"))
     before = None
     for _ in range(most_rounds):
-        # Large star: neighbours above u move to the least node around u.
-        large = _star(_both_ways(e)).where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
-        # Small star: u and its neighbours below u move to the least of those.
-        down = large.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v"))
-        small = _star(down).select(F.explode(F.array(F.struct(F.col("u").alias("u"), F.col("m").alias("v")), F.struct(F.col("v").alias("u"), F.col("m").alias("v")))).alias("e")).select("e.u", "e.v")
-        e = cut_lineage(small.where("u <> v").distinct())
+        # Large star: neighbours above a node move to the least node around it.  A node without a
+        # neighbour below is that itself, so only edges of other nodes change.
+        large = join_facts(e, _least_below(e), "low", "left").select(F.coalesce("least", "low").alias("low"), "high").distinct()
+        # Small star: a node and its neighbours below move to the least of those.
+        least = large.groupBy("high").agg(F.min("low").alias("least"))
+        small = join_facts(large, least, "high").select(F.explode(F.array(F.struct(F.col("least").alias("low"), "high"), F.struct(F.col("least").alias("low"), F.col("low").alias("high")))).alias("e")).select("e.*")
+        e = cut_lineage(small.where("low <> high").distinct())
         now = e.agg(F.count("*").alias("n"), sum_of.alias("h")).first()
         if now == before or now["n"] == 0:
             break
         before = now
     else:
         raise RuntimeError(f"components did not settle in {most_rounds} rounds")
-    roots = e.select(F.col("v").alias("u"), "v").distinct()
-    return e.unionByName(roots).select(F.col("u").alias("node"), F.col("v").alias("component"))
+    roots = e.select(F.col("low").alias("high"), "low").distinct()
+    return e.select("high", "low").unionByName(roots).select(F.col("high").alias("node"), F.col("low").alias("component"))
