@@ -36,6 +36,8 @@ from tessera.session import cut_lineage
 
 #: UTF-8 bytes of text in a block; one longer text is a block of its own.
 BLOCK_BYTES = 32 << 20
+#: Bytes of text for each task that distinct words are dealt to, and the most such tasks.
+ENCODED_BYTES, MOST_PARTS = 16 << 20, 4096
 #: Distinct words that a task remembers; past that it starts afresh.
 REMEMBERED = 1 << 20
 #: Code points below this are split by the pattern below, others by the tokenizer's own splitter.
@@ -266,23 +268,25 @@ def round_trip(docs: DataFrame, ids: list[str], path: str, text: str = "text") -
     ``ids`` and ``text`` are not read.  The file must be at ``path`` on every executor.
     """
     spark = docs.sparkSession
-    parts = min(4096, max(8, int(spark.conf.get("spark.sql.shuffle.partitions"))))
+    size = docs.agg(F.sum(F.octet_length(text))).first()[0] or 0
+    parts = min(MOST_PARTS, max(8, -(-size // ENCODED_BYTES)))
     rows = docs.select(*[F.col(c).alias(f"id_{i}") for i, c in enumerate(ids)], F.col(text).alias("text_of"))
     kinds = [docs.schema[c].dataType for c in ids]
     dealt = T.ArrayType(T.StructType([T.StructField("p", T.IntegerType()), T.StructField("words", T.BinaryType())]))
     schema = T.StructType([T.StructField("block", T.LongType()), *[T.StructField(f"id_{i}", T.ArrayType(k)) for i, k in enumerate(kinds)], T.StructField("at", T.BinaryType()), T.StructField("dealt", dealt)])
     blocks = cut_lineage(rows.mapInArrow(_split(ids, parts, path), schema))
+    wide = min(20_000, max(1, 2 * blocks.count()))  # so that a task gets a block or two, however many there are
 
     words = blocks.select("block", F.explode("dealt").alias("d")).select("block", "d.p", "d.words")
     encoded = words.repartition(parts, "p").mapInArrow(_encode(path), "block long, p int, ids binary")
     # Dealt by block from here on: what follows needs no further shuffle of it.
-    encoded = encoded.groupBy("block").agg(F.collect_list(F.struct("p", "ids")).alias("parts"))
+    encoded = encoded.repartition(wide, "block").groupBy("block").agg(F.collect_list(F.struct("p", "ids")).alias("parts"))
 
     pieces = spark.createDataFrame(pa.Table.from_pylist([{"id": i, "piece": b} for i, b in piece_rows(path)], pa.schema([("id", pa.int32()), ("piece", pa.binary())])))
     used = encoded.select("block", F.explode(_used("parts")).alias("id"))
     # The vocabulary bounds this side: one row for each of its entries.
     spelled = used.join(F.broadcast(pieces), "id").groupBy("block").agg(F.collect_list(F.struct("id", "piece")).alias("pieces"))
 
-    whole = blocks.drop("dealt").join(encoded, "block", "left").join(spelled, "block", "left")
+    whole = blocks.drop("dealt").repartition(wide, "block").join(encoded, "block", "left").join(spelled, "block", "left")
     out = T.StructType([*[T.StructField(c, k) for c, k in zip(ids, kinds, strict=True)], T.StructField("tokens", T.ArrayType(T.IntegerType())), T.StructField("decoded", T.StringType())])
     return whole.mapInArrow(_assemble(len(ids), ids), out)

@@ -5,13 +5,14 @@ times; which of them are taken once more is decided by a threshold on a hash of
 
 1. Words are summed by source and hash bucket, the top ``BITS`` bits of the hash.
 2. Running sums over the buckets of a source find the one in which its budget runs out.
-3. Only that bucket's documents, a millionth of the source, are summed again, by the whole hash.
-   The result is one threshold for each source.
+3. Only that bucket is refined: its documents are summed by the next ``BITS`` bits, and those of the
+   bucket found there, a 16-millionth of the source, by the whole hash.  The result is one threshold
+   for each source.
 4. What the budget still lacks, less than the document at the threshold, is a smaller budget for
    the documents past it that fit in; their threshold is found the same way, and so on.
 
 The decision on a document compares its hash and size with its source's few numbers.  Nothing is
-sorted but the bucket sums, of which a source has at most ``2**BITS`` and never more than documents.
+sorted but the bucket sums, a few thousand for each source and step.
 """
 
 from __future__ import annotations
@@ -21,8 +22,11 @@ from pyspark.sql import functions as F
 
 from tessera.session import cut_lineage, unused
 
-#: Bits of the hash (60 in all) that a bucket stands for.
-BITS = 20
+#: Bits of the hash (60 in all) that a bucket stands for, at each of LEVELS levels.
+BITS = 12
+LEVELS = 2
+#: Sources whose thresholds are broadcast; more than that are joined by a shuffle.
+BROADCAST_SOURCES = 10_000
 HASH_BITS = 60
 #: Nested budgets for each source.
 ROUNDS = 3
@@ -81,14 +85,22 @@ def _threshold(rows: DataFrame) -> DataFrame:
     ``rows`` has source_of, size, place and its source's budget.  Sources whose rows all fit are
     left out.
     """
-    bucket = F.shiftright("place", HASH_BITS - BITS)
-    sums = rows.groupBy("source_of", bucket.alias("bucket")).agg(F.sum("size").alias("words"), F.first("budget").alias("budget"), F.lit(0).cast("long").alias("base"))
-    inside = cut_lineage(_crossing(sums, "bucket").select(F.col("source_of").alias("source_i"), "bucket", F.col("spent").alias("base")))
-    near = rows.join(inside, rows["source_of"].eqNullSafe(inside["source_i"]) & (bucket == F.col("bucket")))
+    near = rows.withColumn("base", F.lit(0).cast("long"))
+    for level in range(1, LEVELS + 1):
+        bucket = F.shiftright("place", HASH_BITS - BITS * level)
+        sums = near.groupBy("source_of", bucket.alias("bucket")).agg(F.sum("size").alias("words"), F.first("budget").alias("budget"), F.first("base").alias("base"))
+        inside = cut_lineage(_crossing(sums, "bucket").select(F.col("source_of").alias("source_i"), "bucket", F.col("spent").alias("base")))
+        near = _with_sources(rows, inside, (rows["source_of"].eqNullSafe(inside["source_i"])) & (bucket == F.col("bucket"))).drop("source_i", "bucket")
     exact = near.groupBy("source_of", "place").agg(F.sum("size").alias("words"), F.first("budget").alias("budget"), F.first("base").alias("base"))
     return _crossing(exact, "place").withColumnRenamed("place", "threshold")
 
 
+def _with_sources(rows: DataFrame, facts: DataFrame, on: Column, how: str = "inner") -> DataFrame:
+    """``rows`` with the facts of their sources: one row for each, broadcast unless they are very many."""
+    few = facts.limit(BROADCAST_SOURCES + 1).count() <= BROADCAST_SOURCES
+    return rows.join(F.broadcast(facts) if few else facts, on, how)
+
+
 def plan(rows: DataFrame, goals: DataFrame, rounds: int = ROUNDS) -> DataFrame:
     """One row for each source: how often all documents are taken, and up to which thresholds once more.
 
@@ -101,7 +113,7 @@ def plan(rows: DataFrame, goals: DataFrame, rounds: int = ROUNDS) -> DataFrame:
     for k in range(rounds):
         out = out.withColumn(f"fit_{k}", F.col("left") if k else F.lit(float("inf")))
         budgets = out.select(F.col("source_of").alias("source_b"), F.col("left").alias("budget"), *[f"upto_{i}" for i in range(k)], *[f"fit_{i}" for i in range(k + 1)])
-        free = rows.join(budgets, rows["source_of"].eqNullSafe(budgets["source_b"])).where((F.col("size") > 0) & (F.col("size") <= F.col(f"fit_{k}")) & ~_taken(k)).select("source_of", "size", "place", "budget")
+        free = _with_sources(rows, budgets, rows["source_of"].eqNullSafe(budgets["source_b"])).where((F.col("size") > 0) & (F.col("size") <= F.col(f"fit_{k}")) & ~_taken(k)).select("source_of", "size", "place", "budget")
         found = _threshold(free).select(F.col("source_of").alias("source_f"), "threshold", "spent", "upto")
         # The last round may pass the budget where that comes nearer to it.
         nearer = (F.col("spent") + F.col("upto") <= 2 * F.col("left")) if k == rounds - 1 else F.lit(False)
@@ -129,22 +141,27 @@ def mixture(docs: DataFrame, ids: list[str], *, doc_id: str = "doc_id", text: st
     has no other input, so reruns agree.  No documents give no rows.
     """
     rows = cut_lineage(sized(docs, ids, doc_id, text, source))
-    goals = targets(rows.groupBy("source_of").agg(F.sum("size").alias("source_size")), weights, most)
-    planned = plan(rows.select("source_of", "size", "place"), goals, rounds)
-    planned = planned.withColumnRenamed("source_of", "source_p")
+    planned = _planned(rows, weights, most, rounds)
     times = F.col("times") + ((F.col("size") > 0) & _taken(rounds)).cast("long")
-    joined = rows.join(planned, rows["source_of"].eqNullSafe(planned["source_p"]))
+    joined = _with_sources(rows, planned, rows["source_of"].eqNullSafe(planned["source_p"]))
     return joined.select(*ids, "size", "source_size", "target", times.alias("times"), (times * F.col("size")).alias("taken"))
 
 
-def mixed(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", **options) -> DataFrame:
-    """``docs`` with every row as often as the mix takes it; all columns stay.
+def _planned(rows: DataFrame, weights: tuple[float, ...], most: int, rounds: int) -> DataFrame:
+    goals = targets(rows.groupBy("source_of").agg(F.sum("size").alias("source_size")), weights, most)
+    return plan(rows.select("source_of", "size", "place"), goals, rounds).withColumnRenamed("source_of", "source_p")
 
-    A row is told from others by its id and a hash of its text.
+
+def mixed(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", *, source: str = "source", weights: tuple[float, ...] = (5, 2, 1), most: int = 3, rounds: int = ROUNDS) -> DataFrame:
+    """``docs`` with every row as often as the mix takes it; all columns stay, whatever their names.
+
+    A row's hash and size are compared with its source's thresholds as it is read: texts are neither
+    shuffled nor sorted.  Rows are taken as in ``mixture``: those without a word (null texts too) are
+    left out, repeated rows stand or fall together.  An empty table gives no rows.
     """
-    mark, other, times = unused(docs, "hash_of_text", "hash_taken", "times_taken")
-    marked = docs.withColumn(mark, F.xxhash64(text))
-    taken = mixture(marked, [doc_id, mark], doc_id=doc_id, text=text, **options).where("times > 0")
-    taken = taken.select(F.col(doc_id).alias("id_taken"), F.col(mark).alias(other), F.col("times").alias(times)).distinct()
-    joined = marked.join(taken, F.col(doc_id).eqNullSafe(taken["id_taken"]) & (F.col(mark) == F.col(other)))
-    return joined.select(*docs.columns, F.explode(F.sequence(F.lit(1).cast("long"), F.col(times)))).select(*docs.columns)
+    (held,) = unused(docs, "row_held")
+    planned = _planned(cut_lineage(sized(docs, [], doc_id, text, source)), weights, most, rounds)
+    rows = docs.select(F.struct(*docs.columns).alias(held), F.col(source).alias("source_of"), words(F.col(text)).alias("size"), place(F.col(doc_id), F.col(text)).alias("place"))
+    times = F.col("times") + ((F.col("size") > 0) & _taken(rounds)).cast("long")
+    joined = _with_sources(rows, planned, rows["source_of"].eqNullSafe(planned["source_p"])).withColumn("often", times).where("often > 0")
+    return joined.select(held, F.explode(F.sequence(F.lit(1).cast("long"), F.col("often")))).select(f"{held}.*")

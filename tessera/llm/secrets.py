@@ -19,6 +19,7 @@ from pyspark.sql import types as T
 
 from tessera.llm.common import with_columns
 from tessera.llm.spans import Span, counts, sha256, written
+from tessera.operators.skew import join_facts
 from tessera.session import cut_lineage, unused
 
 KINDS = ("assign", "access", "hex")
@@ -102,7 +103,7 @@ def judge(docs: DataFrame, ids: list[str], text: str, owner: str, repository: st
     each = found.where(F.size("found") > 0).select("row_of", F.col("owner_of").alias("owner"), F.col("repository_of").alias("repository"), F.explode("found").alias("s"))
     each = each.select("row_of", "owner", "repository", "s.base", "s.value", F.struct("s.start", "s.kind", "s.end").alias("span"))
     live = ~((F.col("owners") >= example_owners) | (F.col("repositories") >= example_repositories))
-    judged = each.join(ownership(each).select("value", live.alias("is_live")), "value")
+    judged = join_facts(each, ownership(each).select("value", live.alias("is_live")), "value")
     by_row = judged.groupBy("row_of").agg(
         F.collect_set(F.when(F.col("base") | F.col("is_live"), F.col("span"))).alias("all_spans"),
         F.collect_set(F.when(F.col("is_live"), F.col("span"))).alias("live_spans"),
@@ -134,29 +135,53 @@ def secrets(docs: DataFrame, ids: list[str], text: str = "text", *, owner: str =
 
 
 def _redact(text: F.Column, spans: F.Column, mark: str) -> F.Column:
-    """The text with each span, overlapping ones as one, replaced by ``mark``."""
-    start = F.struct(F.lit("").alias("out"), F.lit(0).cast("long").alias("done"))
+    """The text with each span, overlapping ones as one, replaced by ``mark``.
+
+    What is kept is cut out piece by piece and joined once.
+    """
+    kind = "array<struct<start:int,end:int>>"
+    start = F.struct(F.array().cast(kind).alias("kept"), F.lit(0).alias("done"))
 
     def step(acc: F.Column, s: F.Column) -> F.Column:
-        longer = F.concat(acc["out"], F.substring(text, acc["done"].cast("int") + 1, (s["start"] - acc["done"]).cast("int")), F.lit(mark))
-        fresh = s["start"] >= acc["done"]
-        return F.struct(F.when(fresh, longer).otherwise(acc["out"]).alias("out"), F.greatest(acc["done"], s["end"]).alias("done"))
+        piece = F.array(F.struct(acc["done"].alias("start"), s["start"].cast("int").alias("end")))
+        kept = F.when(s["start"] >= acc["done"], F.concat(acc["kept"], piece)).otherwise(acc["kept"])
+        return F.struct(kept.alias("kept"), F.greatest(acc["done"], s["end"].cast("int")).alias("done"))
+
+    def finish(acc: F.Column) -> F.Column:
+        return F.concat(acc["kept"], F.array(F.struct(acc["done"].alias("start"), F.length(text).alias("end"))))
+
+    pieces = F.aggregate(F.array_sort(spans), start, step, finish)
+    return F.array_join(F.transform(pieces, lambda p: F.substring(text, p["start"] + 1, p["end"] - p["start"])), mark)
+
+
+ASSIGNED = "(?i)password|passwd|secret|token|api_?key|pwd|passphrase|credential|private_?key|access_?key"
+PREFIXES = ("AKIA", "gho_", "ghp_", "ghs_", "ghu_", "glpat-", "xoxa-", "xoxb-", "xoxp-", "k_live_", "AIza")
+
 
-    return F.aggregate(F.array_sort(spans), start, step, lambda acc: F.concat(acc["out"], F.substring(text, acc["done"].cast("int") + 1, F.length(text))))
+def may_hold(text: F.Column) -> F.Column:
+    """True for each text in which ``candidates`` finds something, and for few others."""
+    assigned = (text.contains("=") | text.contains(":")) & text.rlike(ASSIGNED)
+    other = text.rlike("[0-9a-f]{16}")
+    for x in PREFIXES:
+        other = other | text.contains(x)
+    return F.coalesce(assigned | other, F.lit(False))
 
 
 def redacted(docs: DataFrame, id_col: str = "doc_id", text: str = "text", *, owner: str = "source", length: str | None = "n_chars", mark: str = "[SECRET]", **options) -> DataFrame:
     """``docs`` with live secrets replaced; examples and all other rows and columns stay.
 
-    ``length``, if given, is set to the new number of characters where the text changes.
+    ``length``, if given, is set to the new number of characters where the text changes.  Rows that
+    agree in id and text are judged together and all stay; null texts and an empty table stay as
+    they are.  Columns may have any names.  Only texts that a secret's shape may be in are shuffled.
     """
-    (spans,) = unused(docs, "spans_of_doc")
-    row = F.struct(F.col(id_col).alias("id"), F.xxhash64(text).alias("hash"))  # rows that agree in both have the same spans
-    judged = judge(docs, [], text, owner, id_col, row, **options)[1]
-    judged = judged.where("n_live > 0").select("row_of", F.col("live_spans").alias(spans))
-    joined = docs.join(judged, F.col(id_col).eqNullSafe(F.col("row_of.id")) & (F.xxhash64(text) == F.col("row_of.hash")), "left")
+    spans, key, row = unused(docs, "spans_of_doc", "key_of_doc", "row_of")
+    own_key = F.struct(F.col(id_col).alias("id"), F.xxhash64(text).alias("hash"))  # rows that agree in both have the same spans
+    maybe = may_hold(F.col(text))
+    judged = judge(docs.where(maybe), [], text, owner, id_col, own_key, **options)[1]
+    judged = judged.where("n_live > 0").select(F.col("row_of").alias(row), F.col("live_spans").alias(spans))
+    joined = docs.where(maybe).withColumn(key, own_key).join(judged, F.col(key) == F.col(row), "left")
     hit = F.col(spans).isNotNull()
     joined = joined.withColumn(text, F.when(hit, _redact(F.col(text), F.col(spans), mark)).otherwise(F.col(text)))
     if length:  # in a step of its own, over the finished text
         joined = joined.withColumn(length, F.when(hit, F.length(text).cast(docs.schema[length].dataType)).otherwise(F.col(length)))
-    return joined.select(*docs.columns)
+    return docs.where(~maybe).unionByName(joined.select(*docs.columns))

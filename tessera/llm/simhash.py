@@ -28,6 +28,7 @@ from pyspark.sql import types as T
 
 from tessera.llm.common import raw, with_columns
 from tessera.operators.components import connected_components
+from tessera.operators.skew import join_facts
 from tessera.session import cut_lineage, unused
 
 #: Fingerprints of a bucket that one task compares with each other.
@@ -182,7 +183,8 @@ def links(prints: DataFrame, column: str = "print", *, radius: int = 4, tile: in
     piece = [F.shiftrightunsigned(F.col("p"), a).bitwiseAND(F.lit((1 << (b - a)) - 1)) for a, b in zip(cuts[:-1], cuts[1:], strict=True)]
     keys = F.array(*[F.lit(n << 48) + F.shiftleft(piece[i], 24) + piece[j] for n, (i, j) in enumerate(combinations(range(radius + 2), 2))])
     rows = prints.select(F.col(column).alias("p")).select("p", F.explode(keys).alias("key"))
-    rows = rows.withColumn("n", F.count("*").over(Window.partitionBy("key"))).where("n > 1")
+    shared = rows.groupBy("key").agg(F.count("*").alias("n")).where("n > 1")
+    rows = join_facts(rows, shared, "key")
     rows = rows.withColumn("tiles", F.ceil(F.col("n") / tile)).withColumn("mine", F.pmod(F.xxhash64("p"), F.col("tiles")))
     rows = rows.withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("tiles") - 1)))
     rows = rows.select("key", F.least("mine", "other").alias("a"), F.greatest("mine", "other").alias("b"), "p")
@@ -204,24 +206,28 @@ def near_duplicates(docs: DataFrame, ids: list[str], text: str = "text", *, word
     prints = cut_lineage(fingerprints(docs, ids, text, words=words, seed=seed))
     name = F.min(F.col(ids[0]) if len(ids) == 1 else F.struct(*[c for i in ids for c in (F.col(i).isNull().alias(f"{i}_none"), F.col(i))]))
     distinct = cut_lineage(prints.groupBy("print").agg(name.alias("first")))
-    joined = connected_components(links(distinct, radius=radius))
-    labelled = distinct.join(joined, distinct["print"] == joined["node"], "left").select("print", "first", F.coalesce("component", "print").alias("root"))
-    least = labelled.groupBy("root").agg(F.min("first").alias("component"))
-    named = labelled.join(least, "root").select("print", "component")
-    return prints.join(named, "print").select(*ids, "print", "component")
+    linked = connected_components(links(distinct, radius=radius)).select(F.col("node").alias("print"), F.col("component").alias("root"))
+    labelled = join_facts(distinct, linked, "print", "left")
+    least = labelled.where("root is not null").groupBy("root").agg(F.min("first").alias("least"))
+    named = join_facts(labelled, least, "root", "left").select("print", F.coalesce("least", "first").alias("component"))
+    return join_facts(prints, named, "print").select(*ids, "print", "component")
 
 
 def representatives(docs: DataFrame, id_col: str = "doc_id", text: str = "text", *, words: int = 4, seed: int = 42, radius: int = 4) -> DataFrame:
     """``docs`` with one row of each component: the least id, nulls last.
 
     Of rows that share that id, the least hash of text and then of all columns decides, so one
-    stays even of repeated rows.  All columns stay.
+    stays even of repeated rows.  All columns stay, whatever their names.  Null and empty texts are
+    near duplicates of each other.  An empty table gives no rows.
     """
-    mark, same, place = unused(docs, "hash_of_text", "hash_kept", "place_of_row")
-    marked = docs.withColumn(mark, F.xxhash64(text))
-    near = near_duplicates(marked, [id_col, mark], text, words=words, seed=seed, radius=radius)
+    key, kept_key, place = unused(docs, "key_of_doc", "key_kept", "place_of_row")
+    (mark,) = unused(docs, "hash_of_text")
+    near = near_duplicates(docs.withColumn(mark, F.xxhash64(text)), [id_col, mark], text, words=words, seed=seed, radius=radius)
     own = F.col(f"component.{id_col}").eqNullSafe(F.col(id_col)) & (F.col(f"component.{mark}") == F.col(mark))
-    keep = near.where(own).select(F.col(id_col).alias("id_kept"), F.col(mark).alias(same)).distinct()
-    kept = marked.join(keep, F.col(id_col).eqNullSafe(keep["id_kept"]) & (F.col(mark) == F.col(same)), "left_semi")
-    first = Window.partitionBy(id_col, mark).orderBy(F.xxhash64(*docs.columns))
+    row_key = F.struct(F.col(id_col).alias("id"), F.col(mark).alias("text"))
+    # Only here do texts move, and once: the join and the window are dealt by the same key.
+    keep = near.where(own).select(row_key.alias(kept_key)).distinct().hint("shuffle_hash")
+    keyed = docs.withColumn(key, F.struct(F.col(id_col).alias("id"), F.xxhash64(text).alias("text")))
+    kept = keyed.join(keep, F.col(key) == F.col(kept_key), "left_semi")
+    first = Window.partitionBy(key).orderBy(F.xxhash64(*docs.columns))
     return kept.withColumn(place, F.row_number().over(first)).where(F.col(place) == 1).select(*docs.columns)
