@@ -5,14 +5,14 @@ times; which of them are taken once more is decided by a threshold on a hash of
 
 1. Words are summed by source and hash bucket, the top ``BITS`` bits of the hash.
 2. Running sums over the buckets of a source find the one in which its budget runs out.
-3. Only that bucket is refined: its documents are summed by the next ``BITS`` bits, and those of the
-   bucket found there, a 16-millionth of the source, by the whole hash.  The result is one threshold
+3. Only that bucket is refined: its documents are summed by the next ``BITS`` bits, and so on; those
+   of the last bucket, a 16-millionth of the source, by the whole hash.  The result is one threshold
    for each source.
 4. What the budget still lacks, less than the document at the threshold, is a smaller budget for
    the documents past it that fit in; their threshold is found the same way, and so on.
 
 The decision on a document compares its hash and size with its source's few numbers.  Nothing is
-sorted but the bucket sums, a few thousand for each source and step.
+sorted but the bucket sums, ``2**BITS`` for each source and step at most.
 """
 
 from __future__ import annotations
@@ -23,8 +23,8 @@ from pyspark.sql import functions as F
 from tessera.session import cut_lineage, unused
 
 #: Bits of the hash (60 in all) that a bucket stands for, at each of LEVELS levels.
-BITS = 12
-LEVELS = 2
+BITS = 8
+LEVELS = 3
 #: Sources whose thresholds are broadcast; more than that are joined by a shuffle.
 BROADCAST_SOURCES = 10_000
 HASH_BITS = 60

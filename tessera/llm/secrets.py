@@ -177,7 +177,7 @@ def redacted(docs: DataFrame, id_col: str = "doc_id", text: str = "text", *, own
     spans, key, row = unused(docs, "spans_of_doc", "key_of_doc", "row_of")
     own_key = F.struct(F.col(id_col).alias("id"), F.xxhash64(text).alias("hash"))  # rows that agree in both have the same spans
     maybe = may_hold(F.col(text))
-    judged = judge(docs.where(maybe), [], text, owner, id_col, own_key, **options)[1]
+    judged = judge(docs, [], text, owner, id_col, own_key, **options)[1]
     judged = judged.where("n_live > 0").select(F.col("row_of").alias(row), F.col("live_spans").alias(spans))
     joined = docs.where(maybe).withColumn(key, own_key).join(judged, F.col(key) == F.col(row), "left")
     hit = F.col(spans).isNotNull()
