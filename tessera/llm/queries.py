@@ -108,12 +108,12 @@ state_{k + 1} AS (
 SELECT doc_id, size, source_size, target, CAST((times + CASE WHEN hit THEN 1 ELSE 0 END) * size AS BIGINT) AS taken FROM state_{rounds}"""
 
 
-_PERSPECTIVES_SQL = f"""
+_PERSPECTIVES_SQL = """
 WITH said AS (
   SELECT conv_id, CAST(turn AS BIGINT) AS turn, coalesce(role, 'unknown') AS speaker, coalesce(text, '') AS content FROM conversations),
 people AS (SELECT DISTINCT conv_id, speaker AS perspective FROM said WHERE speaker <> 'system'),
 seen AS (
-  SELECT s.conv_id, p.perspective, CAST(floor(s.turn / {perspectives.TURNS}) AS BIGINT) AS part, s.turn, s.speaker, s.content, s.speaker = p.perspective AS own,
+  SELECT s.conv_id, p.perspective, CAST(0 AS BIGINT) AS part, s.turn, s.speaker, s.content, s.speaker = p.perspective AS own,
     CASE WHEN s.speaker = 'system' THEN '<|system|>' || chr(10) WHEN s.speaker = p.perspective THEN '<|assistant|>' || chr(10) ELSE '<|user ' || s.speaker || '|>' || chr(10) END AS head
   FROM said s JOIN people p ON s.conv_id IS NOT DISTINCT FROM p.conv_id),
 numbered AS (SELECT *, row_number() OVER (PARTITION BY conv_id, perspective, part ORDER BY turn NULLS FIRST, speaker, content) AS k FROM seen),

@@ -11,7 +11,7 @@ def rows():
     return [(*r, "p") for r in out]
 
 
-def brute(data):
+def brute(data, length=None):
     talks = {}
     for c, t, s, x, _ in data:
         talks.setdefault(c, []).append((t, s or "unknown", x or ""))
@@ -20,7 +20,11 @@ def brute(data):
         for who in {s for _, s, _ in said} - {"system"}:
             parts = {}
             for t, s, x in sorted(said, key=lambda m: (m[0] is not None, m[0] or 0, m[1], m[2])):
-                parts.setdefault(None if t is None else t // perspectives.TURNS, []).append((s, x))
+                if length and s == "system":
+                    for p in {u // length for u, _, _ in said if u is not None} - {None if t is None else t // length}:
+                        if t is None or p > t // length:
+                            parts.setdefault(p, []).append((s, x))
+                parts.setdefault(0 if not length else None if t is None else t // length, []).append((s, x))
             for part, messages in parts.items():
                 text, mask = "", []
                 for s, x in messages:
@@ -41,6 +45,19 @@ def test_matches_brute_force_and_sql(spark, tmp_path):
     assert set(con.execute(queries.SQL["op8_perspectives"]).fetchall()) == set(got)
 
 
+def test_parts_begin_with_the_system_turns(spark):
+    data = [(9, -1, "system", "Rule", "p"), (9, 300, "system", "New rule", "p"), *rows()]
+    got = perspectives.perspectives(spark.createDataFrame(data, SCHEMA), length=100).collect()
+    masks = lambda r: ",".join(f"{m['start']}:{m['end']}" for m in r["mask"])
+    assert {(r["conv_id"], r["perspective"], r["part"], r["n_messages"], r["rendered"], masks(r)) for r in got} == brute(data, 100)
+    assert all(r["messages"][0]["role"] == "system" for r in got if r["conv_id"] == 9)
+
+
+def test_long_dialogues_stay_whole(spark):
+    got = perspectives.perspectives(spark.createDataFrame([(*r, "p") for r in [(9, i, ["ann", "bob"][i % 2], f"t{i}") for i in range(5000)]], SCHEMA)).collect()
+    assert [r["n_messages"] for r in got] == [5000, 5000] and all(r["rendered"].count("<|end|>") == 5000 and len(r["mask"]) == 2500 for r in got)
+
+
 def test_messages_and_masks_agree(spark):
     for r in perspectives.perspectives(spark.createDataFrame(rows(), SCHEMA)).collect():
         own = [m["content"] for m in r["messages"] if m["loss"]]
