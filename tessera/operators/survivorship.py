@@ -75,14 +75,24 @@ def pair_score(pairs: DataFrame, *, most_frequency: int = 12) -> DataFrame:
     return scored.withColumn("verdict", F.when(F.size("blockers") > 0, "blocked").when(F.col("score") >= 6, "candidate").otherwise("weak"))
 
 
-def series_base(title: Column, suffixes: list[str], depth: int = 4) -> Column:
-    """A title without its variant suffixes, taken off up to ``depth`` times over."""
-    out = F.trim(F.coalesce(title, F.lit("")))
-    for _ in range(depth):
+def series_base(title: Column, suffixes: list[str]) -> Column:
+    """A title without its variant suffixes, taken off until none is left; never the whole title."""
+
+    def once(text: Column) -> Column:
         for s in suffixes:
-            shorter = F.regexp_replace(F.regexp_replace(out, s, ""), r"(?u)[\s:：~〜ー—–\-]+$", "")
-            out = F.when(shorter != "", shorter).otherwise(out)
-    return out
+            shorter = F.regexp_replace(F.regexp_replace(text, s, ""), r"(?u)[\s:：~〜ー—–\-]+$", "")
+            text = F.when(shorter != "", shorter).otherwise(text)
+        return text
+
+    start = F.trim(F.coalesce(title, F.lit("")))
+    # Each step takes off a character at least, so there are never more steps than characters.
+    first = F.struct(start.alias("text"), F.lit(False).alias("done"))
+
+    def step(acc: Column, _: Column) -> Column:
+        shorter = F.when(acc["done"], acc["text"]).otherwise(once(acc["text"]))
+        return F.struct(shorter.alias("text"), (acc["done"] | (shorter == acc["text"])).alias("done"))
+
+    return F.aggregate(F.sequence(F.lit(0), F.char_length(start)), first, step, lambda acc: acc["text"])
 
 
 def group_class(members: DataFrame, group: str, *, media: str, year: str, season: str) -> DataFrame:

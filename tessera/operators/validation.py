@@ -7,6 +7,8 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tessera.operators.skew import join_facts
+
 from tessera.functions import text as keys
 
 
@@ -102,14 +104,26 @@ def reconciled_events(events: DataFrame, current: DataFrame, key: str, time: str
 
 def anchors(rows: DataFrame, anchors_of: DataFrame, key: str, title: Column, anchor: str, anchor_title: str, least: int = 5) -> DataFrame:
     """Rows whose title equals an anchor's, or has it within (``least`` characters or more), by the
-    longest such anchor.  Equality is a join; containment looks up each title's substrings, so anchors
-    of any number need no nested loop.  Titles are short: a title of n characters has n² / 2 of them."""
-    lengths = anchors_of.select(F.char_length(anchor_title).alias("l")).where(F.col("l") >= least).distinct()
-    sizes = F.array_sort(F.array(*[F.lit(r["l"]) for r in lengths.limit(256).collect()] or [F.lit(None).cast("int")]))
-    titled = rows.select(F.col(key).alias("k"), title.alias("t"))
-    spans = F.flatten(F.transform(sizes, lambda n: F.when(F.char_length("t") >= n, F.transform(F.sequence(F.lit(1), F.char_length("t") - n + 1), lambda s: F.substring(F.col("t"), s, n))).otherwise(F.array().cast("array<string>"))))
-    parts = titled.select("k", F.explode(F.array_distinct(F.concat(spans, F.array("t")))).alias("part"), "t")
-    named = anchors_of.select(F.col(anchor).alias("anchor"), F.col(anchor_title).alias("part")).where("part <> ''")
-    found = parts.join(named, "part")
-    best = found.groupBy("k").agg(F.max_by(F.struct("anchor", (F.col("part") == F.col("t")).alias("equal")), F.struct(F.char_length("part").alias("l"), (-F.xxhash64("anchor")).alias("h"))).alias("b"), F.count("*").alias("n"))
+    longest such anchor.
+
+    Titles are cut into runs of ``least`` characters.  An anchor is looked up by the one of its runs
+    that the fewest titles have, and what meets there is compared in full, so anchors of any number
+    and length need neither a nested loop nor all substrings.
+    """
+
+    def runs(text: str) -> Column:
+        places = F.sequence(F.lit(1), F.char_length(text) - least + 1)
+        return F.when(F.char_length(text) >= least, F.transform(places, lambda s: F.struct(F.substring(F.col(text), s, least).alias("run"), s.alias("at")))).otherwise(F.array().cast("array<struct<run:string,at:int>>"))
+
+    titled = rows.select(F.col(key).alias("k"), title.alias("t")).where("t is not null")
+    cut = titled.select("k", "t", F.explode(runs("t")).alias("r")).select("k", "t", "r.run", "r.at")
+    named = anchors_of.select(F.col(anchor).alias("anchor"), F.col(anchor_title).alias("part")).where("part <> ''").distinct()
+    often = cut.groupBy("run").agg(F.count("*").alias("often"))
+    asked = join_facts(named.select("anchor", "part", F.explode(runs("part")).alias("r")).select("anchor", "part", "r.run", F.col("r.at").alias("offset")), often, "run", "left")
+    # A run that no title has ends the search for its anchor.
+    rarest = asked.groupBy("anchor", "part").agg(F.min_by(F.struct("run", "offset"), F.struct(F.coalesce("often", F.lit(0)), "offset")).alias("r")).select("anchor", "part", "r.run", "r.offset")
+    start = F.col("at") - F.col("offset") + 1
+    within = cut.join(rarest, "run").where((start >= 1) & (F.substring(F.col("t"), start, F.char_length("part")) == F.col("part"))).select("k", "t", "anchor", "part").distinct()
+    short = titled.join(named.where(F.char_length("part") < least), F.col("t") == F.col("part")).select("k", "t", "anchor", "part")
+    best = within.unionByName(short).groupBy("k").agg(F.max_by(F.struct("anchor", (F.col("part") == F.col("t")).alias("equal")), F.struct(F.char_length("part").alias("l"), (-F.xxhash64("anchor")).alias("h"))).alias("b"), F.count("*").alias("n"))
     return best.select(F.col("k").alias(key), "b.anchor", "b.equal", "n")

@@ -681,21 +681,54 @@ def title_keys(spark, d):
 
 
 @query("""
-WITH n AS (SELECT event_id, row_number() OVER (PARTITION BY date_trunc('hour', ts), user_id ORDER BY ts, event_id) AS h, row_number() OVER (PARTITION BY date_trunc('day', ts), event_type ORDER BY ts, event_id) AS d FROM events)
-SELECT event_id, CASE WHEN h > 2 THEN 'hour_user_id' WHEN d > 60 THEN 'day_event_type' END AS reason, h <= 2 AND d <= 60 AS admitted FROM n""")
+WITH RECURSIVE e AS (
+  SELECT event_id, date_trunc('day', ts) AS d, date_trunc('hour', ts) || ' ' || user_id AS u, event_type AS y, row_number() OVER (PARTITION BY date_trunc('day', ts) ORDER BY ts, event_id) AS n FROM events),
+s AS (
+  SELECT DISTINCT d, CAST(0 AS BIGINT) AS n, CAST([] AS VARCHAR[]) AS users, CAST([] AS VARCHAR[]) AS types, CAST(NULL AS BIGINT) AS event_id, CAST(NULL AS VARCHAR) AS reason FROM e
+  UNION ALL
+  SELECT d, n, CASE WHEN r IS NULL THEN list_append(users, u) ELSE users END, CASE WHEN r IS NULL THEN list_append(types, y) ELSE types END, event_id, r
+  FROM (SELECT e.*, s.users, s.types, CASE WHEN len(list_filter(s.users, lambda x: x = e.u)) >= 2 THEN 'hour_user_id' WHEN len(list_filter(s.types, lambda x: x = e.y)) >= 60 THEN 'day_event_type' END AS r
+    FROM s JOIN e ON e.d = s.d AND e.n = s.n + 1))
+SELECT event_id, reason, reason IS NULL AS admitted FROM s WHERE n > 0""")
 def rate_caps(spark, d):
     e = table(spark, d, "events").select("event_id", "ts", "user_id", "event_type")
-    return intake.capped(e, "ts", "event_id", [("hour", ["user_id"], 2), ("day", ["event_type"], 60)]).select("event_id", "reason", "admitted")
+    return intake.capped(e, "ts", "event_id", [intake.Cap(2, ("user_id",), "hour"), intake.Cap(60, ("event_type",), "day")]).select("event_id", "reason", "admitted")
 
 
 @query("""
-WITH l AS (SELECT event_id, ts, lag(ts) OVER (PARTITION BY user_id, event_type ORDER BY ts, event_id) AS b FROM events)
-SELECT event_id FROM l WHERE b IS NULL OR ts > b + INTERVAL 2 HOURS""")
+WITH RECURSIVE e AS (SELECT event_id, ts, user_id, event_type, row_number() OVER (PARTITION BY user_id, event_type ORDER BY ts, event_id) AS n FROM events),
+s AS (
+  SELECT event_id, user_id, event_type, n, ts AS stored, true AS kept FROM e WHERE n = 1
+  UNION ALL
+  SELECT e.event_id, e.user_id, e.event_type, e.n, CASE WHEN e.ts > s.stored + INTERVAL 2 HOURS THEN e.ts ELSE s.stored END, e.ts > s.stored + INTERVAL 2 HOURS
+  FROM s JOIN e ON e.user_id = s.user_id AND e.event_type = s.event_type AND e.n = s.n + 1)
+SELECT event_id FROM s WHERE kept""")
 def online_dedup(spark, d):
     e = table(spark, d, "events").select("event_id", "ts", "user_id", "event_type")
     return intake.first_within(e, ["user_id", "event_type"], "ts", "event_id", "2 HOURS").select("event_id")
 
 
+@query("""
+WITH RECURSIVE o AS (SELECT event_id, ts, user_id AS u, event_type AS y, event_id % 3 AS c, event_id % 97 = 0 AS is_switch, (event_id // 97) % 3 = 0 AS off FROM events),
+w AS (SELECT *, coalesce(last_value(CASE WHEN is_switch THEN off END IGNORE NULLS) OVER (ORDER BY ts, NOT is_switch, event_id), false) AS closed FROM o),
+e AS (SELECT *, row_number() OVER (PARTITION BY u ORDER BY ts, event_id) AS n FROM w WHERE NOT is_switch AND NOT closed),
+s AS (
+  SELECT DISTINCT u, CAST(0 AS BIGINT) AS n, CAST([] AS STRUCT(ts TIMESTAMP, y VARCHAR, c BIGINT)[]) AS held, CAST(NULL AS BIGINT) AS event_id, CAST(NULL AS VARCHAR) AS verdict FROM e
+  UNION ALL
+  SELECT u, n, CASE WHEN r = 'accepted' THEN list_append(live, {'ts': ts, 'y': y, 'c': c}) ELSE live END, event_id, r
+  FROM (SELECT *, CASE WHEN len(list_filter(live, lambda x: x.y = y)) >= 1 THEN 'duplicate' WHEN len(today) >= 3 OR len(live) >= 4 THEN 'daily_capacity' WHEN len(list_filter(today, lambda x: x.c = c)) >= 1 THEN 'rate_limited' ELSE 'accepted' END AS r
+    FROM (SELECT *, list_filter(live, lambda x: date_trunc('day', x.ts) = date_trunc('day', ts)) AS today
+      FROM (SELECT e.*, list_filter(s.held, lambda x: x.ts >= e.ts - INTERVAL 3 DAYS) AS live FROM s JOIN e ON e.u = s.u AND e.n = s.n + 1))))
+SELECT event_id, verdict FROM s WHERE n > 0 UNION ALL SELECT event_id, 'closed' FROM w WHERE NOT is_switch AND closed""")
+def intake_capacity(spark, d):
+    e = table(spark, d, "events").select("event_id", "ts", "user_id", "event_type")
+    switch = F.col("event_id") % 97 == 0
+    asked = intake.switched_off(e.where(~switch), e.where(switch).withColumn("disabled", F.floor(F.col("event_id") / 97) % 3 == 0), "ts", "event_id")
+    open_rows = asked.where(~F.col("closed")).withColumn("client", F.col("event_id") % 3)
+    taken = intake.inbox_verdicts(open_rows, intake.Inbox(3, 4, 1, "3 days"), "user_id", "ts", "event_id", "client", "event_type").select(F.col("tie_of").alias("event_id"), "verdict")
+    return taken.unionByName(asked.where("closed").select("event_id", F.lit("closed").alias("verdict")))
+
+
 @query("""
 WITH e AS (SELECT event_id, ts, user_id, CASE WHEN event_id % 2 = 0 THEN 'reserve' ELSE 'commit' END AS a FROM events),
 h AS (SELECT *, max(CASE WHEN a = 'reserve' THEN ts END) OVER (PARTITION BY user_id ORDER BY ts, event_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS r FROM e)

@@ -1,6 +1,7 @@
 import datetime as dt
 import gzip
 import hashlib
+import random
 
 import pytest
 from pyspark.sql import functions as F
@@ -74,7 +75,7 @@ SCHEMA = "event_id long, user string, ts timestamp, hash string"
 def test_admission_stream_equals_batch(spark, tmp_path):
     df = stream(spark, tmp_path, events(), SCHEMA)
     got = {r["tie_of"]: r["admitted"] for r in run(intake.admitted_stream(df, "user", "ts", "event_id", 2), "admitted")}
-    batch = intake.capped(spark.createDataFrame(events(), SCHEMA), "ts", "event_id", [("hour", ["user"], 2)])
+    batch = intake.capped(spark.createDataFrame(events(), SCHEMA), "ts", "event_id", [intake.Cap(2, ("user",), "hour")])
     assert got == {r["event_id"]: r["admitted"] for r in batch.collect()}
 
 
@@ -86,6 +87,79 @@ def test_duplicates_within_the_horizon_go(spark, tmp_path):
     assert {r["event_id"] for r in batch.collect()} == got
 
 
+def simulated(rows, caps, horizon=None):
+    """One event at a time against a list of what was accepted. rows: (id, time, keys, closed)."""
+    held, out = [], {}
+    for i, t, keys, closed in sorted(rows, key=lambda r: (r[1], r[0])):
+        reason = "closed" if closed else None
+        for cap in caps:
+            same = [x for x, k in held if all(k[c] == keys[c] for c in cap.keys)]
+            if cap.unit:
+                same = [x for x in same if x.date() == t.date() and (cap.unit == "day" or x.hour == t.hour)]
+            else:
+                same = [x for x in same if x >= t - dt.timedelta(hours=int(cap.span.split()[0]))]
+            if reason is None and len(same) >= cap.limit:
+                reason = cap.reason
+        if reason is None:
+            held.append((t, keys))
+        out[i] = reason
+    return out
+
+
+def test_refused_attempts_count_nowhere(spark):
+    rng = random.Random(4)
+    rows = [(i, START + dt.timedelta(minutes=rng.randint(0, 3000)), {"ip": rng.randint(0, 6), "net": rng.randint(0, 2), "hash": rng.randint(0, 40)}, rng.random() < 0.05) for i in range(400)]
+    caps = [intake.Cap(1, ("hash",), span="9 HOURS", name="duplicate"), intake.Cap(2, ("ip",), "hour"), intake.Cap(3, ("net",), "hour"), intake.Cap(60, (), "day"), intake.Cap(50, (), span="24 HOURS", name="stored")]
+    df = spark.createDataFrame([(i, t, k["ip"], k["net"], k["hash"], c) for i, t, k, c in rows], "row long, ts timestamp, ip int, net int, hash int, closed boolean").repartition(3)
+    got = {r["row"]: (r["reason"], r["admitted"]) for r in intake.capped(df, "ts", "row", caps, F.col("closed")).collect()}
+    want = simulated(rows, caps)
+    assert got == {i: (r, r is None) for i, r in want.items()} and len({r for r in want.values()}) >= 5
+    three = spark.createDataFrame([(1, START, "a", "n"), (2, START, "a", "n"), (3, START, "b", "n")], "id int, ts timestamp, ip string, net string")
+    small = intake.capped(three, "ts", "id", [intake.Cap(1, ("ip",), "hour"), intake.Cap(2, ("net",), "hour")])
+    assert {r["id"] for r in small.where("admitted").collect()} == {1, 3}
+    assert intake.capped(three.limit(0), "ts", "id", caps[1:2]).count() == 0
+
+
+def test_refused_repeats_extend_no_horizon(spark):
+    hours = [(i, "k", START + dt.timedelta(hours=i)) for i in range(7)]
+    got = intake.first_within(spark.createDataFrame(hours, "id int, key string, ts timestamp"), ["key"], "ts", "id", "2 HOURS")
+    assert {r["id"] for r in got.collect()} == {0, 3, 6}
+    rng = random.Random(5)
+    rows = [(i, rng.choice(["a", "b", None]), START + dt.timedelta(minutes=rng.randint(0, 900))) for i in range(300)]
+    want, last = set(), {}
+    for i, k, t in sorted(rows, key=lambda r: (r[2], r[0])):
+        if k not in last or t > last[k] + dt.timedelta(minutes=25):
+            want.add(i)
+            last[k] = t
+    got = intake.first_within(spark.createDataFrame(rows, "id int, key string, ts timestamp").repartition(3), ["key"], "ts", "id", "25 MINUTES")
+    assert {r["id"] for r in got.collect()} == want and got.columns == ["id", "key", "ts"]
+
+
+def test_kill_switch(spark):
+    e = spark.createDataFrame([(i, START + dt.timedelta(hours=11 * i)) for i in range(10)], "id int, ts timestamp")
+    s = spark.createDataFrame([(100, START + dt.timedelta(hours=20), True), (101, START + dt.timedelta(hours=77), False)], "id int, ts timestamp, disabled boolean")
+    got = {r["id"]: r["closed"] for r in intake.switched_off(e, s, "ts", "id").collect()}
+    assert got == {i: 20 <= 11 * i < 77 for i in range(10)}
+
+
+def test_inbox_in_batch_and_stream_equals_the_simulation(spark, tmp_path):
+    rng = random.Random(6)
+    rows = [(i, rng.choice(["x", "y"]), f"u{rng.randint(0, 4)}", START + dt.timedelta(minutes=13 * i), f"h{rng.randint(0, 30)}") for i in range(300)]
+    schema = "event_id long, inbox string, user string, ts timestamp, hash string"
+    rule = intake.Inbox(20, 24, 5, "30 hours")
+    caps = [intake.Cap(1, ("hash",), span="30 HOURS", name="duplicate"), intake.Cap(20, (), "day", name="daily_capacity"), intake.Cap(24, (), span="30 HOURS", name="daily_capacity"), intake.Cap(5, ("user",), "day", name="rate_limited")]
+    want = {}
+    for inbox in "xy":
+        want |= simulated([(i, t, {"user": u, "hash": h}, False) for i, x, u, t, h in rows if x == inbox], caps)
+    want = {i: r or "accepted" for i, r in want.items()}
+    assert set(want.values()) == {"accepted", "duplicate", "daily_capacity", "rate_limited"}
+    names = ("inbox", "ts", "event_id", "user", "hash")
+    batch = intake.inbox_verdicts(spark.createDataFrame(rows, schema).repartition(3), rule, *names)
+    assert {r["tie_of"]: r["verdict"] for r in batch.collect()} == want
+    got = {r["tie_of"]: r["verdict"] for r in run(intake.inbox_stream(stream(spark, tmp_path, rows, schema), rule, *names), "inbox")}
+    assert got == want
+
+
 def test_reservations(spark):
     rows = [(1, "k", START, "reserve"), (2, "k", START + dt.timedelta(minutes=5), "commit"), (3, "k", START + dt.timedelta(minutes=50), "commit"), (4, "z", START, "commit")]
     got = intake.reservations(spark.createDataFrame(rows, "id int, key string, ts timestamp, action string"), "key", "ts", "id", "action", "10 MINUTES")
