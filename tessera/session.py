@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 
@@ -9,9 +10,15 @@ from pyspark.sql import DataFrame, SparkSession
 
 
 def _shared_folder(spark: SparkSession) -> str:
-    """The cluster's checkpoint folder; only where none is set (tests, a laptop) is one made."""
+    """The cluster's checkpoint folder.
+
+    Where none is set, one is made if driver and executors are one process (tests, a laptop); on a
+    cluster that is an error, since executors would not see each other's folders.
+    """
     context = spark.sparkContext
     if not spark.conf.get("spark.checkpoint.dir", None) and not context.getCheckpointDir():
+        if not re.match(r"local(\[|$)", context.master):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         context.setCheckpointDir(tempfile.mkdtemp(prefix="tessera-checkpoint-"))
     return spark.conf.get("spark.checkpoint.dir", None) or context.getCheckpointDir()
 
