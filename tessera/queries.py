@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from tessera.functions import text as keys
 from tessera.functions import values
-from tessera.operators import aggregates, classify, creators, diff, entity, graph, matching, ranking, rules, survivorship, validation
+from tessera.operators import aggregates, classify, creators, diff, entity, graph, matching, published, ranking, rules, survivorship, validation
 from tessera.plans import catalog, incremental, release
 from tessera.session import table
 from tessera.sources import writers
@@ -1040,3 +1040,103 @@ def child_table_digest(spark, d):
 # Names under which the whole-table forms were first registered.
 for _name, _same in (("whole_key_matches", "multi_key_matches"), ("whole_candidate_groups", "candidate_groups")):
     QUERIES[_name], SQL[_name] = QUERIES[_same], SQL[_same]
+
+
+# -- what a public catalog shows ----------------------------------------------------------------
+
+_GRADES, _TERMINAL = ["S", "A", "B", "C", "D", "E"], ["assessed", "insufficient", "excluded"]
+
+
+@query("""
+WITH r AS (SELECT p_partkey // 4 AS g, p_partkey AS o, ['rated','rated','insufficient','excluded','assessed'][CAST(p_size % 5 AS INTEGER) + 1] AS state, CASE WHEN p_size % 5 < 2 OR p_size % 7 = 0 THEN ['S','A','B','C','D','E'][CAST(p_partkey * 7 % 6 AS INTEGER) + 1] END AS grade,
+  ['k' || (p_size % 9), 'k' || (p_partkey % 9)] AS classes, CASE WHEN p_size % 3 = 0 THEN p_name ELSE '' END AS reason, CASE WHEN p_size % 2 = 0 THEN 'u' || p_partkey END AS evidence, p_size % 7 AS rich, p_size % 11 = 0 AS research FROM part),
+i AS (SELECT *, CASE WHEN state = 'rated' AND grade IS NOT NULL THEN list_position(['S','A','B','C','D','E'], grade) END AS bad, coalesce(list_position(['assessed','insufficient','excluded'], state), 100) AS rank FROM r),
+f AS (SELECT *, max(bad) OVER w AS worst, min(rank) OVER w AS first_rank, bool_or(research) OVER w AS any_research FROM i WINDOW w AS (PARTITION BY g)),
+c AS (SELECT *, CASE WHEN worst IS NULL THEN rank = first_rank ELSE bad IS NOT DISTINCT FROM worst END AS candidate, ['S','A','B','C','D','E'][CAST(worst AS INTEGER)] AS sg FROM f),
+m AS (SELECT *, CASE WHEN sg IS NULL THEN candidate ELSE grade IS NOT DISTINCT FROM sg END AS same FROM c),
+s AS (SELECT * FROM m WHERE candidate QUALIFY row_number() OVER (PARTITION BY g ORDER BY rich DESC, o) = 1),
+w AS (SELECT * FROM m WHERE same AND reason <> '' QUALIFY row_number() OVER (PARTITION BY g ORDER BY length(reason) DESC, o) = 1),
+e AS (SELECT g, arg_min(evidence, o) AS evidence FROM m WHERE same AND evidence IS NOT NULL GROUP BY g),
+k AS (SELECT g, class, min(o * 10 + nth) AS place FROM (SELECT g, o, sg, unnest(classes) AS class, unnest([0, 1]) AS nth FROM m WHERE same) WHERE sg IS NULL OR ['S','A','B','C','D','E'][CAST(substr(class, 2)::INTEGER % 6 AS INTEGER) + 1] = sg GROUP BY g, class),
+l AS (SELECT g, string_agg(class, ',' ORDER BY place) AS classes FROM k GROUP BY g)
+SELECT s.g AS work, s.o AS selected, s.state, s.sg AS grade, coalesce(l.classes, '') AS classes, w.reason, CASE WHEN w.g IS NOT NULL THEN w.evidence ELSE coalesce(s.evidence, e.evidence) END AS evidence, s.any_research AS needs_research
+FROM s LEFT JOIN w USING (g) LEFT JOIN e USING (g) LEFT JOIN l USING (g)""")
+def merged_rating(spark, d):
+    size, part = F.col("p_size"), F.col("p_partkey")
+    pick = lambda options, k: F.element_at(F.array(*[F.lit(x) for x in options]), (k + 1).cast("int"))
+    records = table(spark, d, "part").select(
+        F.floor(part / 4).alias("work"), part.alias("ordinal"), pick(["rated", "rated", "insufficient", "excluded", "assessed"], size % 5).alias("state"),
+        F.when((size % 5 < 2) | (size % 7 == 0), pick(_GRADES, part * 7 % 6)).alias("grade"), F.array(F.concat(F.lit("k"), (size % 9).cast("string")), F.concat(F.lit("k"), (part % 9).cast("string"))).alias("classes"),
+        F.when(size % 3 == 0, F.col("p_name")).otherwise("").alias("reason"), F.when(size % 2 == 0, F.concat(F.lit("u"), part.cast("string"))).alias("evidence"), (size % 7).alias("richness"), (size % 11 == 0).alias("research"),
+    )
+    registry = spark.range(9).select(F.concat(F.lit("k"), F.col("id").cast("string")).alias("class"), pick(_GRADES, F.col("id") % 6).alias("grade"))
+    out = published.merged_rating(records, registry, "work", grades=_GRADES, terminal=_TERMINAL)
+    return out.withColumn("classes", F.array_join("classes", ","))
+
+
+@query("""
+WITH r AS (SELECT o_orderkey, CASE o_orderstatus WHEN 'F' THEN 0 WHEN 'O' THEN 1 ELSE 99 END AS s, CASE WHEN substr(o_orderpriority, 1, 1) BETWEEN '1' AND '4' THEN CAST(substr(o_orderpriority, 1, 1) AS INTEGER) - 1 ELSE 99 END AS g FROM orders)
+SELECT o_orderkey, row_number() OVER (PARTITION BY s, g ORDER BY o_orderkey) AS place, s AS state_rank, g AS grade_rank FROM r""")
+def display_order(spark, d):
+    o = table(spark, d, "orders")
+    state, grade, ordinal = published.display_order(F.col("o_orderstatus"), F.substring("o_orderpriority", 1, 1), F.col("o_orderkey"), ["F", "O"], ["1", "2", "3", "4"])
+    ranked = o.select("o_orderkey", state.alias("state_rank"), grade.alias("grade_rank"), ordinal.alias("k"))
+    return ranked.withColumn("place", F.row_number().over(Window.partitionBy("state_rank", "grade_rank").orderBy("k")).cast("long")).drop("k")
+
+
+@query("""
+SELECT o_orderkey, CASE o_orderkey % 3 WHEN 0 THEN o_orderstatus = 'F' AND o_custkey % 2 = 0 WHEN 1 THEN o_custkey % 5 <> 0 AND o_custkey % 7 = 0 ELSE o_custkey % 4 = 1 END AS shown FROM orders""")
+def exportable_docs(spark, d):
+    k, c = F.col("o_orderkey"), F.col("o_custkey")
+    collection = F.when(k % 3 == 0, "evidence").when(k % 3 == 1, "works").otherwise("creators")
+    status = F.when(k % 3 == 0, F.when(F.col("o_orderstatus") == "F", "confirmed").otherwise("open")).when(c % 4 == 1, " published ").when(c % 4 == 2, "archived")
+    shown = published.exportable(collection, status, F.when(c % 5 == 0, "archived").when(c % 3 == 0, ""), F.when(c % 7 == 0, "published"), c % 2 == 0)
+    return table(spark, d, "orders").select("o_orderkey", shown.alias("shown"))
+
+
+@query("""
+WITH m AS (SELECT *, ['RAIL', 'MAIL', 'SHIP', 'AIR', 'FOB'][CAST(l_suppkey % 5 AS INTEGER) + 1] AS source FROM lineitem),
+c AS (SELECT DISTINCT l_orderkey, source, l_returnflag || (l_linenumber % 2) AS value, coalesce(list_position(['SHIP', 'AIR', 'RAIL'], source), 999) AS rank FROM m),
+b AS (SELECT *, row_number() OVER (PARTITION BY l_orderkey ORDER BY rank, source, value) AS n FROM c), f AS (SELECT l_orderkey, source, value FROM b WHERE n = 1)
+SELECT f.l_orderkey, f.source, f.value, coalesce(string_agg(DISTINCT CASE WHEN c.value <> f.value THEN c.source || '=' || c.value END, ',' ORDER BY CASE WHEN c.value <> f.value THEN c.source || '=' || c.value END), '') AS conflicts
+FROM f JOIN c USING (l_orderkey) GROUP BY 1, 2, 3""")
+def source_conflicts(spark, d):
+    source = F.element_at(F.array(*[F.lit(x) for x in ("RAIL", "MAIL", "SHIP", "AIR", "FOB")]), (F.col("l_suppkey") % 5 + 1).cast("int"))
+    claims = table(spark, d, "lineitem").select("l_orderkey", source.alias("source"), F.concat("l_returnflag", (F.col("l_linenumber") % 2).cast("string")).alias("v"))
+    out = published.by_source_priority(claims, ["l_orderkey"], "source", "v", ["SHIP", "AIR", "RAIL"])
+    return out.select("l_orderkey", "source", "value", F.array_join("conflicts", ",").alias("conflicts"))
+
+
+@query("SELECT o_orderkey, coalesce(n, 0) AS attachments, coalesce(b, 0) AS bytes FROM orders LEFT JOIN (SELECT l_orderkey, count(*) AS n, CAST(sum(l_linenumber) AS BIGINT) AS b FROM lineitem WHERE l_partkey % 3 = 0 GROUP BY 1) ON l_orderkey = o_orderkey")
+def attachment_counts(spark, d):
+    files = table(spark, d, "lineitem").where("l_partkey % 3 = 0").select(F.col("l_orderkey").alias("o_orderkey"), F.col("l_linenumber").cast("long").alias("size"))
+    return published.counted_attachments(table(spark, d, "orders").select("o_orderkey"), files, "o_orderkey", "size")
+
+
+@query(r"""
+WITH u AS (SELECT page_id, unnest(regexp_extract_all(url || ' "HTTP://x.org/v' || page_id || '?a" ' || coalesce(html, ''), '(?i)https?://[^\s"''<>]+')) AS found FROM pages)
+SELECT page_id, count(*) AS n, max(CASE WHEN regexp_matches(found, '(?i)^https?://(www\.)?x\.org/v[0-9]+') THEN regexp_extract(found, '(?i)^https?://(?:www\.)?x\.org/v([0-9]+)', 1) END) AS site_id FROM u GROUP BY 1""")
+def found_urls(spark, d):
+    text = F.concat(F.col("url"), F.lit(' "HTTP://x.org/v'), F.col("page_id").cast("string"), F.lit('?a" '), F.coalesce("html", F.lit("")))
+    found = table(spark, d, "pages").select("page_id", F.explode(published.urls(text)).alias("found"))
+    return found.groupBy("page_id").agg(F.count("*").alias("n"), F.max(published.site_id(F.col("found"), r"x\.org", "v([0-9]+)")).alias("site_id"))
+
+
+@query("""
+SELECT p_partkey, replace(p_name, '#', 'no') AS series, CASE WHEN p_partkey % 5 < 3 THEN CAST(p_size AS VARCHAR) ELSE '' END AS volume FROM part""")
+def series_titles(spark, d):
+    size, k = F.col("p_size").cast("string"), F.col("p_partkey") % 5
+    tail = F.when(k == 0, F.concat(F.lit(" （ "), size, F.lit(" )"))).when(k == 1, F.concat(F.lit(" 第"), size, F.lit("巻"))).when(k == 2, F.concat(F.lit("第"), size, F.lit("集"))).otherwise("")
+    title = F.concat(F.regexp_replace("p_name", "#", "no"), tail)
+    series, volume = published.series_title(title)
+    return table(spark, d, "part").select("p_partkey", series.alias("series"), volume.alias("volume"))
+
+
+@query("""
+WITH e AS (SELECT s_suppkey, s_name AS n, s_suppkey % 3 AS k, s_nationkey AS x FROM supplier)
+SELECT s_suppkey, n AS name, 'committee' AS role, NULL::VARCHAR AS member_of FROM e WHERE k < 2
+UNION ALL SELECT s_suppkey, 'a' || x, 'committee_member', n FROM e WHERE k = 0 UNION ALL SELECT s_suppkey, 'b', 'committee_member', n FROM e WHERE k = 0 UNION ALL SELECT s_suppkey, 'c', 'committee', NULL FROM e WHERE k = 1""")
+def committee_members(spark, d):
+    k = F.col("s_suppkey") % 3
+    text = F.when(k == 0, F.concat("s_name", F.lit(" （a"), F.col("s_nationkey").cast("string"), F.lit("、 b）"))).when(k == 1, F.concat("s_name", F.lit(" / c")))
+    return published.committee(table(spark, d, "supplier").select("s_suppkey", text.alias("entry")), "entry").drop("entry")
