@@ -37,3 +37,22 @@ def test_stages_take_effect(spark, tmp_path):
 def test_pipeline_on_an_empty_table(spark, tmp_path):
     spark.createDataFrame([], "doc_id long, text string, lang string, source string, n_chars long").write.parquet(str(tmp_path / "documents.parquet"))
     assert corpus_pipeline.run(spark, str(tmp_path)).count() == 0
+
+
+def test_stages_keep_extra_columns_and_stand_repeated_and_long_rows(spark, tmp_path):
+    text = " ".join(f"word{k * 7 % 211} the of and" for k in range(60))
+    long = " ".join(f"tale{k % 977} of the and {k}" for k in range(60_000))
+    rows = [(1, text, "en", "a", len(text), 1, "k"), (1, text, "en", "a", len(text), 1, "k"), (2, long, "en", None, len(long), 2, None), (None, None, None, None, None, 3, None), (3, "", "en", "a", 0, 4, None)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long, times int, Key_Of_Doc string")
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        before = docs
+        docs = stage(spark, before, str(tmp_path))
+        assert docs.columns == before.columns
+        docs.write.parquet(str(tmp_path / name))
+        docs = spark.read.parquet(str(tmp_path / name))
+        found = sorted((r["doc_id"] or -1, r["times"]) for r in docs.collect())
+        if name == "language":
+            assert found == [(1, 1), (1, 1), (2, 2)]
+        if name in ("near_duplicates", "secrets"):
+            assert found == [(1, 1), (2, 2)]
+    assert corpus_pipeline.STAGES[-1][1](spark, docs, str(tmp_path)).count() == docs.count()

@@ -2,6 +2,8 @@ import hashlib
 import random
 import re
 
+from pyspark.sql import functions as F
+
 from tessera.llm import secrets
 
 
@@ -58,3 +60,29 @@ def test_live_secrets_are_replaced(spark):
 def test_empty_table(spark):
     empty = spark.createDataFrame([], SCHEMA)
     assert secrets.secrets(empty, ["doc_id"]).count() == 0 and secrets.redacted(empty).count() == 0
+
+
+def test_prefilter_passes_every_candidate(spark):
+    import random
+
+    rng = random.Random(9)
+    parts = ["password", "Passwd", "SECRET", "token", "api_key", "apikey", "pwd", "private_key", "AKIA", "ghp_", "sk_live_", "xoxb-", "AIza", "glpat-", "=", ":", '"', " ", "0123456789abcdef", "ABCDEFGH0123456789", "x", "longvalue12345678", "\u017f", "\u212a"]
+    texts = ["".join(rng.choice(parts) for _ in range(rng.randint(1, 7))) for _ in range(4000)]
+    df = spark.createDataFrame(list(enumerate(texts)), "i int, t string").select("i", secrets.may_hold(F.col("t")).alias("may"))
+    may = {r["i"]: r["may"] for r in df.collect()}
+    hits = [i for i, t in enumerate(texts) if secrets.candidates(t)[1]]
+    assert len(hits) > 500 and all(may[i] for i in hits) and not all(may.values())
+
+
+def test_redaction_of_odd_rows(spark):
+    long = "word " * 50_000 + " ".join(f"password=secretvalue{i:06d}" for i in range(300))
+    rows = [(1, "token=abcdefghijkl9 end", "s", 5, "x"), (1, "token=abcdefghijkl9 end", "s", 5, "x"), (2, None, None, None, "y"), (3, "", "s", 0, "z"), (4, long, "s", 1, "w"), (None, "secret: qwertyuiop12", "t", 7, "v")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string, n_chars long, Row_Of string")
+    got = secrets.redacted(docs).collect()
+    assert got[0].__fields__ == docs.columns and len(got) == len(rows)
+    by_id = {}
+    for r in got:
+        by_id.setdefault(r["doc_id"], []).append(r)
+    assert [r["text"] for r in by_id[1]] == ["[SECRET] end"] * 2 and by_id[2][0]["text"] is None and by_id[3][0]["text"] == ""
+    assert by_id[4][0]["text"] == "word " * 50_000 + " ".join(["[SECRET]"] * 300) and by_id[4][0]["n_chars"] == len(by_id[4][0]["text"])
+    assert by_id[None][0]["text"] == "[SECRET]" and secrets.redacted(docs.limit(0)).count() == 0
