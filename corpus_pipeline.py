@@ -1,7 +1,8 @@
 """From raw documents to token ids: language, near duplicates, secrets, mixture, tokens.
 
 Each stage takes (spark, docs, folder of the tables) and works on every row that the one before
-kept.  All but the last return the columns of documents.
+kept.  All but the last return the columns of documents, extra ones of any name too.  An empty table
+gives an empty result in every stage, and any column may be null.
 """
 
 from __future__ import annotations
@@ -15,27 +16,42 @@ from tessera.session import stored, table
 
 
 def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents whose language can be told; the others go."""
+    """Documents whose language can be told; the others go.
+
+    Null and empty texts and texts without a letter go; repeated rows stay or go together.
+    """
     return language.identified(docs)
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each near-duplicate group."""
+    """One document of each near-duplicate group, the least id (nulls last), then the least hash.
+
+    Null and empty texts are one group; of repeated rows one stays.
+    """
     return simhash.representatives(docs)
 
 
 def redact_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """All documents, with live-looking secrets replaced; widely copied examples stay."""
+    """All documents, with live-looking secrets replaced; widely copied examples stay.
+
+    Rows stay one for one, null and empty texts as they are.
+    """
     return secrets.redacted(docs)
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents as often as the mix of sources takes them."""
+    """Documents as often as the mix of sources takes them, none to three times.
+
+    Texts without a word are not taken; a null source is one like any other.
+    """
     return mixture.mixed(docs)
 
 
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Token ids of every document of the mix, with the digest of the text that they decode to."""
+    """Token ids of every document of the mix, with the digest of the text that they decode to.
+
+    Rows stay one for one; null and empty texts have no ids.
+    """
     both = bpe.round_trip(docs, ["doc_id", "lang", "source"], VOCABULARY)
     return both.select("doc_id", "lang", "source", F.size("tokens").cast("long").alias("n_tokens"), "tokens", F.sha2("decoded", 256).alias("decoded_sha256"))
 
