@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from tessera.functions import text as keys
 from tessera.functions import values
-from tessera.operators import aggregates, classify, creators, diff, entity, graph, matching, published, ranking, rules, survivorship, validation
+from tessera.operators import aggregates, audits, classify, creators, diff, entity, graph, matching, published, ranking, rules, survivorship, validation
 from tessera.plans import catalog, incremental, release
 from tessera.session import table
 from tessera.sources import writers
@@ -1140,3 +1140,113 @@ def committee_members(spark, d):
     k = F.col("s_suppkey") % 3
     text = F.when(k == 0, F.concat("s_name", F.lit(" （a"), F.col("s_nationkey").cast("string"), F.lit("、 b）"))).when(k == 1, F.concat("s_name", F.lit(" / c")))
     return published.committee(table(spark, d, "supplier").select("s_suppkey", text.alias("entry")), "entry").drop("entry")
+
+
+# -- audits and links ---------------------------------------------------------------------------
+
+
+@query("""
+WITH h AS (SELECT l_orderkey, l_partkey, l_linenumber, CASE WHEN l_suppkey % 7 > 0 THEN l_suppkey % 7 ELSE -1 END AS t, l_returnflag <> 'N' AS ok, l_partkey % 2 = 0 AS done FROM lineitem)
+SELECT l_orderkey, l_linenumber AS latest, CASE WHEN NOT ok THEN 'latest_available_invalid' WHEN done THEN 'latest_structurally_valid_complete' ELSE 'latest_structurally_valid_incomplete' END AS status
+FROM h QUALIFY row_number() OVER (PARTITION BY l_orderkey ORDER BY ok DESC, t DESC, l_linenumber DESC, l_partkey DESC) = 1""")
+def latest_candidates(spark, d):
+    when = F.when(F.col("l_suppkey") % 7 > 0, F.col("l_suppkey") % 7)
+    out = audits.latest_candidate(table(spark, d, "lineitem"), "l_orderkey", [when, F.col("l_linenumber"), F.col("l_partkey")], F.col("l_returnflag") != "N", F.col("l_partkey") % 2 == 0)
+    return out.select("l_orderkey", F.col("candidate.l_linenumber").alias("latest"), "status")
+
+
+@query("""
+SELECT o_orderkey, c.c_custkey IS NOT NULL AS doc_found, CASE WHEN c.c_custkey IS NOT NULL AND (c.c_custkey % 5 = 0 OR c.c_custkey % 7 <> 0) THEN 'keep' ELSE 'omit_from_search_index' END AS action
+FROM orders LEFT JOIN customer c ON c.c_custkey = o_custkey AND c.c_custkey % 3 <> 0""")
+def index_actions(spark, d):
+    k = F.col("c_custkey")
+    docs = table(spark, d, "customer").where(k % 3 != 0).select(k.alias("slug"), F.when(k % 5 != 0, k % 7 != 0).alias("visible"))
+    return audits.index_actions(table(spark, d, "orders").select("o_orderkey", F.col("o_custkey").alias("slug")), docs, "slug", "visible").select("o_orderkey", "doc_found", "action")
+
+
+@query("""
+WITH w AS (SELECT p_partkey AS id, p_size % 4 AS score, p_brand || '|unknown' AS m, lower(p_name) AS t, ['s' || (p_partkey // 7), 'alias ' || (p_partkey // 9)] AS more, ['mal:' || (p_partkey // 5), 'iso:' || (p_partkey // 5), 'iso:' || (p_partkey // 11)] AS s FROM part),
+c AS (SELECT id, score, 'source_key' AS kind, unnest(s) AS key, unnest([0, 1, 2]) AS nth FROM w
+  UNION ALL SELECT id, score, 'primary_title_media', m || '|' || t, 0 FROM w UNION ALL SELECT id, score, 'primary_title_only', t, 0 FROM w
+  UNION ALL SELECT id, score, 'alias_title_media', m || '|' || unnest([t] || more), unnest([0, 1, 2]) FROM w UNION ALL SELECT id, score, 'alias_title_only', unnest([t] || more), unnest([0, 1, 2]) FROM w),
+k AS (SELECT id, score, kind, key, min(nth) AS nth FROM c GROUP BY ALL),
+g AS (SELECT kind, key, count(*) AS n, arg_max(id, CAST(score AS BIGINT) * 1000000000 - id) AS keep, min(id * 10 + nth) AS place, string_agg(CAST(id AS VARCHAR), ',' ORDER BY id) AS members FROM k GROUP BY 1, 2 HAVING count(*) > 1),
+r AS (SELECT *, CASE WHEN kind = 'source_key' THEN CASE WHEN key LIKE 'iso:%' THEN 0 ELSE 3 END WHEN kind LIKE '%media' THEN 1 WHEN length(key) >= 6 THEN 2 ELSE 3 END AS rank FROM g)
+SELECT kind, key, ['high', 'medium', 'low', 'review'][rank + 1] AS confidence, n, keep FROM r QUALIFY row_number() OVER (PARTITION BY kind, members ORDER BY rank, place) = 1""")
+def duplicate_groups(spark, d):
+    by = lambda prefix, n: F.concat(F.lit(prefix), F.floor(F.col("p_partkey") / n).cast("string"))
+    title = F.lower("p_name")
+    works = table(spark, d, "part").select(
+        "p_partkey", F.col("p_brand").alias("media_group"), F.lit("").alias("media_type"), title.alias("primary"), F.array(title, by("s", 7), by("alias ", 9)).alias("titles"),
+        F.array(by("mal:", 5), by("iso:", 5), by("iso:", 11)).alias("source_keys"), (F.col("p_size") % 4).alias("score"),
+    )
+    return audits.duplicate_groups(works, "p_partkey", ["iso"])
+
+
+@query("""
+WITH r AS (SELECT o_orderkey, ['http://a/' || (o_custkey % 3), CASE WHEN o_custkey % 2 = 0 THEN 'http://a/1' ELSE '' END] AS u, o_orderkey % 4 AS told, ['multiple_secondary_supported', 'single_secondary_supported', 'unknown'][CAST(o_orderkey % 3 AS INTEGER) + 1] AS s FROM orders),
+t AS (SELECT *, len(list_distinct(list_filter(u, lambda x: x <> ''))) AS n, u[2] = '' AS unlinked FROM r),
+p AS (SELECT o_orderkey, n, s = 'multiple_secondary_supported' AND n < 2 AS b, concat_ws(',', CASE WHEN told <> n THEN 'declared_count_differs' END, CASE WHEN unlinked THEN 'unlinked_secondary' END) AS w FROM t)
+SELECT o_orderkey, n AS traceable, CASE WHEN b THEN 'fewer_than_two_traceable' ELSE '' END AS blockers, w AS warnings, CASE WHEN b THEN 'blocked' WHEN w <> '' THEN 'warning' ELSE 'ok' END AS status FROM p""")
+def provenance_audit(spark, d):
+    k, c = F.col("o_orderkey"), F.col("o_custkey")
+    source = lambda u: F.struct(u.alias("url"), F.lit("secondary_web").alias("kind"))
+    sources = F.array(source(F.concat(F.lit("http://a/"), (c % 3).cast("string"), F.lit("/"))), source(F.when(c % 2 == 0, "http://a/1").otherwise("")))
+    state = F.when(k % 3 == 0, "multiple_secondary_supported").when(k % 3 == 1, "single_secondary_supported")
+    a = table(spark, d, "orders").select("o_orderkey", audits.provenance_audit(sources, k % 4, state).alias("a"))
+    return a.select("o_orderkey", "a.traceable", F.array_join("a.blockers", ",").alias("blockers"), F.array_join("a.warnings", ",").alias("warnings"), "a.status")
+
+
+@query("""
+SELECT p_partkey, concat_ws(',', CASE WHEN p_size % 3 = 0 THEN 'text:title' END, CASE WHEN p_size % 4 < 2 THEN 'array:sources:' || (p_size % 4) || '/2' END,
+  CASE WHEN p_partkey % 5 = 0 THEN 'map:findings' END, CASE WHEN p_partkey % 5 <> 0 AND p_partkey % 2 = 0 THEN 'finding:pace' END, CASE WHEN p_partkey % 5 <> 0 THEN 'finding:tone' END) AS problems FROM part""")
+def research_problems(spark, d):
+    k, size = F.col("p_partkey"), F.col("p_size")
+    rows = table(spark, d, "part").select("p_partkey", F.when(size % 3 != 0, F.col("p_name")).otherwise(" ").alias("title"), F.array_repeat("p_brand", (size % 4).cast("int")).alias("sources"), F.when(k % 5 != 0, F.create_map(F.lit("pace"), F.when(k % 2 != 0, "slow").otherwise(""))).alias("findings"))
+    return rows.select("p_partkey", F.array_join(audits.research_problems(["title"], {"sources": 2}, "findings", ["pace", "tone"]), ",").alias("problems"))
+
+
+@query("""
+WITH e AS (SELECT s_suppkey AS e, CASE WHEN s_suppkey % 3 = 0 THEN ['a' || (s_suppkey // 2), 'b' || s_nationkey] ELSE [] END AS keys, 'n' || s_nationkey AS name FROM supplier),
+r AS (SELECT p_partkey AS r, ['a' || (p_partkey % 40), 'b' || p_size] AS keys, 'n' || (p_size % 30) AS name FROM part),
+bk AS (SELECT k, count(*) AS n, min(e) AS e FROM (SELECT e, unnest(keys) AS k FROM e) GROUP BY k),
+bn AS (SELECT name, count(*) AS n, min(e) AS e1, count(*) FILTER (len(keys) > 0) AS w, min(e) FILTER (len(keys) > 0) AS e2 FROM e GROUP BY name),
+h AS (SELECT r, n, e FROM (SELECT r, unnest(keys) AS k, unnest([0, 1]) AS nth FROM r) JOIN bk USING (k) QUALIFY row_number() OVER (PARTITION BY r ORDER BY nth) = 1),
+o AS (SELECT r.r, h.e, e1, e2, CASE WHEN h.n = 1 THEN 'key' WHEN h.n > 1 THEN 'ambiguous_key' WHEN bn.n = 1 THEN 'name' WHEN w = 1 THEN 'name_with_keys' WHEN bn.n > 1 THEN 'ambiguous_name' ELSE 'missing' END AS how FROM r LEFT JOIN h ON h.r = r.r LEFT JOIN bn ON bn.name = r.name)
+SELECT r AS p_partkey, how AS matched_by, CASE how WHEN 'key' THEN e WHEN 'name' THEN e1 WHEN 'name_with_keys' THEN e2 END AS s_suppkey FROM o""")
+def reference_links(spark, d):
+    word = lambda prefix, c: F.concat(F.lit(prefix), c.cast("string"))
+    k, nation = F.col("s_suppkey"), F.col("s_nationkey")
+    entries = table(spark, d, "supplier").select(k, F.when(k % 3 == 0, F.array(word("a", F.floor(k / 2)), word("b", nation))).alias("keys"), word("n", nation).alias("name"))
+    refs = table(spark, d, "part").select("p_partkey", F.array(word("a", F.col("p_partkey") % 40), word("b", F.col("p_size"))).alias("keys"), word("n", F.col("p_size") % 30).alias("name"))
+    return audits.reference_links(refs, entries, "p_partkey", "s_suppkey")
+
+
+@query("""
+WITH k AS (SELECT s_suppkey, 'k' || (s_suppkey // 2) AS k FROM supplier WHERE s_suppkey % 5 < 3)
+SELECT s_suppkey, 'shared_key' AS problem, k AS what FROM k WHERE k IN (SELECT k FROM k GROUP BY k HAVING count(*) > 1)
+UNION ALL SELECT s_suppkey, 'id_not_below_next', '8' FROM supplier WHERE s_suppkey >= 8 UNION ALL SELECT s_suppkey, 'conflicting_provider_ids', 'p' FROM supplier WHERE s_nationkey % 2 = 1""")
+def creator_problems(spark, d):
+    k, nation = F.col("s_suppkey"), F.col("s_nationkey")
+    identity = lambda p, v: F.struct(F.lit(p).alias("provider"), v.cast("string").alias("value"))
+    creators = table(spark, d, "supplier").select(k, F.when(k % 5 < 3, F.array(F.concat(F.lit("k"), F.floor(k / 2).cast("string")))).alias("keys"), F.array(identity("p", nation), identity("p", nation - nation % 2), identity("q", k)).alias("identities"))
+    return audits.creator_problems(creators, "s_suppkey", 8)
+
+
+@query("""
+WITH m AS (SELECT o_custkey AS c, o_orderkey AS id, o_orderkey <> o_custkey AS other, ['A' || (o_orderkey % 4), 'a' || (o_orderkey % 3)] AS al, CASE WHEN o_orderkey % 3 = 0 THEN o_orderpriority END AS f, CASE WHEN o_orderkey % 5 = 0 THEN 'y' || o_orderkey END AS y, CASE WHEN o_orderkey % 2 = 0 THEN 's' || o_orderkey END AS s, o_orderkey % 8 = 0 AS src FROM orders),
+r AS (SELECT c_custkey AS c, 'a' || (c_custkey % 5) AS title, CASE WHEN c_custkey % 2 = 0 THEN 'own' END AS y, CASE WHEN c_custkey % 3 = 0 THEN 'text' END AS s FROM customer),
+o AS (SELECT c, unnest(al) AS alias, other, id, unnest([0, 1]) AS nth FROM m),
+a AS (SELECT c, alias, other, id, nth FROM o QUALIFY row_number() OVER (PARTITION BY c, lower(alias) ORDER BY other, id, nth) = 1),
+l AS (SELECT a.c, string_agg(alias, ',' ORDER BY other, id, nth) AS aliases FROM a JOIN r USING (c) WHERE lower(alias) <> title GROUP BY 1),
+f AS (SELECT c, arg_min(f, (other, id)) FILTER (f IS NOT NULL) AS f, arg_min(y, (other, id)) FILTER (y IS NOT NULL) AS y, arg_min(s, (other, id)) FILTER (s IS NOT NULL) AS s, arg_min(s, (other, id)) FILTER (s IS NOT NULL AND src) AS src FROM m GROUP BY 1)
+SELECT r.c AS c_custkey, title, coalesce(aliases, '') AS aliases, coalesce(f.f, 'none') AS format, coalesce(r.y, f.y) AS first_published, coalesce(src, r.s, f.s) AS summary FROM r LEFT JOIN l USING (c) LEFT JOIN f USING (c)""")
+def metadata_overlay(spark, d):
+    k, c = F.col("o_orderkey"), F.col("c_custkey")
+    word = lambda prefix, x: F.concat(F.lit(prefix), x.cast("string"))
+    members = table(spark, d, "orders").select(
+        F.col("o_custkey").alias("c_custkey"), k, F.array(word("A", k % 4), word("a", k % 3)).alias("aliases"), F.when(k % 3 == 0, F.col("o_orderpriority")).alias("format"),
+        F.when(k % 5 == 0, word("y", k)).alias("first_published"), F.when(k % 2 == 0, word("s", k)).alias("summary"), F.when(k % 8 == 0, "source_summary").alias("summary_kind"),
+    )
+    records = table(spark, d, "customer").select(c, word("a", c % 5).alias("title"), F.array().cast("array<string>").alias("aliases"), F.lit("none").alias("format"), F.when(c % 2 == 0, "own").alias("first_published"), F.when(c % 3 == 0, "text").alias("summary"))
+    return audits.metadata_overlay(records, members, "c_custkey", "o_orderkey", "o_orderkey").withColumn("aliases", F.array_join("aliases", ","))
