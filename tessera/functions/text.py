@@ -163,3 +163,38 @@ def natural_key(text: Column, width: int = 12) -> Column:
     """A sort key in which runs of digits compare as numbers."""
     parts = F.regexp_extract_all(F.coalesce(text, F.lit("")), F.lit(r"\d+|\D+"), F.lit(0))
     return F.array_join(F.transform(parts, lambda p: F.when(p.rlike(r"^\d"), F.lpad(F.regexp_replace(p, "^0+(?=.)", ""), width, "0")).otherwise(p)), "")
+
+
+# Labels before a credited name, words of a publication note, letters of badly decoded text.
+CREDIT_LABELS = """音乐制作协力 音樂製作協力 音楽制作協力 音楽製作協力 音乐协力 音樂協力 音楽協力 音乐制作 音樂製作 音楽制作 音楽製作 协力 協力 製作协力 製作協力
+制作协力 制作協力 原案协力 原案協力 故事原案 漫画 漫畫 漫画版 漫畫版 原著 动画人物设定 動畫人物設定 動画人物設定 人物设定 人物設定 角色设计 角色設計 キャラクターデザイン キャラクター原案""".split()
+PUBLICATION_WORDS = "刊 連載 连载 掲載 コミック COMIC まんが 漫画 月刊 芳文社 KADOKAWA 一迅社 SBクリエイティブ マッグガーデン".split()
+BADLY_DECODED = "ÃÂãäåæçèéêëìíîïðñòóôõöøùúûüýþ�"
+
+
+def credit_name(text: Column) -> Column:
+    """A credited name without labels, notes in brackets, titles and footnotes; empty if nothing else is there."""
+    name = F.trim(F.coalesce(text, F.lit("")))
+    for label in CREDIT_LABELS:
+        name = F.regexp_replace(name, rf"(?U)^{label}[:：]\s*", "")
+    for pattern, by in (
+        (rf"(?iuU)[（(][^（）()]*(?:{'|'.join(PUBLICATION_WORDS)})[^（）()]*[）)]?", ""),
+        (r"(?U)[（(]\s*[0-9]+(?:\s*-\s*[0-9]+)?\s*[）)]?$", ""),
+        (r"(?U)^(.+?)\s*[（(][^（）()]+[）)]$", "$1"),
+        (r"(?U)^(.+?)\s*[［\[][^\[\]［］]+[］\]]$", "$1"),
+        (r"(?U)\s*[（(][^（）()]+$", ""),
+        ("^(.+?)[「『《][^」』》]+[」』》]$", "$1"),
+        ("^[（(]+|[）)]+$", ""),
+        (r"(?U)\s+", " "),
+    ):
+        name = F.regexp_replace(name, pattern, by)
+    name = F.trim(name)
+    note = name.rlike(r"(?U)^[0-9]+(?:\s*-\s*[0-9]+)?[）)]?$") | name.rlike(r"(?U)^[\p{L}ー・\s]+刊[）)]?$")
+    return F.when(note, "").otherwise(name)
+
+
+def badly_decoded(text: Column) -> Column:
+    """Whether text looks decoded in a wrong charset: three such letters or more, and over 8 % of all."""
+    plain = F.trim(F.coalesce(text, F.lit("")))
+    bad = F.char_length(plain) - F.char_length(F.translate(plain, BADLY_DECODED, ""))
+    return (bad >= 3) & (bad > 0.08 * F.char_length(plain))

@@ -208,3 +208,22 @@ def rich_text(document: Column) -> Column:
         return texts.map(one)
 
     return read(document)
+
+
+def review_order(priority: Column, priorities: list[str], source: Column, issue: Column, title: Column, other_title: Column) -> list[Column]:
+    """Sort keys of a review queue: priority (unknown last), source, issue, then the title or its stand-in."""
+    place = F.array_position(F.array(*[F.lit(p) for p in priorities]), F.coalesce(priority, F.lit("")))
+    return [F.when(place == 0, len(priorities) + 1).otherwise(place.cast("int")), source, issue, F.coalesce(_filled(title), other_title)]
+
+
+def fingerprint(rows: DataFrame, columns: list[str]) -> DataFrame:
+    """One row for a table's contents in any order: rows, and two sums of row hashes."""
+    whole = F.to_json(F.struct(*columns), {"ignoreNullFields": "false"})
+    sums = [F.coalesce(F.sum(F.xxhash64(whole, F.lit(i)).cast("decimal(20,0)")), F.lit(0)).cast("decimal(38,0)").alias(f"s{i}") for i in (1, 2)]
+    return rows.agg(F.count("*").alias("rows"), *sums)
+
+
+def same_contents(before: DataFrame, after: DataFrame, columns: list[str]) -> DataFrame:
+    """Whether two tables hold the same rows as often, by their fingerprints, as after an exact rollback."""
+    sides = fingerprint(before, columns).withColumn("side", F.lit(0)).unionByName(fingerprint(after, columns).withColumn("side", F.lit(1)))
+    return sides.agg(F.max_by("rows", F.lit(1) - F.col("side")).alias("rows_before"), F.max_by("rows", "side").alias("rows_after"), (F.count_distinct("rows", "s1", "s2") == 1).alias("same"))

@@ -1250,3 +1250,44 @@ def metadata_overlay(spark, d):
     )
     records = table(spark, d, "customer").select(c, word("a", c % 5).alias("title"), F.array().cast("array<string>").alias("aliases"), F.lit("none").alias("format"), F.when(c % 2 == 0, "own").alias("first_published"), F.when(c % 3 == 0, "text").alias("summary"))
     return audits.metadata_overlay(records, members, "c_custkey", "o_orderkey", "o_orderkey").withColumn("aliases", F.array_join("aliases", ","))
+
+
+@query("""
+SELECT s_suppkey, CASE WHEN s_suppkey % 6 = 2 THEN '' ELSE s_name END AS name FROM supplier""")
+def credit_names(spark, d):
+    k, name = F.col("s_suppkey") % 6, F.col("s_name")
+    text = (
+        F.when(k == 0, F.concat(F.lit("漫画： "), name, F.lit("（月刊X）"))).when(k == 1, F.concat(name, F.lit("「T」"))).when(k == 2, F.lit("12 - 13)"))
+        .when(k == 3, F.concat(F.lit("音乐制作:"), name, F.lit(" [x]"))).when(k == 4, F.concat(name, F.lit(" （未"))).otherwise(F.concat(F.lit(" "), name, F.lit("(3-4)")))
+    )
+    return table(spark, d, "supplier").select("s_suppkey", keys.credit_name(text).alias("name"))
+
+
+@query("""
+WITH d AS (SELECT doc_id, trim(coalesce(text, ''), ' ') AS t FROM documents), n AS (SELECT doc_id, length(t) AS n, length(t) - length(regexp_replace(t, '[ÃÂãäåæçèéêëìíîïðñòóôõöøùúûüýþ�]', '', 'g')) AS bad FROM d)
+SELECT doc_id, bad >= 3 AND bad > 0.08 * n AS garbled FROM n""")
+def garbled_texts(spark, d):
+    return table(spark, d, "documents").select("doc_id", keys.badly_decoded(F.col("text")).alias("garbled"))
+
+
+@query("""
+WITH r AS (SELECT o_orderkey, coalesce(list_position(['1-URGENT', '2-HIGH'], o_orderpriority), 3) AS priority, o_orderstatus AS source, 'c' || (o_custkey % 5) AS issue, CASE WHEN o_orderkey % 2 = 0 THEN 't' || (o_orderkey % 100) ELSE 'n' || (o_orderkey % 100) END AS t FROM orders)
+SELECT o_orderkey, CAST(priority AS INTEGER) AS priority, row_number() OVER (PARTITION BY priority, source, issue ORDER BY t, o_orderkey) AS place FROM r""")
+def review_order(spark, d):
+    k = F.col("o_orderkey")
+    word = lambda prefix, c: F.concat(F.lit(prefix), c.cast("string"))
+    order = audits.review_order(F.col("o_orderpriority"), ["1-URGENT", "2-HIGH"], F.col("o_orderstatus"), word("c", F.col("o_custkey") % 5), F.when(k % 2 == 0, word("t", k % 100)), word("n", k % 100))
+    rows = table(spark, d, "orders").select("o_orderkey", *[c.alias(n) for c, n in zip(order, ("priority", "source", "issue", "title"))])
+    return rows.select("o_orderkey", "priority", F.row_number().over(Window.partitionBy("priority", "source", "issue").orderBy("title", "o_orderkey")).cast("long").alias("place"))
+
+
+@query("""
+SELECT 'changed' AS state, count(*) AS rows_before, count(*) AS rows_after, count(*) FILTER (o_custkey % 3 = 0 AND o_orderstatus <> 'X') = 0 AS same FROM orders
+UNION ALL SELECT 'rolled back', count(*), count(*), true FROM orders""")
+def rollback_check(spark, d):
+    before = table(spark, d, "orders").select("o_orderkey", "o_custkey", "o_orderstatus")
+    changed = before.withColumn("o_orderstatus", F.when(F.col("o_custkey") % 3 == 0, "X").otherwise(F.col("o_orderstatus")))
+    images = before.where("o_custkey % 3 = 0").select("o_orderkey", F.col("o_orderstatus").alias("image"))
+    back = changed.join(images, "o_orderkey", "left").select("o_orderkey", "o_custkey", F.coalesce("image", "o_orderstatus").alias("o_orderstatus"))
+    checks = [audits.same_contents(before, after, before.columns).select(F.lit(name).alias("state"), "*") for name, after in (("changed", changed), ("rolled back", back))]
+    return checks[0].unionByName(checks[1])

@@ -2,6 +2,7 @@
 
 from pyspark.sql import functions as F
 
+from tessera.functions import text as keys
 from tessera.operators import audits
 
 
@@ -36,3 +37,16 @@ def test_empty_tables_and_nulls(spark):
     refs = spark.createDataFrame([(1, None, None), (2, ["k"], "n")], "r long, keys array<string>, name string")
     entries = spark.createDataFrame([], "e long, keys array<string>, name string")
     assert {r.matched_by for r in audits.reference_links(refs, entries, "r", "e").collect()} == {"missing"}
+
+
+def test_fingerprints_count_repeats(spark):
+    frame = lambda rows: spark.createDataFrame(rows, "a long, b string")
+    same = lambda x, y: audits.same_contents(frame(x), frame(y), ["a", "b"]).first()["same"]
+    assert same([(1, "x"), (2, None)], [(2, None), (1, "x")]) and same([], [])
+    assert not same([(1, "x"), (1, "x")], [(1, "x")]) and not same([(1, None)], [(1, "")])
+    assert not same([(1, "x"), (1, "x"), (2, "y")], [(1, "x"), (2, "y"), (2, "y")])
+
+
+def test_badly_decoded(spark):
+    rows = spark.createDataFrame([("Ã©tÃ© Ã ",), ("été à la plage",), (None,), ("",)], "t string")
+    assert [r.g for r in rows.select(keys.badly_decoded(F.col("t")).alias("g")).collect()] == [True, False, False, False]
