@@ -9,7 +9,7 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 
 
-def _shared_folder(spark: SparkSession) -> str:
+def shared_folder(spark: SparkSession) -> str:
     """The cluster's checkpoint folder.
 
     Where none is set, one is made if driver and executors are one process (tests, a laptop); on a
@@ -25,13 +25,13 @@ def _shared_folder(spark: SparkSession) -> str:
 
 def cut_lineage(df: DataFrame) -> DataFrame:
     """The rows of ``df``, computed once and kept in the shared checkpoint folder."""
-    _shared_folder(df.sparkSession)
+    shared_folder(df.sparkSession)
     return df.checkpoint(eager=True)
 
 
 def stored(df: DataFrame) -> DataFrame:
     """Like ``cut_lineage``, as a Parquet table: columns are compressed and read singly."""
-    path = f"{_shared_folder(df.sparkSession)}/tessera-{uuid.uuid4().hex}"
+    path = f"{shared_folder(df.sparkSession)}/tessera-{uuid.uuid4().hex}"
     df.write.parquet(path)
     return df.sparkSession.read.parquet(path)
 
