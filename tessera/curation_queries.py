@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from tessera.functions import text as keys
 from tessera.functions import values
-from tessera.operators import classify, curation, diff, entity, matching, rules
+from tessera.operators import classify, curation, diff, entity, graph, matching, ranking, rules
 from tessera.plans import catalog, incremental, release
 from tessera.queries import _graded, query
 from tessera.session import shared_folder, table
@@ -290,6 +290,100 @@ def picked_paths(spark, d):
     return table(spark, d, "part").select("p_partkey", readers.pick(document, "a.brand", "name").alias("picked"))
 
 
+# -- comparisons, plans and pages ---------------------------------------------------------------
+
+
+@query("SELECT unnest(['o_orderstatus', 'o_custkey']) AS field, count(*) FILTER (o_orderkey % 5 <> 0) AS compared, unnest([count(*) FILTER (o_orderkey % 5 <> 0 AND o_orderkey % 3 = 0), count(*) FILTER (o_orderkey % 5 <> 0 AND o_orderkey % 4 = 0)]) AS differing FROM orders")
+def field_mismatches(spark, d):
+    before, k = table(spark, d, "orders").select("o_orderkey", "o_orderstatus", "o_custkey"), F.col("o_orderkey")
+    after = before.where(k % 5 != 0).select(k, F.when(k % 3 != 0, F.col("o_orderstatus")).alias("o_orderstatus"), (F.col("o_custkey") + F.when(k % 4 == 0, 1).otherwise(0)).alias("o_custkey"))
+    return diff.mismatch_counts(before, after, ["o_orderkey"], ["o_orderstatus", "o_custkey"])
+
+
+@query("""
+SELECT o_orderkey, CASE WHEN o_orderkey % 10 = 0 THEN 'missing_right' WHEN o_orderkey % 7 = 0 THEN 'repeated' WHEN o_orderkey % 4 = 0 THEN 'identity_differs' ELSE 'matched' END AS status FROM orders
+UNION ALL SELECT o_orderkey + 1000000000, 'missing_left' FROM orders WHERE o_orderkey % 13 = 0""")
+def asserted_join(spark, d):
+    left, k = table(spark, d, "orders").select("o_orderkey", "o_custkey", "o_orderstatus"), F.col("o_orderkey")
+    right = left.where(k % 10 != 0).withColumn("o_custkey", F.when(k % 4 != 0, F.col("o_custkey")))
+    more = left.where(k % 13 == 0).withColumn("o_orderkey", k + 1000000000)
+    return matching.asserted(left, right.union(right.where(k % 7 == 0)).union(more), "o_orderkey", ["o_custkey", "o_orderstatus"])
+
+
+@query("""
+WITH r AS (SELECT o_orderkey, o_custkey % 4 AS h, o_orderkey % 3 AS p, o_orderkey % 11 = 0 AS rv, o_orderkey % 5 AS sg, o_orderkey % 7 AS rs, o_orderkey % 2 AS st FROM orders),
+n AS (SELECT *, ['', 'AA', 'B', 'unknown'][CAST(h AS INTEGER) + 1] AS hg, CASE WHEN st = 0 THEN 'C' ELSE 'unknown' END AS sto FROM r)
+SELECT o_orderkey, CASE WHEN h > 0 AND p > 0 THEN hg WHEN rv THEN sto WHEN sg = 0 THEN 'AA' WHEN rs = 0 THEN 'unknown' ELSE sto END AS grade,
+  CASE WHEN h > 0 AND p > 0 OR rv THEN 'human' WHEN sg = 0 THEN 'ai' WHEN rs = 0 THEN 'research' WHEN st = 0 THEN 'ai_legacy' ELSE 'unassessed' END AS source, h > 0 AND p > 0 OR rv AS reviewed FROM n""")
+def effective_grades(spark, d):
+    k = F.col("o_orderkey")
+    rows = table(spark, d, "orders").select(
+        k, _pick([" ", "s", "B", "?"], F.col("o_custkey") % 4).alias("human_grade"), F.when(k % 3 == 0, "pending").alias("human_status"), F.when(k % 11 == 0, "reviewed").alias("review_status"), F.lit(None).cast("string").alias("notice"),
+        F.when(k % 2 == 0, "c").otherwise("Q").alias("stored"), F.when(k % 5 == 0, "AA").alias("suggested"), F.when(k % 7 == 0, "E").alias("researched"),
+    )
+    return rules.effective_grade(rows).select("o_orderkey", "grade", "source", "reviewed")
+
+
+@query("""
+WITH t AS (SELECT p_partkey, unnest(['magical', 'ab12345', lower(p_brand) || 'x']) AS raw FROM part), w AS (SELECT p_partkey, unnest(regexp_extract_all(raw, '[a-z][a-z0-9]{5,}')) AS word FROM t)
+SELECT p_partkey, string_agg(DISTINCT word, ',' ORDER BY word) AS words FROM w GROUP BY 1""")
+def title_word_lists(spark, d):
+    title = F.concat(F.lit("Magical GIRLS story ＡＢ12345 abc "), "p_brand", F.lit("x"))
+    return table(spark, d, "part").select("p_partkey", F.array_join(F.array_sort(keys.title_words(title)), ",").alias("words"))
+
+
+@query("""
+SELECT p_partkey, CASE p_partkey % 3 WHEN 0 THEN 'abc,チョコ,東西' || CASE WHEN p_size % 2 = 0 THEN '南' ELSE '' END WHEN 1 THEN 'abc,チョコ,春夏,春夏秋,春夏秋冬,春夏秋冬東,夏秋,夏秋冬,夏秋冬東,秋冬,秋冬東,冬東' ELSE 'abc,チョコ' END AS tokens FROM part""")
+def lexical_token_lists(spark, d):
+    k = F.col("p_partkey") % 3
+    text = F.when(k == 0, F.concat(F.lit("東西"), F.when(F.col("p_size") % 2 == 0, "南").otherwise(""))).when(k == 1, "春夏秋冬東").otherwise("学園")
+    tokens = keys.lexical_tokens(F.concat(F.lit("ABC ドラマ チョコ xy "), text))
+    order = F.array(*[F.lit(x) for x in ("abc", "チョコ", "東西", "東西南", "春夏", "春夏秋", "春夏秋冬", "春夏秋冬東", "夏秋", "夏秋冬", "夏秋冬東", "秋冬", "秋冬東", "冬東")])
+    return table(spark, d, "part").select("p_partkey", F.array_join(F.concat(F.array_intersect(order, tokens), F.array_except(tokens, order)), ",").alias("tokens"))
+
+
+@query("""
+WITH c AS (SELECT o_orderkey, o_orderkey % 20 = 0 AS missing, o_orderkey % 6 = 0 AS stale, o_orderkey % 5 = 0 AS strange, o_orderstatus <> 'F' AS differs FROM orders)
+SELECT o_orderkey, CASE WHEN missing OR strange OR stale AND differs THEN 'blocked' WHEN differs THEN 'would_update' ELSE 'already_current' END AS status, concat_ws(',', CASE WHEN missing THEN 'missing_target' END, CASE WHEN NOT missing AND stale AND differs THEN 'stale_snapshot' END, CASE WHEN strange THEN 'unexpected_field:owner' END) AS blockers,
+  CASE WHEN NOT missing AND differs THEN 'o_orderstatus' ELSE '' END AS changed FROM c""")
+def patch_dry_run(spark, d):
+    k = F.col("o_orderkey")
+    rows = table(spark, d, "orders").select("o_orderkey", "o_orderstatus", "o_orderpriority")
+    snapshot = values.fingerprint(F.col("o_orderstatus"), F.col("o_orderpriority"))
+    patch = F.map_concat(F.create_map(F.lit("o_orderstatus"), F.lit("F")), F.when(k % 5 == 0, F.create_map(F.lit("owner"), F.lit("x"))).otherwise(F.create_map().cast("map<string,string>")))
+    patches = rows.select(k, patch.alias("patch"), F.when(k % 6 != 0, snapshot).alias("expected"))
+    out = release.patch_plan(rows.where(k % 20 != 0), patches, "o_orderkey", ["o_orderstatus", "o_orderpriority"], ["o_orderstatus"], snapshot)
+    return out.select("o_orderkey", "status", F.array_join("blockers", ",").alias("blockers"), F.array_join("changed", ",").alias("changed"))
+
+
+@query("""
+WITH o AS (SELECT o_orderkey, row_number() OVER (ORDER BY o_orderkey) AS n FROM orders)
+SELECT CAST((n - 1) // 100 + 1 AS BIGINT) AS wave, CAST((n - 1) // 25 % 4 + 1 AS BIGINT) AS chunk, count(*) AS n, min(o_orderkey) AS first_id, max(o_orderkey) AS last_id, max(n) AS upto FROM o GROUP BY 1, 2""")
+def chunk_boundaries(spark, d):
+    rows = ranking.waves(table(spark, d, "orders").select("o_orderkey"), ["o_orderkey"], 25, 4)
+    return ranking.chunk_ends(rows, ["wave", "chunk"], "ordinal", "o_orderkey")
+
+
+@query("""
+WITH f AS (SELECT * FROM customer WHERE CAST(c_custkey AS VARCHAR) = '7' OR contains(lower(c_name), '7') OR contains(lower(c_mktsegment), '7')) SELECT c_custkey, (SELECT count(*) FROM f) AS total FROM f ORDER BY c_custkey LIMIT 10 OFFSET 5""")
+def counted_search(spark, d):
+    page = catalog.counted_page(table(spark, d, "customer"), " 7 ", "c_custkey", [F.col("c_name"), F.col("c_mktsegment")], [F.col("c_custkey")], 10, 5)
+    return page.select("c_custkey", "total")
+
+
+@query("""
+WITH e AS (SELECT l_suppkey AS s, l_partkey AS p, 'supplies' AS kind, l_orderkey * 10 + l_linenumber AS seq, l_returnflag AS note FROM lineitem UNION ALL SELECT s_suppkey, s_nationkey, 'in', s_suppkey, 'N' FROM supplier)
+SELECT 'e-' || substr(sha1(kind || '|' || s || '|' || p), 1, 16) AS edge_id, kind, s AS source_id, p AS target_id, arg_min(note, {'at': seq, 'first': note}) AS note FROM e GROUP BY kind, s, p""")
+def work_edges(spark, d):
+    def edges(df, kind, source, target, seq, note):
+        rows = df.select(F.lit(kind).alias("kind"), F.col(source).alias("source_id"), F.col(target).cast("long").alias("target_id"), F.struct(seq.alias("at"), note.alias("first")).alias("seq"), note.alias("note"))
+        return rows.withColumn("edge_id", graph.short_id("e", F.col("kind"), F.col("source_id"), F.col("target_id")))
+
+    lines = edges(table(spark, d, "lineitem"), "supplies", "l_suppkey", "l_partkey", F.col("l_orderkey") * 10 + F.col("l_linenumber"), F.col("l_returnflag"))
+    places = edges(table(spark, d, "supplier"), "in", "s_suppkey", "s_nationkey", F.col("s_suppkey"), F.lit("N"))
+    return graph.nodes(lines, places, key="edge_id").select("edge_id", "kind", "source_id", "target_id", "note")
+
+
 # -- files, written to the shared folder and read back ------------------------------------------
 
 

@@ -120,6 +120,36 @@ def latin_tokens(text: Column, least: int = 6) -> Column:
     return F.array_distinct(F.regexp_extract_all(F.lower(F.coalesce(text, F.lit(""))), F.lit(f"[a-z]{{{least},}}"), F.lit(0)))
 
 
+# Words too common to tell titles apart, and tokens too common to tell families apart.
+STOP_WORDS = """about after again anime another before black blue chronicles episode first flower game girl girls heart hero light little
+love manga novel official online project red season second special story sweet white world yuri""".split()
+COMMON_TOKENS = "学園 学校 高校 少女 女子 漫画 作品 登場 大人気 待望 生活 毎日 青春 恋愛 主人公 物語 内容 発売 収録 コミック ドラマ".split()
+
+
+def title_words(text: Column, least: int = 6) -> Column:
+    """Distinct lower-case words of a Latin letter and further letters or digits, without stop words."""
+    words = F.regexp_extract_all(F.lower(nfkc(F.coalesce(text, F.lit("")))), F.lit(rf"[a-z][a-z0-9]{{{least - 1},}}"), F.lit(0))
+    return F.array_except(words, F.array(*[F.lit(w) for w in STOP_WORDS]))
+
+
+def lexical_tokens(text: Column) -> Column:
+    """Distinct Han runs of 2 to 8 (longer ones in pieces of 8) and, of those over 4, their grams of 2 to 4;
+    katakana runs and lower-case Latin words of 3 or more; without common tokens."""
+    text = F.coalesce(text, F.lit(""))
+    found = lambda pattern: F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
+    runs = found(r"[\u3400-\u9fff]{2,8}")
+
+    def grams(run: Column) -> Column:
+        def sized(n: int) -> Column:
+            return F.transform(F.sequence(F.lit(1), F.char_length(run) - n + 1), lambda s: F.substring(run, s, F.lit(n)))
+
+        return F.when(F.char_length(run) > 4, F.concat(sized(2), sized(3), sized(4))).otherwise(F.array().cast("array<string>"))
+
+    latin = F.transform(found("[A-Za-z]{3,}"), lambda x: F.lower(x))
+    every = F.concat(runs, F.flatten(F.transform(runs, grams)), found(r"[\u30a0-\u30ff]{3,}"), latin)
+    return F.array_except(every, F.array(*[F.lit(w) for w in COMMON_TOKENS]))
+
+
 def han_grams(text: Column, least: int = 2, most: int = 4) -> Column:
     """All runs of ``least`` to ``most`` neighbouring Han characters."""
     runs = F.regexp_extract_all(F.coalesce(text, F.lit("")), F.lit(r"\p{IsHan}{2,}"), F.lit(0))

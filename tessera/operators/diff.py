@@ -27,6 +27,14 @@ def changed_fields(before: DataFrame, after: DataFrame, key: list[str], fields:
     return joined.withColumn("changed", changed(joined, fields)).where(F.size("changed") > 0)
 
 
+def mismatch_counts(before: DataFrame, after: DataFrame, key: list[str], fields: list[str]) -> DataFrame:
+    """(field, compared, differing) over the keys on both sides; null equals null."""
+    joined = before.select(*key, F.struct(*fields).alias("left")).join(after.select(*key, F.struct(*fields).alias("right")), key)
+    counts = joined.agg(F.count("*").alias("compared"), *[F.count_if(~F.col(f"left.{f}").eqNullSafe(F.col(f"right.{f}"))).alias(f"differing_{i}") for i, f in enumerate(fields)])
+    each = F.array(*[F.struct(F.lit(f).alias("field"), F.col(f"differing_{i}").alias("differing")) for i, f in enumerate(fields)])
+    return counts.select("compared", F.explode(each).alias("x")).select("x.field", "compared", "x.differing")
+
+
 def immutable_but(before: DataFrame, after: DataFrame, key: list[str], free: list[str]) -> DataFrame:
     """Keys whose columns outside ``free`` changed, or that only one side has: no rows is the pass."""
     held = [c for c in before.columns if c not in key and c not in free]

@@ -117,3 +117,18 @@ def zipped(left: DataFrame, right: DataFrame, ordinal: str, key: str) -> DataFra
 def with_reasons(rows: DataFrame, reasons: dict[str, Column], name: str = "reasons") -> DataFrame:
     """Names of the conditions that hold, in order, as an array."""
     return rows.withColumn(name, F.array_compact(F.array(*[F.when(c, F.lit(k)) for k, c in reasons.items()])))
+
+
+def asserted(left: DataFrame, right: DataFrame, key: str, identity: list[str]) -> DataFrame:
+    """A one-to-one join that says where it is none: ``status`` of each key.
+
+    matched; missing_left or missing_right; repeated (a key twice on a side); identity_differs (a field
+    of ``identity`` is not the same on both sides).
+    """
+    side = lambda df, name: df.groupBy(key).agg(F.count("*").alias(f"n_{name}"), F.min(F.struct(*identity)).alias(name))
+    both = side(left, "left").join(side(right, "right"), key, "full_outer")
+    status = (
+        F.when(F.col("n_left").isNull(), "missing_left").when(F.col("n_right").isNull(), "missing_right")
+        .when((F.col("n_left") > 1) | (F.col("n_right") > 1), "repeated").when(~F.col("left").eqNullSafe(F.col("right")), "identity_differs").otherwise("matched")
+    )
+    return both.select(key, status.alias("status"))

@@ -5,8 +5,10 @@ Sorts are stable by contract: callers end every order with a column that tells r
 
 from __future__ import annotations
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from tessera.session import cut_lineage, unused
 
@@ -93,15 +95,28 @@ def page_bounds(limit, offset, *, default: int = 30, most: int = 100, farthest:
 def packed(sizes: DataFrame, family: str, size: str, order: str, capacity: int) -> DataFrame:
     """Whole families in batches: a batch ends before the family that would overfill it.
 
-    A fold over families in order, one row each; a family over the capacity has a batch of its own.
+    Where a batch ends depends on all before it, so the families, a row each, stream through one task
+    in order; it remembers only the open batch and its size.  A family over the capacity has a batch
+    of its own; a null size counts as nothing.
     """
-    ordered = sizes.groupBy().agg(F.array_sort(F.collect_list(F.struct(F.col(order).alias("o"), F.col(family).alias("f"), F.col(size).cast("long").alias("s")))).alias("all"))
-    start = F.struct(F.lit(1).cast("long").alias("batch"), F.lit(0).cast("long").alias("room"), F.array().cast("array<long>").alias("batches"))
-
-    def step(acc: Column, x: Column) -> Column:
-        over = (acc["room"] > 0) & (acc["room"] + x["s"] > capacity)
-        batch = acc["batch"] + over.cast("long")
-        return F.struct(batch.alias("batch"), F.when(over, x["s"]).otherwise(acc["room"] + x["s"]).alias("room"), F.concat(acc["batches"], F.array(batch)).alias("batches"))
-
-    dealt = ordered.select(F.explode(F.arrays_zip("all", F.aggregate("all", start, step, lambda acc: acc["batches"]).alias("batch"))).alias("z"))
-    return dealt.select(F.col("z.all.f").alias(family), F.col("z.all.s").alias(size), F.col("z.batch").alias("batch"))
+    rows = sizes.select(F.col(family), F.coalesce(F.col(size).cast("long"), F.lit(0)).alias(size), F.col(order).alias("order_of_family"))
+
+    def deal(parts):
+        batch, room = 1, 0
+        for part in parts:
+            out = []
+            for x in part.column(size).to_pylist():
+                if room > 0 and room + x > capacity:
+                    batch, room = batch + 1, 0
+                room += x
+                out.append(batch)
+            yield pa.RecordBatch.from_arrays([part.column(family), part.column(size), pa.array(out, pa.int64())], [family, size, "batch"])
+
+    schema = T.StructType([rows.schema[family], rows.schema[size], T.StructField("batch", T.LongType())])
+    return rows.repartition(1).sortWithinPartitions("order_of_family", family, size).mapInArrow(deal, schema)
+
+
+def chunk_ends(rows: DataFrame, chunk: list[str], ordinal: str, row_id: str) -> DataFrame:
+    """Each chunk's rows, its first and last ids, and how many rows come in chunks up to and with it."""
+    ends = rows.groupBy(*chunk).agg(F.count("*").alias("n"), F.min_by(row_id, ordinal).alias("first_id"), F.max_by(row_id, ordinal).alias("last_id"), F.max(ordinal).alias("upto"))
+    return ends.select(*chunk, "n", "first_id", "last_id", "upto")

@@ -101,6 +101,31 @@ def strict_conclusions(rows: DataFrame) -> DataFrame:
     return rows.withColumn("valid", reason.isNull()).withColumn("reason", reason)
 
 
+def effective_grade(rows: DataFrame) -> DataFrame:
+    """The grade that a catalog shows, with its ``source`` and whether people ``reviewed`` it.
+
+    Reads human_grade, human_status, review_status, notice, stored, suggested and researched.  A human
+    grade that is not pending comes first, then the stored grade of reviewed rows, a suggestion,
+    research (which shows no grade) and the stored grade as a legacy suggestion.  S reads AA; what is
+    no grade is ``unknown``.
+    """
+    text = lambda c: F.trim(F.coalesce(F.col(c), F.lit("")))
+
+    def shown(c: str) -> Column:
+        letter = grade(F.col(c))
+        return F.when(letter == "S", "AA").when(letter == "", "unknown").otherwise(letter)
+
+    human = (text("human_grade") != "") & (text("human_status") != "pending")
+    reviewed = human | F.coalesce(F.col("review_status") == "reviewed", F.lit(False)) | F.coalesce(F.col("notice") == "manual_reviewed", F.lit(False))
+    answer = lambda g, s: F.struct(g.alias("grade"), F.lit(s).alias("source"))
+    picked = (
+        F.when(human, answer(shown("human_grade"), "human")).when(reviewed, answer(shown("stored"), "human"))
+        .when(shown("suggested") != "unknown", answer(shown("suggested"), "ai")).when(shown("researched") != "unknown", answer(F.lit("unknown"), "research"))
+        .when(shown("stored") != "unknown", answer(shown("stored"), "ai_legacy")).otherwise(answer(F.lit("unknown"), "unassessed"))
+    )
+    return rows.withColumn("shown_grade", picked).select(*rows.columns, "shown_grade.grade", "shown_grade.source", reviewed.alias("reviewed"))
+
+
 def authority(rows: DataFrame, layers: list[tuple[str, Column, Column]]) -> DataFrame:
     """The first layer that may speak, as ``layer`` and ``value``; else unassessed."""
     found = F.coalesce(*[F.when(F.coalesce(ok, F.lit(False)), F.struct(F.lit(name).alias("layer"), value.cast("string").alias("value"))) for name, ok, value in layers])

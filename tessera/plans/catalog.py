@@ -37,3 +37,16 @@ def allowed(works: DataFrame, column: str, value: str | None, choices: tuple[str
 def page(works: DataFrame, order: list[Column], limit=None, offset=None) -> DataFrame:
     size, start = page_bounds(limit, offset)
     return works.orderBy(*order).offset(start).limit(size)
+
+
+def counted_page(works: DataFrame, query: str, id_col: str, fields: list[Column], order: list[Column], limit=None, offset=None) -> DataFrame:
+    """A page of the works whose id is the query or one of whose fields contains it in any case, with the ``total`` of all found.
+
+    Percent signs and underscores in the query stand for themselves.
+    """
+    asked = F.lit(query.strip().lower())
+    hit = F.col(id_col).cast("string") == F.lit(query.strip())
+    for f in fields:
+        hit = hit | F.coalesce(F.contains(F.lower(f), asked), F.lit(False))
+    found = works.where(hit)
+    return page(found, order, limit, offset).join(F.broadcast(found.agg(F.count("*").alias("total"))))  # one row

@@ -61,3 +61,23 @@ def verify(expected: DataFrame, actual: DataFrame, key: str, fields: list[str])
     joined = a.join(b, key, "left")
     change = F.array_compact(F.array(*[F.when(~F.col(f"left.{f}").eqNullSafe(F.col(f"right.{f}")), F.lit(f)) for f in fields]))
     return joined.select(key, F.col("right").isNull().alias("missing"), change.alias("changed")).where(F.col("missing") | (F.size("changed") > 0))
+
+
+def patch_plan(current: DataFrame, patches: DataFrame, key: str, fields: list[str], allowed: list[str], snapshot: Column) -> DataFrame:
+    """Dry run of patches: ``status``, ``blockers`` and the fields still to change.
+
+    ``patches`` has the key, ``patch`` (a map from field to text) and ``expected`` (the hash of the
+    snapshot that it was planned on); ``snapshot`` hashes a current row.  A patch is blocked if its
+    target is missing, if it names a field outside ``allowed``, or if the target changed since and it
+    still has something to change; else it would_update or is already_current.
+    """
+    have = current.select(key, snapshot.alias("hash_of_row"), F.struct(*[F.col(f).cast("string").alias(f) for f in fields]).alias("have"))
+    joined = patches.select(key, "patch", "expected").join(have, key, "left")
+    touched = F.coalesce(F.map_keys("patch"), F.array().cast("array<string>"))
+    change = F.array_compact(F.array(*[F.when(F.array_contains(touched, f) & ~F.col("patch")[f].eqNullSafe(F.col(f"have.{f}")), F.lit(f)) for f in fields]))
+    strange = F.transform(F.array_sort(F.array_except(touched, F.array(*[F.lit(f) for f in allowed]))), lambda x: F.concat(F.lit("unexpected_field:"), x))
+    missing = F.col("have").isNull()
+    stale = ~missing & (F.size(change) > 0) & ~F.col("expected").eqNullSafe(F.col("hash_of_row"))
+    blockers = F.concat(F.array_compact(F.array(F.when(missing, F.lit("missing_target")), F.when(stale, F.lit("stale_snapshot")))), strange)
+    status = F.when(F.size("blockers") > 0, "blocked").when(F.size("changed") > 0, "would_update").otherwise("already_current")
+    return joined.select(key, blockers.alias("blockers"), F.when(missing, F.array().cast("array<string>")).otherwise(change).alias("changed")).withColumn("status", status)

@@ -51,3 +51,22 @@ def test_reuse_and_empty_tables(spark):
     works, objects = spark.createDataFrame([(1, None, None), (2, "{broken", "x")], "work_id long, document string, audit_run_ref string"), spark.createDataFrame([], "object_ref string, object_kind string")
     stats = curation.lineage_stats(works, objects).first()
     assert (stats.formal_rows, stats.binding_rows, stats.open_selection_rows, stats.broken_audit_refs) == (2, 0, 2, 2)
+
+
+def test_lexical_tokens(spark):
+    from pyspark.sql import functions as F
+
+    from tessera.functions import text as keys
+
+    cases = {"漫画の東西南北": ["東西南北"], "少女ABC ab カタカナ": ["abc", "カタカナ"], "春夏秋冬東": ["冬東", "夏秋", "夏秋冬", "夏秋冬東", "春夏", "春夏秋", "春夏秋冬", "春夏秋冬東", "秋冬", "秋冬東"], "": [], None: []}
+    rows = spark.createDataFrame([(k, v) for k, v in cases.items()], "t string, want array<string>").select("want", F.array_sort(keys.lexical_tokens(F.col("t"))).alias("got")).collect()
+    assert all(r.got == r.want for r in rows)
+
+
+def test_packing_streams_in_order(spark):
+    from tessera.operators import ranking
+
+    rows = spark.createDataFrame([("b", 2, 2), ("a", 5, 1), ("c", 9, 3), ("d", None, 4), ("e", 1, 5)], "f string, n long, o long")
+    got = [(r.f, r.n, r.batch) for r in ranking.packed(rows, "f", "n", "o", 7).collect()]
+    assert got == [("a", 5, 1), ("b", 2, 1), ("c", 9, 2), ("d", 0, 3), ("e", 1, 3)]
+    assert ranking.packed(rows.limit(0), "f", "n", "o", 7).count() == 0
