@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.llm import audio, bpe, html_text, language, mixture, multi_index, perspectives, pii, secrets, simhash
+from tessera.llm import audio, bpe, divergence, html_text, language, mixture, multi_index, perspectives, pii, secrets, simhash
 from tessera.session import table
 
 
@@ -72,7 +72,12 @@ def op10_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return both.select("doc_id", F.size("tokens").cast("long").alias("n_tokens"), F.sha2(written, 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
 
 
-QUERIES = {"op1_mixture": op1_mixture, "op2_language": op2_language, "op3_html": op3_html, "op4_pii": op4_pii, "op5_audio": op5_audio, "op6_multi_index": op6_multi_index, "op7_simhash": op7_simhash, "op8_perspectives": op8_perspectives, "op9_secrets": op9_secrets, "op10_bpe": op10_bpe}
+def op13_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Divergence of all pairs of sources of each language, and the terms that set each apart."""
+    return divergence.divergence(table(spark, sf_dir, "documents"))
+
+
+QUERIES = {"op1_mixture": op1_mixture, "op2_language": op2_language, "op3_html": op3_html, "op4_pii": op4_pii, "op5_audio": op5_audio, "op6_multi_index": op6_multi_index, "op7_simhash": op7_simhash, "op8_perspectives": op8_perspectives, "op9_secrets": op9_secrets, "op10_bpe": op10_bpe, "op13_divergence": op13_divergence}
 
 
 def _mixture_sql(rounds: int = mixture.ROUNDS) -> str:
@@ -123,4 +128,25 @@ SELECT conv_id, perspective, part, count(*) AS n_messages, string_agg(head || co
   coalesce(string_agg(start || ':' || (start + length(content)), ',' ORDER BY k) FILTER (WHERE own), '') AS mask
 FROM placed GROUP BY conv_id, perspective, part"""
 
-SQL: dict[str, str] = {"op1_mixture": _mixture_sql(), "op8_perspectives": _PERSPECTIVES_SQL}
+#: Every pair over all terms, without vectors or histograms.
+_DIVERGENCE_SQL = r"""
+WITH docs AS (SELECT row_number() OVER () AS d, coalesce(lang, '') AS lang, coalesce(source, '') AS source, coalesce(text, '') AS text FROM documents),
+words AS (SELECT d, lang, source, unnest(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x40\x5B-\x60\x7B-\x7F]+')) AS term FROM docs),
+kept AS (SELECT lang, term, count(*) AS total FROM words GROUP BY lang, term HAVING count(DISTINCT d) >= 3),
+groups AS (SELECT DISTINCT lang, source FROM docs),
+counts AS (SELECT w.lang, w.source, w.term, count(*) AS n FROM words w JOIN kept k ON w.lang = k.lang AND w.term = k.term GROUP BY ALL),
+sizes AS (SELECT g.lang, g.source, coalesce(sum(c.n), 0) AS size FROM groups g LEFT JOIN counts c ON g.lang = c.lang AND g.source = c.source GROUP BY ALL),
+kinds AS (SELECT lang, count(*) AS v, sum(total) AS whole FROM kept GROUP BY lang),
+shares AS (
+  SELECT s.lang, s.source, k.term, coalesce(c.n, 0) AS n, k.total, 1 + (1000000000::HUGEINT * (coalesce(c.n, 0) + 1)) // (s.size + v.v) AS p,
+    1 + (1000000000::HUGEINT * (k.total + 1)) // (v.whole + v.v) AS q
+  FROM sizes s JOIN kept k ON s.lang = k.lang JOIN kinds v ON s.lang = v.lang LEFT JOIN counts c ON c.lang = s.lang AND c.source = s.source AND c.term = k.term),
+pairs AS (
+  SELECT a.lang, a.source, 'pair' AS part, b.source AS item, coalesce((
+    SELECT sum(((x.p - y.p) * (x.p - y.p)) // y.p) FROM shares x JOIN shares y ON x.lang = y.lang AND x.term = y.term WHERE x.lang = a.lang AND x.source = a.source AND y.source = b.source), 0) AS value
+  FROM groups a JOIN groups b ON a.lang = b.lang AND a.source <> b.source),
+own AS (SELECT lang, source, 'term' AS part, term AS item, ((p - q) * (p - q)) // q AS value FROM shares WHERE n > 0 AND p > q),
+ranked AS (SELECT *, row_number() OVER (PARTITION BY lang, source, part ORDER BY value DESC, encode(item)) AS rank FROM (SELECT * FROM pairs UNION ALL SELECT * FROM own))
+SELECT lang, source, part, item, CAST(value AS BIGINT) AS value, CAST(rank AS INTEGER) AS rank FROM ranked WHERE part = 'pair' OR rank <= 200"""
+
+SQL: dict[str, str] = {"op1_mixture": _mixture_sql(), "op8_perspectives": _PERSPECTIVES_SQL, "op13_divergence": _DIVERGENCE_SQL}

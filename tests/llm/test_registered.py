@@ -41,5 +41,5 @@ def test_reruns_agree(spark, name):
 
 def test_one_query_for_each_operator():
     found = __spark_entry__.queries()
-    assert sorted(int(k[2:].split("_")[0]) for k in found if k[:2] == "op" and k[2].isdigit()) == list(range(1, 11))
+    assert sorted(int(k[2:].split("_")[0]) for k in found if k[:2] == "op" and k[2].isdigit()) == list(range(1, 14))
     assert "pipeline" in found
