@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.llm import audio, bpe, divergence, html_text, language, mixture, multi_index, perspectives, pii, secrets, simhash
+from tessera.llm import alignment, audio, bpe, divergence, html_text, language, mixture, multi_index, perspectives, pii, secrets, simhash
 from tessera.session import table
 
 
@@ -72,12 +72,21 @@ def op10_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return both.select("doc_id", F.size("tokens").cast("long").alias("n_tokens"), F.sha2(written, 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
 
 
+#: The second vocabulary of the alignment, installed beside the first.
+PIECES = public_tokenizers.path("piece_bpe_32k.model")
+
+
+def op11_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Groups and links of both tokenizers' tokens in every document."""
+    return alignment.alignment(table(spark, sf_dir, "documents"), ["doc_id"], VOCABULARY, PIECES)
+
+
 def op13_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Divergence of all pairs of sources of each language, and the terms that set each apart."""
     return divergence.divergence(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {"op1_mixture": op1_mixture, "op2_language": op2_language, "op3_html": op3_html, "op4_pii": op4_pii, "op5_audio": op5_audio, "op6_multi_index": op6_multi_index, "op7_simhash": op7_simhash, "op8_perspectives": op8_perspectives, "op9_secrets": op9_secrets, "op10_bpe": op10_bpe, "op13_divergence": op13_divergence}
+QUERIES = {"op1_mixture": op1_mixture, "op2_language": op2_language, "op3_html": op3_html, "op4_pii": op4_pii, "op5_audio": op5_audio, "op6_multi_index": op6_multi_index, "op7_simhash": op7_simhash, "op8_perspectives": op8_perspectives, "op9_secrets": op9_secrets, "op10_bpe": op10_bpe, "op11_alignment": op11_alignment, "op13_divergence": op13_divergence}
 
 
 def _mixture_sql(rounds: int = mixture.ROUNDS) -> str:
