@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.llm import alignment, audio, bpe, divergence, html_text, language, mixture, multi_index, perspectives, pii, secrets, simhash
+from tessera.llm import alignment, audio, backoff, bpe, divergence, html_text, language, mixture, multi_index, perspectives, pii, secrets, simhash
 from tessera.session import table
 
 
@@ -81,12 +81,19 @@ def op11_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
     return alignment.alignment(table(spark, sf_dir, "documents"), ["doc_id"], VOCABULARY, PIECES)
 
 
+def op12_backoff(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Log probability of every document, by a model of nine tenths of them."""
+    held_out = F.coalesce(F.crc32(F.col("doc_id").cast("string")) % 10 == 0, F.lit(False))
+    scores = backoff.scored(table(spark, sf_dir, "documents"), ["doc_id"], ~held_out)
+    return scores.select("doc_id", (~F.col("train")).alias("held_out"), "n_tokens", "n_known", "train_tokens", "base_score", "score")
+
+
 def op13_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Divergence of all pairs of sources of each language, and the terms that set each apart."""
     return divergence.divergence(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {"op1_mixture": op1_mixture, "op2_language": op2_language, "op3_html": op3_html, "op4_pii": op4_pii, "op5_audio": op5_audio, "op6_multi_index": op6_multi_index, "op7_simhash": op7_simhash, "op8_perspectives": op8_perspectives, "op9_secrets": op9_secrets, "op10_bpe": op10_bpe, "op11_alignment": op11_alignment, "op13_divergence": op13_divergence}
+QUERIES = {"op1_mixture": op1_mixture, "op2_language": op2_language, "op3_html": op3_html, "op4_pii": op4_pii, "op5_audio": op5_audio, "op6_multi_index": op6_multi_index, "op7_simhash": op7_simhash, "op8_perspectives": op8_perspectives, "op9_secrets": op9_secrets, "op10_bpe": op10_bpe, "op11_alignment": op11_alignment, "op12_backoff": op12_backoff, "op13_divergence": op13_divergence}
 
 
 def _mixture_sql(rounds: int = mixture.ROUNDS) -> str:
