@@ -106,13 +106,13 @@ def divergence(docs: DataFrame, *, lang: str = "lang", source: str = "source", t
     groups = stored(groups.select("lang", "source", *[F.coalesce(c, F.lit(0)).alias(c) for c in ("size", "kinds", "whole")]))
     few = groups.limit(BROADCAST_GROUPS + 1).count() <= BROADCAST_GROUPS
 
-    def with_group(rows: DataFrame, own: str, size: str) -> DataFrame:
-        """Adds the size of the group of ``lang`` and column ``own``."""
-        facts = groups.select("lang", F.col("source").alias(own), F.col("size").alias(size))
+    def with_group(rows: DataFrame, own: str, size: str, *more: str) -> DataFrame:
+        """Adds the size of the group of ``lang`` and column ``own``, and ``more`` of its language."""
+        facts = groups.select("lang", F.col("source").alias(own), F.col("size").alias(size), *more)
         if few:
             return rows.join(F.broadcast(facts), ["lang", own])
         key = F.struct("lang", own)
-        return join_facts(rows.withColumn("key", key), facts.select(key.alias("key"), size), "key").drop("key")
+        return join_facts(rows.withColumn("key", key), facts.select(key.alias("key"), size, *more), "key").drop("key")
 
     # Every pair of a language, and what it is worth per term without counts on either side.
     p, q = groups.select("lang", "kinds", F.col("source").alias("s"), F.col("size").alias("size_s")), groups.select("lang", F.col("source").alias("t"), F.col("size").alias("size_t"))
@@ -128,10 +128,9 @@ def divergence(docs: DataFrame, *, lang: str = "lang", source: str = "source", t
     only_t = in_t.join(pairs, ["lang", "t"]).select("lang", "s", "t", value(f"m * ({_apart(none_s, some_t)} - {_apart(none_s, none_t)})"))
 
     columns = terms.groupBy("lang", "counts").agg(F.count("*").alias("m")).where(F.size("counts") > 1)
-    both = columns.join(by_lang.select("lang", "kinds"), "lang")
-    both = both.select("lang", "kinds", "m", "counts", F.explode("counts").alias("a")).select("lang", "kinds", "m", F.col("a.source").alias("s"), F.col("a.n").alias("n_s"), F.explode("counts").alias("b"))
-    both = both.select("lang", "kinds", "m", "s", "n_s", F.col("b.source").alias("t"), F.col("b.n").alias("n_t")).where("s <> t")
-    both = with_group(with_group(both, "s", "size_s"), "t", "size_t")
+    both = columns.select("lang", "m", "counts", F.explode("counts").alias("a")).select("lang", "m", F.col("a.source").alias("s"), F.col("a.n").alias("n_s"), F.explode("counts").alias("b"))
+    both = both.select("lang", "m", "s", "n_s", F.col("b.source").alias("t"), F.col("b.n").alias("n_t")).where("s <> t")
+    both = with_group(with_group(both, "s", "size_s", "kinds"), "t", "size_t")
     both = both.select("lang", "s", "t", value(f"m * ({_apart(some_s, some_t)} - {_apart(some_s, none_t)} - {_apart(none_s, some_t)} + {_apart(none_s, none_t)})"))
 
     parts = [x.groupBy("lang", "s", "t").agg(F.sum("value").alias("value")) for x in (only_s, only_t, both)]
@@ -141,7 +140,7 @@ def divergence(docs: DataFrame, *, lang: str = "lang", source: str = "source", t
     sums = sums.groupBy("lang", "s", "t").agg(F.sum("value").cast("long").alias("value"))
     pair_rows = sums.select("lang", F.col("s").alias("source"), F.lit("pair").alias("part"), F.col("t").alias("item"), "value")
 
-    own = with_group(entries, "source", "size").join(by_lang, "lang")
+    own = with_group(entries, "source", "size", "kinds", "whole")
     own = own.withColumn("p", F.expr(_share("n", "size", "kinds"))).withColumn("q", F.expr(_share("total", "whole", "kinds"))).where("p > q")
     term_rows = own.select("lang", "source", F.lit("term").alias("part"), F.col("term").alias("item"), F.expr(_apart("p", "q")).alias("value"))
 
