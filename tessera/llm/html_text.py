@@ -20,7 +20,12 @@ from tessera.llm.common import with_columns
 
 # The element classes of HTML.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
-UNSHOWN = frozenset("head title script style template noscript iframe object audio video canvas svg math datalist noframes noembed".split())
+UNSHOWN = frozenset("head title script style template noscript iframe object audio video canvas datalist noframes noembed".split())
+#: Within svg and math, what is not drawn; head's own elements; what ends svg by standing in it.
+UNDRAWN = frozenset("desc defs metadata symbol clippath mask marker pattern lineargradient radialgradient annotation annotation-xml".split())
+OF_HEAD = frozenset("base basefont bgsound head html link meta noframes noscript script style template title".split())
+FOREIGN = ("svg", "math")
+BREAKOUT = frozenset("b big blockquote body br center code dd div dl dt em h1 h2 h3 h4 h5 h6 hr i img li menu nobr ol p pre ruby s small span strong strike sub sup table tt u ul var".split())
 BLOCK = frozenset("address article aside blockquote body center dd details dialog dir div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hgroup hr html legend li main menu nav ol optgroup option p pre search section summary table tbody td tfoot th thead tr ul caption textarea xmp plaintext listing".split())
 SPACED = frozenset("blockquote dl figure h1 h2 h3 h4 h5 h6 hr menu ol p pre table ul".split())
 LISTS = frozenset(("ul", "ol", "menu", "dir"))
@@ -46,13 +51,13 @@ CLOSES = {
 }
 ENDS_P = BLOCK - frozenset("html body td th tr tbody thead tfoot caption dt dd li option optgroup legend summary".split()) | frozenset(("li", "dt", "dd"))
 SCOPE = frozenset(("table", "td", "th", "caption", "html", "button"))
-HIDDEN = re.compile(r"display\s*:\s*none|visibility\s*:\s*(?:hidden|collapse)", re.IGNORECASE)
+STYLE_COMMENT = re.compile(r"/\*.*?(?:\*/|$)", re.DOTALL)
 SPACE = re.compile(r"[ \t\n\r\f]+")
 #: Elements that may be open in one another; deeper ones only say whether their text shows.
 DEEPEST = 512
 #: Columns of a table; longest cell that widens its column; items and quotes that indent.
 COLUMNS, WIDEST, INDENTS = 1000, 120, 20
-#: Padding of all tables of a page, as a multiple of its length; tables past that stand unaligned.
+#: Padding of a table, as a multiple of its own markup without tables in it; one that needs more stands unaligned.
 PADDING = 8
 
 TAG = re.compile(r"[^ \t\n\f/>]+")
@@ -102,6 +107,18 @@ def attributes(page: str, at: int) -> tuple[dict[str, str], int]:
         found.setdefault(name[0].lower(), value)
 
 
+def shown_by(style: str) -> tuple[str | None, str | None]:
+    """The display and visibility that style declarations set; the last of a name, or the last important one."""
+    found: dict[str, tuple[bool, str]] = {}
+    if ":" in style:
+        for part in STYLE_COMMENT.sub(" ", style).lower().split(";"):
+            name, _, value = part.partition(":")
+            name, (value, mark, _) = name.strip(), value.partition("!")
+            if name in ("display", "visibility") and (mark or not found.get(name, (False,))[0]):
+                found[name] = bool(mark), value.strip()
+    return found.get("display", (0, None))[1], found.get("visibility", (0, None))[1]
+
+
 def whole_number(text: str | None, default: int, most: int) -> int:
     """Leading digits as a number, ``most`` at most."""
     m = re.match(r"[ \t\n\f]*([0-9]+)", text or "")
@@ -111,10 +128,11 @@ def whole_number(text: str | None, default: int, most: int) -> int:
 class Node:
     """An open element; a block also has its finished lines and the line being written."""
 
-    __slots__ = ("tag", "lines", "line", "gap", "hidden", "pre", "item", "rows", "attrs")
+    __slots__ = ("tag", "lines", "line", "gap", "gone", "unseen", "pre", "item", "rows", "attrs", "start", "within")
 
-    def __init__(self, tag: str, attrs: dict, hidden: bool, pre: bool):
-        self.tag, self.attrs, self.hidden, self.pre = tag, attrs, hidden, pre
+    def __init__(self, tag: str, attrs: dict, gone: bool, unseen: bool, pre: bool, start: int):
+        self.tag, self.attrs, self.gone, self.unseen, self.pre = tag, attrs, gone, unseen, pre
+        self.start, self.within = start, 0  # place in the page; characters of tables inside
         if tag in BLOCK or tag == "#root":
             self.lines: list[str] = []
             self.line: list[str] = []
@@ -134,27 +152,28 @@ class TreeBuilder:
     """
 
     def __init__(self):
-        self.stack = [Node("#root", {}, False, False)]
+        self.stack = [Node("#root", {}, False, False, False, 0)]
         self.flow = [self.stack[0]]  # the blocks among them
         self.open: dict[str, int] = {}  # how many of each tag are on the stack
-        self.deep: list[tuple[str, bool, bool]] = []  # past DEEPEST: tag, whether it is hidden and its text
+        self.deep: list[tuple[str, bool, bool, bool]] = []  # past DEEPEST: tag, whether it and its text are gone, unseen
         self.deep_open: dict[str, int] = {}
-        self.room = 0
+        self.at = 0
 
     # -- tokens -------------------------------------------------------------------------------
 
     def feed(self, page: str) -> None:
         if "\r" in page:
             page = page.replace("\r\n", "\n").replace("\r", "\n")
-        self.room = PADDING * len(page)
         at = 0
         while 0 <= at < len(page):
             start = page.find("<", at)
+            self.at = start if start >= 0 else len(page)
             if start != at:
                 self.handle_data(page[at : start if start >= 0 else len(page)])
             if start < 0:
                 return
             at = self._markup(page, start)
+        self.at = len(page)
 
     def _markup(self, page: str, start: int) -> int:
         """Handle what begins with ``<`` at ``start``; the place past it, -1 if the page ends inside."""
@@ -173,7 +192,7 @@ class TreeBuilder:
             if closing:
                 self.handle_endtag(tag)
                 return at
-            self.handle_starttag(tag, attrs)
+            self.handle_starttag(tag, attrs, page[at - 2] == "/")
             if tag in RAW:
                 end = RAW_END[tag].search(page, at) if tag != "plaintext" else None
                 self.handle_data(page[at : end.start() if end else len(page)], tag in CODED)
@@ -192,16 +211,21 @@ class TreeBuilder:
 
     # -- tree ---------------------------------------------------------------------------------
 
-    def handle_starttag(self, tag: str, attrs: dict[str, str]) -> None:
+    def _inside(self, *tags: str) -> bool:
+        return any(self.open.get(t) or self.deep_open.get(t) for t in tags)
+
+    def handle_starttag(self, tag: str, attrs: dict[str, str], closed: bool = False) -> None:
         if not self.deep:
+            if self.stack[-1].tag == "head" and tag not in OF_HEAD:
+                self._pop()
+            if tag in BREAKOUT and self.open.get("svg") and not self._inside("foreignobject", "desc", "math"):
+                self._close_until(frozenset(("svg",)), frozenset(), outermost=True)
             if tag in CLOSES:
                 self._close_until(*CLOSES[tag], outermost=True)
             if tag in ENDS_P:
                 self._close_until(frozenset(("p",)), SCOPE)
             if tag in HEADINGS and self.stack[-1].tag in HEADINGS:
                 self._pop()
-            if tag == "body":
-                self._close_until(frozenset(("head",)), frozenset())
             if tag in ("td", "th") and self.stack[-1].tag in ROWS | {"table"}:
                 self._push("tr", {})
         if tag == "br":
@@ -213,7 +237,7 @@ class TreeBuilder:
             kind = (attrs.get("type") or "text").lower()
             if kind in ("submit", "reset", "button", "text", "search", "email", "url", "tel", "number"):
                 self.handle_data(f" {attrs.get('value') or ''} ")
-        if tag not in VOID:
+        if tag not in VOID and not (closed and tag not in RAW and (tag in FOREIGN or self._inside(*FOREIGN))):
             self._push(tag, attrs)
 
     def handle_endtag(self, tag: str) -> None:
@@ -257,16 +281,20 @@ class TreeBuilder:
 
     def _push(self, tag: str, attrs: dict) -> None:
         above = self.stack[-1]
-        inside, hidden, text_hidden = self.deep[-1] if self.deep else (above.tag, above.hidden, above.hidden or above.tag == "details" and "open" not in above.attrs)
+        inside, gone, text_gone, unseen = self.deep[-1] if self.deep else (above.tag, above.gone, above.gone or above.tag == "details" and "open" not in above.attrs, above.unseen)
+        display, visibility = shown_by(attrs.get("style") or "")
         if not (tag == "summary" and inside == "details"):
-            hidden = text_hidden or tag in UNSHOWN or "hidden" in attrs or bool(HIDDEN.search(attrs.get("style") or "")) or tag == "dialog" and "open" not in attrs
+            gone = text_gone
+        gone = gone or tag in UNSHOWN or display == "none" or "hidden" in attrs and display is None or tag == "dialog" and "open" not in attrs and display is None or tag in UNDRAWN and self._inside(*FOREIGN)
+        # Visibility is handed down, and shows again where an element says so; what is gone stays gone.
+        unseen = visibility in ("hidden", "collapse") if visibility in ("hidden", "collapse", "visible", "initial") else unseen
         if tag in BLOCK:
             self._end_line()
         if len(self.stack) >= DEEPEST:
-            self.deep.append((tag, hidden, hidden or tag == "details" and "open" not in attrs))
+            self.deep.append((tag, gone, gone or tag == "details" and "open" not in attrs, unseen))
             self.deep_open[tag] = self.deep_open.get(tag, 0) + 1
             return
-        node = Node(tag, attrs, hidden, above.pre or tag in PRE)
+        node = Node(tag, attrs, gone, unseen, above.pre or tag in PRE, self.at)
         if tag in BLOCK:
             self.flow.append(node)
         self.stack.append(node)
@@ -275,8 +303,10 @@ class TreeBuilder:
     # -- text ---------------------------------------------------------------------------------
 
     def handle_data(self, data: str, coded: bool = True) -> None:
+        if self.stack[-1].tag == "head" and not self.deep and data.strip(" \t\n\r\f"):
+            self._pop()  # text of the body, whose tag may be left out
         node, block = self.stack[-1], self.flow[-1]
-        if self.deep[-1][2] if self.deep else node.hidden or node.tag == "details" and "open" not in node.attrs:
+        if self.deep[-1][2] or self.deep[-1][3] if self.deep else node.gone or node.unseen or node.tag == "details" and "open" not in node.attrs:
             return
         if node.tag in ("table", "tr", "tbody", "thead", "tfoot", "colgroup") and not data.strip():
             return
@@ -327,7 +357,7 @@ class TreeBuilder:
         if tag in ("td", "th") and self.open.get("tr"):
             row = next(n for n in reversed(self.flow) if n.tag == "tr")
             wide, tall = max(1, whole_number(node.attrs.get("colspan"), 1, COLUMNS)), whole_number(node.attrs.get("rowspan"), 1, 65534)
-            row.rows.append((lines if not node.hidden else [], wide, tall or 65534))
+            row.rows.append((lines if not node.gone else [], wide, tall or 65534))
             return
         if tag in ROWS:
             rows = [[(x, wide, min(tall, len(node.rows) - i)) for x, wide, tall in row] for i, row in enumerate(node.rows)]  # no cell reaches past its group
@@ -335,9 +365,13 @@ class TreeBuilder:
             if box is not None:
                 box.rows += rows
             else:  # a row group outside a table: its rows are lines
-                lines += self._aligned(rows)
+                lines += self._aligned(rows, self.at - node.start - node.within)
         if tag == "table":
-            lines += self._aligned(node.rows)
+            lines += self._aligned(node.rows, self.at - node.start - node.within)
+            for box in reversed(self.flow):
+                if box.tag == "table" or box.tag in ROWS and not self.open.get("table"):
+                    box.within += self.at - node.start
+                    break
         if not lines:
             return
         indents = self.open.get("li", 0) + self.open.get("blockquote", 0) + self.open.get("dd", 0) < INDENTS
@@ -367,32 +401,33 @@ class TreeBuilder:
             if lines:
                 self._add(self.flow[-1], lines, 0, 0)
 
-    def _aligned(self, rows: list[list[Cell]]) -> list[str]:
+    def _aligned(self, rows: list[list[Cell]], own: int) -> list[str]:
         """Rows of cells as lines, columns two spaces apart.
 
         A column is as wide as its longest line of up to WIDEST characters; longer lines push what
-        follows to the right.  Once the page's tables have used up their padding, cells stand two
-        spaces apart and are not aligned.
+        follows to the right.  If that takes more than PADDING times the ``own`` characters of the
+        table's markup, its cells stand two spaces apart and are not aligned, whatever other tables do.
         """
         placed, width = _placed(rows)
         offset, at = [], 0
         for i in range(1 + max((c for row in placed for c, _ in row), default=-1)):
             offset.append(at)
             at += width.get(i, -2) + 2
-        out, padding = [], 0
+        rows_of_gaps, padding = [], 0
         for row in placed:
-            lines: list[list[str]] = [[] for _ in range(max((len(c) for _, c in row), default=0))]
+            lines: list[list[tuple[int, str]]] = [[] for _ in range(max((len(c) for _, c in row), default=0))]
             ends = [0] * len(lines)
             for column, cell in row:
                 for k, text in enumerate(cell):
                     if text:
                         gap = max(offset[column] - ends[k], 2 if ends[k] else 0)
                         padding += gap
-                        lines[k].append((" " * gap if padding <= self.room else "  " if ends[k] else "") + text)
+                        lines[k].append((gap, text))
                         ends[k] += gap + len(text)
-            out += ["".join(x).rstrip() for x in lines]
-        self.room -= min(self.room, padding)
-        return out
+            rows_of_gaps += lines
+        if padding > PADDING * own:
+            return ["  ".join(text for _, text in x).rstrip() for x in rows_of_gaps]
+        return ["".join(" " * gap + text for gap, text in x).rstrip() for x in rows_of_gaps]
 
     def text(self) -> str:
         while len(self.stack) > 1:
@@ -451,8 +486,8 @@ def visible_text(pages: DataFrame, ids: list[str], html: str = "html") -> DataFr
     Null and empty pages give the empty text and 0 lines; malformed ones what their tree shows, a tag
     that the page ends in nothing.  Pages of any length and depth take time in proportion to their
     length: past ``DEEPEST`` open elements, further ones lay out as text of the innermost, shown or
-    hidden as they say; past ``INDENTS`` items and quotes, further ones are not indented; tables stand
-    unaligned once their padding passes ``PADDING`` times the page.  No text is dropped for these.
+    hidden as they say; past ``INDENTS`` items and quotes, further ones are not indented; a table stands
+    unaligned if its padding passes ``PADDING`` times its own markup.  No text is dropped for these.
     Rows, repeated ones too, stay one for one; columns beyond ``ids`` and ``html`` are not read.
     """
 

@@ -85,6 +85,68 @@ def test_all_words_come_out_once_with_row_groups():
         assert sorted(found) == sorted(words), "".join(page)
 
 
+IMPLIED = {
+    "<html><head><title>t</title><p>hello</p><div>x</div>": "hello\n\nx",
+    "<head><meta charset=u><h1>A</h1>text": "A\n\ntext",
+    "<head>just text": "just text",
+    "<head> <link rel=x> \n<script>no()</script>&nbsp;a": "\xa0a",
+    "<title>no</title>shown": "shown",
+    "<head><noscript><p>no</p></noscript><template>no</template></head>yes": "yes",
+    "<head><style>p{}</style><body><p>a": "a",
+    "<div style='backface-visibility:hidden'>a</div><i style='x-display:none'>b</i>": "a\nb",
+    "<div style='visibility:hidden'>no<b style='visibility: visible'>yes</b>no</div>": "yes",
+    "<p style='display:none'>no<b style='visibility:visible;display:block'>no</b></p>z": "z",
+    "<p style='DISPLAY : None !important; display:block'>no</p><p style='display:none;display:block'>a</p>": "a",
+    "<p style='/* display:none */color:red'>a</p><p hidden style='display:block'>b</p>": "a\n\nb",
+    "<math><mi>x</mi><mo>=</mo><mn>1</mn><annotation>no</annotation></math>": "x=1",
+    "<svg><title>no</title><defs><text>no</text></defs><path d='M0'/><text>label</text></svg>after": "labelafter",
+    "<svg><defs/><text>a</text><desc>no</desc></svg><svg/>b": "ab",
+    "<svg><g><p>out</p>": "out",
+}
+
+
+@pytest.mark.parametrize("page", IMPLIED)
+def test_implied_ends_and_visibility(page):
+    assert html_text.render(page) == IMPLIED[page]
+
+
+@pytest.mark.parametrize("tag", sorted(html_text.BLOCK - {"html", "xmp", "plaintext", "listing", "textarea", "head", "hr", "details", "dialog", "body"} | {"a", "b", "span", "img"}))
+def test_every_element_of_the_body_ends_head(tag):
+    for before in ("<head>", "<html><head><title>t</title><meta x>", "<head><script>s</script>\n"):
+        assert "seen" in html_text.render(f"{before}<{tag}>seen</{tag}>")
+
+
+def test_visible_words_of_random_pages():
+    """Pages with tags left out and styles, against the visibility of each word's own chain of elements."""
+    rng = random.Random(11)
+    styles = {"": None, " style='display:none'": "gone", " hidden": "gone", " style='visibility:hidden'": "unseen", " style='color:red;visibility:visible'": "seen", " style='backface-visibility:hidden'": None}
+    for _ in range(2000):
+        page = [rng.choice(["", "<html>"]), rng.choice(["", "<head>", "<head><title>no</title>", "<head><meta a></head>"]), rng.choice(["", "<body>"])]
+        chain, want, n = [(False, False)], [], 0
+        for _ in range(rng.randint(1, 30)):
+            kind = rng.random()
+            if kind < 0.4:
+                page.append(f" w{n}x ")
+                if not any(chain[-1]):
+                    want.append(f"w{n}x")
+                n += 1
+            elif kind < 0.75:
+                text = rng.choice(list(styles))
+                gone, unseen = chain[-1]
+                chain.append((gone or styles[text] == "gone", {"unseen": True, "seen": False}.get(styles[text], unseen)))
+                page.append(f"<{'div' if len(chain) % 2 else 'span'}{text}>")
+            elif len(chain) > 1:
+                page.append(f"</{'div' if len(chain) % 2 else 'span'}>")
+                chain.pop()
+        assert re.findall(r"w\d+x", html_text.render("".join(page))) == want, "".join(page)
+
+
+def test_a_tables_alignment_is_its_own():
+    wide = "<table><tr><td>" + "w" * 100 + "<td>a" + "<tr><td>x<td>y" * 300 + "</table>"
+    small = "<table><tr><td>a<td>bbb<tr><td>cccc<td>d</table>"
+    assert html_text.render(wide + small).endswith("a     bbb\ncccc  d")
+
+
 TOKENS = {
     "<p>a<b": "a",
     "a<!-- x <p> --!>b<!-->c<!---->d": "abcd",
