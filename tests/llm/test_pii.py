@@ -59,7 +59,7 @@ def test_disguised_addresses_stand_beside_their_plain_fragments():
 
 def test_the_prefilter_never_changes_a_result(monkeypatch):
     rng = random.Random(2)
-    bits = ["eight", "acht", "Fünf", "UN", "fİve", "ſix", "8", "10", "256", "plus", " ", " ", " ", "-", ".", " dot ", " point ", " Punkt ", " punto ", " at ", "[at]", "( . )", "@", "joe", "com", "é", "x", "\n", "4041 8949 7460 879", " five"]
+    bits = [" arroba ", "mail.example", " klammeraffe ", "12", ". ", "eight", "acht", "Fünf", "UN", "fİve", "ſix", "8", "10", "256", "plus", " ", " ", " ", "-", ".", " dot ", " point ", " Punkt ", " punto ", " at ", "[at]", "( . )", "@", "joe", "com", "é", "x", "\n", "4041 8949 7460 879", " five"]
     texts = ["".join(rng.choice(bits) for _ in range(rng.randint(1, 14))) for _ in range(20000)]
     texts += [w.join([d] * 4) for d in ("eight", "acht", "8") for w in (" dot ", " point ", " punkt ", " punto ")]
     texts += ["card 4 0 4 1 8 9 4 9 7 4 6 0 8 7 9 five", "call plus 1 4 1 5 5 5 5 2 6 7 1", "8.8.8 point 8", "un point deux point trois point quatre"]
@@ -69,13 +69,48 @@ def test_the_prefilter_never_changes_a_result(monkeypatch):
     assert all(got[20000:])
 
 
+def test_addresses_without_bounds():
+    for address in (
+        "j.a.n.e.x.y at example dot com", "first.last.a.b.c.d at example dot com", "jane at example.com", "jane at example dot pl", "jane arroba example punto com",
+        "jane dot doe at example dot com", "jane klammeraffe example punkt de", "jeanne arobase exemple point fr", "jane [at] example dot com", "jane at a dot b dot c dot d dot e dot f dot g dot h dot i dot org",
+        "a" * 200 + " at " + "b" * 200 + " dot " + "c" * 70 + " dot net", "ja\u200bne at exam\u200bple dot c\u200bom", "j\u0430ne dot doe at ex\u0430mple dot com", "x_1%y+z at sub-domain dot co dot uk",
+    ):
+        for before, after in (("", ""), ("write to ", " please"), ("(", ")"), ("to: ", ", or"), ("\u00e9 ", ".")):
+            if before == "write to " and " dot " not in address and " punkt " not in address and " point " not in address and " punto " not in address:
+                before = "mail "
+            text = before + address + after
+            found = [(pii.KINDS[k], text[a:b]) for a, k, b in pii.disguised(text, pii.plain(text)) if k == 0]
+            assert found == [("email", address)], (text, found)
+    text = "plus 49 151 2345 6789 zero"
+    assert [text[a:b] for a, k, b in pii.disguised(text, []) if k == 3] == [text]
+
+
+def test_planted_addresses_come_back_at_their_source():
+    rng = random.Random(4)
+    label = lambda more="": "".join(rng.choice("abcdefghij0189" + more) for _ in range(rng.choice([1, 3, 9, 80])))
+    at = [" [at] ", "(at)", " at ", " arroba ", " {@} ", "@"]
+    dot = [" [dot] ", "(dot)", " dot ", " punto ", ".", " ( . ) "]
+    for _ in range(4000):
+        signs = [rng.choice(dot) for _ in range(rng.randint(1, 9))]
+        sign, local = rng.choice(at), rng.randint(0, len(signs) - 1)
+        if all(x == "." for x in signs[local:]) and sign.strip().isalpha() or all(x == "." for x in signs) and sign == "@":
+            sign = " [at] "
+        labels = ["x" + label("_+") for _ in range(local + 1)], ["y" + label("-") for _ in range(len(signs) - local - 1)] + ["y", rng.choice(["com", "org", "pl", "se", "br"])]
+        signs[local:local] = [sign]
+        flat = [*labels[0], *labels[1]][: len(signs)] + [labels[1][-1]]
+        address = "".join(a + b for a, b in zip(flat, signs)) + flat[-1]
+        text = rng.choice(["", "(", "\u00e9; "]) + address + rng.choice(["", ")", "; ok", "\n"])
+        found = [text[a:b] for a, k, b in pii.disguised(text, pii.plain(text)) if k == 0]
+        assert address in found, (text, found)
+
+
 def test_clean_prose_stays_clean():
-    for text in ("", "Meet me at home (at noon). One or two dots.", "un deux trois", "two at a time, dot by dot", "Привет, как дела? Один два.", "[at] [dot]", "look at this dot"):
+    for text in ("", "Meet me at home (at noon). One or two dots.", "un deux trois", "two at a time, dot by dot", "Привет, как дела? Один два.", "[at] [dot]", "look at this dot", "Look at example.com", "see us at www.example.org or here", "arrive at 10.30", "He points at the dot is red", "at one point in time", "le point de vue", "un point. deux", "plus unique"):
         assert pii.plain(text) == [] and pii.disguised(text, []) == []
 
 
 def test_long_runs_stay_linear():
-    for text in ("a" * 300_000, "1" * 300_000, "a.b." * 80_000, "1.1." * 50_000, "+1" * 100_000, "@" * 200_000, "one " * 60_000, "a dot " * 40_000):
+    for text in ("a" * 300_000, "1" * 300_000, "a.b." * 80_000, "1.1." * 50_000, "+1" * 100_000, "@" * 200_000, "one " * 60_000, "a dot " * 40_000, "a at " * 40_000, "at dot " * 40_000, "x at dot " * 30_000, "x@a dot " * 30_000, "a. at " * 40_000):
         pii.disguised(text, pii.plain(text))
 
 
