@@ -1,15 +1,14 @@
 """Alignment of two tokenizers over the same texts, and how often their tokens meet.
 
-1. *Tokenise.*  Texts are cut at spaces that no token of either vocabulary crosses; each task encodes
-   every distinct piece that it meets once and puts ids and byte ends of the pieces together again.  A
-   text of more than ``PART_BYTES`` becomes several rows, cut at such spaces, where both end a token.
-2. *Align*, by higher-order functions only.  ``array_intersect`` of the end arrays gives the cuts.
-   Both arrays' ends sorted into one tell each B token how many A tokens end before and within it;
-   ``sequence`` over these makes its links, ``transform`` over the cuts the groups.
+1. *Tokenise.*  Texts are cut at spaces that no token of either vocabulary crosses.  Each task encodes
+   the pieces that it meets once and sends, for every ``BLOCK_BYTES`` of text, the distinct pieces' ids
+   and byte ends and each text's places in that list.
+2. *Align*, by higher-order functions only.  In each piece ``array_intersect`` of the end arrays gives
+   the cuts.  Both arrays' ends sorted into one tell each B token how many A tokens end before and within
+   it; ``sequence`` over these makes its links, ``transform`` over the cuts the groups.  Pieces end at
+   a cut, so a text's groups and links are those of its pieces in turn, and ``aggregate`` adds them up.
 3. *Count.*  Links are summed by id pair over the corpus.  The most frequent pairs, at most
    ``HEAD_PAIRS``, go back to the documents by a broadcast, all others by a join that splits hot keys.
-
-Ends are bytes of the space and the text together.
 """
 
 from __future__ import annotations
@@ -28,12 +27,12 @@ from tessera.llm.common import slices
 from tessera.operators.skew import join_facts
 from tessera.session import stored
 
-#: UTF-8 bytes of text for each row of tokens.
-PART_BYTES = 1 << 20
-#: Bytes of text that a task turns into tokens at once.
-CHUNK_BYTES = 1 << 20
-#: Tokens of pieces that a task remembers, of either vocabulary; past that it starts afresh.
-REMEMBERED = 4 << 20
+#: UTF-8 bytes of text whose distinct pieces make a row; one longer text is a row of its own.
+BLOCK_BYTES = 8 << 20
+#: Pieces that a task remembers; past that it starts afresh with the next row.
+REMEMBERED = 1 << 18
+#: Pieces encoded in one call.
+TOGETHER = 2048
 #: Pairs broadcast at most, one row of two numbers each; the rest is joined by a shuffle.
 HEAD_PAIRS = 1 << 20
 
@@ -59,12 +58,11 @@ class _Ragged:
         self.ids, self.used = np.empty(1 << 12, np.int32), 0
         self.starts, self.counts = np.empty(0, np.int64), np.empty(0, np.int64)
 
-    def add(self, lists: list[list[int]]) -> None:
-        counts = np.fromiter(map(len, lists), np.int64, len(lists))
-        total = int(counts.sum())
+    def add(self, ids: np.ndarray, counts: np.ndarray) -> None:
+        total = len(ids)
         if self.used + total > len(self.ids):
             self.ids = np.concatenate([self.ids, np.empty(max(total, len(self.ids)), np.int32)])
-        self.ids[self.used : self.used + total] = np.fromiter((i for x in lists for i in x), np.int32, total)
+        self.ids[self.used : self.used + total] = ids
         self.starts = np.concatenate([self.starts, self.used + np.cumsum(counts) - counts])
         self.counts = np.concatenate([self.counts, counts])
         self.used += total
@@ -103,7 +101,7 @@ class _Encoder:
 
     def forget(self) -> None:
         self.number: dict[str, int] = {}
-        self.lists, self.right, self.size = (_Ragged(), _Ragged()), np.empty(0, bool), np.empty(0, np.int64)
+        self.lists, self.right = (_Ragged(), _Ragged()), np.empty(0, bool)
 
     def pieces(self, text: str) -> list[str]:
         """Pieces of a text, each without the space that it starts with."""
@@ -113,78 +111,118 @@ class _Encoder:
             return [x[1:] for x in self.CUT.split(" " + text)]
         return text.split(" ")
 
+    def encoded(self, texts: list[str]) -> tuple[list[np.ndarray], list[np.ndarray], bool]:
+        """Ids and ends of both tokenizers for pieces one after another, and whether the bytes are these."""
+        a = self.a.encode(" " + " ".join(texts), add_special_tokens=False).ids
+        b = self.b.encode(" ".join(texts))
+        whole = b" " + " ".join(texts).encode()
+        right = all(b"".join([piece[i] for i in x]) == whole for piece, x in zip(self.bytes, (a, b), strict=True))
+        ids = [np.array(x, np.int64) for x in (a, b)]
+        return ids, [np.cumsum(size[x]) for size, x in zip(self.sizes, ids, strict=True)], right
+
+    def _add(self, new: list[str]) -> None:
+        """Remember pieces: many in one call, which cuts between them, or each alone where that fails."""
+        lengths = np.fromiter((len(p.encode()) + 1 for p in new), np.int64, len(new))
+        if len(new) > 1:
+            ids, ends, right = self.encoded(new)
+            stops = np.cumsum(lengths)
+            at = [np.searchsorted(e, stops) for e in ends]
+            if right and all((e[i] == stops).all() for e, i in zip(ends, at, strict=True)):
+                for ragged, x, i in zip(self.lists, ids, at, strict=True):
+                    ragged.add(x, np.diff(i + 1, prepend=0))
+                self.right = np.concatenate([self.right, np.ones(len(new), bool)])
+                return
+            for p in new:
+                self._add([p])
+        elif new:
+            ids, _, right = self.encoded(new)
+            for ragged, x in zip(self.lists, ids, strict=True):
+                ragged.add(x, np.array([len(x)]))
+            self.right = np.append(self.right, right)
+
     def numbers(self, texts: list[str]) -> list[np.ndarray]:
-        """The numbers of each text's pieces; new pieces are encoded."""
-        if max(x.used for x in self.lists) > REMEMBERED:
+        """The numbers of each text's pieces; none for a text that its tokens do not spell."""
+        if len(self.number) > REMEMBERED:
             self.forget()
-        known = len(self.number)
-        found = [np.fromiter((self.number.setdefault(p, len(self.number)) for p in own), np.int64, len(own)) for own in map(self.pieces, texts)]
-        new = list(self.number)[known:] if len(self.number) > known else []
-        if new:
-            lists = [e.ids for e in self.a.encode_batch([" " + p for p in new], add_special_tokens=False)], self.b.encode(new, num_threads=1)
-            wanted = [b" " + p.encode() for p in new]
-            for ragged, ids in zip(self.lists, lists, strict=True):
-                ragged.add(ids)
-            same = [all(b"".join([piece[i] for i in x[k]]) == w for piece, x in zip(self.bytes, lists, strict=True)) for k, w in enumerate(wanted)]
-            self.right = np.concatenate([self.right, np.array(same, bool)])
-            self.size = np.concatenate([self.size, np.fromiter(map(len, wanted), np.int64, len(wanted))])
-        return found
-
-    def whole(self, at: np.ndarray, text: str) -> bool:
-        """Whether both tokenizers' bytes of pieces ``at`` are the text's, with its space."""
-        return all(b"".join([piece[i] for i in ragged.take(at)[0].tolist()]) == b" " + text.encode() for piece, ragged in zip(self.bytes, self.lists, strict=True))
-
-
-def _tokenised(ids: list[str], names: list[str], first: str, second: str):
-    """Arrow function from documents to rows of token ids and ends."""
+        number, out = self.number, []
+
+        def of(pieces: list[str]) -> np.ndarray:
+            return np.fromiter((number.setdefault(p, len(number)) for p in pieces), np.int64, len(pieces))
+
+        known = len(number)
+        out = [of(self.pieces(t)) if t else np.empty(0, np.int64) for t in texts]
+        self._learn(list(number)[known:])
+        for r, t in enumerate(texts):
+            if not self.right[out[r]].all():  # its pieces may not be those of the whole: take it as one
+                known = len(number)
+                out[r] = of([t])
+                self._learn(list(number)[known:])
+                if not self.right[out[r]].all():
+                    out[r] = out[r][:0]
+        return out
+
+    def _learn(self, new: list[str]) -> None:
+        batch: list[str] = []
+        for p in new:
+            # Only between a character and a space before a character are neighbours cut apart.
+            if not p or p[0] == " " or p[-1].isspace() or not self.cuts:
+                self._add(batch)
+                self._add([p])
+                batch = []
+            else:
+                batch.append(p)
+                if len(batch) >= TOGETHER:
+                    self._add(batch)
+                    batch = []
+        self._add(batch)
+
+
+def _listed(values: np.ndarray, counts: np.ndarray) -> pa.ListArray:
+    return pa.ListArray.from_arrays(pa.array(np.concatenate(([0], np.cumsum(counts))), pa.int32()), pa.array(values.astype(np.int32)))
+
+
+def _tokenised(kinds: int, first: str, second: str):
+    """Arrow function from documents to one row for each block."""
 
     def run(batches):
         both, task, rows = _Encoder(first, second), TaskContext.get().partitionId() << 40, 0
         for batch in batches:
-            for chunk in slices(batch, "text_of", CHUNK_BYTES):
-                texts = [x or "" for x in chunk.column("text_of").to_pylist()]
-                found = both.numbers([t for t in texts if t])
-                own, place, part, parts, pieces = iter(found), [], [], [], []
-                for r, text in enumerate(texts):
-                    at = next(own) if text else np.empty(0, np.int64)
-                    right = bool(both.right[at].all())
-                    if not right and not both.whole(at, text):
-                        at = at[:0]
-                    # Parts hold whole pieces; the first piece past a part's bytes starts the next.
-                    upto = np.cumsum(both.size[at])
-                    marks = np.flatnonzero(np.diff((upto - both.size[at]) // PART_BYTES)) + 1 if right and len(at) and upto[-1] > PART_BYTES else []
-                    for k, x in enumerate(cut := np.split(at, marks)):
-                        place.append(r)
-                        part.append(k)
-                        parts.append(len(cut))
-                        pieces.append(x)
-                bounds = np.cumsum([0, *map(len, pieces)])
-                flat, columns = np.concatenate(pieces), []
+            for chunk in slices(batch, "text_of", BLOCK_BYTES):
+                found = both.numbers([x or "" for x in chunk.column("text_of").to_pylist()])
+                flat = np.concatenate(found)
+                place = np.zeros(len(both.number), np.int64)
+                place[flat] = 1
+                own = np.flatnonzero(place)
+                place[own] = np.arange(len(own))
+                sides = []
                 for ragged, sizes in zip(both.lists, both.sizes, strict=True):
-                    tokens, upto = ragged.take(flat)
-                    offsets = np.concatenate(([0], upto))[bounds]
-                    ends = np.cumsum(sizes[tokens])
-                    base = np.concatenate(([0], ends))[offsets[:-1]]
-                    ends -= np.repeat(base, np.diff(offsets))
-                    columns += [pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.array(x.astype(np.int32))) for x in (tokens, ends)]
-                kept = [chunk.column(f"id_{i}").take(pa.array(place, pa.int64())) for i in range(len(ids))]
-                number = pa.array(np.array(place, np.int64) + task + rows)
-                yield pa.RecordBatch.from_arrays([*kept, number, pa.array(part, pa.int32()), pa.array(parts, pa.int32()), *columns], names)
-                rows += len(texts)
+                    ids, upto = ragged.take(own)
+                    ends, counts = np.cumsum(sizes[ids]), ragged.counts[own]
+                    ends -= np.repeat(np.concatenate(([0], ends))[upto - counts], counts)
+                    sides += [_listed(ids, counts), _listed(ends, counts)]
+                pieces = pa.StructArray.from_arrays(sides, ["a", "a_end", "b", "b_end"])
+                at = _listed(place[flat], np.fromiter(map(len, found), np.int64, len(found)))
+                number = pa.array(np.arange(len(found)) + task + rows)
+                docs = pa.StructArray.from_arrays([*[chunk.column(f"id_{i}") for i in range(kinds)], number, at], [*[f"id_{i}" for i in range(kinds)], "row", "at"])
+                one = lambda x: pa.ListArray.from_arrays(pa.array([0, len(x)], pa.int32()), x)
+                yield pa.RecordBatch.from_arrays([one(docs), one(pieces)], ["docs", "pieces"])
+                rows += len(found)
 
     return run
 
 
 def tokenised(docs: DataFrame, ids: list[str], first: str, second: str, text: str = "text") -> DataFrame:
-    """Token ids ``a``, ``b`` and their byte ends ``a_end``, ``b_end`` of every text.
+    """Texts as places in a list of distinct pieces, and the pieces' token ids and byte ends.
 
-    ``id_0`` ... are the columns ``ids``; ``row`` numbers the documents, ``part`` its rows of ``parts``.
+    Each row has ``pieces`` (``a``, ``a_end``, ``b``, ``b_end``) and ``docs``: columns ``ids`` as ``id_0``
+    ..., ``row`` (a number of the document) and ``at`` (its pieces in turn).
     """
     rows = docs.select(*[F.col(c).alias(f"id_{i}") for i, c in enumerate(ids)], F.col(text).alias("text_of"))
-    kept = [T.StructField(f"id_{i}", docs.schema[c].dataType) for i, c in enumerate(ids)]
-    numbers = [T.StructField("row", T.LongType()), T.StructField("part", T.IntegerType()), T.StructField("parts", T.IntegerType())]
-    schema = T.StructType([*kept, *numbers, *[T.StructField(c, T.ArrayType(T.IntegerType())) for c in ("a", "a_end", "b", "b_end")]])
-    return rows.mapInArrow(_tokenised(ids, schema.names, first, second), schema)
+    numbers = T.ArrayType(T.IntegerType())
+    doc = T.StructType([*[T.StructField(f"id_{i}", docs.schema[c].dataType) for i, c in enumerate(ids)], T.StructField("row", T.LongType()), T.StructField("at", numbers)])
+    piece = T.StructType([T.StructField(c, numbers) for c in ("a", "a_end", "b", "b_end")])
+    schema = T.StructType([T.StructField("docs", T.ArrayType(doc)), T.StructField("pieces", T.ArrayType(piece))])
+    return rows.mapInArrow(_tokenised(len(ids), first, second), schema)
 
 
 def _let(value: Column, body) -> Column:
@@ -192,14 +230,14 @@ def _let(value: Column, body) -> Column:
     return F.transform(F.array(value), body)[0]
 
 
-def aligned(pair: Column) -> Column:
-    """Groups and links of a row's tokens, as a struct of ``groups`` and ``links`` (null without tokens).
+def aligned(piece: Column, pair) -> Column:
+    """A piece's groups as text, links by ``pair`` of two ids, and numbers of A and B tokens and groups.
 
     Numbers below count from 0.  ``ends`` holds both sides' ends in order, doubled, B's odd; ``at`` is
     where B's stand in it, so ``at[j] - j`` A tokens end by the end of B token j.
     """
-    a, a_end, b, b_end = (F.col(c) for c in ("a", "a_end", "b", "b_end"))
-    ends = F.sort_array(F.concat(F.transform(a_end, lambda e: e.cast("long") * 2), F.transform(b_end, lambda e: e.cast("long") * 2 + 1)))
+    a, a_end, b, b_end = (piece[c] for c in ("a", "a_end", "b", "b_end"))
+    ends = F.sort_array(F.concat(F.transform(a_end, lambda e: e * 2), F.transform(b_end, lambda e: e * 2 + 1)))
     upto = lambda n: F.sequence(F.lit(0), n - 1)
 
     def placed(ends: Column) -> Column:
@@ -212,18 +250,24 @@ def aligned(pair: Column) -> Column:
     def parts(ends: Column, at: Column, last: Column) -> Column:
         links = F.flatten(F.transform(last, lambda n, j: F.transform(F.sequence(F.when(j == 0, 0).otherwise(at[j - 1] - j + 1), n), lambda i: pair(a[i], b[j]))))
         closing = F.filter(upto(F.size(b)), lambda j: F.get(ends, at[j] - 1) == ends[at[j]] - 1)
-        groups = _let(closing, lambda b_last: _let(F.transform(b_last, lambda j: last[j]), lambda a_last: written(a_last, b_last)))
-        return F.struct(groups.alias("groups"), links.alias("links"))
+        return _let(closing, lambda b_last: _let(F.transform(b_last, lambda j: last[j]), lambda a_last: found(links, written(a_last, b_last), F.size(F.array_intersect(a_end, b_end)))))
 
     def written(a_last: Column, b_last: Column) -> Column:
-        cuts = F.array_intersect(a_end, b_end)  # as many as groups, in their order
-        return _let(a.cast("array<string>"), lambda x: _let(b.cast("array<string>"), lambda y: F.array_join(F.transform(upto(F.size(cuts)), lambda k: F.concat(side(x, a_last, k), F.lit("|"), side(y, b_last, k))), ";")))
+        names = lambda ids: ids.cast("array<string>")
+        return _let(names(a), lambda x: _let(names(b), lambda y: F.array_join(F.transform(a_last, lambda _, k: F.concat(side(x, a_last, k), F.lit("|"), side(y, b_last, k))), ";")))
 
     def side(names: Column, last: Column, k: Column) -> Column:
         start = F.when(k == 0, 0).otherwise(last[k - 1] + 1)
         return F.when(start == last[k], names[start]).otherwise(F.array_join(F.slice(names, start + 1, last[k] - start + 1), ","))
 
-    return F.when(F.size(a) > 0, _let(ends, placed))
+    def found(links: Column, text: Column, groups: Column) -> Column:
+        return F.struct(text.alias("text"), links.alias("links"), F.size(a).alias("n_a"), F.size(b).alias("n_b"), groups.alias("n_groups"))
+
+    # Only the common end is a cut where either side is one token: one group, all pairs.
+    joined = lambda ids: F.array_join(ids.cast("array<string>"), ",")
+    pairs = F.flatten(F.transform(b, lambda y: F.transform(a, lambda x: pair(x, y))))
+    single = found(pairs, F.concat(joined(a), F.lit("|"), joined(b)), F.size(F.array_intersect(a_end, b_end)))
+    return F.when((F.size(a) == 1) | (F.size(b) == 1), single).otherwise(_let(ends, placed))
 
 
 def alignment(docs: DataFrame, ids: list[str], first: str, second: str, text: str = "text") -> DataFrame:
@@ -241,12 +285,18 @@ def alignment(docs: DataFrame, ids: list[str], first: str, second: str, text: st
     """
     kinds = len(second_pieces(second))
     wide = "int" if kinds * len(first_pieces(first)) < 1 << 31 else "long"
-    tokens = tokenised(docs, ids, first, second, text)
     pair = lambda x, y: x.cast(wide) * F.lit(kinds).cast(wide) + y
     kept = [f"id_{i}" for i in range(len(ids))]
-    rows = tokens.select(*kept, "row", "part", "parts", F.size("a").alias("n_a"), F.size("b").alias("n_b"), F.size(F.array_intersect("a_end", "b_end")).alias("n_groups"), aligned(pair).alias("x"))
-    rows = rows.select(*kept, "row", "part", "n_a", "n_b", "n_groups", F.when(F.col("parts") == 1, F.sha2("x.groups", 256)).alias("digest"), F.when(F.col("parts") > 1, F.col("x.groups")).alias("groups"), F.col("x.links").alias("links"))
-    rows = stored(rows)
+
+    def document(d: Column, pieces: Column) -> Column:
+        total = lambda c: F.aggregate(d["at"], F.lit(0).cast("long"), lambda n, i: n + pieces[i][c]).alias(c)
+        text = F.array_join(F.transform(d["at"], lambda i: pieces[i]["text"]), ";")
+        links = F.flatten(F.transform(d["at"], lambda i: pieces[i]["links"]))
+        return F.struct(*[d[c].alias(c) for c in [*kept, "row"]], total("n_a"), total("n_b"), total("n_groups"), F.when(F.size(d["at"]) > 0, F.sha2(text, 256)).otherwise("").alias("digest"), links.alias("links"))
+
+    tokens = tokenised(docs, ids, first, second, text)
+    whole = _let(F.transform("pieces", lambda p: aligned(p, pair)), lambda pieces: F.transform("docs", lambda d: document(d, pieces)))
+    rows = stored(tokens.select(F.explode(whole).alias("d")).select("d.*"))
 
     links = rows.select("row", F.explode("links").alias("pair"))
     counts = links.groupBy("pair").agg(F.count("*").alias("n")).withColumn("b", F.col("pair") % kinds)
@@ -268,10 +318,6 @@ def alignment(docs: DataFrame, ids: list[str], first: str, second: str, text: st
         rest = links.join(head, "pair", "left_anti")
         sums = summed(sums.unionByName(summed(join_facts(rest, facts.where(~in_head), "pair"))))
 
-    texts = F.array_join(F.transform(F.sort_array(F.collect_list(F.when(F.col("groups").isNotNull(), F.struct("part", "groups")))), lambda x: x["groups"]), ";")
-    long_sum = lambda c: F.sum(c).cast("long").alias(c)
-    n_links = F.sum(F.coalesce(F.size("links"), F.lit(0))).cast("long").alias("n_links")
-    whole = rows.groupBy("row").agg(*[F.first(c).alias(c) for c in kept], long_sum("n_a"), long_sum("n_b"), long_sum("n_groups"), n_links, F.max("digest").alias("digest"), texts.alias("groups"))
-    digest = F.when(F.col("n_a") == 0, F.lit("")).otherwise(F.coalesce("digest", F.sha2("groups", 256)))
     zero = lambda c, name: F.coalesce(c, F.lit(0)).cast("long").alias(name)
-    return whole.join(sums, "row", "left").select(*[F.col(k).alias(c) for k, c in zip(kept, ids, strict=True)], "n_a", "n_b", "n_groups", "n_links", zero("best", "n_best"), zero("n", "count_sum"), digest.alias("groups_sha256"))
+    counted = rows.select(*kept, "row", "n_a", "n_b", "n_groups", F.size("links").cast("long").alias("n_links"), "digest").join(sums, "row", "left")
+    return counted.select(*[F.col(k).alias(c) for k, c in zip(kept, ids, strict=True)], "n_a", "n_b", "n_groups", "n_links", zero("best", "n_best"), zero("n", "count_sum"), F.col("digest").alias("groups_sha256"))

@@ -56,12 +56,12 @@ def result(df):
     return Counter((r["doc_id"], *(r[c] for c in ("n_a", "n_b", "n_groups", "n_links", "n_best", "count_sum", "groups_sha256"))) for r in df.collect())
 
 
-@pytest.mark.parametrize("head, part, remembered", [(1 << 20, 1 << 20, 1 << 20), (50, 40, 100), (0, 40, 0)])
-def test_equals_all_overlaps_of_whole_encodings(spark, both, monkeypatch, head, part, remembered):
+@pytest.mark.parametrize("head, together, remembered", [(1 << 20, 2048, 1 << 20), (50, 3, 100), (0, 1, 0)])
+def test_equals_all_overlaps_of_whole_encodings(spark, both, monkeypatch, head, together, remembered):
     monkeypatch.setattr(alignment, "HEAD_PAIRS", head)
-    monkeypatch.setattr(alignment, "PART_BYTES", part)
+    monkeypatch.setattr(alignment, "TOGETHER", together)
     monkeypatch.setattr(alignment, "REMEMBERED", remembered)
-    monkeypatch.setattr(alignment, "CHUNK_BYTES", 700)
+    monkeypatch.setattr(alignment, "BLOCK_BYTES", 700)
     rows = list(enumerate(texts(250, 5)))
     rows += [(None, "the end"), (7, "the end"), (7, "the end")]
     docs = spark.createDataFrame(rows, "doc_id long, text string").selectExpr("*", "1 AS row", "'x' AS Links", "2 AS n_a").repartition(3)
@@ -69,7 +69,7 @@ def test_equals_all_overlaps_of_whole_encodings(spark, both, monkeypatch, head,
     assert result(alignment.alignment(docs, ["doc_id"], FIRST, SECOND)) == want
 
 
-def test_a_long_text_in_parts(spark, both):
+def test_long_texts(spark, both):
     rng = random.Random(1)
     words = "the quick brown internationalization über 日本語 don't 12345 x_y".split()
     text = " ".join(rng.choices(words, k=300_000))
