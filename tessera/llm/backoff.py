@@ -9,9 +9,9 @@ that every context sums to 1.
 1. *Blocks.*  Documents are read in blocks of about ``BLOCK_BYTES``; a block keeps its distinct words and
    each text's positions in them.
 2. *Tables, one for each order.*  A block's distinct n-grams with their counts are dealt over the cluster
-   by context, hot contexts by word as well.  Each part sums what all blocks sent, stores the totals for
-   each block, and for each context its count, its small counts and its sum of lower probabilities.
-3. *Contexts.*  These are added up over parts, weighted, and joined to the blocks that use them.
+   by context, hot contexts by word as well.  Each part sums what all blocks sent and stores the totals for
+   each block, with each context's count, its small counts and its sum of lower probabilities.
+3. *Hot contexts* lie in several parts; their sums are added up and joined to the blocks that use them.
 4. *Score.*  Each block looks its n-grams up, from single words to the highest order, and adds
    logarithms by document.
 
@@ -36,7 +36,7 @@ from tessera.operators.skew import join_facts
 from tessera.session import stored
 
 #: UTF-8 bytes of text in a block; one longer text is a block of its own.
-BLOCK_BYTES = 32 << 20
+BLOCK_BYTES = 16 << 20
 #: Bytes of text for each part that n-grams are dealt to, and the most parts.
 PART_BYTES, MOST_PARTS = 16 << 20, 1 << 16
 #: A context with more occurrences is dealt over several parts, one for each so many.
@@ -105,6 +105,16 @@ class Level:
     def discounted(self, n: np.ndarray) -> np.ndarray:
         return n * self.rate[np.minimum(n, MOST_DISCOUNTED + 1)]
 
+    def weights(self, sums: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+        """What counts behind contexts are divided by, and the contexts' backoff weights, 1 where never seen.
+
+        Where no count of a context is discounted, one more is added to what counts are divided by.
+        """
+        n, *small, lower = sums
+        held = sum((1 - self.rate[r]) * r * x for r, x in enumerate(small, 1))
+        base = n + np.where(held > 0, 0.0, 1.0)
+        return base, np.where(n > 0, np.where(held > 0, held, 1.0) / base / (1 - lower), 1.0)
+
     def single(self, n: np.ndarray) -> np.ndarray:
         return np.where(n > 0, self.discounted(n) / self.base, self.unseen)
 
@@ -189,18 +199,20 @@ def _block_rows(kinds: int, parts: int):
     return run
 
 
-STATS = T.StructType([T.StructField("context", T.LongType()), *[T.StructField(x, T.LongType()) for x in ("n", *(f"r{r}" for r in range(1, MOST_DISCOUNTED + 1)))], T.StructField("lower", T.DoubleType())])
-#: Rows of a table: a block's totals and contexts, or (block null) a part's contexts and counts of counts.
-TABLE = T.StructType([T.StructField("block", T.LongType()), T.StructField("p", T.IntegerType()), T.StructField("back", T.BinaryType()), T.StructField("contexts", T.ArrayType(T.LongType())), T.StructField("stats", T.ArrayType(STATS)), T.StructField("tally", T.ArrayType(T.LongType()))])
-_ARROW_STATS = pa.struct([("context", pa.int64()), *[(x, pa.int64()) for x in ("n", *(f"r{r}" for r in range(1, MOST_DISCOUNTED + 1)))], ("lower", pa.float64())])
-_ARROW_TABLE = pa.schema([("block", pa.int64()), ("p", pa.int32()), ("back", pa.binary()), ("contexts", pa.list_(pa.int64())), ("stats", pa.list_(_ARROW_STATS)), ("tally", pa.list_(pa.int64()))])
+SUMS = ("n", *(f"r{r}" for r in range(1, MOST_DISCOUNTED + 1)), "lower")
+_KINDS = [pa.int64()] * (MOST_DISCOUNTED + 1) + [pa.float64()]
+_STATS = pa.struct([("context", pa.int64()), *zip(SUMS, _KINDS, strict=True)])
+STATS = "struct<context:bigint," + ",".join(f"{c}:{'double' if c == 'lower' else 'bigint'}" for c in SUMS) + ">"
+#: Rows of a table: a block's totals and hot contexts, or (block null) a part's hot contexts and counts of counts.
+TABLE = f"block long, p int, back binary, hot array<bigint>, stats array<{STATS}>, tally array<bigint>"
+_ARROW_TABLE = pa.schema([("block", pa.int64()), ("p", pa.int32()), ("back", pa.binary()), ("hot", pa.list_(pa.int64())), ("stats", pa.list_(_STATS)), ("tally", pa.list_(pa.int64()))])
 
 
-def _rows(p: int, blocks: list[int], backs: list[bytes], contexts: list[np.ndarray] | None, stats: pa.Array | None, tally: list[int]) -> pa.Table:
+def _rows(p: int, blocks: list[int], backs: list[bytes], hot: list[np.ndarray] | None, stats: pa.Array | None, tally: list[int]) -> pa.Table:
     n = len(blocks)
-    own = pa.array([*(contexts if contexts is not None else [None] * n), None], pa.list_(pa.int64()))
+    own = pa.array([*(hot if hot is not None else [None] * n), None], pa.list_(pa.int64()))
     offsets = pa.array([0] * (n + 1) + [len(stats) if stats is not None else 0], pa.int32())
-    listed = pa.ListArray.from_arrays(offsets, stats if stats is not None else pa.array([], _ARROW_STATS))
+    listed = pa.ListArray.from_arrays(offsets, stats if stats is not None else pa.array([], _STATS))
     return pa.Table.from_arrays([pa.array([*blocks, None], pa.int64()), pa.array([p] * (n + 1), pa.int32()), pa.array([*backs, None], pa.binary()), own, listed, pa.array([*[None] * n, tally], pa.list_(pa.int64()))], schema=_ARROW_TABLE)
 
 
@@ -219,34 +231,46 @@ def _sum_words(table: pa.Table) -> pa.Table:
     return _rows(p, table.column("block").to_pylist(), [_pack(ids[own], learnt[own], every[own]) for own in at], None, None, _tallied(learnt))
 
 
-def _sum_grams(table: pa.Table) -> pa.Table:
-    """Totals of a part's n-grams, and what its contexts add up to."""
-    p, sent = table.column("p")[0].as_py(), [_unpack(x) for x in table.column("sent").to_pylist()]
-    context, word, learnt, every = (np.concatenate([x[i] for x in sent]) for i in range(4))
-    lower = np.concatenate([x[5].view(np.float64)[x[4]] for x in sent])
-    order = np.lexsort((word, context))
-    new = np.ones(len(order), bool)
-    new[1:] = (context[order][1:] != context[order][:-1]) | (word[order][1:] != word[order][:-1])
-    starts, gram = np.flatnonzero(new), np.empty(len(order), np.int64)
-    gram[order] = np.cumsum(new) - 1
-    n, m = np.add.reduceat(learnt[order], starts), np.add.reduceat(every[order], starts)
-    owner, below = context[order][starts], lower[order][starts]
-    first = np.flatnonzero(np.concatenate(([True], owner[1:] != owner[:-1])))
-    per = lambda x: np.add.reduceat(x, first)
-    stats = pa.StructArray.from_arrays([pa.array(x) for x in (owner[first], per(n), *(per((n == r).astype(np.int64)) for r in range(1, MOST_DISCOUNTED + 1)), per(np.where(n > 0, below, 0.0)))], fields=list(_ARROW_STATS))
-    ends = np.cumsum([len(x[0]) for x in sent])
-    backs = [_pack(n[own], m[own], (p << 32) + own) for own in np.split(gram, ends[:-1])]
-    return _rows(p, table.column("block").to_pylist(), backs, [np.unique(x[0]) for x in sent], stats, _tallied(n))
-
-
-def _placed(returned: list[dict], part: np.ndarray, keep: int) -> list[np.ndarray]:
-    """The first ``keep`` arrays that parts sent back, in the order that ``part`` was dealt from."""
-    backs, place = [_unpack(x["back"])[:keep] for x in sorted(returned, key=lambda x: x["p"])], np.argsort(part, kind="stable")
-    out = []
-    for i in range(keep):
-        values = np.empty(len(part), np.int64)
-        values[place] = np.concatenate([x[i] for x in backs])
-        out.append(values)
+def _sum_grams(last: bool):
+    """Arrow function from what blocks sent to a part to its rows of the table."""
+
+    def run(table: pa.Table) -> pa.Table:
+        p, sent = table.column("p")[0].as_py(), [_unpack(x) for x in table.column("sent").to_pylist()]
+        # Of each list: contexts, how many n-grams each has there, whether it is hot; words, counts, lower probabilities.
+        context = np.concatenate([np.repeat(x[0], x[1]) for x in sent])
+        word, learnt, every = (np.concatenate([x[i] for x in sent]) for i in (3, 4, 5))
+        lower = np.concatenate([x[7].view(np.float64)[x[6]] for x in sent])
+        order = np.lexsort((word, context))
+        new = np.ones(len(order), bool)
+        new[1:] = (context[order][1:] != context[order][:-1]) | (word[order][1:] != word[order][:-1])
+        starts, gram = np.flatnonzero(new), np.empty(len(order), np.int64)
+        gram[order] = np.cumsum(new) - 1
+        n, m = np.add.reduceat(learnt[order], starts), np.add.reduceat(every[order], starts)
+        owner, below = context[order][starts], lower[order][starts]
+        first = np.flatnonzero(np.concatenate(([True], owner[1:] != owner[:-1])))
+        sums = [np.add.reduceat(x, first) for x in (n, *((n == r).astype(np.int64) for r in range(1, MOST_DISCOUNTED + 1)), np.where(n > 0, below, 0.0))]
+        owner = owner[first]
+        hot = [x[0][x[2] > 0] for x in sent]
+        partial = np.isin(owner, np.concatenate(hot))
+        stats = pa.StructArray.from_arrays([pa.array(owner[partial]), *(pa.array(x[partial], k) for x, k in zip(sums, _KINDS, strict=True))], fields=list(_STATS))
+        backs = []
+        for x, own in zip(sent, np.split(gram, np.cumsum([len(x[3]) for x in sent])[:-1]), strict=True):
+            at = np.searchsorted(owner, x[0])
+            backs.append(_pack(*(y[at].view(np.int64) for y in sums), n[own], *([] if last else [m[own], (p << 32) + own])))
+        return _rows(p, table.column("block").to_pylist(), backs, hot, stats, _tallied(n))
+
+    return run
+
+
+def _returned(rows: list[dict]) -> list[np.ndarray]:
+    """The arrays that parts sent back, part after part."""
+    return [np.concatenate(x) for x in zip(*(_unpack(r["back"]) for r in sorted(rows, key=lambda r: r["p"])), strict=True)]
+
+
+def _placed(values: np.ndarray, place: np.ndarray) -> np.ndarray:
+    """Values in the order of parts, put where they were dealt from."""
+    out = np.empty(len(place), values.dtype)
+    out[place] = values
     return out
 
 
@@ -256,7 +280,8 @@ class _Walk:
     def __init__(self, row: dict, known: Level) -> None:
         self.row = row
         self.lengths, self.word, part = _unpack(row["at"])
-        self.ids, self.n, self.seen = _placed(row["back_1"], part, 3)
+        place = np.argsort(part, kind="stable")
+        self.ids, self.n, self.seen = (_placed(x, place) for x in _returned(row["back_1"]))
         self.first = np.cumsum(self.lengths) - self.lengths
         self.prob = known.single(self.n)[self.word]
         self.docs = int(self.seen[self.word[self.first[0] + self.lengths[0] - 1]])  # ends, so texts, of the corpus
@@ -275,26 +300,38 @@ class _Walk:
         self.of, self.last = unique // len(self.ids), unique % len(self.ids)
         self.lower = np.empty(len(unique))
         self.lower[self.gram] = self.prob
-        self.part = _parts_of(self.context_ids[self.of], self.ids[self.last], self.context_seen[self.of], parts)
+        part = _parts_of(self.context_ids[self.of], self.ids[self.last], self.context_seen[self.of], parts)
+        self.by_part = np.argsort(part, kind="stable")
+        part, of = part[self.by_part], self.of[self.by_part]
+        # Where parts begin among the n-grams as dealt, and where contexts do within parts.
+        self.cuts = np.flatnonzero(np.concatenate(([True], part[1:] != part[:-1])))
+        self.runs = np.flatnonzero(np.concatenate(([True], (part[1:] != part[:-1]) | (of[1:] != of[:-1]))))
+        self.part, self.run_of = part[self.cuts], of[self.runs]
 
     def raise_to(self, order: int, known: Level, parts: int) -> None:
         self.grams(parts)
-        n, seen, ids = _placed(self.row[f"back_{order}"], self.part, 3)
-        facts = self.row[f"contexts_{order}"]
-        context, base, alpha = facts.field("context").to_numpy(), facts.field("base").to_numpy(), facts.field("alpha").to_numpy()
-        by = np.argsort(context)
-        context, base, alpha = np.append(context[by], np.iinfo(np.int64).max), np.append(base[by], 1.0), np.append(alpha[by], 1.0)
-        own = self.context_ids[self.of]
-        at = np.searchsorted(context, own)
-        at = np.where(context[at] == own, at, len(context) - 1)  # contexts without training count: weight 1
-        self.prob = np.where(n > 0, known.discounted(n) / base[at], alpha[at] * self.lower)[self.gram]
-        self.behind(self.gram, ids, seen)
+        *sums, lower, n = (back := _returned(self.row[f"back_{order}"]))[: len(SUMS) + 1]
+        sums = [*sums, lower.view(np.float64)]
+        facts = self.row[f"hot_{order}"]
+        if len(facts):
+            own, context = self.context_ids[self.run_of], facts.field("context").to_numpy()
+            by = np.argsort(context)
+            at = np.minimum(np.searchsorted(context[by], own), len(by) - 1)
+            found = context[by][at] == own
+            sums = [np.where(found, facts.field(c).to_numpy()[by][at], x) for c, x in zip(SUMS, sums, strict=True)]
+        base, alpha = known.weights(sums)
+        many = np.diff(np.append(self.runs, len(self.by_part)))
+        base, alpha, n = (_placed(x, self.by_part) for x in (np.repeat(base, many), np.repeat(alpha, many), n))
+        self.prob = np.where(n > 0, known.discounted(n) / base, alpha * self.lower)[self.gram]
+        if len(back) > len(SUMS) + 1:
+            seen, ids = (_placed(x, self.by_part) for x in back[len(SUMS) + 1 :])
+            self.behind(self.gram, ids, seen)
 
 
 def _walks(batches, levels: list[Level], parts: int):
     for batch in batches:
         for r in range(batch.num_rows):
-            row = {c: batch.column(c)[r].values if c.startswith("contexts_") else batch.column(c)[r].as_py() for c in batch.schema.names if not c.startswith("id_")}
+            row = {c: batch.column(c)[r].values if c.startswith("hot_") else batch.column(c)[r].as_py() for c in batch.schema.names if not c.startswith("id_")}
             walk = _Walk(row, levels[0])
             for k, known in enumerate(levels[1:]):
                 walk.raise_to(k + 2, known, parts)
@@ -309,11 +346,14 @@ def _deal(levels: list[Level], parts: int):
             walk.grams(parts)
             train = np.repeat(np.array(walk.row["train"], bool), walk.lengths)
             learnt, every = np.bincount(walk.gram[train], minlength=len(walk.of)), np.bincount(walk.gram, minlength=len(walk.of))
-            by_part = np.argsort(walk.part, kind="stable")
-            for own in np.split(by_part, np.flatnonzero(np.diff(walk.part[by_part])) + 1):
+            many = np.diff(np.append(walk.runs, len(walk.by_part)))
+            hot = (walk.context_seen[walk.run_of] >= HOT_CONTEXT).astype(np.int64)
+            cuts, runs = walk.cuts[1:], np.searchsorted(walk.runs, walk.cuts[1:])
+            lists = zip(walk.part.tolist(), np.split(walk.by_part, cuts), *(np.split(x, runs) for x in (walk.run_of, many, hot)), strict=True)
+            for p, own, of, times, warm in lists:
                 values, at = np.unique(walk.lower[own], return_inverse=True)
-                sent = _pack(walk.context_ids[walk.of[own]], walk.ids[walk.last[own]], learnt[own], every[own], at, values)
-                yield pa.RecordBatch.from_arrays([batch.column("block").slice(r, 1), pa.array([int(walk.part[own[0]])], pa.int32()), pa.array([sent], pa.binary())], ["block", "p", "sent"])
+                sent = _pack(walk.context_ids[of], times, warm, walk.ids[walk.last[own]], learnt[own], every[own], at, values)
+                yield pa.RecordBatch.from_arrays([batch.column("block").slice(r, 1), pa.array([p], pa.int32()), pa.array([sent], pa.binary())], ["block", "p", "sent"])
 
     return run
 
@@ -356,7 +396,7 @@ def scored(docs: DataFrame, ids: list[str], train: Column, text: str = "text", *
     whole = blocks.drop("dealt").repartition(wide, "block")
     for k in range(1, order + 1):
         sent = blocks.select("block", F.explode("dealt").alias("d")).select("block", "d.p", "d.sent") if k == 1 else whole.mapInArrow(_deal(levels, parts), "block long, p int, sent binary")
-        table = stored(sent.groupBy("p").applyInArrow(_sum_words if k == 1 else _sum_grams, TABLE))
+        table = stored(sent.groupBy("p").applyInArrow(_sum_words if k == 1 else _sum_grams(k == order), TABLE))
         counts = table.where("tally is not null").select(F.posexplode("tally").alias("i", "n")).groupBy("i").agg(F.sum("n").alias("n")).collect()
         tally = [0] * (MOST_DISCOUNTED + 3)
         for c in counts:
@@ -366,24 +406,11 @@ def scored(docs: DataFrame, ids: list[str], train: Column, text: str = "text", *
         back = own.repartition(wide, "block").groupBy("block").agg(F.collect_list(F.struct("p", "back")).alias(f"back_{k}"))
         whole = whole.join(back, "block")
         if k > 1:
-            weights = stored(_weighted(table, levels[-1]))
-            used = own.select("block", F.explode("contexts").alias("context")).distinct() if k > 2 else own.select("block", F.explode("contexts").alias("context"))
-            facts = join_facts(used, weights, "context").repartition(wide, "block").groupBy("block").agg(F.collect_list(F.struct("context", "base", "alpha")).alias("found"))
-            none = F.array().cast("array<struct<context:bigint,base:double,alpha:double>>")
-            whole = whole.join(facts, "block", "left").withColumn(f"contexts_{k}", F.coalesce("found", none)).drop("found")
+            sums = table.select(F.explode("stats").alias("s")).select("s.*").groupBy("context").agg(*[F.sum(c).alias(c) for c in SUMS])
+            used = own.select("block", F.explode("hot").alias("context")).distinct()
+            facts = join_facts(used, sums, "context").repartition(wide, "block").groupBy("block").agg(F.collect_list(F.struct("context", *SUMS)).alias("found"))
+            whole = whole.join(facts, "block", "left").withColumn(f"hot_{k}", F.coalesce("found", F.array().cast(f"array<{STATS}>"))).drop("found")
     names = [*ids, "train", "n_tokens", "n_known", "train_tokens", "base_score", "score"]
     types = [*kinds, T.BooleanType(), T.LongType(), T.LongType(), T.LongType(), T.DoubleType(), T.DoubleType()]
     return whole.mapInArrow(_score(levels, parts, len(ids), names), T.StructType([T.StructField(n, t) for n, t in zip(names, types, strict=True)]))
 
-
-def _weighted(table: DataFrame, known: Level) -> DataFrame:
-    """``context``, what its counts are divided by, and its backoff weight, of contexts seen in training.
-
-    Where no count of a context is discounted, one more is added to what counts are divided by.
-    """
-    small = [f"r{r}" for r in range(1, MOST_DISCOUNTED + 1)]
-    sums = table.select(F.explode("stats").alias("s")).select("s.*").groupBy("context").agg(*[F.sum(c).alias(c) for c in ("n", *small, "lower")])
-    held = sum((F.col(c) * F.lit(float((1 - known.rate[r]) * r)) for r, c in enumerate(small, 1)), F.lit(0.0))
-    left = F.when(F.col("held") > 0, F.col("held")).otherwise(1.0)
-    base = F.col("n") + F.when(F.col("held") > 0, 0.0).otherwise(1.0)
-    return sums.where("n > 0").withColumn("held", held).select("context", base.alias("base"), (left / base / (1 - F.col("lower"))).alias("alpha"))
