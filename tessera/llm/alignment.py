@@ -28,9 +28,9 @@ from tessera.operators.skew import join_facts
 from tessera.session import stored
 
 #: UTF-8 bytes of text whose distinct pieces make a row; one longer text is a row of its own.
-BLOCK_BYTES = 8 << 20
+BLOCK_BYTES = 3 << 20
 #: Pieces that a task remembers; past that it starts afresh with the next row.
-REMEMBERED = 1 << 18
+REMEMBERED = 1 << 17
 #: Pieces encoded in one call.
 TOGETHER = 2048
 #: Pairs broadcast at most, one row of two numbers each; the rest is joined by a shuffle.
@@ -51,6 +51,14 @@ def second_pieces(path: str) -> list[bytes]:
     return [bytes([int(m[1], 16)]) if (m := byte.fullmatch(x)) else x.replace("▁", " ").encode() for x in map(model.id_to_piece, range(model.get_piece_size()))]
 
 
+class _Numbers(dict):
+    """Numbers of pieces, the next one for a piece not met before."""
+
+    def __missing__(self, piece: str) -> int:
+        n = self[piece] = len(self)
+        return n
+
+
 class _Ragged:
     """Lists of token ids, by number of piece."""
 
@@ -100,7 +108,7 @@ class _Encoder:
         self.forget()
 
     def forget(self) -> None:
-        self.number: dict[str, int] = {}
+        self.number = _Numbers()
         self.lists, self.right = (_Ragged(), _Ragged()), np.empty(0, bool)
 
     def pieces(self, text: str) -> list[str]:
@@ -113,7 +121,7 @@ class _Encoder:
 
     def encoded(self, texts: list[str]) -> tuple[list[np.ndarray], list[np.ndarray], bool]:
         """Ids and ends of both tokenizers for pieces one after another, and whether the bytes are these."""
-        a = self.a.encode(" " + " ".join(texts), add_special_tokens=False).ids
+        a = self.a.encode_batch_fast([" " + " ".join(texts)], add_special_tokens=False)[0].ids
         b = self.b.encode(" ".join(texts))
         whole = b" " + " ".join(texts).encode()
         right = all(b"".join([piece[i] for i in x]) == whole for piece, x in zip(self.bytes, (a, b), strict=True))
@@ -147,7 +155,7 @@ class _Encoder:
         number, out = self.number, []
 
         def of(pieces: list[str]) -> np.ndarray:
-            return np.fromiter((number.setdefault(p, len(number)) for p in pieces), np.int64, len(pieces))
+            return np.fromiter(map(number.__getitem__, pieces), np.int64, len(pieces))
 
         known = len(number)
         out = [of(self.pieces(t)) if t else np.empty(0, np.int64) for t in texts]

@@ -91,6 +91,14 @@ def _parts_of(context: np.ndarray, word: np.ndarray, seen: np.ndarray, parts: in
     return (_mixed(_mixed(context) + salt) % np.uint64(parts)).astype(np.int64)
 
 
+class _Numbers(dict):
+    """Numbers of words, the next one for a word not met before."""
+
+    def __missing__(self, word: bytes) -> int:
+        n = self[word] = len(self)
+        return n
+
+
 @dataclass
 class Level:
     """Discounts of one order: ``rate[n]`` for counts up to MOST_DISCOUNTED, 1 above."""
@@ -154,7 +162,7 @@ def _block_rows(kinds: int, parts: int):
 
     def run(batches):
         task, blocks, size = TaskContext.get().partitionId(), 0, 0
-        number: dict[bytes, int] = {}
+        number = _Numbers()
         lists: list[np.ndarray] = []
         held: list[list[pa.Array]] = []
 
@@ -178,7 +186,7 @@ def _block_rows(kinds: int, parts: int):
                 whole = pa.concat_arrays([h[i] for h in held])
                 columns.append(pa.ListArray.from_arrays(pa.array([0, len(whole)], pa.int32()), whole))
             columns += [pa.array([_pack(lengths, at, part)], pa.binary()), pa.array([dealt], pa.list_(pa.struct([("p", pa.int32()), ("sent", pa.binary())])))]
-            number, lists, held, size = {}, [], [], 0
+            number, lists, held, size = _Numbers(), [], [], 0
             blocks += 1
             return pa.RecordBatch.from_arrays(columns, ["block", *[f"id_{i}" for i in range(kinds)], "train", "at", "dealt"])
 
@@ -190,7 +198,7 @@ def _block_rows(kinds: int, parts: int):
                 for x in raw(chunk.column("text_of")):
                     words = (x or b"").lower().split()  # bytes: only A-Z, white space of ASCII
                     words.append(END)
-                    lists.append(np.fromiter((number.setdefault(w, len(number)) for w in words), np.int64, len(words)))
+                    lists.append(np.fromiter(map(number.__getitem__, words), np.int64, len(words)))
                 held.append([chunk.column(c) for c in [*(f"id_{i}" for i in range(kinds)), "train"]])
                 size += more
         if lists:
@@ -219,8 +227,8 @@ def _rows(p: int, blocks: list[int], backs: list[bytes], hot: list[np.ndarray] |
 def _sum_words(table: pa.Table) -> pa.Table:
     """Totals of a part's words; numbers go by falling count."""
     p, sent = table.column("p")[0].as_py(), [_unpack_words(x) for x in table.column("sent").to_pylist()]
-    number: dict[bytes, int] = {}
-    at = [np.fromiter((number.setdefault(w, len(number)) for w in words), np.int64, len(words)) for words, _ in sent]
+    number = _Numbers()
+    at = [np.fromiter(map(number.__getitem__, words), np.int64, len(words)) for words, _ in sent]
     learnt, every = np.zeros(len(number), np.int64), np.zeros(len(number), np.int64)
     for own, (_, (n, m)) in zip(at, sent, strict=True):
         learnt[own] += n
