@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from tessera.functions import text as keys
 from tessera.functions import values
-from tessera.operators import aggregates, audits, classify, creators, diff, entity, graph, matching, published, ranking, rules, survivorship, validation
+from tessera.operators import aggregates, audits, classify, creators, diff, entity, folding, graph, matching, published, ranking, rules, survivorship, validation
 from tessera.plans import catalog, incremental, release
 from tessera.session import table
 from tessera.sources import writers
@@ -785,12 +785,32 @@ def publication_gaps(spark, d):
     return table(spark, d, "orders").select("o_orderkey", gap.alias("status"))
 
 
+def _candidates(spark, d):
+    """Parts as candidates; a twelfth of them lack their title, and every fifth carries an edition."""
+    p = table(spark, d, "part")
+    key, size = F.col("p_partkey"), F.col("p_size")
+    name = F.concat(F.regexp_replace("p_name", "^[^ ]* ", ""), F.lit(" "), F.floor(key / 40).cast("string"))
+    edition = F.when(key % 5 == 0, " edition").otherwise("")
+    return p.select(
+        key.alias("ordinal"), F.when(key % 11 == 0, F.concat(F.lit("s"), F.floor(key / 33).cast("string"))).otherwise("").alias("site_id"), F.concat(name, edition).alias("title"),
+        F.when(key % 12 == 0, "").otherwise(name).alias("original_title"), F.array(F.concat(F.lit("alias "), F.floor(key / 7).cast("string"))).alias("aliases"),
+        F.element_at(F.array(F.lit("anime"), F.lit("game"), F.lit("unknown")), (size % 3 + 1).cast("int")).alias("media"), (1990 + size % 4).cast("int").alias("year"), F.when(size % 2 == 0, (size % 6).cast("string")).otherwise("").alias("provider_id"),
+        F.create_map(F.lit("shop"), F.floor(key / 3).cast("string")).alias("external_ids"), F.col("p_brand").alias("brand"),
+    )
+
+
 @query(None)
 def seq_dedup(spark, d):
     """Parts as candidates, folded in the order of their keys; tested against the fold by brute force."""
-    p = table(spark, d, "part")
-    name = F.concat(F.lit("part "), F.floor(F.col("p_partkey") / 6).cast("string"), F.lit(" "), (F.col("p_size") % 2).cast("string"))
-    return entity.sequential_dedup(p.select(F.col("p_partkey").alias("ordinal"), F.lit("").alias("site_id"), name.alias("original_title"), F.col("p_type").alias("media"), (1990 + F.col("p_size") % 3).alias("year"), F.lit("").alias("provider_id"), F.array(F.concat(F.lit("shop:"), F.floor(F.col("p_partkey") / 3).cast("string"))).alias("external_ids"), (F.col("p_size") % 5 == 0).alias("version")))
+    return folding.sequential_dedup(_candidates(spark, d), norm=lambda c: keys.key("match_title", c, compose=False))
+
+
+@query(None)
+def dedup_conflicts(spark, d):
+    """What folding the candidates leaves to a reviewer, similar titles within a brand."""
+    norm = lambda c: keys.key("match_title", c, compose=False)
+    candidates = _candidates(spark, d)
+    return folding.dedup_conflicts(candidates, folding.sequential_dedup(candidates, norm=norm), norm=norm, block="brand")
 
 
 # -- creators and survivorship ------------------------------------------------------------------

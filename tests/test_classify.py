@@ -34,45 +34,3 @@ def test_zipped_and_matches(spark):
     a = spark.createDataFrame([(1, "x"), (2, "y")], "n int, k string")
     b = spark.createDataFrame([(1, "x"), (2, "z"), (3, "w")], "n int, k string")
     assert [r["aligned"] for r in matching.zipped(a, b, "n", "k").orderBy("n").collect()] == [True, False, False]
-
-
-def fold(rows):
-    kept, out = [], []
-    for r in sorted(rows, key=lambda r: r["ordinal"]):
-        hits = []
-        for e in kept:
-            far = r["year"] is None or e["year"] is None or r["year"] != e["year"]
-            kinds = {r["media"], e["media"]}
-            if r["site_id"] and r["site_id"].lower() == e["site_id"].lower():
-                hits.append((e, "exact_site_id"))
-            elif {x.lower() for x in r["external_ids"]} & {x.lower() for x in e["external_ids"]}:
-                hits.append((e, "exact_external_id"))
-            elif r["original_title"] and r["original_title"] == e["original_title"] and (len(kinds) == 1 or "unknown" in kinds):
-                if not (kinds == {"anime"} and r["provider_id"] and e["provider_id"] and r["provider_id"] != e["provider_id"]) and not ((r["version"] or e["version"]) and far):
-                    hits.append((e, "exact_original_title"))
-        if len(hits) == 1:
-            e = hits[0][0]
-            out.append((r["ordinal"], "merged", e["ordinal"], hits[0][1]))
-            for k in ("site_id", "original_title", "media", "provider_id", "year"):
-                if r[k] not in ("", None):
-                    e[k] = r[k]
-            e["version"] |= r["version"]
-            e["external_ids"] = list(({x.split(":")[0]: x for x in e["external_ids"]} | {x.split(":")[0]: x for x in r["external_ids"]}).values())
-        elif hits:
-            out.append((r["ordinal"], "review", hits[0][0]["ordinal"], "multi_match_" + hits[0][1]))
-        else:
-            kept.append(dict(r))
-            out.append((r["ordinal"], "kept", r["ordinal"], "none"))
-    return out
-
-
-def test_sequential_dedup_matches_the_fold(spark):
-    for seed in range(3):
-        rng = random.Random(seed)
-        rows = [
-            {"ordinal": i, "site_id": rng.choice(["", "", f"s{rng.randint(0, 30)}"]), "original_title": rng.choice(["", f"t{rng.randint(0, 20)}"]), "media": rng.choice(["anime", "game", "unknown"]), "year": rng.choice([None, 2000, 2001]), "provider_id": rng.choice(["", "1", "2"]), "external_ids": [f"p:{rng.randint(0, 40)}"] if rng.random() < 0.4 else [], "version": rng.random() < 0.2}
-            for i in range(120)
-        ]
-        df = spark.createDataFrame([tuple(r.values()) for r in rows], "ordinal long, site_id string, original_title string, media string, year int, provider_id string, external_ids array<string>, version boolean").repartition(3)
-        got = sorted(tuple(r) for r in entity.sequential_dedup(df).collect())
-        assert got == sorted(fold(rows))
