@@ -275,7 +275,9 @@ def aligned(piece: Column, pair) -> Column:
     joined = lambda ids: F.array_join(ids.cast("array<string>"), ",")
     pairs = F.flatten(F.transform(b, lambda y: F.transform(a, lambda x: pair(x, y))))
     single = found(pairs, F.concat(joined(a), F.lit("|"), joined(b)), F.size(F.array_intersect(a_end, b_end)))
-    return F.when((F.size(a) == 1) | (F.size(b) == 1), single).otherwise(_let(ends, placed))
+    # Where both end alike, each token is a group with its fellow.
+    alike = found(F.transform(a, lambda x, i: pair(x, b[i])), F.array_join(F.transform(a, lambda x, i: F.concat(x.cast("string"), F.lit("|"), b[i].cast("string"))), ";"), F.size(F.array_intersect(a_end, b_end)))
+    return F.when((F.size(a) == 1) | (F.size(b) == 1), single).when(a_end == b_end, alike).otherwise(_let(ends, placed))
 
 
 def alignment(docs: DataFrame, ids: list[str], first: str, second: str, text: str = "text") -> DataFrame:
