@@ -13,6 +13,7 @@
 
 from __future__ import annotations
 
+import json
 import re
 
 import numpy as np
@@ -37,6 +38,13 @@ TOGETHER = 2048
 HEAD_PAIRS = 1 << 20
 
 
+def plain_rows(path: str) -> list[tuple[int, bytes]]:
+    """(id, bytes) of the byte-level vocabulary file without its special tokens."""
+    with open(path, encoding="utf-8") as f:
+        special = {t["id"] for t in json.load(f)["added_tokens"]}
+    return [(i, b) for i, b in piece_rows(path) if i not in special]
+
+
 def first_pieces(path: str) -> list[bytes]:
     """Bytes of each id of the byte-level vocabulary file."""
     return [b for _, b in piece_rows(path)]
@@ -90,16 +98,13 @@ class _Encoder:
     ODD = re.compile(r"\s | $|^ ")
 
     def __init__(self, first: str, second: str) -> None:
-        import os
-
-        os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         import sentencepiece
-        from tokenizers import Tokenizer
+        import tiktoken
+        from public_tokenizers import PATTERN
 
-        self.a = Tokenizer.from_file(first)
-        self.a.no_padding()
-        self.a.no_truncation()
-        self.a.encode_special_tokens = True
+        # Ids of this family of vocabularies are in the order of their merges, so they serve as ranks.
+        ranks = {b: i for i, b in plain_rows(first)}
+        self.a = tiktoken.Encoding("first", pat_str=PATTERN, mergeable_ranks=ranks, special_tokens={})
         self.b = sentencepiece.SentencePieceProcessor(model_file=second)
         self.bytes = first_pieces(first), second_pieces(second)
         self.sizes = [np.fromiter(map(len, x), np.int64, len(x)) for x in self.bytes]
@@ -121,7 +126,7 @@ class _Encoder:
 
     def encoded(self, texts: list[str]) -> tuple[list[np.ndarray], list[np.ndarray], bool]:
         """Ids and ends of both tokenizers for pieces one after another, and whether the bytes are these."""
-        a = self.a.encode_batch_fast([" " + " ".join(texts)], add_special_tokens=False)[0].ids
+        a = self.a.encode_ordinary(" " + " ".join(texts))
         b = self.b.encode(" ".join(texts))
         whole = b" " + " ".join(texts).encode()
         right = all(b"".join([piece[i] for i in x]) == whole for piece, x in zip(self.bytes, (a, b), strict=True))
@@ -233,13 +238,17 @@ def tokenised(docs: DataFrame, ids: list[str], first: str, second: str, text: st
     return rows.mapInArrow(_tokenised(len(ids), first, second), schema)
 
 
+#: A count of A tokens is written above one of B tokens in one number.
+B_COUNT = 1 << 32
+
+
 def _let(value: Column, body) -> Column:
     """``body`` of ``value``, which is computed once however often the body reads it."""
     return F.transform(F.array(value), body)[0]
 
 
 def aligned(piece: Column, pair) -> Column:
-    """A piece's groups as text, links by ``pair`` of two ids, and numbers of A and B tokens and groups.
+    """A piece's groups as text, links by ``pair`` of two ids, and numbers of A and B tokens as one.
 
     Numbers below count from 0.  ``ends`` holds both sides' ends in order, doubled, B's odd; ``at`` is
     where B's stand in it, so ``at[j] - j`` A tokens end by the end of B token j.
@@ -258,25 +267,26 @@ def aligned(piece: Column, pair) -> Column:
     def parts(ends: Column, at: Column, last: Column) -> Column:
         links = F.flatten(F.transform(last, lambda n, j: F.transform(F.sequence(F.when(j == 0, 0).otherwise(at[j - 1] - j + 1), n), lambda i: pair(a[i], b[j]))))
         closing = F.filter(upto(F.size(b)), lambda j: F.get(ends, at[j] - 1) == ends[at[j]] - 1)
-        return _let(closing, lambda b_last: _let(F.transform(b_last, lambda j: last[j]), lambda a_last: found(links, written(a_last, b_last), F.size(F.array_intersect(a_end, b_end)))))
+        return _let(closing, lambda b_last: _let(F.transform(b_last, lambda j: last[j]), lambda a_last: found(links, written(a_last, b_last))))
 
     def written(a_last: Column, b_last: Column) -> Column:
         names = lambda ids: ids.cast("array<string>")
-        return _let(names(a), lambda x: _let(names(b), lambda y: F.array_join(F.transform(a_last, lambda _, k: F.concat(side(x, a_last, k), F.lit("|"), side(y, b_last, k))), ";")))
+        cuts = F.array_intersect(a_end, b_end)  # one for each group, in their order
+        return _let(names(a), lambda x: _let(names(b), lambda y: F.array_join(F.transform(cuts, lambda _, k: F.concat(side(x, a_last, k), F.lit("|"), side(y, b_last, k))), ";")))
 
     def side(names: Column, last: Column, k: Column) -> Column:
         start = F.when(k == 0, 0).otherwise(last[k - 1] + 1)
         return F.when(start == last[k], names[start]).otherwise(F.array_join(F.slice(names, start + 1, last[k] - start + 1), ","))
 
-    def found(links: Column, text: Column, groups: Column) -> Column:
-        return F.struct(text.alias("text"), links.alias("links"), F.size(a).alias("n_a"), F.size(b).alias("n_b"), groups.alias("n_groups"))
+    def found(links: Column, text: Column) -> Column:
+        return F.struct(text.alias("text"), links.alias("links"), (F.size(a).cast("long") * B_COUNT + F.size(b)).alias("n"))
 
     # Only the common end is a cut where either side is one token: one group, all pairs.
     joined = lambda ids: F.array_join(ids.cast("array<string>"), ",")
     pairs = F.flatten(F.transform(b, lambda y: F.transform(a, lambda x: pair(x, y))))
-    single = found(pairs, F.concat(joined(a), F.lit("|"), joined(b)), F.size(F.array_intersect(a_end, b_end)))
+    single = found(pairs, F.concat(joined(a), F.lit("|"), joined(b)))
     # Where both end alike, each token is a group with its fellow.
-    alike = found(F.transform(a, lambda x, i: pair(x, b[i])), F.array_join(F.transform(a, lambda x, i: F.concat(x.cast("string"), F.lit("|"), b[i].cast("string"))), ";"), F.size(F.array_intersect(a_end, b_end)))
+    alike = found(F.transform(a, lambda x, i: pair(x, b[i])), F.array_join(F.transform(a, lambda x, i: F.concat(x.cast("string"), F.lit("|"), b[i].cast("string"))), ";"))
     return F.when((F.size(a) == 1) | (F.size(b) == 1), single).when(a_end == b_end, alike).otherwise(_let(ends, placed))
 
 
@@ -299,14 +309,15 @@ def alignment(docs: DataFrame, ids: list[str], first: str, second: str, text: st
     kept = [f"id_{i}" for i in range(len(ids))]
 
     def document(d: Column, pieces: Column) -> Column:
-        total = lambda c: F.aggregate(d["at"], F.lit(0).cast("long"), lambda n, i: n + pieces[i][c]).alias(c)
+        total = F.aggregate(d["at"], F.lit(0).cast("long"), lambda n, i: n + pieces[i]["n"])
         text = F.array_join(F.transform(d["at"], lambda i: pieces[i]["text"]), ";")
         links = F.flatten(F.transform(d["at"], lambda i: pieces[i]["links"]))
-        return F.struct(*[d[c].alias(c) for c in [*kept, "row"]], total("n_a"), total("n_b"), total("n_groups"), F.when(F.size(d["at"]) > 0, F.sha2(text, 256)).otherwise("").alias("digest"), links.alias("links"))
+        return F.struct(*[d[c].alias(c) for c in [*kept, "row"]], total.alias("n"), F.when(F.size(d["at"]) > 0, F.sha2(text, 256)).otherwise("").alias("digest"), links.alias("links"))
 
     tokens = tokenised(docs, ids, first, second, text)
     whole = _let(F.transform("pieces", lambda p: aligned(p, pair)), lambda pieces: F.transform("docs", lambda d: document(d, pieces)))
-    rows = stored(tokens.select(F.explode(whole).alias("d")).select("d.*"))
+    rows = tokens.select(F.explode(whole).alias("d")).select("d.*")
+    rows = stored(rows.select(*kept, "row", F.floor(F.col("n") / B_COUNT).alias("n_a"), F.pmod("n", F.lit(B_COUNT)).alias("n_b"), "digest", "links"))
 
     links = rows.select("row", F.explode("links").alias("pair"))
     counts = links.groupBy("pair").agg(F.count("*").alias("n")).withColumn("b", F.col("pair") % kinds)
@@ -329,5 +340,7 @@ def alignment(docs: DataFrame, ids: list[str], first: str, second: str, text: st
         sums = summed(sums.unionByName(summed(join_facts(rest, facts.where(~in_head), "pair"))))
 
     zero = lambda c, name: F.coalesce(c, F.lit(0)).cast("long").alias(name)
-    counted = rows.select(*kept, "row", "n_a", "n_b", "n_groups", F.size("links").cast("long").alias("n_links"), "digest").join(sums, "row", "left")
+    # A group of p and q tokens has p + q - 1 links.
+    n_links = F.size("links").cast("long")
+    counted = rows.select(*kept, "row", "n_a", "n_b", (F.col("n_a") + F.col("n_b") - n_links).alias("n_groups"), n_links.alias("n_links"), "digest").join(sums, "row", "left")
     return counted.select(*[F.col(k).alias(c) for k, c in zip(kept, ids, strict=True)], "n_a", "n_b", "n_groups", "n_links", zero("best", "n_best"), zero("n", "count_sum"), F.col("digest").alias("groups_sha256"))
