@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tessera.functions import text as keys
+from tessera.operators.skew import join_facts
 
 
 def attach(credits: DataFrame, edges: DataFrame, *, work: str = "work_id", name: str = "name", role: str = "role", compose: bool = True) -> DataFrame:
@@ -38,12 +39,32 @@ def selected(counts: DataFrame, kind: Column, thresholds: dict[str, int], flagge
     return counts.withColumn("decision", decision)
 
 
-def display_order(date: Column, title: Column, id_text: Column) -> list[Column]:
-    """A creator's works: latest year first and undated last, then by date, title and number."""
+def display_order(date: Column, title: Column, id_text: Column, locale: str | None = None) -> list[Column]:
+    """A creator's works: latest year first and undated last, then by date, title and number.
+
+    Titles are in the order of the ``locale`` (a collation such as ``zh``), else by code point.
+    """
     year = keys.first_year(date)
+    title = F.collate(title, locale) if locale else title
     return [year.desc_nulls_last(), date.desc_nulls_last(), title.asc(), id_text.try_cast("decimal(38,0)").asc_nulls_last(), id_text.asc()]
 
 
+def creator_page(works: DataFrame, creator: str, date: Column, title: Column, id_text: Column, *, year: str | None = None, offset: int = 0, limit: int = 30, locale: str | None = "zh") -> DataFrame:
+    """One page of every creator's works, with ``place`` (from 1), ``total``, ``all_total`` and ``years``.
+
+    ``year`` keeps works of that year (``unknown`` for those without); ``total`` counts these, ``all_total``
+    all.  ``years`` are all the creator's, latest first, unknown last.  Only a page of each creator is
+    sorted, however many works it has.
+    """
+    found = F.coalesce(keys.first_year(date).cast("string"), F.lit("unknown"))
+    fits = (found == year) if year else F.lit(True)
+    years = F.array_sort(F.collect_set(found), lambda a, b: F.when(a == b, 0).when(a == "unknown", 1).when(b == "unknown", -1).when(a > b, -1).otherwise(1))
+    facts = works.groupBy(creator).agg(F.count(F.when(fits, 1)).alias("total"), F.count("*").alias("all_total"), years.alias("years"))
+    place = F.row_number().over(Window.partitionBy(creator).orderBy(*display_order(date, title, id_text, locale)))
+    page = works.where(fits).withColumn("place", place).where(F.col("place") <= offset + limit)
+    return join_facts(page, facts, creator).where(F.col("place") > offset)
+
+
 def numbered_references(uses: DataFrame, group: str, url: str, position: str) -> DataFrame:
     """Each group's references in the order in which they first occur: number, url, uses."""
     first = uses.where(keys.blank_to_null(F.col(url)).isNotNull()).groupBy(group, url).agg(F.min(position).alias("first"), F.count("*").alias("uses"))

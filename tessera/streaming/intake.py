@@ -13,6 +13,7 @@ from dataclasses import dataclass
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.streaming import StatefulProcessor
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from tessera.session import cut_lineage, unused
@@ -225,7 +226,10 @@ def inbox_verdicts(events: DataFrame, rule: Inbox, inbox: str, ts: str, tie: str
 
 
 def inbox_stream(events: DataFrame, rule: Inbox, inbox: str, ts: str, tie: str, key: str, hashed: str) -> DataFrame:
-    """``inbox_verdicts`` of a stream, in arrival order; the state of an inbox is what it holds."""
+    """``inbox_verdicts`` of a stream, in arrival order; the state of an inbox is what it holds.
+
+    A silent inbox keeps its state; ``expiring_inbox_stream`` lets it go.
+    """
 
     def decide(_, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
         held = list(zip(*state.get, strict=True)) if state.exists else []
@@ -239,6 +243,61 @@ def inbox_stream(events: DataFrame, rule: Inbox, inbox: str, ts: str, tie: str,
     return rows.groupBy("inbox_of").applyInPandasWithState(decide, "inbox_of string, tie_of long, verdict string", "times array<long>, keys array<string>, hashes array<string>", "append", GroupStateTimeout.NoTimeout)
 
 
+class _HeldUntil(StatefulProcessor):
+    """What an inbox holds, with a timer for the oldest of it."""
+
+    def __init__(self, rule: Inbox):
+        self.rule = rule
+
+    def init(self, handle) -> None:
+        self.handle = handle
+        self.held = handle.getValueState("held", "times array<bigint>, keys array<string>, hashes array<string>")
+
+    def _keep(self, held: list[tuple]) -> None:
+        """Remember what is held and wake up when its oldest has expired; an empty inbox leaves nothing."""
+        for at in list(self.handle.listTimers()):
+            self.handle.deleteTimer(at)
+        if not held:
+            self.held.clear()
+            return
+        self.held.update(tuple([x[c] for x in held] for c in range(3)))
+        self.handle.registerTimer((held[0][0] + pd.Timedelta(self.rule.horizon) // pd.Timedelta("1us")) // 1000 + 1)
+
+    def _read(self) -> list[tuple]:
+        return list(zip(*self.held.get(), strict=True)) if self.held.exists() else []
+
+    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:  # noqa: N802, N803
+        held = self._read()
+        for batch in rows:
+            batch = batch.sort_values(["ts_of", "tie_of"])
+            verdicts, held = self.rule.decide(batch, held)
+            yield pd.DataFrame({"inbox_of": batch["inbox_of"], "tie_of": batch["tie_of"].astype("Int64"), "verdict": verdicts, "n_held": len(held)})
+        self._keep(held)
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:  # noqa: N802, N803
+        held = self._read()
+        now = max(expiredTimerInfo.getExpiryTimeInMs(), timerValues.getCurrentWatermarkInMs()) * 1000
+        keep = pd.Timedelta(self.rule.horizon) // pd.Timedelta("1us")
+        left = [x for x in held if x[0] >= now - keep]
+        self._keep(left)
+        yield pd.DataFrame({"inbox_of": [key[0]], "tie_of": pd.array([None], "Int64"), "verdict": ["expired"], "n_held": [len(left)]})
+
+    def close(self) -> None:
+        pass
+
+
+def expiring_inbox_stream(events: DataFrame, rule: Inbox, inbox: str, ts: str, tie: str, key: str, hashed: str, *, late: str = "1 hour") -> DataFrame:
+    """``inbox_stream`` whose inboxes empty by themselves: a timer drops what is older than the horizon.
+
+    Adds ``n_held``, what the inbox holds after the batch; a timer's row has a null tie and the verdict
+    ``expired``.  Time is the events', up to ``late`` behind the latest; events later than that, and of a
+    null inbox, are passed over.  An inbox that holds nothing has no state and no timer.  The session must
+    use the RocksDB state store.
+    """
+    rows = _inbox_rows(events, inbox, ts, tie, key, hashed).where("inbox_of is not null").withWatermark("ts_of", late)
+    return rows.groupBy("inbox_of").transformWithStateInPandas(_HeldUntil(rule), "inbox_of string, tie_of long, verdict string, n_held long", "Append", "EventTime")
+
+
 def reservations(events: DataFrame, key: str, ts: str, tie: str, action: str, ttl: str) -> DataFrame:
     """Two-phase intake: a commit stands if its key has a reservation of at most ``ttl`` before it.
 

@@ -189,3 +189,23 @@ def test_pages_and_numbers(spark):
     assert ranking.page_bounds(None, None) == (30, 0) and ranking.page_bounds(500, 5_000_000) == (100, 1_000_000) and ranking.page_bounds("7", -1) == (30, 0)
     df = spark.createDataFrame([(i * 7 % 101,) for i in range(101)], "k int").repartition(5)
     assert {r["k"]: r["n"] for r in ranking.numbered(df, ["k"]).collect()} == {k: k + 1 for k in range(101)}
+
+
+def test_silent_inboxes_empty_by_themselves(spark, tmp_path):
+    """Two days of one inbox, then only another's events: a timer empties the first."""
+    provider = "spark.sql.streaming.stateStore.providerClass"
+    before = spark.conf.get(provider)
+    spark.conf.set(provider, "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
+    try:
+        rows = [(i, "x", f"u{i % 3}", START + dt.timedelta(hours=2 * i), f"h{i}") for i in range(20)]
+        rows += [(100 + i, "y", "u", START + dt.timedelta(days=4 + 3 * i), f"h{i}") for i in range(40)]
+        schema = "event_id long, inbox string, user string, ts timestamp, hash string"
+        rule = intake.Inbox(20, 24, 15, "30 hours")
+        names = ("inbox", "ts", "event_id", "user", "hash")
+        got = run(intake.expiring_inbox_stream(stream(spark, tmp_path, rows, schema), rule, *names), "expiring")
+        want = {r["tie_of"]: r["verdict"] for r in intake.inbox_verdicts(spark.createDataFrame(rows, schema), rule, *names).collect()}
+        assert {r["tie_of"]: r["verdict"] for r in got if r["tie_of"] is not None} == want
+        emptied = [r["n_held"] for r in got if r["tie_of"] is None and r["inbox_of"] == "x"]
+        assert emptied and emptied[-1] == 0 and all(r["verdict"] == "expired" for r in got if r["tie_of"] is None)
+    finally:
+        spark.conf.set(provider, before)
