@@ -7,15 +7,18 @@ admitted counts: a refused repeat extends no horizon, a refused attempt uses up
 
 from __future__ import annotations
 
+from collections import deque
 from collections.abc import Iterator
 from dataclasses import dataclass
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
+from tessera.operators.components import connected_components
 from tessera.session import cut_lineage, unused
 
 
@@ -81,6 +84,62 @@ def _counted(rows: DataFrame, caps: list[Cap]) -> DataFrame:
     return rows
 
 
+#: Rounds that decide all events at once, before what is still open is taken in order.
+MOST_ROUNDS = 3
+
+
+def _in_order(rows: DataFrame, caps: list[Cap]) -> DataFrame:
+    """``row`` and ``admitted`` of the open rows (null), one after the other beside the admitted ones that they share a group with."""
+    groups = []
+    for k, cap in enumerate(caps):
+        bucket = F.unix_micros(F.date_trunc(cap.unit, "t")) if cap.unit else F.lit(0).cast("long")
+        groups.append(F.struct(F.lit(k).alias("cap"), F.to_json(F.array(*[F.coalesce(F.col(f"key_{c}").cast("string"), F.lit("\x00")) for c in cap.keys] or [F.lit("")])).alias("key"), bucket.alias("bucket")))
+    each = rows.select("row", "admitted", F.explode(F.array(*groups)).alias("g"))
+    pending = each.where("admitted is null").select("row", "g")
+    first = pending.groupBy("g").agg(F.min("row").alias("first"))
+    linked = connected_components(pending.join(first, "g").where("row <> first"), "row", "first")
+    component = rows.where("admitted is null").select("row").join(linked, F.col("row") == F.col("node"), "left").select("row", F.coalesce("component", "row").alias("component"))
+    # A group's open rows are of one component, so its least one names it.
+    of_group = first.join(component, F.col("first") == component["row"]).select("g", "component")
+    beside = each.where("admitted").join(of_group, "g").select("row", "component").distinct()
+    span = [pd.Timedelta(cap.span.lower()) // pd.Timedelta("1us") if cap.span else 0 for cap in caps]
+    stream = component.unionByName(beside).join(rows.select("row", F.unix_micros("t").alias("t"), "i", "admitted", F.array(*groups).alias("groups")), "row")
+    ordered = stream.repartition("component").sortWithinPartitions("component", "t", "i", "row").select("component", "row", "t", "admitted", "groups")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now, counts, times = None, {}, {}
+        for batch in batches:
+            out_rows, out = [], []
+            for component_of, row, t, decided, own in zip(*(batch.column(c).to_pylist() for c in ("component", "row", "t", "admitted", "groups")), strict=True):
+                if component_of != now:
+                    now, counts, times = component_of, {}, {}
+                room = True
+                for g in own:
+                    cap, key = caps[g["cap"]], (g["cap"], g["key"])
+                    if cap.unit:
+                        if counts.get(key, (None, 0))[0] != g["bucket"]:
+                            counts[key] = (g["bucket"], 0)
+                        room = room and counts[key][1] < cap.limit
+                    else:
+                        held = times.setdefault(key, deque())
+                        while held and held[0] < t - span[g["cap"]]:
+                            held.popleft()
+                        room = room and len(held) < cap.limit
+                if decided is None:
+                    out_rows.append(row)
+                    out.append(room)
+                if decided or decided is None and room:
+                    for g in own:
+                        key = (g["cap"], g["key"])
+                        if caps[g["cap"]].unit:
+                            counts[key] = (counts[key][0], counts[key][1] + 1)
+                        else:
+                            times[key].append(t)
+            yield pa.RecordBatch.from_arrays([pa.array(out_rows, pa.int64()), pa.array(out, pa.bool_())], ["row", "admitted"])
+
+    return ordered.mapInArrow(run, "row long, admitted boolean")
+
+
 def capped(events: DataFrame, ts: str, tie: str, caps: list[Cap], closed: Column | None = None) -> DataFrame:
     """Adds ``admitted`` and ``reason``, the name of the first cap that refuses the event.
 
@@ -88,18 +147,19 @@ def capped(events: DataFrame, ts: str, tie: str, caps: list[Cap], closed: Column
     admitted before it, and only then does it count.  ``closed``, a condition on the event, refuses
     it outright with the reason ``closed``.
 
-    All events are decided together in rounds: one is admitted once even those that may be admitted
-    before it leave room, and refused once those surely admitted leave none.  Each round settles the
-    first open event of every group at least, mostly far more.  A group is one key's events in one
-    unit of time, or of one key where a cap has a span.
+    All events are decided together in a few rounds: one is admitted once even those that may be admitted
+    before it leave room, and refused once those surely admitted leave none.  What is open after
+    ``MOST_ROUNDS`` hangs in a chain, where each event waits for the one before.  Open events that share
+    a group (a key's events in one unit of time, or of one key where a cap has a span) stream in order
+    through one task, which remembers counts and times of open groups, never events.
     """
     (row,) = unused(events, "row")
     numbered = cut_lineage(events.withColumn(row, F.monotonically_increasing_id()))
     keys = sorted({c for cap in caps for c in cap.keys})
     shut = F.coalesce(closed, F.lit(False)) if closed is not None else F.lit(False)
     rows = numbered.where(~shut).select(F.col(row).alias("row"), F.col(ts).alias("t"), F.col(tie).alias("i"), *[F.col(c).alias(f"key_{c}") for c in keys], F.lit(None).cast("boolean").alias("admitted"))
-    open_rows, shape = rows, rows.columns
-    while True:
+    open_rows, shape, waiting = rows, rows.columns, True
+    for _ in range(MOST_ROUNDS):
         counted = _counted(open_rows, caps)
         room, full = F.lit(True), F.lit(False)
         for k, cap in enumerate(caps):
@@ -107,8 +167,12 @@ def capped(events: DataFrame, ts: str, tie: str, caps: list[Cap], closed: Column
         decided = F.when(F.col("admitted").isNotNull(), F.col("admitted")).when(room, True).when(full, False)
         # Refused events count for nothing and need no further round.
         open_rows = cut_lineage(counted.withColumn("admitted", decided).where(F.coalesce("admitted", F.lit(True))).select(*shape))
-        if open_rows.where("admitted is null").isEmpty():
+        waiting = not open_rows.where("admitted is null").isEmpty()
+        if not waiting:
             break
+    if waiting:
+        found = _in_order(open_rows, caps)
+        open_rows = cut_lineage(open_rows.join(found.withColumnRenamed("admitted", "late"), "row", "left").withColumn("admitted", F.coalesce("admitted", "late")).where("admitted").select(*shape))
     settled = rows.drop("admitted").join(open_rows.select("row", "admitted"), "row", "left").withColumn("admitted", F.coalesce("admitted", F.lit(False)))
     counted = _counted(settled, caps)
     reason = F.coalesce(*[F.when(F.col(f"sure_{k}") >= cap.limit, cap.reason) for k, cap in enumerate(caps)], F.lit(None).cast("string"))

@@ -209,3 +209,19 @@ def test_silent_inboxes_empty_by_themselves(spark, tmp_path):
         assert emptied and emptied[-1] == 0 and all(r["verdict"] == "expired" for r in got if r["tie_of"] is None)
     finally:
         spark.conf.set(provider, before)
+
+
+def test_a_chain_of_dependent_events_takes_few_rounds(spark, monkeypatch):
+    """Each event shares a key with the one before and one with the next, so every verdict depends on the last."""
+    calls = []
+    real = intake._counted
+    monkeypatch.setattr(intake, "_counted", lambda *a: calls.append(1) or real(*a))
+    rows = [(i, START + dt.timedelta(seconds=i), {"ip": (i + 1) // 2, "net": -(i // 2) - 1, "hash": i}, False) for i in range(1000)]
+    rng = random.Random(8)
+    rows += [(2000 + i, START + dt.timedelta(minutes=rng.randint(0, 3000)), {"ip": 10_000 + rng.randint(0, 3), "net": rng.randint(0, 1), "hash": rng.randint(0, 90)}, False) for i in range(200)]
+    caps = [intake.Cap(1, ("ip",), "day"), intake.Cap(1, ("net",), "day"), intake.Cap(1, ("hash",), span="9 HOURS", name="duplicate")]
+    df = spark.createDataFrame([(i, t, k["ip"], k["net"], k["hash"]) for i, t, k, _ in rows], "event_id long, ts timestamp, ip long, net long, hash long").repartition(3)
+    got = {r["event_id"]: (r["admitted"], r["reason"]) for r in intake.capped(df, "ts", "event_id", caps).collect()}
+    want = simulated(rows, caps)
+    assert {i: v[0] for i, v in got.items()} == {i: r is None for i, r in want.items()}
+    assert len(calls) <= 20
