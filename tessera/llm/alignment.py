@@ -238,6 +238,8 @@ def tokenised(docs: DataFrame, ids: list[str], first: str, second: str, text: st
     return rows.mapInArrow(_tokenised(len(ids), first, second), schema)
 
 
+#: Tokens of both sides of a piece that are looked through for each place.
+SHORT = 64
 #: A count of A tokens is written above one of B tokens in one number.
 B_COUNT = 1 << 32
 
@@ -281,13 +283,32 @@ def aligned(piece: Column, pair) -> Column:
     def found(links: Column, text: Column) -> Column:
         return F.struct(text.alias("text"), links.alias("links"), (F.size(a).cast("long") * B_COUNT + F.size(b)).alias("n"))
 
+    def short(cuts: Column, every: Column) -> Column:
+        # As many A tokens end before the end of B token j as stand before it among all ends, less j.
+        last = F.transform(b_end, lambda e, j: F.array_position(every, e).cast("int") - 1 - j)
+        return _let(last, lambda last: found(short_links(cuts, last), short_text(cuts)))
+
+    def short_links(cuts: Column, last: Column) -> Column:
+        first = lambda j: F.when(j == 0, 0).otherwise(last[j - 1] + F.array_contains(cuts, b_end[j - 1]).cast("int"))
+        return F.flatten(F.transform(last, lambda n, j: F.transform(F.sequence(first(j), n), lambda i: pair(a[i], b[j]))))
+
+    def short_text(cuts: Column) -> Column:
+        def upto(names: Column, ends: Column, k: Column) -> Column:
+            start, stop = F.when(k == 0, 1).otherwise(F.array_position(ends, F.get(cuts, k - 1)) + 1), F.array_position(ends, cuts[k])
+            return F.array_join(F.slice(names, start, stop - start + 1), ",")
+
+        names = lambda ids: ids.cast("array<string>")
+        return _let(names(a), lambda x: _let(names(b), lambda y: F.array_join(F.transform(cuts, lambda _, k: F.concat(upto(x, a_end, k), F.lit("|"), upto(y, b_end, k))), ";")))
+
     # Only the common end is a cut where either side is one token: one group, all pairs.
     joined = lambda ids: F.array_join(ids.cast("array<string>"), ",")
     pairs = F.flatten(F.transform(b, lambda y: F.transform(a, lambda x: pair(x, y))))
     single = found(pairs, F.concat(joined(a), F.lit("|"), joined(b)))
     # Where both end alike, each token is a group with its fellow.
     alike = found(F.transform(a, lambda x, i: pair(x, b[i])), F.array_join(F.transform(a, lambda x, i: F.concat(x.cast("string"), F.lit("|"), b[i].cast("string"))), ";"))
-    return F.when((F.size(a) == 1) | (F.size(b) == 1), single).when(a_end == b_end, alike).otherwise(_let(ends, placed))
+    # In few tokens a place is found by looking through them; in many, all places in one pass.
+    few = _let(F.array_intersect(a_end, b_end), lambda cuts: _let(F.sort_array(F.concat(a_end, b_end)), lambda every: short(cuts, every)))
+    return F.when((F.size(a) == 1) | (F.size(b) == 1), single).when(a_end == b_end, alike).when(F.size(a) + F.size(b) <= SHORT, few).otherwise(_let(ends, placed))
 
 
 def alignment(docs: DataFrame, ids: list[str], first: str, second: str, text: str = "text") -> DataFrame:

@@ -56,8 +56,9 @@ def result(df):
     return Counter((r["doc_id"], *(r[c] for c in ("n_a", "n_b", "n_groups", "n_links", "n_best", "count_sum", "groups_sha256"))) for r in df.collect())
 
 
-@pytest.mark.parametrize("head, together, remembered", [(1 << 20, 2048, 1 << 20), (50, 3, 100), (0, 1, 0)])
-def test_equals_all_overlaps_of_whole_encodings(spark, both, monkeypatch, head, together, remembered):
+@pytest.mark.parametrize("head, together, remembered, short", [(1 << 20, 2048, 1 << 20, 64), (50, 3, 100, 6), (0, 1, 0, 0)])
+def test_equals_all_overlaps_of_whole_encodings(spark, both, monkeypatch, head, together, remembered, short):
+    monkeypatch.setattr(alignment, "SHORT", short)
     monkeypatch.setattr(alignment, "HEAD_PAIRS", head)
     monkeypatch.setattr(alignment, "TOGETHER", together)
     monkeypatch.setattr(alignment, "REMEMBERED", remembered)
