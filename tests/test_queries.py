@@ -7,7 +7,7 @@ import duckdb
 import pytest
 
 import __spark_entry__
-from tessera import curation_queries, file_queries, identity_queries, queries  # noqa: F401
+from tessera import curation_queries, file_queries, identity_queries, queries, upkeep_queries  # noqa: F401
 
 FOLDER = "/root/testdata/sf0.001"
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
