@@ -27,23 +27,25 @@ class Model:
                 for k in range(1, order + 1):
                     self.counts[k][tuple(t[j] if j >= 0 else "<" for j in range(i - k + 1, i))][w] += 1
         self.rates = [None, *(backoff.discounts([sum(n == r for c in self.counts[k].values() for n in c.values()) for r in range(1, 7)]) for k in range(1, order + 1))]
-        self.words = self.counts[1][()]
+        self.words, self.weight, self.kept = self.counts[1][()], {}, {}
 
     def p(self, w, h):
         k = len(h) + 1
-        own, rate = self.counts[k].get(h, Counter()), self.rates[k]
-        total = sum(own.values())
-        kept = {x: n * rate[min(n, 6)] for x, n in own.items()}
-        held = sum((1 - rate[n]) * n for n in own.values() if n <= 5)
-        base = total if held > 0 else total + 1
-        left = (held if held > 0 else 1) / base
+        if h not in self.kept:
+            own, rate = self.counts[k].get(h, Counter()), self.rates[k]
+            total, held = sum(own.values()), sum((1 - rate[n]) * n for n in own.values() if n <= 5)
+            base = total if held > 0 else total + 1
+            self.kept[h] = own, {x: n * rate[min(n, 6)] for x, n in own.items()}, total, base, (held if held > 0 else 1) / base
+        own, kept, total, base, left = self.kept[h]
         if not h:
             return kept[w] / base if w in own else left
         if not total:
             return self.p(w, h[1:])
         if w in own:
             return kept[w] / base
-        return left / (1 - sum(self.p(x, h[1:]) for x in own)) * self.p(w, h[1:])
+        if h not in self.weight:
+            self.weight[h] = left / (1 - sum(self.p(x, h[1:]) for x in own))
+        return self.weight[h] * self.p(w, h[1:])
 
     def score(self, text, order):
         t = tokens(text)

@@ -86,3 +86,31 @@ def test_no_rows_no_labels_one_label(spark):
     one = spark.createDataFrame([(1, "text here", "xx", None)], SCHEMA)
     known = language.fit(one, "lang", "text", F.col("doc_id").cast("string"))
     assert tuple(language.predict(one.select("doc_id", "text"), known).first()) == (1, "xx", 1.0, False)
+
+
+def test_decisions_equal_a_plain_decoder():
+    """Margins gram by gram, losses code by code, without arrays."""
+    import math
+    import random
+
+    rng = random.Random(3)
+    for n in (2, 3, 5, 9):
+        tables = np.array([[[rng.choice([0, 0, 1, 9]) for _ in range(language.BUCKETS)] for _ in language.SIZES] for _ in range(n)], float)
+        known = language.model([f"l{i}" for i in range(n)], tables)
+        for _ in range(6):
+            text = language._prepared("".join(rng.choice("abc d\u00e9") for _ in range(rng.randint(1, 60))))
+            total, grams = [0.0] * known.code.shape[1], 0
+            for k, size in enumerate(language.SIZES):
+                for at in range(len(text) - size + 1):
+                    value = text[at]
+                    for c in text[at + 1 : at + size]:
+                        value = (value * 0x01000193 & 0xFFFFFFFF) ^ c
+                    bucket = (value * 0x9E3779B1 & 0xFFFFFFFF) >> 17
+                    grams += 1
+                    total = [t + float(known.odds[k, bucket, b]) for b, t in enumerate(total)]
+            losses = [sum(float(known.weight[b]) * math.log1p(math.exp(-float(known.code[i, b]) * 6.0 * total[b] / max(grams, 1))) for b in range(len(total))) for i in range(n)]
+            belief = [math.exp(min(losses) - x) for x in losses]
+            order = sorted(range(n), key=lambda i: (-belief[i], i))
+            name, score, lead = known.decide(text, 6.0)
+            assert name == f"l{order[0]}" or math.isclose(belief[order[0]], belief[known.languages.index(name)], rel_tol=1e-4)
+            assert math.isclose(score, belief[order[0]] / sum(belief), rel_tol=1e-3)
