@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
@@ -40,7 +40,10 @@ def matches(records: DataFrame, works: DataFrame, record: str, work: str, tier:
     Works are counted by key before the join, so a common key costs one row, not one for each pair.
     """
     by_key = works.select(work_key.alias("k"), F.col(work).alias("w")).where("k is not null and k <> ''").distinct()
-    by_key = by_key.groupBy("k").agg(F.count("*").alias("n"), F.slice(F.array_sort(F.collect_list("w")), 1, kept).alias("works"))
+    # The first works of a key are ranked before they are gathered, so that no row holds all of a common key's.
+    first = by_key.withColumn("place", F.row_number().over(Window.partitionBy("k").orderBy("w"))).where(F.col("place") <= kept)
+    first = first.groupBy("k").agg(F.array_sort(F.collect_list("w")).alias("works"))
+    by_key = by_key.groupBy("k").agg(F.count("*").alias("n")).join(first, "k")
     keyed = records.select(F.col(record).alias("r"), record_key.alias("k"))
     return keyed.join(by_key, "k").select(F.col("r").alias(record), F.lit(tier).alias("tier"), "n", "works")
 
