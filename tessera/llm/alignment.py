@@ -293,12 +293,15 @@ def aligned(piece: Column, pair) -> Column:
         return F.flatten(F.transform(last, lambda n, j: F.transform(F.sequence(first(j), n), lambda i: pair(a[i], b[j]))))
 
     def short_text(cuts: Column) -> Column:
-        def upto(names: Column, ends: Column, k: Column) -> Column:
-            start, stop = F.when(k == 0, 1).otherwise(F.array_position(ends, F.get(cuts, k - 1)) + 1), F.array_position(ends, cuts[k])
-            return F.array_join(F.slice(names, start, stop - start + 1), ",")
+        def part(names: Column, stops: Column, k: Column) -> Column:
+            start = F.when(k == 0, 0).otherwise(stops[k - 1])
+            return F.when(stops[k] - start == 1, names[start]).otherwise(F.array_join(F.slice(names, start + 1, stops[k] - start), ","))
 
-        names = lambda ids: ids.cast("array<string>")
-        return _let(names(a), lambda x: _let(names(b), lambda y: F.array_join(F.transform(cuts, lambda _, k: F.concat(upto(x, a_end, k), F.lit("|"), upto(y, b_end, k))), ";")))
+        def side(ids: Column, ends: Column, body) -> Column:
+            stops = F.transform(cuts, lambda c: F.array_position(ends, c).cast("int"))
+            return _let(ids.cast("array<string>"), lambda names: _let(stops, lambda stops: body(lambda k: part(names, stops, k))))
+
+        return side(a, a_end, lambda x: side(b, b_end, lambda y: F.array_join(F.transform(cuts, lambda _, k: F.concat(x(k), F.lit("|"), y(k))), ";")))
 
     # Only the common end is a cut where either side is one token: one group, all pairs.
     joined = lambda ids: F.array_join(ids.cast("array<string>"), ",")
