@@ -25,6 +25,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from tessera.operators.skew import join_facts
 from tessera.session import cut_lineage
 
 #: Most centroids of a half; fewer where cells would hold less than four vectors on average.
@@ -43,7 +44,12 @@ def usable(vectors: DataFrame, id_col: str, vector: str) -> DataFrame:
     fit = F.forall(vector, lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf"))) & F.exists(vector, lambda x: x != 0)
     kind = "array<float>" if vectors.schema[vector].dataType.elementType == T.FloatType() else "array<double>"
     rows = vectors.where(F.col(id_col).isNotNull() & F.coalesce(fit, F.lit(False))).select(F.col(id_col).cast("long").alias("id"), F.col(vector).cast(kind).alias("vec"))
-    return rows.groupBy("id").agg(F.min("vec").alias("vec"))
+    # Only ids are grouped; vectors move only where some id is there more than once.
+    repeated = cut_lineage(rows.groupBy("id").agg(F.count("*").alias("n")).where("n > 1"))
+    if repeated.isEmpty():
+        return rows
+    marked = join_facts(rows, repeated, "id", "left")
+    return marked.where("n is null").select("id", "vec").unionByName(marked.where("n is not null").groupBy("id").agg(F.min("vec").alias("vec")))
 
 
 def codebook(x: np.ndarray, k: int, rounds: int = 8) -> np.ndarray:

@@ -111,3 +111,20 @@ def test_odd_vectors(spark):
     assert got == [(0, 1, 1, 3.5), (0, 2, 20, 3.0), (20, 1, 0, 3.0), (20, 2, 1, 3.0)]
     assert multi_index.nearest(df.where("vec_id is null"), F.col("id") % 20 == 0).count() == 0
     assert multi_index.nearest(df.where("vec_id = 1"), F.col("id") % 20 == 1).count() == 0
+
+
+def test_repeated_ids_and_extra_columns(spark):
+    rng = np.random.default_rng(5)
+    x = rng.normal(size=(200, 8)).astype(np.float32)
+    rows = [(i, x[i].tolist(), "c", i, "v", 1) for i in range(200)]
+    again = [(7, (x[7] + 1).tolist(), "c", 0, "v", 1), (7, x[7].tolist(), "d", 0, "v", 1), (40, (x[40] - 1).tolist(), "c", 0, "v", 1)]
+    schema = "vec_id long, embedding array<float>, cell string, id long, vec string, n int"
+    least = {r[0]: r[1] for r in rows}
+    for i, v, *_ in again:
+        least[i] = min(least[i], v)
+    want = brute(np.array(list(least)), np.array(list(least.values()), np.float32))
+    got = multi_index.nearest(spark.createDataFrame(rows + again, schema).repartition(3), F.col("id") % 20 == 0, share=1.0)
+    found = {}
+    for r in got.orderBy("query_id", "rank").collect():
+        found.setdefault(r["query_id"], []).append(r["vec_id"])
+    assert {int(q): [int(i) for i, _ in v] for q, v in want.items()} == found
