@@ -49,10 +49,10 @@ def quota(df: DataFrame, kind: str, limits: dict[str, int], order: list[Column])
 def reserve(df: DataFrame, retry: Column, target: int, reserved: int, order: list[Column]) -> DataFrame:
     """``target`` rows of which up to ``reserved`` are retries; what one side lacks the other fills."""
     is_retry, place, sizes = unused(df, "is_retry", "place_in_side", "size_of_side")
-    side = Window.partitionBy(is_retry)
-    numbered = df.withColumn(is_retry, F.coalesce(retry, F.lit(False)))
-    numbered = numbered.withColumn(place, F.row_number().over(side.orderBy(*order)))
-    counts = numbered.agg(F.count_if(F.col(is_retry)).alias("retries"), F.count_if(~F.col(is_retry)).alias("fresh")).select(F.struct("retries", "fresh").alias(sizes))
+    marked = df.withColumn(is_retry, F.coalesce(retry, F.lit(False)))
+    counts = marked.agg(F.count_if(F.col(is_retry)).alias("retries"), F.count_if(~F.col(is_retry)).alias("fresh")).select(F.struct("retries", "fresh").alias(sizes))
+    # Each task cuts its rows of a side to the first that can be taken at all before the sides meet.
+    numbered = marked.withColumn(place, F.row_number().over(Window.partitionBy(is_retry).orderBy(*order))).where(F.col(place) <= max(target, reserved))
     both = numbered.join(F.broadcast(counts))  # one row
     retries = F.greatest(F.least(F.lit(reserved), F.col(f"{sizes}.retries")), F.least(F.col(f"{sizes}.retries"), F.lit(target) - F.col(f"{sizes}.fresh")))
     keep = F.when(F.col(is_retry), F.col(place) <= retries).otherwise(F.col(place) <= F.lit(target) - retries)
