@@ -325,7 +325,8 @@ def alignment(docs: DataFrame, ids: list[str], first: str, second: str, text: st
 
     Texts that are null, empty or not spelled again by both have no tokens: zeros and an empty digest.
     Rows stay one for one, repeated ones too; a text of any length is aligned whole.  An empty table
-    gives no rows.  Columns beyond ``ids`` and ``text`` are not read; names cannot clash.
+    gives no rows.  Columns beyond ``ids`` and ``text`` are not read; ``ids``
+    must not be named like a result.
     """
     kinds = len(second_pieces(second))
     wide = "int" if kinds * len(first_pieces(first)) < 1 << 31 else "long"

@@ -184,7 +184,8 @@ def tensors(mels: np.ndarray) -> np.ndarray:
 def store_media(docs: DataFrame, ids: list[str], text: str = "text") -> DataFrame:
     """``ids``, ``n_bytes`` of the text and ``media``, the WAV that holds them losslessly.
 
-    A null text counts as empty.  Rows stay one for one; other columns are not read.
+    A null text counts as empty.  Rows stay one for one; other columns are not read, and ``ids``
+    must not be named like a result.
     """
 
     def wav(text: pa.Buffer | None) -> bytes:
@@ -292,7 +293,7 @@ def tensor_features(media: DataFrame, column: str = "media") -> DataFrame:
 
     ``feature`` also has the time span of the clip's tensors and the xor of their rows' hashes, which
     no order changes.  Only these leave the task that makes the tensors.  Rows stay one for one; null
-    media count as no bytes.
+    media count as no bytes.  Carried columns must not be named like a result.
     """
 
     def compute(part: pa.RecordBatch) -> list[pa.Array]:

@@ -389,7 +389,8 @@ def scored(docs: DataFrame, ids: list[str], train: Column, text: str = "text", *
 
     Null and empty texts are just their end; a null ``train`` counts as false.  Rows stay one for one,
     and repeated ones teach again.  Without training texts each token scores 0, as the one outcome left;
-    an empty table gives no rows.  Columns beyond those named are not read; names cannot clash.
+    an empty table gives no rows.  Columns beyond those named are not read; ``ids`` must not be
+    named like a result.
     """
     rows = docs.select(*[F.col(c).alias(f"id_{i}") for i, c in enumerate(ids)], F.coalesce(train, F.lit(False)).alias("train"), F.col(text).alias("text_of"))
     size = rows.agg(F.sum(F.octet_length("text_of"))).first()[0] or 0

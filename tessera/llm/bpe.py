@@ -265,7 +265,7 @@ def round_trip(docs: DataFrame, ids: list[str], path: str, text: str = "text") -
     tokenizers library gives for the vocabulary file at ``path`` (byte-level BPE, no special tokens
     added; the file's own special tokens are recognised in texts).  Null and empty texts have no
     tokens and decode to the empty text.  Rows, repeated ones too, stay one for one; columns beyond
-    ``ids`` and ``text`` are not read.  The file must be at ``path`` on every executor.
+    ``ids`` and ``text`` are not read, and ``ids`` must not be named like a result.  The file must be at ``path`` on every executor.
     """
     spark = docs.sparkSession
     size = docs.agg(F.sum(F.octet_length(text))).first()[0] or 0

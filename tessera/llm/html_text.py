@@ -488,7 +488,8 @@ def visible_text(pages: DataFrame, ids: list[str], html: str = "html") -> DataFr
     length: past ``DEEPEST`` open elements, further ones lay out as text of the innermost, shown or
     hidden as they say; past ``INDENTS`` items and quotes, further ones are not indented; a table stands
     unaligned if its padding passes ``PADDING`` times its own markup.  No text is dropped for these.
-    Rows, repeated ones too, stay one for one; columns beyond ``ids`` and ``html`` are not read.
+    Rows, repeated ones too, stay one for one; columns beyond ``ids`` and ``html`` are not read,
+    and ``ids`` must not be named like a result.
     """
 
     def compute(part: pa.RecordBatch) -> list[pa.Array]:

@@ -164,7 +164,7 @@ def predict(docs: DataFrame, known: Model, text: str = "text", *, gain: float =
     Adds the language, a score from 0 to 1, and whether the belief leads the runner-up's by less
     than ``lead``, under ``names``; the text itself goes unless ``keep_text``.  Null texts and texts
     without a letter are ``und`` with score 0 and count as ambiguous, and so is every text if no
-    language was learnt.  Rows, repeated ones too, stay one for one.
+    language was learnt.  Rows, repeated ones too, stay one for one; no column may have one of ``names``.
     """
 
     def compute(part: pa.RecordBatch) -> list[pa.Array]:
@@ -186,6 +186,7 @@ def identified(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", labe
     """``docs`` without the rows whose language can't be told: no letters, or two languages as likely.
 
     Learns from the rows outside the held-out fold.  All columns of the other rows stay.
+    Null texts go, repeated rows stay or go together, and an empty table gives none.
     """
     known = fit(docs.where(~held_out(doc_id)), label, text, F.col(doc_id).cast("string"))
     names = tuple(unused(docs, "lang_pred", "score", "ambiguous"))

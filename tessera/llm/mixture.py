@@ -138,7 +138,8 @@ def mixture(docs: DataFrame, ids: list[str], *, doc_id: str = "doc_id", text: st
     ``times`` (0 to ``most``) and ``taken`` (times x size).  Null texts and sources without a word
     have size 0 and take nothing; a null source is one like any other.  Documents with equal hashes,
     so all rows of one id, or of one text without id, stand or fall together in a round.  The hash
-    has no other input, so reruns agree.  No documents give no rows.
+    has no other input, so reruns agree.  No documents give no rows.  Other columns are not read, and ``ids`` must not
+    be named like a result, ``place`` or ``source_of``.
     """
     rows = cut_lineage(sized(docs, ids, doc_id, text, source))
     planned = _planned(rows, weights, most, rounds)

@@ -273,7 +273,8 @@ def personal_data(docs: DataFrame, ids: list[str], text: str = "text") -> DataFr
     Returns ``ids``; ``n_email``, ``n_ip``, ``n_card`` and ``n_phone``, the plain identifiers;
     ``base_sha256``, the digest of their written spans; ``spans``, these and the disguised ones
     written together; ``n_disguised``.  A null text counts as empty: zeros and an empty string.
-    Rows, repeated ones too, stay one for one; columns beyond ``ids`` and ``text`` are not read.
+    Rows, repeated ones too, stay one for one; columns beyond ``ids`` and ``text`` are not read,
+    and ``ids`` must not be named like a result.
     """
 
     def compute(part: pa.RecordBatch) -> list[pa.Array]:

@@ -201,7 +201,7 @@ def near_duplicates(docs: DataFrame, ids: list[str], text: str = "text", *, word
     Null and empty texts have fingerprint 0 and are linked like any other.  Rows with a null id
     belong to components and never name one unless all its ids are null.  Repeated rows stay
     repeated.  An empty table gives no rows.  Columns of ``docs`` beyond ``ids`` and ``text`` are
-    not read.
+    not read; ``ids`` must not be named like a result.
     """
     prints = cut_lineage(fingerprints(docs, ids, text, words=words, seed=seed))
     name = F.min(F.col(ids[0]) if len(ids) == 1 else F.struct(*[c for i in ids for c in (F.col(i).isNull().alias(f"{i}_none"), F.col(i))]))
