@@ -25,25 +25,15 @@ def rank(letter: Column) -> Column:
     return F.nullif(F.array_position(F.array(*[F.lit(g) for g in GRADES]), letter), F.lit(0))
 
 
-def conclusions(rows: DataFrame) -> DataFrame:
-    """Mode, grade and issues of each conclusion.
-
-    Reads core, best, likely, worst (grades as written), mode, blocked, labels and unresolved
-    (counts), review (boolean), queue and insufficient (boolean); adds ``conclusion_mode``,
-    ``fixed_grade``, ``issues`` and ``pending`` (arrays).  An explicit mode is held to its own
-    conditions and falls back to labels with an issue; without one the range decides, then the core
-    grade, then whether there is anything else to show.
-    """
-    core, best, likely, worst = (grade(F.col(c)) for c in ("core", "best", "likely", "worst"))
-    raw = [F.trim(F.coalesce(F.col(c), F.lit(""))) for c in ("best", "likely", "worst")]
-    given = sum((F.when(r != "", 1).otherwise(0) for r in raw), F.lit(0))
+def _answer(said: Column) -> Column:
+    """Mode, grade and issues by what was said."""
+    core, best, likely, worst, given, mode = (said[c] for c in ("core", "best", "likely", "worst", "given", "mode"))
     legal_letters = sum((F.when(g != "", 1).otherwise(0) for g in (best, likely, worst)), F.lit(0))
     complete = (best != "") & (likely != "") & (worst != "")
-    ordered = complete & F.coalesce((rank(best) <= rank(likely)) & (rank(likely) <= rank(worst)), F.lit(False))
+    ordered = complete & F.coalesce((said["rank_best"] <= said["rank_likely"]) & (said["rank_likely"] <= said["rank_worst"]), F.lit(False))
     equal = ordered & (best == worst)
     machine_x = (core == "X") | (best == "X") | (likely == "X") | (worst == "X")
     mismatch = (core != "") & (core != likely)
-    mode = F.lower(F.trim(F.coalesce(F.col("mode"), F.lit(""))))
     none = F.lit(None).cast("string")
     # (condition, mode, grade, issues): the first row whose condition holds is the answer.
     no = F.array().cast("array<string>")
@@ -69,7 +59,23 @@ def conclusions(rows: DataFrame) -> DataFrame:
         ((F.coalesce(F.col("labels"), F.lit(0)) > 0) | (F.coalesce(F.col("unresolved"), F.lit(0)) > 0), "labels_only", none, no),
     ]
     answer = lambda m, g, i: F.struct((m if isinstance(m, Column) else F.lit(m)).alias("mode"), g.alias("grade"), i.alias("issues"))
-    picked = reduce(lambda rest, row: F.when(row[0], answer(*row[1:])).otherwise(rest), reversed(table), answer("unscanned", none, no))
+    return reduce(lambda rest, row: F.when(row[0], answer(*row[1:])).otherwise(rest), reversed(table), answer("unscanned", none, no))
+
+
+def conclusions(rows: DataFrame) -> DataFrame:
+    """Mode, grade and issues of each conclusion.
+
+    Reads core, best, likely, worst (grades as written), mode, blocked, labels and unresolved
+    (counts), review (boolean), queue and insufficient (boolean); adds ``conclusion_mode``,
+    ``fixed_grade``, ``issues`` and ``pending`` (arrays).  An explicit mode is held to its own
+    conditions and falls back to labels with an issue; without one the range decides, then the core
+    grade, then whether there is anything else to show.
+    """
+    letters = [grade(F.col(c)).alias(c) for c in ("core", "best", "likely", "worst")]
+    given = sum((F.when(F.trim(F.coalesce(F.col(c), F.lit(""))) != "", 1).otherwise(0) for c in ("best", "likely", "worst")), F.lit(0))
+    said = F.struct(*letters, *[rank(x).alias(f"rank_{c}") for c, x in zip(("core", "best", "likely", "worst"), letters, strict=True)], given.alias("given"), F.lower(F.trim(F.coalesce(F.col("mode"), F.lit("")))).alias("mode"))
+    # Bound to a name, so that each letter is found once and not in every branch that reads it.
+    picked = F.transform(F.array(said), _answer)[0]
     pending = {
         "bounded_range": F.col("conclusion_mode") == "bounded_range",
         "requires_human_review": F.coalesce(F.col("review"), F.lit(False)),
