@@ -96,6 +96,7 @@ class _Encoder:
     # A space after something else than white space, before something else than a space: both split there.
     CUT = re.compile(r"(?<=\S)(?= +[^ ])")
     ODD = re.compile(r"\s | $|^ ")
+    ODD_ASCII = [c + " " for c in map(chr, range(128)) if c.isspace()]
 
     def __init__(self, first: str, second: str) -> None:
         import sentencepiece
@@ -120,7 +121,11 @@ class _Encoder:
         """Pieces of a text, each without the space that it starts with."""
         if not self.cuts:
             return [text]
-        if self.ODD.search(text):
+        if text.isascii():
+            odd = text[0] == " " or text[-1] == " " or any(x in text for x in self.ODD_ASCII)
+        else:
+            odd = self.ODD.search(text) is not None
+        if odd:
             return [x[1:] for x in self.CUT.split(" " + text)]
         return text.split(" ")
 
@@ -129,7 +134,7 @@ class _Encoder:
         a = self.a.encode_ordinary(" " + " ".join(texts))
         b = self.b.encode(" ".join(texts))
         whole = b" " + " ".join(texts).encode()
-        right = all(b"".join([piece[i] for i in x]) == whole for piece, x in zip(self.bytes, (a, b), strict=True))
+        right = self.a.decode_bytes(a) == whole and b"".join([self.bytes[1][i] for i in b]) == whole
         ids = [np.array(x, np.int64) for x in (a, b)]
         return ids, [np.cumsum(size[x]) for size, x in zip(self.sizes, ids, strict=True)], right
 
@@ -305,7 +310,7 @@ def aligned(piece: Column, pair) -> Column:
 
     # Only the common end is a cut where either side is one token: one group, all pairs.
     joined = lambda ids: F.array_join(ids.cast("array<string>"), ",")
-    pairs = F.flatten(F.transform(b, lambda y: F.transform(a, lambda x: pair(x, y))))
+    pairs = F.when(F.size(a) == 1, F.transform(b, lambda y: pair(a[0], y))).otherwise(F.transform(a, lambda x: pair(x, b[0])))
     single = found(pairs, F.concat(joined(a), F.lit("|"), joined(b)))
     # Where both end alike, each token is a group with its fellow.
     alike = found(F.transform(a, lambda x, i: pair(x, b[i])), F.array_join(F.transform(a, lambda x, i: F.concat(x.cast("string"), F.lit("|"), b[i].cast("string"))), ";"))
