@@ -36,9 +36,9 @@ from tessera.operators.skew import join_facts
 from tessera.session import stored
 
 #: UTF-8 bytes of text in a block; one longer text is a block of its own.
-BLOCK_BYTES = 16 << 20
+BLOCK_BYTES = 10 << 20
 #: Bytes of text for each part that n-grams are dealt to, and the most parts.
-PART_BYTES, MOST_PARTS = 16 << 20, 1 << 16
+PART_BYTES, MOST_PARTS = 10 << 20, 1 << 16
 #: A context with more occurrences is dealt over several parts, one for each so many.
 HOT_CONTEXT = 1 << 18
 #: Counts above this are not discounted.
