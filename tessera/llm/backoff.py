@@ -20,6 +20,7 @@ Lists travel packed: a row for every n-gram of a block would take more room than
 
 from __future__ import annotations
 
+import ctypes
 import zlib
 from dataclasses import dataclass
 
@@ -36,9 +37,9 @@ from tessera.operators.skew import join_facts
 from tessera.session import stored
 
 #: UTF-8 bytes of text in a block; one longer text is a block of its own.
-BLOCK_BYTES = 10 << 20
+BLOCK_BYTES = 6 << 20
 #: Bytes of text for each part that n-grams are dealt to, and the most parts.
-PART_BYTES, MOST_PARTS = 10 << 20, 1 << 16
+PART_BYTES, MOST_PARTS = 8 << 20, 1 << 16
 #: A context with more occurrences is dealt over several parts, one for each so many.
 HOT_CONTEXT = 1 << 18
 #: Counts above this are not discounted.
@@ -49,6 +50,14 @@ BEGIN = -1
 END = b""
 
 
+def _release() -> None:
+    """Give freed memory back to the system, so that a worker does not keep the room of all its blocks."""
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # of glibc
+    if trim is not None:
+        trim(0)
+
+
 def _pack(*arrays: np.ndarray) -> bytes:
     """Arrays of 64-bit numbers, compressed byte plane by byte plane."""
     body = b"".join(len(x).to_bytes(8, "little") + np.ascontiguousarray(x.view(np.uint8).reshape(-1, 8).T).tobytes() for x in arrays)
@@ -168,6 +177,7 @@ def _block_rows(kinds: int, parts: int):
 
         def row() -> pa.RecordBatch:
             nonlocal number, lists, held, size, blocks
+            _release()
             words, at, lengths = list(number), np.concatenate(lists), np.fromiter(map(len, lists), np.int64, len(lists))
             train = np.concatenate([h[-1].to_numpy(zero_copy_only=False) for h in held])
             every = np.bincount(at, minlength=len(words))
@@ -265,7 +275,10 @@ def _sum_grams(last: bool):
         for x, own in zip(sent, np.split(gram, np.cumsum([len(x[3]) for x in sent])[:-1]), strict=True):
             at = np.searchsorted(owner, x[0])
             backs.append(_pack(*(y[at].view(np.int64) for y in sums), n[own], *([] if last else [m[own], (p << 32) + own])))
-        return _rows(p, table.column("block").to_pylist(), backs, hot, stats, _tallied(n))
+        rows = _rows(p, table.column("block").to_pylist(), backs, hot, stats, _tallied(n))
+        del sent, context, word, learnt, every, lower, order, new, gram
+        _release()
+        return rows
 
     return run
 
@@ -287,7 +300,8 @@ class _Walk:
 
     def __init__(self, row: dict, known: Level) -> None:
         self.row = row
-        self.lengths, self.word, part = _unpack(row["at"])
+        self.lengths, word, part = _unpack(row["at"])
+        self.word = word.astype(np.int32)
         place = np.argsort(part, kind="stable")
         self.ids, self.n, self.seen = (_placed(x, place) for x in _returned(row["back_1"]))
         self.first = np.cumsum(self.lengths) - self.lengths
@@ -297,14 +311,15 @@ class _Walk:
 
     def behind(self, gram: np.ndarray, ids: np.ndarray, seen: np.ndarray) -> None:
         """Grams become the contexts of the tokens that follow them."""
-        self.context = np.empty_like(gram)
+        self.context = np.empty(len(gram), np.int32)
         self.context[1:] = gram[:-1] + 1
         self.context[self.first] = 0
         self.context_ids, self.context_seen = np.concatenate(([BEGIN], ids)), np.concatenate(([self.docs], seen))
 
     def grams(self, parts: int) -> None:
         """The distinct n-grams of the next order."""
-        unique, self.gram = np.unique(self.context * len(self.ids) + self.word, return_inverse=True)
+        unique, gram = np.unique(self.context * np.int64(len(self.ids)) + self.word, return_inverse=True)
+        self.gram = gram.astype(np.int32)
         self.of, self.last = unique // len(self.ids), unique % len(self.ids)
         self.lower = np.empty(len(unique))
         self.lower[self.gram] = self.prob
@@ -344,6 +359,8 @@ def _walks(batches, levels: list[Level], parts: int):
             for k, known in enumerate(levels[1:]):
                 walk.raise_to(k + 2, known, parts)
             yield batch, r, walk
+            del walk, row
+            _release()
 
 
 def _deal(levels: list[Level], parts: int):
@@ -375,6 +392,7 @@ def _score(levels: list[Level], parts: int, kinds: int, names: list[str]):
             base = np.log10((walk.n + 0.1) / (words.total + 0.1 * (words.kinds + 1)))[walk.word]
             sums = [np.add.reduceat(x, walk.first) for x in ((walk.n > 0).astype(np.int64)[walk.word], base, np.log10(walk.prob))]
             kept = [batch.column(c)[r].values for c in [*(f"id_{i}" for i in range(kinds)), "train"]]
+            del base
             yield pa.RecordBatch.from_arrays([*kept, pa.array(walk.lengths), pa.array(sums[0]), pa.array(np.full(len(walk.lengths), words.total)), pa.array(sums[1]), pa.array(sums[2])], names)
 
     return run
