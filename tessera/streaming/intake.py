@@ -104,7 +104,7 @@ def _in_order(rows: DataFrame, caps: list[Cap]) -> DataFrame:
     beside = each.where("admitted").join(of_group, "g").select("row", "component").distinct()
     span = [pd.Timedelta(cap.span.lower()) // pd.Timedelta("1us") if cap.span else 0 for cap in caps]
     stream = component.unionByName(beside).join(rows.select("row", F.unix_micros("t").alias("t"), "i", "admitted", F.array(*groups).alias("groups")), "row")
-    ordered = stream.repartition("component").sortWithinPartitions("component", "t", "i", "row").select("component", "row", "t", "admitted", "groups")
+    ordered = stream.repartition(F.xxhash64("component")).sortWithinPartitions("component", "t", "i", "row").select("component", "row", "t", "admitted", "groups")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         now, counts, times = None, {}, {}
