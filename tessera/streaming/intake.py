@@ -85,14 +85,14 @@ def _counted(rows: DataFrame, caps: list[Cap]) -> DataFrame:
 
 
 #: Rounds that decide all events at once, before what is still open is taken in order.
-MOST_ROUNDS = 3
+MOST_ROUNDS = 8
 
 
 def _in_order(rows: DataFrame, caps: list[Cap]) -> DataFrame:
     """``row`` and ``admitted`` of the open rows (null), one after the other beside the admitted ones that they share a group with."""
     groups = []
     for k, cap in enumerate(caps):
-        bucket = F.unix_micros(F.date_trunc(cap.unit, "t")) if cap.unit else F.lit(0).cast("long")
+        bucket = F.unix_micros(F.date_trunc(cap.unit, "t").cast("timestamp")) if cap.unit else F.lit(0).cast("long")
         groups.append(F.struct(F.lit(k).alias("cap"), F.to_json(F.array(*[F.coalesce(F.col(f"key_{c}").cast("string"), F.lit("\x00")) for c in cap.keys] or [F.lit("")])).alias("key"), bucket.alias("bucket")))
     each = rows.select("row", "admitted", F.explode(F.array(*groups)).alias("g"))
     pending = each.where("admitted is null").select("row", "g")
@@ -103,7 +103,7 @@ def _in_order(rows: DataFrame, caps: list[Cap]) -> DataFrame:
     of_group = first.join(component, F.col("first") == component["row"]).select("g", "component")
     beside = each.where("admitted").join(of_group, "g").select("row", "component").distinct()
     span = [pd.Timedelta(cap.span.lower()) // pd.Timedelta("1us") if cap.span else 0 for cap in caps]
-    stream = component.unionByName(beside).join(rows.select("row", F.unix_micros("t").alias("t"), "i", "admitted", F.array(*groups).alias("groups")), "row")
+    stream = component.unionByName(beside).join(rows.select("row", F.unix_micros(F.col("t").cast("timestamp")).alias("t"), "i", "admitted", F.array(*groups).alias("groups")), "row")
     ordered = stream.repartition(F.xxhash64("component")).sortWithinPartitions("component", "t", "i", "row").select("component", "row", "t", "admitted", "groups")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -221,6 +221,7 @@ def test_a_chain_of_dependent_events_takes_few_rounds(spark, monkeypatch):
     rows += [(2000 + i, START + dt.timedelta(minutes=rng.randint(0, 3000)), {"ip": 10_000 + rng.randint(0, 3), "net": rng.randint(0, 1), "hash": rng.randint(0, 90)}, False) for i in range(200)]
     caps = [intake.Cap(1, ("ip",), "day"), intake.Cap(1, ("net",), "day"), intake.Cap(1, ("hash",), span="9 HOURS", name="duplicate")]
     df = spark.createDataFrame([(i, t, k["ip"], k["net"], k["hash"]) for i, t, k, _ in rows], "event_id long, ts timestamp, ip long, net long, hash long").repartition(3)
+    df = df.withColumn("ts", F.col("ts").cast("timestamp_ntz"))
     got = {r["event_id"]: (r["admitted"], r["reason"]) for r in intake.capped(df, "ts", "event_id", caps).collect()}
     want = simulated(rows, caps)
     assert {i: v[0] for i, v in got.items()} == {i: r is None for i, r in want.items()}
