@@ -101,3 +101,17 @@ def test_rows_content_ids_and_gzip(spark, tmp_path):
 
 def test_canonical_is_sorted_and_bare():
     assert strict.canonical({"b": [1, {"é": None}], "a": 0.5}) == '{"a":0.5,"b":[1,{"é":null}]}'.encode() and json.loads(strict.canonical({"x": "\n"})) == {"x": "\n"}
+
+
+def test_scan_of_a_writer_whose_first_task_is_empty(spark, tmp_path):
+    from tessera import file_queries
+
+    statuses = F.element_at(F.array(F.lit("O"), F.lit("F")), (F.col("id") % 2 + 1).cast("int"))
+    spark.range(20000).select(F.col("id").alias("o_orderkey"), statuses.alias("o_orderstatus"), F.sha2(F.col("id").cast("string"), 256).alias("more")).coalesce(1).write.parquet(str(tmp_path / "orders.parquet"))
+    before = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "200k")  # one row group, so most tasks have no rows
+    try:
+        got = file_queries.strict_scan(spark, str(tmp_path))
+        assert got.count() == 20000 and got.where("fault = 'empty_file'").count() == 0
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", before)
