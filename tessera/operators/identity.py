@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from tessera.functions import text as keys
 from tessera.operators.components import connected_components
-from tessera.operators.survivorship import series_base
+from tessera.operators.survivorship import bound, series_base
 
 Tiers = Mapping[str, tuple[Column, Column]]
 
@@ -202,11 +202,14 @@ def series_groups(rows: DataFrame, row_id: str, title: str, names: Column, *, sh
     base = lambda x: series_base(tidy(x), SERIES_SUFFIXES)
 
     def without_prefix(x: Column) -> Column:
-        inner = F.coalesce(*[F.when(F.char_length(cut) >= shortest, cut) for cut in (tidy(F.regexp_extract(tidy(x), p, 1)) for p in SERIES_PREFIXES)])
-        return F.when(inner.isNotNull(), base(inner))
+        cut = lambda plain: F.array(*[tidy(F.regexp_extract(plain, p, 1)) for p in SERIES_PREFIXES])
+        inner = bound(tidy(x), lambda plain: F.get(F.filter(cut(plain), lambda c: F.char_length(c) >= shortest), F.lit(0)))
+        return bound(inner, lambda found: F.when(found.isNotNull(), base(found)))
 
     own = F.trim(F.regexp_replace(F.coalesce(F.col(title), F.lit("")), r"\s+", " "))
-    out = rows.select(F.col(row_id), own.alias("own"), names.alias("names")).withColumn("alias", F.get(F.filter(F.transform("names", without_prefix), lambda x: x.isNotNull() & (x != "") & (x != F.col("own"))), F.lit(0)))
-    out = out.withColumn("series", F.coalesce("alias", base(F.col("own")))).where("series <> ''")
+    alias = lambda own: F.get(F.filter(F.transform(names, without_prefix), lambda x: x.isNotNull() & (x != "") & (x != own)), F.lit(0))
+    series = lambda own: bound(alias(own), lambda alias: F.struct(own.alias("own"), alias.alias("alias"), F.coalesce(alias, base(own)).alias("series")))
+    # Made by a generator, so that neither the filter nor the columns below work it out again.
+    out = rows.select(F.col(row_id), F.explode(F.array(bound(own, series))).alias("s")).select(row_id, "s.*").where("series <> ''")
     source = F.when(F.col("alias").isNotNull(), "alias_heuristic").otherwise("title_heuristic")
     return out.select(row_id, keys.slug(F.col("series"), "work-group").alias("key"), "series", source.alias("source"), F.when(F.col("series") != F.col("own"), "title_variant").otherwise("title_base").alias("confidence"))

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -75,22 +77,28 @@ def pair_score(pairs: DataFrame, *, most_frequency: int = 12) -> DataFrame:
     return scored.withColumn("verdict", F.when(F.size("blockers") > 0, "blocked").when(F.col("score") >= 6, "candidate").otherwise("weak"))
 
 
+def bound(value: Column, use: Callable[[Column], Column]) -> Column:
+    """``use`` of a value that is computed once for a row, however often it occurs there."""
+    return F.get(F.transform(F.array(value), use), F.lit(0))
+
+
 def series_base(title: Column, suffixes: list[str]) -> Column:
     """A title without its variant suffixes, taken off until none is left; never the whole title."""
 
-    def once(text: Column) -> Column:
-        for s in suffixes:
-            shorter = F.regexp_replace(F.regexp_replace(text, s, ""), r"(?u)[\s:：~〜ー—–\-]+$", "")
-            text = F.when(shorter != "", shorter).otherwise(text)
-        return text
+    def once(text: Column, at: int = 0) -> Column:
+        # Each text is bound before it is used again; written out, the expression would grow threefold a suffix.
+        if at == len(suffixes):
+            return text
+        cut = F.regexp_replace(F.regexp_replace(text, suffixes[at], ""), r"(?u)[\s:：~〜ー—–\-]+$", "")
+        return bound(bound(cut, lambda shorter: F.when(shorter != "", shorter).otherwise(text)), lambda left: once(left, at + 1))
 
     start = F.trim(F.coalesce(title, F.lit("")))
     # Each step takes off a character at least, so there are never more steps than characters.
     first = F.struct(start.alias("text"), F.lit(False).alias("done"))
 
     def step(acc: Column, _: Column) -> Column:
-        shorter = F.when(acc["done"], acc["text"]).otherwise(once(acc["text"]))
-        return F.struct(shorter.alias("text"), (acc["done"] | (shorter == acc["text"])).alias("done"))
+        further = bound(once(acc["text"]), lambda shorter: F.struct(shorter.alias("text"), (shorter == acc["text"]).alias("done")))
+        return F.when(acc["done"], acc).otherwise(further)
 
     return F.aggregate(F.sequence(F.lit(0), F.char_length(start)), first, step, lambda acc: acc["text"])
 

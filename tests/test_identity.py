@@ -84,3 +84,12 @@ def test_policies_and_elections_of_empty_tables(spark):
     urls = [(" https://a.itch.io/x ",), ("javascript:x",), (None,), ("http://u@h/",), ("https://",)]
     got = [r["r"] for r in spark.createDataFrame(urls, "u string").select(upkeep.reference(F.col("u")).alias("r")).collect()]
     assert got[0]["url"] == "https://a.itch.io/x" and got[1:] == [None] * 4
+
+
+def test_suffixes_are_looked_for_once_each(spark, capsys):
+    title = F.concat(F.col("id").cast("string"), F.lit(" OVA"))
+    df = spark.range(3).select("id", title.alias("t"))
+    out = identity.series_groups(df, "id", "t", F.array("t"))
+    assert sorted((r["id"], r["series"]) for r in out.collect()) == [(0, "0"), (1, "1"), (2, "2")]
+    plan = out._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("regexp_replace") < 100  # thousands where every suffix repeats the text so far
