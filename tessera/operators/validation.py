@@ -106,24 +106,29 @@ def anchors(rows: DataFrame, anchors_of: DataFrame, key: str, title: Column, anc
     """Rows whose title equals an anchor's, or has it within (``least`` characters or more), by the
     longest such anchor.
 
-    Titles are cut into runs of ``least`` characters.  An anchor is looked up by the one of its runs
-    that the fewest titles have, and what meets there is compared in full, so anchors of any number
-    and length need neither a nested loop nor all substrings.
+    Distinct titles are cut into runs of ``least`` characters.  An anchor is looked up by the one of its
+    runs that the fewest titles have, and what meets there is compared in full, so anchors of any number
+    and length need neither a nested loop nor all substrings, and a title that many rows have is one.
+    Runs and rows grow with the input whatever a plan takes their size for, so they are merged, never
+    broadcast.
     """
 
     def runs(text: str) -> Column:
         places = F.sequence(F.lit(1), F.char_length(text) - least + 1)
         return F.when(F.char_length(text) >= least, F.transform(places, lambda s: F.struct(F.substring(F.col(text), s, least).alias("run"), s.alias("at")))).otherwise(F.array().cast("array<struct<run:string,at:int>>"))
 
-    titled = rows.select(F.col(key).alias("k"), title.alias("t")).where("t is not null")
-    cut = titled.select("k", "t", F.explode(runs("t")).alias("r")).select("k", "t", "r.run", "r.at")
+    titled = rows.select(F.col(key).alias("k"), title.alias("t")).where("t is not null").distinct()
+    texts = titled.select("t").distinct()
+    cut = texts.select("t", F.explode(runs("t")).alias("r")).select("t", "r.run", "r.at")
     named = anchors_of.select(F.col(anchor).alias("anchor"), F.col(anchor_title).alias("part")).where("part <> ''").distinct()
     often = cut.groupBy("run").agg(F.count("*").alias("often"))
-    asked = join_facts(named.select("anchor", "part", F.explode(runs("part")).alias("r")).select("anchor", "part", "r.run", F.col("r.at").alias("offset")), often, "run", "left")
+    asked = join_facts(named.select("anchor", "part", F.explode(runs("part")).alias("r")).select("anchor", "part", "r.run", F.col("r.at").alias("offset")), often.hint("merge"), "run", "left")
     # A run that no title has ends the search for its anchor.
     rarest = asked.groupBy("anchor", "part").agg(F.min_by(F.struct("run", "offset"), F.struct(F.coalesce("often", F.lit(0)), "offset")).alias("r")).select("anchor", "part", "r.run", "r.offset")
     start = F.col("at") - F.col("offset") + 1
-    within = cut.join(rarest, "run").where((start >= 1) & (F.substring(F.col("t"), start, F.char_length("part")) == F.col("part"))).select("k", "t", "anchor", "part").distinct()
-    short = titled.join(named.where(F.char_length("part") < least), F.col("t") == F.col("part")).select("k", "t", "anchor", "part")
-    best = within.unionByName(short).groupBy("k").agg(F.max_by(F.struct("anchor", (F.col("part") == F.col("t")).alias("equal")), F.struct(F.char_length("part").alias("l"), (-F.xxhash64("anchor")).alias("h"))).alias("b"), F.count("*").alias("n"))
+    within = cut.join(rarest.hint("merge"), "run").where((start >= 1) & (F.substring(F.col("t"), start, F.char_length("part")) == F.col("part"))).select("t", "anchor", "part").distinct()
+    short = texts.join(named.where(F.char_length("part") < least).hint("merge"), F.col("t") == F.col("part")).select("t", "anchor", "part")
+    found = F.struct(F.char_length("part").alias("l"), (-F.xxhash64("anchor")).alias("h"), "anchor", (F.col("part") == F.col("t")).alias("equal"))
+    by_title = within.unionByName(short).groupBy("t").agg(F.max(found).alias("b"), F.count("*").alias("n"))
+    best = join_facts(titled, by_title.hint("merge"), "t").groupBy("k").agg(F.max("b").alias("b"), F.sum("n").alias("n"))
     return best.select(F.col("k").alias(key), "b.anchor", "b.equal", "n")

@@ -24,3 +24,10 @@ def test_suffixes_go_until_none_is_left(spark):
     title = "Tale" + " II" * 9 + ": side" * 3
     row = spark.range(1).select(series_base(F.lit(title), [r" II$", r" side$"]).alias("a"), series_base(F.lit(" II"), [r"II$"]).alias("b"), series_base(F.lit(None).cast("string"), [r"x$"]).alias("c")).first()
     assert tuple(row) == ("Tale", "II", "")
+
+
+def test_anchors_broadcast_nothing_that_grows(spark):
+    rows = spark.range(300).select("id", F.concat(F.lit("large title "), (F.col("id") % 3).cast("string")).alias("t"))
+    got = anchors(rows, spark.createDataFrame([("large", "large"), ("title", "title"), ("tit", "tit")], "a string, n string"), "id", F.col("t"), "a", "n")
+    assert {(r["anchor"] in ("large", "title"), r["n"], r["equal"]) for r in got.collect()} == {(True, 2, False)} and got.count() == 300
+    assert "Broadcast" not in got._jdf.queryExecution().executedPlan().toString()
