@@ -7,6 +7,8 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tessera.operators.skew import any_repeats, join_by_work
+
 
 def enrich(base: DataFrame, key: str, *details: DataFrame) -> DataFrame:
     """The base with each detail table's columns, left joined; Catalyst picks what to broadcast."""
@@ -61,10 +63,16 @@ def cascade(records: DataFrame, works: DataFrame, record: str, work: str, tiers:
 
 
 def any_key_matches(left: DataFrame, right: DataFrame, left_id: str, right_id: str, left_keys: Column, right_keys: Column) -> DataFrame:
-    """Distinct pairs that share one of their keys (arrays on both sides)."""
-    a = left.select(F.col(left_id).alias("a"), F.explode(F.array_distinct(left_keys)).alias("k"))
-    b = right.select(F.col(right_id).alias("b"), F.explode(F.array_distinct(right_keys)).alias("k"))
-    return a.join(b.where("k is not null and k <> ''"), "k").select(F.col("a").alias(left_id), F.col("b").alias(right_id)).distinct()
+    """Distinct pairs that share one of their keys (arrays on both sides).
+
+    A pair comes from the first key that it shares, so pairs are made where they meet and only ids that
+    have several rows need a look for repeats.
+    """
+    filled = lambda own: F.array_distinct(F.filter(own, lambda k: F.coalesce(k != "", F.lit(False))))
+    a = left.select(F.col(left_id).alias("a"), filled(left_keys).alias("a_keys")).withColumn("k", F.explode("a_keys"))
+    b = right.select(F.col(right_id).alias("b"), filled(right_keys).alias("b_keys")).withColumn("k", F.explode("b_keys"))
+    pairs = join_by_work(a, b, ["k"]).where(F.get(F.array_intersect("a_keys", "b_keys"), F.lit(0)) == F.col("k")).select(F.col("a").alias(left_id), F.col("b").alias(right_id))
+    return pairs.distinct() if any_repeats(left, left_id) or any_repeats(right, right_id) else pairs
 
 
 def bind_exact(records: DataFrame, works: DataFrame, record: str, first: str, second: str, work: str) -> DataFrame:
