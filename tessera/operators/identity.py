@@ -3,12 +3,14 @@
 from __future__ import annotations
 
 from collections.abc import Callable, Mapping
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tessera.functions import text as keys
 from tessera.operators.components import connected_components
+from tessera.operators.skew import any_repeats, join_by_work
 from tessera.operators.survivorship import bound, series_base
 
 Tiers = Mapping[str, tuple[Column, Column]]
@@ -19,7 +21,8 @@ def tier_matches(records: DataFrame, works: DataFrame, record: str, work: str, t
 
     ``tiers``, best first: name to the records' and the works' keys (arrays).  ``weak`` takes matches of
     a tier for which a condition over both sides' ``facts`` fails into a last tier of its own name.
-    All tiers are one table of keys and one join.  Returns the record, the work, ``tier``, and ``role``:
+    All tiers are one table of keys and one join, and a pair comes from the first key of its best tier,
+    so that pairs are made where they meet and never dealt again (unless ids repeat).  Returns the record, the work, ``tier``, and ``role``:
     ``primary`` in the record's best tier, ``conflict`` for another work in a lower one, ``weak`` below.
     Blank keys match nothing.
     """
@@ -28,22 +31,45 @@ def tier_matches(records: DataFrame, works: DataFrame, record: str, work: str, t
     labels = [*names, *(w for w, _ in weak.values())]
 
     def keyed(rows: DataFrame, side: int, row_id: str, own: str) -> DataFrame:
-        def numbered(i: int, own_keys: Column) -> Column:
-            return F.transform(own_keys, lambda x: F.struct(F.lit(i).alias("t"), x.cast("string").alias("k")))
-
-        each = [numbered(i, tiers[t][side]) for i, t in enumerate(names)]
+        filled = lambda x: F.array_distinct(F.filter(F.transform(x, lambda k: k.cast("string")), lambda k: F.coalesce(F.trim(k), F.lit("")) != ""))
+        each = [F.coalesce(filled(tiers[t][side]), F.array().cast("array<string>")).alias(f"{own}_{i}") for i, t in enumerate(names)]
         fact = facts[side] if facts else F.lit(None)
-        return rows.select(F.col(row_id).alias(own), fact.alias(f"{own}_facts"), F.explode(F.array_distinct(F.filter(F.flatten(F.array(*each)), lambda e: F.coalesce(F.trim(e["k"]), F.lit("")) != ""))).alias("e")).select(own, f"{own}_facts", "e.t", "e.k")
-
-    met = keyed(records, 0, record, "r").join(keyed(works, 1, work, "w"), ["t", "k"])
-    tier = F.col("t")
-    for name, (_, fits) in weak.items():
-        tier = F.when((F.col("t") == names.index(name)) & ~F.coalesce(fits(F.col("r_facts"), F.col("w_facts")), F.lit(False)), last[name]).otherwise(tier)
-    pairs = met.groupBy("r", "w").agg(F.min(tier).alias("t"))
-    best = pairs.groupBy("r").agg(F.min("t").alias("first"))
-    role = F.when(F.col("t") >= len(names), "weak").when(F.col("t") == F.col("first"), "primary").otherwise("conflict")
+        numbered = lambda i: F.transform(f"{own}_{i}", lambda k: F.struct(F.lit(i).alias("t"), k.alias("k")))
+        flat = F.flatten(F.array(*[numbered(i) for i in range(len(names))]))
+        kept = [own, f"{own}_facts", *[f"{own}_{i}" for i in range(len(names))]]
+        return rows.select(F.col(row_id).alias(own), fact.alias(f"{own}_facts"), *each).select(*kept, F.explode(flat).alias("e")).select(*kept, "e.t", "e.k")
+
+    def shared(i: int) -> Column:
+        r, w = F.col(f"r_{i}"), F.col(f"w_{i}")
+        return F.when((F.size(r) == 1) & (F.size(w) == 1), F.get(r, F.lit(0)) == F.get(w, F.lit(0))).otherwise(F.arrays_overlap(r, w))
+
+    mine, theirs = keyed(records, 0, record, "r").where("r is not null"), keyed(works, 1, work, "w")
+    fit = {names.index(t): F.coalesce(fits(F.col("r_facts"), F.col("w_facts")), F.lit(False)) for t, (_, fits) in weak.items()}
+
+    # A record's best tier: one that needs no look at facts by its keys, any other by its pairs.
+    plain = [i for i in range(len(names)) if i not in fit]
+    firsts = mine.where(F.col("t").isin(plain)).join(theirs.select("t", "k").distinct().hint("merge"), ["t", "k"], "left_semi").select("r", "t")
+    for i in (i for i in fit if i < len(names) - 1):
+        firsts = firsts.unionByName(join_by_work(mine.where(F.col("t") == i), theirs.where(F.col("t") == i), ["t", "k"]).where(fit[i]).select("r", "t"))
+    firsts = firsts.groupBy("r").agg(F.min("t").alias("first"))
+    met = join_by_work(mine.join(firsts.hint("merge"), "r", "left"), theirs, ["t", "k"])
+
+    better, tier = F.lit(False), F.col("t")
+    for i in range(len(names)):
+        by = lambda js: reduce(lambda x, y: x | y, [shared(j) & fit.get(j, F.lit(True)) for j in js], F.lit(False))
+        earlier = by(range(i))
+        if i in fit:
+            weaker = reduce(lambda x, y: x | y, [shared(j) for j in fit if last[names[j]] < last[names[i]]], F.lit(False))
+            earlier = F.when(fit[i], earlier).otherwise(by(j for j in range(len(names)) if j != i) | weaker)
+            tier = F.when((F.col("t") == i) & ~fit[i], last[names[i]]).otherwise(tier)
+        again = (F.size(f"r_{i}") > 1) & (F.size(f"w_{i}") > 1) & (F.get(F.array_intersect(f"r_{i}", f"w_{i}"), F.lit(0)) != F.col("k"))
+        better = F.when(F.col("t") == i, earlier | again).otherwise(better)
+    pairs = met.where(~better).select("r", "w", tier.alias("t"), "first")
+    if any_repeats(records, record) or any_repeats(works, work):
+        pairs = pairs.groupBy("r", "w").agg(F.min("t").alias("t"), F.min("first").alias("first"))
+    role = F.when(F.col("t") >= len(names), "weak").when(F.col("t") == F.coalesce("first", "t"), "primary").otherwise("conflict")
     label = F.element_at(F.array(*[F.lit(x) for x in labels]), (F.col("t") + 1).cast("int"))
-    return pairs.join(best, "r").select(F.col("r").alias(record), F.col("w").alias(work), label.alias("tier"), role.alias("role"))
+    return pairs.select(F.col("r").alias(record), F.col("w").alias(work), label.alias("tier"), role.alias("role"))
 
 
 def tier_plan(records: DataFrame, matches: DataFrame, record: str, work: str, *, blockers: Column | None = None, exact: tuple[str, ...]) -> DataFrame:
@@ -52,9 +78,11 @@ def tier_plan(records: DataFrame, matches: DataFrame, record: str, work: str, *,
     Two works in the best tier, or another work in a lower one, block; one work in one of the ``exact``
     tiers updates it; any other match is to be reviewed; none makes a draft.
     """
-    count = lambda role: F.count(F.when(F.col("role") == role, 1)).alias(f"n_{role}")
-    per = matches.groupBy(F.col(record).alias("of")).agg(
-        count("primary"), count("conflict"), count("weak"), F.min(F.when(F.col("role") == "primary", F.col(work))).alias("one"),
+    # By tier first, so that pairs only add to counts where they are made and no text is sorted for each.
+    counted = matches.groupBy(F.col(record).alias("of"), "role", "tier").agg(F.count("*").alias("n"), F.min(work).alias("least"))
+    count = lambda role: F.coalesce(F.sum(F.when(F.col("role") == role, F.col("n"))), F.lit(0)).alias(f"n_{role}")
+    per = counted.groupBy("of").agg(
+        count("primary"), count("conflict"), count("weak"), F.min(F.when(F.col("role") == "primary", F.col("least"))).alias("one"),
         F.first(F.when(F.col("role") == "primary", F.col("tier")), True).alias("primary_tier"), F.min(F.when(F.col("role") == "weak", F.col("tier"))).alias("weak_tier"),
     )
     own = records.select(F.col(record).alias("of_record"), (blockers if blockers is not None else F.array().cast("array<string>")).alias("own"))

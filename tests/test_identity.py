@@ -93,3 +93,29 @@ def test_suffixes_are_looked_for_once_each(spark, capsys):
     assert sorted((r["id"], r["series"]) for r in out.collect()) == [(0, "0"), (1, "1"), (2, "2")]
     plan = out._jdf.queryExecution().optimizedPlan().toString()
     assert plan.count("regexp_replace") < 100  # thousands where every suffix repeats the text so far
+
+
+def test_tiers_equal_all_pairs_by_brute_force(spark):
+    rng = random.Random(5)
+    side = lambda n: [(i, [rng.choice("abc") for _ in range(rng.randint(0, 2))], [rng.choice("uvwx") for _ in range(rng.randint(0, 3))], rng.choice("pqrs"), rng.randint(0, 9)) for i in range(n)]
+    records, works = side(40), side(30)
+    for weak in ({"one": "one_weak"}, {"three": "three_weak"}, {"two": "two_weak", "three": "three_weak"}):
+        names = ["one", "two", "three"]
+        labels = [*names, *weak.values()]
+        want, met = set(), {}
+        for r in records:
+            for w in works:
+                keys = [set(r[1]) & set(w[1]), set(r[2]) & set(w[2]), {r[3]} & {w[3]}]
+                got = [labels.index(weak[t]) if t in weak and abs(r[4] - w[4]) > 3 else i for i, t in enumerate(names) if keys[i]]
+                if got:
+                    met.setdefault(r[0], {})[w[0]] = min(got)
+        for r, of in met.items():
+            want |= {(r, w, labels[t], "weak" if t >= 3 else "primary" if t == min(of.values()) else "conflict") for w, t in of.items()}
+        schema = "{0} int, a array<string>, b array<string>, c string, f int"
+        x, y = spark.createDataFrame(records, schema.format("r")), spark.createDataFrame(works, schema.format("w"))
+        tiers = {"one": (F.col("a"), F.col("a")), "two": (F.col("b"), F.col("b")), "three": (F.array("c"), F.array("c"))}
+        near = {t: (name, lambda p, q: F.abs(p - q) <= 3) for t, name in weak.items()}
+        found = identity.tier_matches(x, y, "r", "w", tiers, facts=(F.col("f"), F.col("f")), weak=near)
+        rows = [tuple(z) for z in found.collect()]
+        assert set(rows) == want and len(rows) == len(want)
+        assert "HashAggregate" not in found._jdf.queryExecution().optimizedPlan().toString() and found.count() == len(want)
