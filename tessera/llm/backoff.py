@@ -20,7 +20,6 @@ Lists travel packed: a row for every n-gram of a block would take more room than
 
 from __future__ import annotations
 
-import ctypes
 import zlib
 from dataclasses import dataclass
 
@@ -33,6 +32,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tessera.llm.common import raw, slices
+from tessera.llm.common import release as _release
 from tessera.operators.skew import join_facts
 from tessera.session import stored
 
@@ -50,14 +50,6 @@ BEGIN = -1
 END = b""
 
 
-def _release() -> None:
-    """Give freed memory back to the system, so that a worker does not keep the room of all its blocks."""
-    pa.default_memory_pool().release_unused()
-    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # of glibc
-    if trim is not None:
-        trim(0)
-
-
 def _pack(*arrays: np.ndarray) -> bytes:
     """Arrays of 64-bit numbers, compressed byte plane by byte plane."""
     body = b"".join(len(x).to_bytes(8, "little") + np.ascontiguousarray(x.view(np.uint8).reshape(-1, 8).T).tobytes() for x in arrays)

@@ -31,7 +31,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tessera.llm.common import slices
+from tessera.llm.common import release, slices
 from tessera.session import cut_lineage
 
 #: UTF-8 bytes of text in a block; one longer text is a block of its own.
@@ -40,6 +40,8 @@ BLOCK_BYTES = 32 << 20
 ENCODED_BYTES, MOST_PARTS = 16 << 20, 4096
 #: Distinct words that a task remembers; past that it starts afresh.
 REMEMBERED = 1 << 20
+#: Words of a batch of decoded documents: its numbers, pieces and texts lie in memory together.
+BATCH_WORDS = 1 << 17
 #: Code points below this are split by the pattern below, others by the tokenizer's own splitter.
 PLAIN_END = 0x250
 
@@ -231,17 +233,18 @@ def _assemble(count: int, names: list[str]):
                 numbers, ends = np.empty(len(part), np.int64), np.empty(len(part), np.int64)
                 numbers[place], ends[place] = dealt, np.cumsum(dealt)
                 starts = ends - numbers
+                del part, place, dealt
                 found = batch.column("pieces")[r].values
                 piece = dict(zip(found.field("id").to_pylist(), found.field("piece").to_pylist(), strict=True)) if found is not None else {}
                 spelled = [piece[i] for i in ids.tolist()]
                 word = [b"".join(spelled[a:b]) for a, b in zip(starts.tolist(), ends.tolist(), strict=True)]
-                del spelled
+                del spelled, piece, ends
                 last = np.cumsum(lengths.astype(np.int64)).tolist()
                 columns = [batch.column(f"id_{i}")[r].values for i in range(count)]
                 first = 0
-                while first < len(last):  # about a million words a batch
+                while first < len(last):
                     start = last[first - 1] if first else 0
-                    stop = max(first + 1, int(np.searchsorted(last, start + (1 << 20), side="right")))
+                    stop = max(first + 1, int(np.searchsorted(last, start + BATCH_WORDS, side="right")))
                     own = at[start : last[stop - 1]].astype(np.int64)
                     many = numbers[own]
                     upto = np.cumsum(many)
@@ -254,6 +257,7 @@ def _assemble(count: int, names: list[str]):
                     lists = pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.array(tokens, pa.int32()))
                     yield pa.RecordBatch.from_arrays([c.slice(first, stop - first) for c in columns] + [lists, pa.array(texts, pa.string())], [*names, "tokens", "decoded"])
                     first = stop
+                release()
 
     return run
 

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ctypes
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -44,3 +45,11 @@ def with_columns(df: DataFrame, text: str, compute: Callable[[pa.RecordBatch], l
 def raw(column: pa.Array) -> list[bytes | None]:
     """Texts as UTF-8 bytes, without decoding them."""
     return column.cast(pa.binary()).to_pylist()
+
+
+def release() -> None:
+    """Give freed memory back to the system, so that a worker does not keep the room of all its blocks."""
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # of glibc
+    if trim is not None:
+        trim(0)

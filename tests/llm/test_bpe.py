@@ -63,3 +63,14 @@ def test_words_are_encoded_once(tok):
 
 def test_empty_table(spark):
     assert bpe.round_trip(spark.createDataFrame([], "doc_id long, text string"), ["doc_id"], PATH).count() == 0
+
+
+def test_decoded_documents_come_in_small_batches():
+    import numpy as np
+    import pyarrow as pa
+
+    at = bpe._pack(np.array([100_000] * 3), np.zeros(300_000, np.int64), np.zeros(1, np.int64))
+    row = {"at": at, "parts": [{"p": 0, "ids": bpe._pack(np.array([2]), np.array([7, 9]))}], "pieces": [{"id": 7, "piece": b"a"}, {"id": 9, "piece": b"b"}], "id_0": [1, 2, 3]}
+    out = list(bpe._assemble(1, ["doc_id"])([pa.RecordBatch.from_pylist([row])]))
+    assert [b.num_rows for b in out] == [1, 1, 1]
+    assert all(b.column("tokens")[0].as_py() == [7, 9] * 100_000 and b.column("decoded")[0].as_py() == "ab" * 100_000 for b in out)
