@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from tessera.operators import audits, creators, diff, entity
 from tessera.queries import query
-from tessera.session import shared_folder, table
+from tessera.session import shared_folder, spread, table
 from tessera.sources import pickers, readers, strict
 
 
@@ -102,7 +102,7 @@ SELECT p_partkey, name AS title, CASE source WHEN 'vndb' THEN 'v' || p_partkey E
   CASE source WHEN 'bangumi' THEN '2001-0' || (p_size % 9 + 1) WHEN 'anilist' THEN '20' || lpad(CAST(p_size AS VARCHAR), 2, '0') || '-05' END AS release_date, CASE source WHEN 'other' THEN '' ELSE trim(p_brand) END AS creators FROM p""")
 def picked_sources(spark, d):
     """Part names as four sources would write them."""
-    p = table(spark, d, "part")
+    p = spread(table(spark, d, "part"), "p_partkey")
     source = F.element_at(F.array(*[F.lit(x) for x in ("bangumi", "anilist", "vndb", "other")]), (F.col("p_partkey") % 4 + 1).cast("int"))
     key = F.col("p_partkey").cast("string")
     shapes = {

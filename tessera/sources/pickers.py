@@ -11,6 +11,8 @@ from collections.abc import Iterable, Mapping
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tessera.session import unused
+
 # Names under which sources hold a text, a title, an id, an address, other titles, a date, makers.
 TEXT_KEYS = "userPreferred romaji english native original name_cn name title_cn title label value text".split()
 TITLES = {
@@ -53,10 +55,15 @@ def _some(text: Column) -> Column:
     return F.nullif(_spaced(text), F.lit(""))
 
 
+def _let(value: Column, body) -> Column:
+    """``body`` of ``value``, which is computed once however often the body reads it."""
+    return F.transform(F.array(value), body)[0]
+
+
 def pick(record: Column, names: Iterable[str]) -> Column:
     """The text of the first name that holds one, or something in a list or object (as JSON)."""
-    values = [_some(_at(record, n, "string")) for n in names]
-    return F.coalesce(*[F.when(~v.isin("[]", "{}"), v) for v in values])
+    held = F.array_compact(F.array(*[_at(record, n, "string") for n in names]))
+    return F.get(F.filter(F.transform(held, _spaced), lambda x: ~x.isin("", "[]", "{}")), F.lit(0))
 
 
 def texts(value: Column) -> Column:
@@ -76,9 +83,9 @@ def texts(value: Column) -> Column:
     def item(x: Column) -> Column:
         return F.when(kind(x) == "OBJEC", of_object(x)).otherwise(F.array(own(x)))
 
-    listed = F.flatten(F.transform(F.try_variant_get(value, "$", "array<variant>"), item))
-    split = F.split(F.coalesce(own(value), F.lit("")), r"[;|,\n]")
-    found = F.when(kind(value) == "ARRAY", listed).when(kind(value) == "OBJEC", of_object(value)).otherwise(split)
+    listed = lambda x: F.flatten(F.transform(F.try_variant_get(x, "$", "array<variant>"), item))
+    split = lambda x: F.split(F.coalesce(own(x), F.lit("")), r"[;|,\n]")
+    found = _let(value, lambda x: _let(kind(x), lambda k: F.when(k == "ARRAY", listed(x)).when(k == "OBJEC", of_object(x)).otherwise(split(x))))
     return F.filter(F.transform(F.coalesce(found, none), _spaced), lambda x: x != "")
 
 
@@ -96,26 +103,33 @@ def picked(records: DataFrame, document: str, source: str) -> DataFrame:
     What is not JSON has none of them, and empty lists.  An id falls back on the record's addresses; dates
     of objects are as exact as these say.  Aliases and creators keep their first occurrence.
     """
-    rows = records.withColumn("parsed_of", F.try_parse_json(document))
-    v, s = F.col("parsed_of"), F.lower(F.coalesce(F.col(source), F.lit("")))
-    title_object = texts(F.when(F.schema_of_variant(_at(v, "title")).startswith("OBJECT"), _at(v, "title")))
-    title = F.coalesce(F.get(title_object, F.lit(0)), _by_source(s, TITLES, ANY_TITLE, lambda names: pick(v, names)))
+    parsed, held, named, own = unused(records, "parsed_of", "title_object_of", "title", "source_id")
+    v, s = F.col(parsed), F.lower(F.coalesce(F.col(source), F.lit("")))
+    title_object = texts(_let(_at(v, "title"), lambda x: F.when(F.schema_of_variant(x).startswith("OBJECT"), x)))
+    title = F.coalesce(F.get(held, F.lit(0)), _by_source(s, TITLES, ANY_TITLE, lambda names: pick(v, names)))
     urls = F.regexp_extract_all(F.coalesce(F.col(document), F.lit("")), F.lit(r"(?i)(https?://[^\s\"'<>\\]+)"), F.lit(1))
     by_url = F.lit(None).cast("string")
     for name, pattern in SITE_IDS.items():
         by_url = F.when(s == name, F.get(F.filter(_extracted(urls, pattern), lambda x: x != ""), F.lit(0))).otherwise(by_url)
     own_id = F.coalesce(_by_source(s, IDS, ANY_ID, lambda names: pick(v, names)), by_url)
-    own_id = F.when((s == "vndb") & own_id.rlike(r"^(?i)v?\d+$"), F.concat(F.lit("v"), F.regexp_extract(own_id, r"\d+", 0))).otherwise(own_id)
-    aliases = _by_source(s, MORE_ALIASES, [], lambda names: F.concat(texts(F.coalesce(*[_at(v, n) for n in ALIASES])), *[F.array_compact(F.array(*[_some(_at(v, n, "string")) for n in names]))]))
-    start = F.coalesce(*[_at(v, n) for n in START_DATES])
-    part = lambda k: _some(F.try_variant_get(start, f"$['{k}']", "string"))
-    month, day = F.lpad(part("month"), 2, "0"), F.lpad(part("day"), 2, "0")
-    exact = F.when(part("year").isNotNull(), F.concat_ws("-", part("year"), month, F.when(month.isNotNull(), day)))
-    dated = F.when(F.schema_of_variant(start).startswith("OBJECT"), exact)
-    makers = F.flatten(F.array(*[texts(_at(v, n)) for n in MAKERS]))
-    every = F.filter(F.array_distinct(F.concat(title_object, aliases)), lambda x: x != F.coalesce(title, F.lit("")))
+    # Each of these is read more than once below, so it is a column and not an expression.
+    rows = records.withColumn(parsed, F.try_parse_json(document)).withColumn(held, title_object)
+    rows = rows.withColumns({named: title, own: own_id})
+    own_id = F.when((s == "vndb") & F.col(own).rlike(r"^(?i)v?\d+$"), F.concat(F.lit("v"), F.regexp_extract(own, r"\d+", 0))).otherwise(F.col(own))
+    more = lambda names: F.filter(F.transform(F.array_compact(F.array(*[_at(v, n, "string") for n in names])), _spaced), lambda x: x != "")
+    aliases = F.concat(texts(F.coalesce(*[_at(v, n) for n in ALIASES])), _by_source(s, MORE_ALIASES, [], lambda names: more(names) if names else F.array().cast("array<string>")))
+
+    def exact(start: Column) -> Column:
+        part = lambda k: _some(F.try_variant_get(start, f"$['{k}']", "string"))
+        month, day = F.lpad(part("month"), 2, "0"), F.lpad(part("day"), 2, "0")
+        dated = F.when(part("year").isNotNull(), F.concat_ws("-", part("year"), month, F.when(month.isNotNull(), day)))
+        return F.when(F.schema_of_variant(start).startswith("OBJECT"), dated)
+
+    dated = _let(F.coalesce(*[_at(v, n) for n in START_DATES]), exact)
+    makers = F.flatten(F.transform(F.array_compact(F.array(*[_at(v, n) for n in MAKERS])), texts))
+    every = F.filter(F.array_distinct(F.concat(F.col(held), aliases)), lambda x: x != F.coalesce(F.col(named), F.lit("")))
     return rows.select(
-        *records.columns, title.alias("title"), own_id.alias("source_id"), pick(v, URLS).alias("source_url"), every.alias("aliases"),
+        *records.columns, F.col(named).alias("title"), own_id.alias("source_id"), pick(v, URLS).alias("source_url"), every.alias("aliases"),
         F.coalesce(dated, pick(v, DATES)).alias("release_date"), F.array_distinct(makers).alias("creators"),
     )
 

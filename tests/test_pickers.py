@@ -4,6 +4,7 @@ import json
 
 from pyspark.sql import functions as F
 
+from tessera import file_queries
 from tessera.operators import creators
 from tessera.sources import pickers
 
@@ -38,3 +39,12 @@ def test_pages_follow_the_locale(spark):
     assert page(year="2001", offset=1, limit=2) == [(1, 2, "1", 4, 7, ["2002", "2001", "unknown"]), (1, 3, "3", 4, 7, ["2002", "2001", "unknown"])]
     assert [(x[1], x[2], x[3]) for x in page(year="unknown") if x[0] == 2] == [(1, "9", 2), (2, "10", 2)]
     assert page(year="1900") == []
+
+
+def test_a_large_row_group_is_picked_by_several_tasks(spark, tmp_path):
+    k = F.col("id")
+    part = spark.range(60_000).select(k.alias("p_partkey"), F.lit("a  b").alias("p_name"), F.lit("Brand").alias("p_brand"), F.lit("TYPE").alias("p_type"), (k % 50).cast("int").alias("p_size"))
+    part.coalesce(1).write.parquet(str(tmp_path / "part.parquet"))
+    found = file_queries.picked_sources(spark, str(tmp_path))
+    assert found.rdd.getNumPartitions() == 3
+    assert found.count() == 60_000
