@@ -8,7 +8,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tessera.session import unused
+from tessera.session import spread, unused
 
 
 def _filled(value: Column) -> Column:
@@ -56,7 +56,8 @@ def duplicate_groups(works: DataFrame, row_id: str, high: list[str]) -> DataFram
         return F.transform(keys, lambda k, i: F.struct(F.lit(kind).alias("kind"), (F.concat(media, F.lit("|"), k) if by_media else k).alias("key"), i.alias("at")))
 
     kinds = [claims("source_key", sources), claims("primary_title_media", primary, by_media=True), claims("alias_title_media", titles, by_media=True), claims("primary_title_only", primary), claims("alias_title_only", titles)]
-    each = works.select(F.col(row_id).alias("id"), F.coalesce("score", F.lit(0)).alias("score"), F.explode(F.concat(*kinds)).alias("c")).select("id", "score", "c.*")
+    # A work makes eleven claims or more, so few works make a task.
+    each = spread(works, row_id).select(F.col(row_id).alias("id"), F.coalesce("score", F.lit(0)).alias("score"), F.explode(F.concat(*kinds)).alias("c")).select("id", "score", "c.*")
     groups = each.groupBy("kind", "key").agg(
         F.count("*").alias("n"), F.max_by("id", F.struct("score", (-F.col("id")).alias("least"))).alias("keep"), F.min(F.struct("id", "at")).alias("place"),
         F.bit_xor(F.xxhash64("id")).alias("x"), F.bit_xor(F.xxhash64("id", F.lit(1))).alias("y"),

@@ -50,3 +50,11 @@ def test_fingerprints_count_repeats(spark):
 def test_badly_decoded(spark):
     rows = spark.createDataFrame([("Ã©tÃ© Ã ",), ("été à la plage",), (None,), ("",)], "t string")
     assert [r.g for r in rows.select(keys.badly_decoded(F.col("t")).alias("g")).collect()] == [True, False, False, False]
+
+
+def test_duplicate_groups_deals_works_before_their_claims(spark):
+    k = F.col("id")
+    works = spark.range(0, 60_000, 1, 1).select("id", F.lit("m").alias("media_group"), F.lit("").alias("media_type"), F.lit("").alias("primary"), F.array().cast("array<string>").alias("titles"), F.array(F.concat(F.lit("iso:"), F.floor(k / 2).cast("string"))).alias("source_keys"), F.lit(0).alias("score"))
+    found = audits.duplicate_groups(works, "id", ["iso"])
+    assert "hashpartitioning(id" in (plan := found._jdf.queryExecution().toString()) and "REPARTITION_BY_NUM" in plan
+    assert found.count() == 30_000
