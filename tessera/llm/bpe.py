@@ -21,6 +21,7 @@ import os
 import re
 import unicodedata
 import zlib
+from array import array
 
 import numpy as np
 import pandas as pd
@@ -38,8 +39,8 @@ from tessera.session import cut_lineage
 BLOCK_BYTES = 32 << 20
 #: Bytes of text for each task that distinct words are dealt to, and the most such tasks.
 ENCODED_BYTES, MOST_PARTS = 16 << 20, 4096
-#: Distinct words that a task remembers; past that it starts afresh.
-REMEMBERED = 1 << 20
+#: Distinct words that a task remembers; past that it starts afresh.  So many are encoded in one call.
+REMEMBERED, TOGETHER = 1 << 20, 1 << 12
 #: Words of a batch of decoded documents: its numbers, pieces and texts lie in memory together.
 BATCH_WORDS = 1 << 17
 #: Code points below this are split by the pattern below, others by the tokenizer's own splitter.
@@ -69,9 +70,10 @@ def _pack(*arrays: np.ndarray) -> bytes:
     """Lists of small numbers, compressed byte plane by byte plane."""
     parts = []
     for x in arrays:
-        planes = np.ascontiguousarray(x.astype("<u4").view(np.uint8).reshape(-1, 4).T).tobytes()
+        planes = np.ascontiguousarray(x.astype("<u4", copy=False).view(np.uint8).reshape(-1, 4).T)
         parts += [len(x).to_bytes(8, "little"), planes]
     body = b"".join(parts)
+    del parts
     return len(body).to_bytes(8, "little") + _small(body)
 
 
@@ -156,7 +158,8 @@ def _split(ids: list[str], parts: int, path: str):
             coded = [w.encode() for w in number]
             part = np.fromiter(map(zlib.crc32, coded), np.uint32, len(coded)) % parts
             # Words by falling frequency: small numbers are common ones and pack well.
-            at = np.concatenate(lists)
+            lengths, at = np.fromiter(map(len, lists), np.int64, len(lists)), np.concatenate(lists)
+            lists = []
             order = np.argsort(-np.bincount(at, minlength=len(coded)), kind="stable")
             rank = np.empty(len(order), np.uint32)
             rank[order] = np.arange(len(order), dtype=np.uint32)
@@ -169,8 +172,8 @@ def _split(ids: list[str], parts: int, path: str):
             for i in range(len(ids)):
                 whole = pa.concat_arrays([h[i] for h in held])
                 columns.append(pa.ListArray.from_arrays(pa.array([0, len(whole)], pa.int32()), whole))
-            columns += [pa.array([_pack(np.fromiter(map(len, lists), np.int64, len(lists)), at, part)], pa.binary()), pa.array([dealt], pa.list_(pa.struct([("p", pa.int32()), ("words", pa.binary())])))]
-            number, lists, held, size = {}, [], [], 0
+            columns += [pa.array([_pack(lengths, at, part)], pa.binary()), pa.array([dealt], pa.list_(pa.struct([("p", pa.int32()), ("words", pa.binary())])))]
+            number, held, size = {}, [], 0
             blocks += 1
             return pa.RecordBatch.from_arrays(columns, ["block", *[f"id_{i}" for i in range(len(ids))], "at", "dealt"])
 
@@ -179,6 +182,7 @@ def _split(ids: list[str], parts: int, path: str):
                 more = pc.sum(pc.binary_length(chunk.column("text_of"))).as_py() or 0
                 if lists and size + more > BLOCK_BYTES:
                     yield row()
+                    release()
                 for x in chunk.column("text_of").to_pylist():
                     found = all_pieces(x) if x else []
                     lists.append(np.fromiter((number.setdefault(w, len(number)) for w in found), np.uint32, len(found)))
@@ -186,6 +190,8 @@ def _split(ids: list[str], parts: int, path: str):
                 size += more
         if lists:
             yield row()
+        own = None
+        release()
 
     return run
 
@@ -194,17 +200,21 @@ def _encode(path: str):
     """Arrow function from (block, p, words) to (block, p, ids): each word is encoded when first met."""
 
     def run(batches):
-        tok, known = _tokenizer(path), {}
+        tok, known = _tokenizer(path), {}  # ids as packed bytes: lists of numbers take several times their room
         for batch in batches:
             for block, p, blob in zip(*(batch.column(c).to_pylist() for c in ("block", "p", "words")), strict=True):
                 words = _unpack_words(blob)
                 new = [w for w in words if w not in known]
                 if len(known) + len(new) > REMEMBERED:
                     known, new = {}, words
-                known.update(zip(new, (e.ids for e in tok.encode_batch(new, add_special_tokens=False)), strict=True))
+                for at in range(0, len(new), TOGETHER):
+                    some = new[at : at + TOGETHER]
+                    known.update(zip(some, (array("I", e.ids).tobytes() for e in tok.encode_batch(some, add_special_tokens=False)), strict=True))
                 ids = [known[w] for w in words]
-                packed = _pack(np.fromiter(map(len, ids), np.int64, len(ids)), np.fromiter((i for x in ids for i in x), np.int64))
+                packed = _pack(np.fromiter(map(len, ids), np.int64, len(ids)) // 4, np.frombuffer(b"".join(ids), np.uint32))
                 yield pa.RecordBatch.from_arrays([pa.array([block]), pa.array([p], pa.int32()), pa.array([packed], pa.binary())], ["block", "p", "ids"])
+        del tok, known
+        release()
 
     return run
 

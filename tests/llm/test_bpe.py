@@ -1,6 +1,7 @@
 import random
 
 import public_tokenizers
+import pyarrow as pa
 import pytest
 
 from tessera.llm import bpe
@@ -74,3 +75,19 @@ def test_decoded_documents_come_in_small_batches():
     out = list(bpe._assemble(1, ["doc_id"])([pa.RecordBatch.from_pylist([row])]))
     assert [b.num_rows for b in out] == [1, 1, 1]
     assert all(b.column("tokens")[0].as_py() == [7, 9] * 100_000 and b.column("decoded")[0].as_py() == "ab" * 100_000 for b in out)
+
+
+def test_words_are_encoded_in_short_calls(monkeypatch):
+    words, calls = [b"w%d" % i for i in range(10_000)], []
+
+    class Recorder:
+        def encode_batch(self, some, add_special_tokens):
+            calls.append(len(some))
+            return [type("Encoded", (), {"ids": [int(w[1:]), 50_000]}) for w in some]
+
+    monkeypatch.setattr(bpe, "_tokenizer", lambda path: Recorder())
+    batch = pa.RecordBatch.from_pylist([{"block": 1, "p": 0, "words": bpe._pack_words(words)}, {"block": 2, "p": 0, "words": bpe._pack_words(words[::-1])}])
+    first, second = ([x.tolist() for x in bpe._unpack(r.column("ids")[0].as_py())] for r in bpe._encode("")(iter([batch])))
+    assert max(calls) <= bpe.TOGETHER and sum(calls) == 10_000
+    assert first == [[2] * 10_000, [x for i in range(10_000) for x in (i, 50_000)]]
+    assert second == [[2] * 10_000, [x for i in reversed(range(10_000)) for x in (i, 50_000)]]
