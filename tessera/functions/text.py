@@ -1,14 +1,16 @@
 """Text keys for matching, one function for each normalisation.
 
 They differ on purpose: what a key drops decides what it can match, so no two are merged.  All are
-column functions.  NFKC has no built-in function; ``nfkc`` runs it in Python only for rows that have
-a character outside ASCII, and ``key(..., compose=False)`` leaves it out where input is known to be
+column functions.  NFKC has no built-in function; ``nfkc`` sends to Python only the texts that hold a
+character that it may change, and ``key(..., compose=False)`` leaves it out where input is known to be
 composed already.
 """
 
 from __future__ import annotations
 
+import sys
 import unicodedata
+from functools import cache
 
 import pandas as pd
 from pyspark.sql import Column
@@ -29,8 +31,29 @@ def _strip_marks(texts: pd.Series) -> pd.Series:
     return texts.map(lambda x: x if x is None or x.isascii() else "".join(c for c in unicodedata.normalize("NFKD", x) if not unicodedata.category(c).startswith("M")))
 
 
+@cache
+def _changeable() -> str:
+    """Pattern of the characters that NFKC may change: those it maps, marks, and second parts of composed ones.
+
+    A text without any of them is composed already.
+    """
+    found = {*range(0x1161, 0x1176), *range(0x11A8, 0x11C3)}  # Hangul vowels and finals, composed by rule
+    for i in range(0x80, sys.maxunicode + 1):
+        c = chr(i)
+        if 0xD800 <= i < 0xE000:
+            continue
+        if unicodedata.combining(c) or unicodedata.normalize("NFKC", c) != c:
+            found.add(i)
+        if len(parts := unicodedata.decomposition(c).split()) == 2 and parts[0][0] != "<":
+            found.add(int(parts[1], 16))
+    found = sorted(i for i in found if i >= 0x80)
+    starts = [i for n, i in enumerate(found) if not n or found[n - 1] != i - 1]
+    ends = [i for n, i in enumerate(found) if n + 1 == len(found) or found[n + 1] != i + 1]
+    return "[" + "".join(rf"\x{{{a:X}}}-\x{{{b:X}}}" for a, b in zip(starts, ends, strict=True)) + "]"
+
+
 def nfkc(text: Column) -> Column:
-    return _compose(text)
+    return F.coalesce(_compose(F.when(text.rlike(_changeable()), text)), text)
 
 
 def blank_to_null(text: Column) -> Column:

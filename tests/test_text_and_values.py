@@ -1,6 +1,8 @@
 import datetime as dt
 import hashlib
 import hmac
+import random
+import unicodedata
 
 import pytest
 from pyspark.sql import functions as F
@@ -63,3 +65,13 @@ def test_scalars(spark):
     assert column(spark, ["1.2.3.4", "2001:db8::1", "no"], values.network_prefix) == ["1.2.3.0/24", "2001:db8::/64", None]
     assert column(spark, ["", "a"], values.fnv1a) == ["811c9dc5", "e40c292c"]
     assert column(spark, ["m"], lambda c: values.hmac_sha256(c, "k")) == [hmac.new(b"k", b"m", hashlib.sha256).hexdigest()]
+
+
+def test_only_texts_that_composition_changes_go_to_python(spark):
+    rng = random.Random(5)
+    changed = ["é", "ﬁ", "가", "が", "Å", "ো", "①", "q̣̇", "힣", "x" * 9, "é", "日本", "ß", "ж", "😀", " "]
+    texts = [None, "", *changed, *("".join(rng.choice(changed) for _ in range(6)) for _ in range(300)), *map(chr, range(0x80, 0x3400))]
+    rows = spark.createDataFrame([(x,) for x in texts], "t string")
+    assert all(r.got == (r.t and unicodedata.normalize("NFKC", r.t)) for r in rows.select("t", text.nfkc(F.col("t")).alias("got")).collect())
+    sent = rows.where(F.col("t").rlike(text._changeable()))
+    assert not {"é", "日本", "ß", "ж", "😀", "힣"} & {r.t for r in sent.collect()}
