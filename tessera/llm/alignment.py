@@ -1,12 +1,14 @@
 """Alignment of two tokenizers over the same texts, and how often their tokens meet.
 
 1. *Tokenise.*  Texts are cut at spaces that no token of either vocabulary crosses.  Each task encodes
-   the pieces that it meets once and sends, for every ``BLOCK_BYTES`` of text, the distinct pieces' ids
-   and byte ends and each text's places in that list.
-2. *Align*, by higher-order functions only.  In each piece ``array_intersect`` of the end arrays gives
+   the pieces that it meets once and sends, for every ``BLOCK_BYTES`` of text, the distinct pieces' ids,
+   the distinct pairs of end arrays that pieces have (their shapes), and each text's places in the list
+   of pieces.
+2. *Align*, by higher-order functions only.  In each shape ``array_intersect`` of the end arrays gives
    the cuts.  Both arrays' ends sorted into one tell each B token how many A tokens end before and within
-   it; ``sequence`` over these makes its links, ``transform`` over the cuts the groups.  Pieces end at
-   a cut, so a text's groups and links are those of its pieces in turn, and ``aggregate`` adds them up.
+   it; ``sequence`` over these makes its links, ``transform`` over the cuts the groups, both as places of
+   tokens.  Each piece puts its ids there.  Pieces end at a cut, so a text's groups and links are those of
+   its pieces in turn.
 3. *Count.*  Links are summed by id pair over the corpus.  The most frequent pairs, at most
    ``HEAD_PAIRS``, go back to the documents by a broadcast, all others by a join that splits hot keys.
 """
@@ -60,10 +62,10 @@ def second_pieces(path: str) -> list[bytes]:
 
 
 class _Numbers(dict):
-    """Numbers of pieces, the next one for a piece not met before."""
+    """Numbers of pieces or shapes, the next one for what was not met before."""
 
-    def __missing__(self, piece: str) -> int:
-        n = self[piece] = len(self)
+    def __missing__(self, what: str | bytes) -> int:
+        n = self[what] = len(self)
         return n
 
 
@@ -194,6 +196,31 @@ class _Encoder:
                     batch = []
         self._add(batch)
 
+    def shapes(self, own: np.ndarray) -> tuple[list[int], list[tuple[np.ndarray, np.ndarray]]]:
+        """The number of each piece's shape, and the shapes, each once: both sides' ends.
+
+        A piece's ends are counted in byte offsets where a token of either side ends, so that pieces of other
+        lengths have a shape in common if their tokens end in the same order.
+        """
+        if not len(own):
+            return [], []
+        counts = [ragged.counts[own] for ragged in self.lists]
+        ends = [np.cumsum(sizes[ragged.take(own)[0]]) for ragged, sizes in zip(self.lists, self.sizes, strict=True)]
+        rank = np.zeros(ends[0][-1] + 1, np.int32)
+        for x in ends:
+            rank[x] = 1
+        rank = np.cumsum(rank, dtype=np.int32)
+        before = np.concatenate(([0], rank[ends[0]][np.cumsum(counts[0]) - 1]))[:-1]
+        stops = np.cumsum(1 + counts[0] + counts[1])
+        starts = stops - 1 - counts[0] - counts[1]
+        key = np.empty(stops[-1], np.int32)
+        key[starts] = counts[0]
+        for x, many, after in zip(ends, counts, (starts + 1, starts + 1 + counts[0]), strict=True):
+            key[np.repeat(after - np.cumsum(many) + many, many) + np.arange(len(x))] = rank[x] - np.repeat(before, many)
+        raw, number = key.tobytes(), _Numbers()
+        shape = [number[raw[i:j]] for i, j in zip((starts * 4).tolist(), (stops * 4).tolist(), strict=True)]
+        return shape, [(x[1 : x[0] + 1], x[x[0] + 1 :]) for x in (np.frombuffer(k, np.int32) for k in number)]
+
 
 def _listed(values: np.ndarray, counts: np.ndarray) -> pa.ListArray:
     return pa.ListArray.from_arrays(pa.array(np.concatenate(([0], np.cumsum(counts))), pa.int32()), pa.array(values.astype(np.int32)))
@@ -212,41 +239,41 @@ def _tokenised(kinds: int, first: str, second: str):
                 place[flat] = 1
                 own = np.flatnonzero(place)
                 place[own] = np.arange(len(own))
-                sides = []
-                for ragged, sizes in zip(both.lists, both.sizes, strict=True):
-                    ids, upto = ragged.take(own)
-                    ends, counts = np.cumsum(sizes[ids]), ragged.counts[own]
-                    ends -= np.repeat(np.concatenate(([0], ends))[upto - counts], counts)
-                    sides += [_listed(ids, counts), _listed(ends, counts)]
-                pieces = pa.StructArray.from_arrays(sides, ["a", "a_end", "b", "b_end"])
-                at = _listed(place[flat], np.fromiter(map(len, found), np.int64, len(found)))
+                shape, ends = both.shapes(own)
+                pieces = pa.StructArray.from_arrays([*[_listed(ragged.take(own)[0], ragged.counts[own]) for ragged in both.lists], pa.array(shape, pa.int32())], ["a", "b", "shape"])
+                shapes = pa.StructArray.from_arrays([pa.array([x[k] for x in ends], pa.list_(pa.int32())) for k in (0, 1)], ["a_end", "b_end"])
+                many = np.fromiter(map(len, found), np.int64, len(found))
+                upto = np.concatenate(([0], np.cumsum(many)))
+                totals = [pa.array(np.diff(np.concatenate(([0], np.cumsum(ragged.counts[flat])))[upto])) for ragged in both.lists]
                 number = pa.array(np.arange(len(found)) + task + rows)
-                docs = pa.StructArray.from_arrays([*[chunk.column(f"id_{i}") for i in range(kinds)], number, at], [*[f"id_{i}" for i in range(kinds)], "row", "at"])
+                docs = pa.StructArray.from_arrays([*[chunk.column(f"id_{i}") for i in range(kinds)], number, *totals, _listed(place[flat], many)], [*[f"id_{i}" for i in range(kinds)], "row", "n_a", "n_b", "at"])
                 one = lambda x: pa.ListArray.from_arrays(pa.array([0, len(x)], pa.int32()), x)
-                yield pa.RecordBatch.from_arrays([one(docs), one(pieces)], ["docs", "pieces"])
+                yield pa.RecordBatch.from_arrays([one(docs), one(pieces), one(shapes)], ["docs", "pieces", "shapes"])
                 rows += len(found)
 
     return run
 
 
 def tokenised(docs: DataFrame, ids: list[str], first: str, second: str, text: str = "text") -> DataFrame:
-    """Texts as places in a list of distinct pieces, and the pieces' token ids and byte ends.
+    """Texts as places in a list of distinct pieces, the pieces' token ids, and their tokens' ends.
 
-    Each row has ``pieces`` (``a``, ``a_end``, ``b``, ``b_end``) and ``docs``: columns ``ids`` as ``id_0``
-    ..., ``row`` (a number of the document) and ``at`` (its pieces in turn).
+    Each row has ``shapes`` (``a_end``, ``b_end``, each pair once), ``pieces`` (``a``, ``b``, and ``shape``,
+    a place in shapes) and ``docs``: columns ``ids`` as ``id_0`` ..., ``row`` (a number of the document),
+    ``n_a``, ``n_b`` (tokens) and ``at`` (its pieces in turn).
     """
     rows = docs.select(*[F.col(c).alias(f"id_{i}") for i, c in enumerate(ids)], F.col(text).alias("text_of"))
     numbers = T.ArrayType(T.IntegerType())
-    doc = T.StructType([*[T.StructField(f"id_{i}", docs.schema[c].dataType) for i, c in enumerate(ids)], T.StructField("row", T.LongType()), T.StructField("at", numbers)])
-    piece = T.StructType([T.StructField(c, numbers) for c in ("a", "a_end", "b", "b_end")])
-    schema = T.StructType([T.StructField("docs", T.ArrayType(doc)), T.StructField("pieces", T.ArrayType(piece))])
+    doc = T.StructType([*[T.StructField(f"id_{i}", docs.schema[c].dataType) for i, c in enumerate(ids)], *[T.StructField(c, T.LongType()) for c in ("row", "n_a", "n_b")], T.StructField("at", numbers)])
+    piece = T.StructType([T.StructField("a", numbers), T.StructField("b", numbers), T.StructField("shape", T.IntegerType())])
+    shape = T.StructType([T.StructField("a_end", numbers), T.StructField("b_end", numbers)])
+    schema = T.StructType([T.StructField(c, T.ArrayType(x)) for c, x in (("docs", doc), ("pieces", piece), ("shapes", shape))])
     return rows.mapInArrow(_tokenised(len(ids), first, second), schema)
 
 
-#: Tokens of both sides of a piece that are looked through for each place.
+#: Tokens of both sides of a shape that are looked through for each place.
 SHORT = 64
-#: A count of A tokens is written above one of B tokens in one number.
-B_COUNT = 1 << 32
+#: What stands between tokens in a written group, before the piece's own names: places 0, 1 and 2.
+BETWEEN = (",", "|", ";")
 
 
 def _let(value: Column, body) -> Column:
@@ -254,16 +281,34 @@ def _let(value: Column, body) -> Column:
     return F.transform(F.array(value), body)[0]
 
 
-def aligned(piece: Column, pair) -> Column:
-    """A piece's groups as text, links by ``pair`` of two ids, and numbers of A and B tokens as one.
+def shaped(shape: Column) -> Column:
+    """Links and written groups of pieces with these ends, as places; null where both sides end alike.
 
-    Numbers below count from 0.  ``ends`` holds both sides' ends in order, doubled, B's odd; ``at`` is
-    where B's stand in it, so ``at[j] - j`` A tokens end by the end of B token j.
+    ``links`` has the places of the A and the B token, ``written`` places among ``BETWEEN``, A's tokens
+    and B's.  Numbers below count from 0.  ``ends`` holds both sides' ends in order, doubled, B's odd;
+    ``at`` is where B's stand in it, so ``at[j] - j`` A tokens end by the end of B token j.
     """
-    a, a_end, b, b_end = (piece[c] for c in ("a", "a_end", "b", "b_end"))
+    a_end, b_end = shape["a_end"], shape["b_end"]
     ends = F.sort_array(F.concat(F.transform(a_end, lambda e: e * 2), F.transform(b_end, lambda e: e * 2 + 1)))
     upto = lambda n: F.sequence(F.lit(0), n - 1)
 
+    def linked(last: Column, first) -> Column:
+        # From the first to the last A token that each B token meets.
+        return F.flatten(F.transform(last, lambda n, j: F.transform(F.sequence(first(j), n), lambda i: F.struct(i.alias("a"), j.alias("b")))))
+
+    def found(links: Column, a_stop: Column, b_stop: Column) -> Column:
+        return F.struct(links.alias("links"), _let(a_stop, lambda x: _let(b_stop, lambda y: written(x, y))).alias("written"))
+
+    def written(a_stop: Column, b_stop: Column) -> Column:
+        a_first = F.lit(len(BETWEEN))
+        group = lambda k: F.concat(side(a_stop, k, a_first), F.array(F.lit(1)), side(b_stop, k, a_first + F.size(a_end)), F.array(F.lit(2)))
+        return _let(F.flatten(F.transform(a_stop, lambda _, k: group(k))), lambda x: F.slice(x, 1, F.size(x) - 1))
+
+    def side(stop: Column, k: Column, first: Column) -> Column:
+        start = F.when(k == 0, 0).otherwise(stop[k - 1])
+        # Commas stand between names.
+        return F.transform(F.sequence(start * 2, stop[k] * 2 - 2), lambda i: F.when(i % 2 == 0, first + F.shiftright(i, 1)).otherwise(0))
+
     def placed(ends: Column) -> Column:
         return _let(F.filter(upto(F.size(ends)), lambda i: ends[i] % 2 == 1), lambda at: covered(ends, at))
 
@@ -272,51 +317,33 @@ def aligned(piece: Column, pair) -> Column:
         return _let(F.transform(at, lambda p, j: p - j - F.when(F.get(ends, p - 1) == ends[p] - 1, 1).otherwise(0)), lambda last: parts(ends, at, last))
 
     def parts(ends: Column, at: Column, last: Column) -> Column:
-        links = F.flatten(F.transform(last, lambda n, j: F.transform(F.sequence(F.when(j == 0, 0).otherwise(at[j - 1] - j + 1), n), lambda i: pair(a[i], b[j]))))
-        closing = F.filter(upto(F.size(b)), lambda j: F.get(ends, at[j] - 1) == ends[at[j]] - 1)
-        return _let(closing, lambda b_last: _let(F.transform(b_last, lambda j: last[j]), lambda a_last: found(links, written(a_last, b_last))))
-
-    def written(a_last: Column, b_last: Column) -> Column:
-        names = lambda ids: ids.cast("array<string>")
-        cuts = F.array_intersect(a_end, b_end)  # one for each group, in their order
-        return _let(names(a), lambda x: _let(names(b), lambda y: F.array_join(F.transform(cuts, lambda _, k: F.concat(side(x, a_last, k), F.lit("|"), side(y, b_last, k))), ";")))
-
-    def side(names: Column, last: Column, k: Column) -> Column:
-        start = F.when(k == 0, 0).otherwise(last[k - 1] + 1)
-        return F.when(start == last[k], names[start]).otherwise(F.array_join(F.slice(names, start + 1, last[k] - start + 1), ","))
-
-    def found(links: Column, text: Column) -> Column:
-        return F.struct(text.alias("text"), links.alias("links"), (F.size(a).cast("long") * B_COUNT + F.size(b)).alias("n"))
+        links = linked(last, lambda j: F.when(j == 0, 0).otherwise(at[j - 1] - j + 1))
+        closing = F.filter(upto(F.size(b_end)), lambda j: F.get(ends, at[j] - 1) == ends[at[j]] - 1)
+        return _let(closing, lambda closing: found(links, F.transform(closing, lambda j: last[j] + 1), F.transform(closing, lambda j: j + 1)))
 
     def short(cuts: Column, every: Column) -> Column:
         # As many A tokens end before the end of B token j as stand before it among all ends, less j.
         last = F.transform(b_end, lambda e, j: F.array_position(every, e).cast("int") - 1 - j)
-        return _let(last, lambda last: found(short_links(cuts, last), short_text(cuts)))
-
-    def short_links(cuts: Column, last: Column) -> Column:
-        first = lambda j: F.when(j == 0, 0).otherwise(last[j - 1] + F.array_contains(cuts, b_end[j - 1]).cast("int"))
-        return F.flatten(F.transform(last, lambda n, j: F.transform(F.sequence(first(j), n), lambda i: pair(a[i], b[j]))))
+        first = lambda last, j: F.when(j == 0, 0).otherwise(last[j - 1] + F.array_contains(cuts, b_end[j - 1]).cast("int"))
+        stops = lambda ends: F.transform(cuts, lambda c: F.array_position(ends, c).cast("int"))
+        return found(_let(last, lambda last: linked(last, lambda j: first(last, j))), stops(a_end), stops(b_end))
 
-    def short_text(cuts: Column) -> Column:
-        def part(names: Column, stops: Column, k: Column) -> Column:
-            start = F.when(k == 0, 0).otherwise(stops[k - 1])
-            return F.when(stops[k] - start == 1, names[start]).otherwise(F.array_join(F.slice(names, start + 1, stops[k] - start), ","))
-
-        def side(ids: Column, ends: Column, body) -> Column:
-            stops = F.transform(cuts, lambda c: F.array_position(ends, c).cast("int"))
-            return _let(ids.cast("array<string>"), lambda names: _let(stops, lambda stops: body(lambda k: part(names, stops, k))))
+    # In few tokens a place is found by looking through them; in many, all places in one pass.
+    few = _let(F.array_intersect(a_end, b_end), lambda cuts: _let(F.sort_array(F.concat(a_end, b_end)), lambda every: short(cuts, every)))
+    return F.when(a_end == b_end, None).when(F.size(a_end) + F.size(b_end) <= SHORT, few).otherwise(_let(ends, placed))
 
-        return side(a, a_end, lambda x: side(b, b_end, lambda y: F.array_join(F.transform(cuts, lambda _, k: F.concat(x(k), F.lit("|"), y(k))), ";")))
 
-    # Only the common end is a cut where either side is one token: one group, all pairs.
-    joined = lambda ids: F.array_join(ids.cast("array<string>"), ",")
-    pairs = F.when(F.size(a) == 1, F.transform(b, lambda y: pair(a[0], y))).otherwise(F.transform(a, lambda x: pair(x, b[0])))
-    single = found(pairs, F.concat(joined(a), F.lit("|"), joined(b)))
+def aligned(piece: Column, shapes: Column, pair) -> Column:
+    """A piece's groups as text, and its links by ``pair`` of two ids."""
+    a, b, shape = piece["a"], piece["b"], shapes[piece["shape"]]
+    names = lambda ids: ids.cast("array<string>")
     # Where both end alike, each token is a group with its fellow.
-    alike = found(F.transform(a, lambda x, i: pair(x, b[i])), F.array_join(F.transform(a, lambda x, i: F.concat(x.cast("string"), F.lit("|"), b[i].cast("string"))), ";"))
-    # In few tokens a place is found by looking through them; in many, all places in one pass.
-    few = _let(F.array_intersect(a_end, b_end), lambda cuts: _let(F.sort_array(F.concat(a_end, b_end)), lambda every: short(cuts, every)))
-    return F.when((F.size(a) == 1) | (F.size(b) == 1), single).when(a_end == b_end, alike).when(F.size(a) + F.size(b) <= SHORT, few).otherwise(_let(ends, placed))
+    alike = F.array_join(F.zip_with(names(a), names(b), lambda x, y: F.concat(x, F.lit("|"), y)), ";")
+    between = F.array(*map(F.lit, BETWEEN))
+    text = _let(F.concat(between, names(a), names(b)), lambda names: F.array_join(F.transform(shape["written"], lambda i: names[i]), ""))
+    links = F.transform(shape["links"], lambda x: pair(a[x["a"]], b[x["b"]]))
+    one = lambda text, links: F.struct(text.alias("text"), links.alias("links"))
+    return F.when(shape.isNull(), one(alike, F.zip_with(a, b, pair))).otherwise(one(text, links))
 
 
 def alignment(docs: DataFrame, ids: list[str], first: str, second: str, text: str = "text") -> DataFrame:
@@ -338,16 +365,14 @@ def alignment(docs: DataFrame, ids: list[str], first: str, second: str, text: st
     pair = lambda x, y: x.cast(wide) * F.lit(kinds).cast(wide) + y
     kept = [f"id_{i}" for i in range(len(ids))]
 
-    def document(d: Column, pieces: Column) -> Column:
-        total = F.aggregate(d["at"], F.lit(0).cast("long"), lambda n, i: n + pieces[i]["n"])
-        text = F.array_join(F.transform(d["at"], lambda i: pieces[i]["text"]), ";")
-        links = F.flatten(F.transform(d["at"], lambda i: pieces[i]["links"]))
-        return F.struct(*[d[c].alias(c) for c in [*kept, "row"]], total.alias("n"), F.when(F.size(d["at"]) > 0, F.sha2(text, 256)).otherwise("").alias("digest"), links.alias("links"))
+    def document(d: Column, own: Column) -> Column:
+        digest = F.when(F.size(own) > 0, F.sha2(F.array_join(own["text"], ";"), 256)).otherwise("")
+        return F.struct(*[d[c].alias(c) for c in [*kept, "row", "n_a", "n_b"]], digest.alias("digest"), F.flatten(own["links"]).alias("links"))
 
     tokens = tokenised(docs, ids, first, second, text)
-    whole = _let(F.transform("pieces", lambda p: aligned(p, pair)), lambda pieces: F.transform("docs", lambda d: document(d, pieces)))
-    rows = tokens.select(F.explode(whole).alias("d")).select("d.*")
-    rows = stored(rows.select(*kept, "row", F.floor(F.col("n") / B_COUNT).alias("n_a"), F.pmod("n", F.lit(B_COUNT)).alias("n_b"), "digest", "links"))
+    pieces = _let(F.transform("shapes", shaped), lambda shapes: F.transform("pieces", lambda p: aligned(p, shapes, pair)))
+    whole = _let(pieces, lambda pieces: F.transform("docs", lambda d: _let(F.transform(d["at"], lambda i: pieces[i]), lambda own: document(d, own))))
+    rows = stored(tokens.select(F.explode(whole).alias("d")).select("d.*"))
 
     links = rows.select("row", F.explode("links").alias("pair"))
     counts = links.groupBy("pair").agg(F.count("*").alias("n")).withColumn("b", F.col("pair") % kinds)

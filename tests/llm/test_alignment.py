@@ -104,3 +104,23 @@ def test_long_texts(spark, both):
 
 def test_empty_table(spark):
     assert alignment.alignment(spark.createDataFrame([], "doc_id long, text string"), ["doc_id"], FIRST, SECOND).count() == 0
+
+
+def test_pieces_whose_tokens_end_in_the_same_order_are_aligned_once(spark, both):
+    rng = random.Random(3)
+    words = ["".join(rng.choices("aeinrstlo", k=rng.randint(3, 12))) for _ in range(2000)]
+    rows = [(i, " ".join(words[i::40])) for i in range(40)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").coalesce(1)
+    (block,) = alignment.tokenised(docs, ["doc_id"], FIRST, SECOND).collect()
+    shapes = [(tuple(s["a_end"]), tuple(s["b_end"])) for s in block["shapes"]]
+    assert len(set(shapes)) == len(shapes) < 0.1 * len(block["pieces"])
+    assert all(sorted({*a, *b}) == [*range(1, a[-1] + 1)] and a[-1] == b[-1] for a, b in shapes)
+    for p in block["pieces"]:
+        a, b = shapes[p["shape"]]
+        ends = []
+        for ids, pieces in ((p["a"], both[2]), (p["b"], both[3])):
+            ends.append([sum(len(pieces[i]) for i in ids[: k + 1]) for k in range(len(ids))])
+        order = sorted({*ends[0], *ends[1]})
+        assert [tuple(order.index(e) + 1 for e in own) for own in ends] == [a, b]
+    want = Counter((i, *w) for (i, _), w in zip(rows, brute([t for _, t in rows], both), strict=True))
+    assert result(alignment.alignment(docs, ["doc_id"], FIRST, SECOND)) == want
