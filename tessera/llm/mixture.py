@@ -161,7 +161,8 @@ def mixed(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", *, source
     left out, repeated rows stand or fall together.  An empty table gives no rows.
     """
     (held,) = unused(docs, "row_held")
-    planned = _planned(cut_lineage(sized(docs, [], doc_id, text, source)), weights, most, rounds)
+    # Every level reads these short rows again, so they go from the texts' many tasks to few files.
+    planned = _planned(cut_lineage(sized(docs, [], doc_id, text, source).hint("rebalance")), weights, most, rounds)
     rows = docs.select(F.struct(*docs.columns).alias(held), F.col(source).alias("source_of"), words(F.col(text)).alias("size"), place(F.col(doc_id), F.col(text)).alias("place"))
     times = F.col("times") + ((F.col("size") > 0) & _taken(rounds)).cast("long")
     joined = _with_sources(rows, planned, rows["source_of"].eqNullSafe(planned["source_p"])).withColumn("often", times).where("often > 0")

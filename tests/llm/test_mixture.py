@@ -84,6 +84,19 @@ def test_buckets_only_refine(spark, monkeypatch, mix):
     pd.testing.assert_frame_equal(again.sort_values(order).reset_index(drop=True), mix[1].sort_values(order).reset_index(drop=True))
 
 
+def test_sizes_of_many_tasks_are_kept_in_few_files(spark, monkeypatch, mix):
+    cut, parts = mixture.cut_lineage, []
+
+    def counted(df):
+        parts.append((out := cut(df)).rdd.getNumPartitions())
+        return out
+
+    monkeypatch.setattr(mixture, "cut_lineage", counted)
+    got = mixture.mixed(spark.createDataFrame(documents(), SCHEMA).repartition(40))
+    assert max(parts) < 10
+    assert sorted(map(str, got.collect())) == sorted(map(str, mixture.mixed(mix[0]).collect()))
+
+
 def test_empty_table(spark):
     empty = spark.createDataFrame([], SCHEMA)
     assert mixture.mixture(empty, ["doc_id"]).count() == 0 and mixture.mixed(empty).count() == 0
