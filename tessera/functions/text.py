@@ -35,7 +35,8 @@ def _strip_marks(texts: pd.Series) -> pd.Series:
 def _changeable() -> str:
     """Pattern of the characters that NFKC may change: those it maps, marks, and second parts of composed ones.
 
-    A text without any of them is composed already.
+    A text without any of them is composed already.  Ranges are nested by halves, since a class of
+    hundreds of ranges tries one after the other on every character of every text.
     """
     found = {*range(0x1161, 0x1176), *range(0x11A8, 0x11C3)}  # Hangul vowels and finals, composed by rule
     for i in range(0x80, sys.maxunicode + 1):
@@ -49,7 +50,13 @@ def _changeable() -> str:
     found = sorted(i for i in found if i >= 0x80)
     starts = [i for n, i in enumerate(found) if not n or found[n - 1] != i - 1]
     ends = [i for n, i in enumerate(found) if n + 1 == len(found) or found[n + 1] != i + 1]
-    return "[" + "".join(rf"\x{{{a:X}}}-\x{{{b:X}}}" for a, b in zip(starts, ends, strict=True)) + "]"
+
+    def one_of(ranges: list[tuple[int, int]]) -> str:
+        whole = rf"\x{{{ranges[0][0]:X}}}-\x{{{ranges[-1][1]:X}}}"
+        half = len(ranges) // 2
+        return f"[{whole}&&{one_of(ranges[:half])}{one_of(ranges[half:])}]" if half else f"[{whole}]"
+
+    return one_of(list(zip(starts, ends, strict=True)))
 
 
 def nfkc(text: Column) -> Column:
