@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from tessera.functions import text as keys
 from tessera.operators.skew import join_facts
-from tessera.session import unused
+from tessera.session import stored, unused
 
 # Points of a work that is to be kept, and what stores' and publishers' addresses are for.
 STATUS_POINTS = {"published": 40, "review": 30, "draft": 20}
@@ -122,7 +122,7 @@ def repeated_values(rows: DataFrame, row_id: str, **named: Column) -> DataFrame:
 def distinct_duplicates(rows: DataFrame, row_id: str, text: str, series: str, least: int = 80) -> DataFrame:
     """Rows whose normalised long text rows of another series or work share: ``first_id``, ``n`` and ``works``."""
     keyed = rows.select(F.col(row_id), F.concat_ws("|", F.coalesce(F.col(series).cast("string"), F.lit("")), F.col(row_id).cast("string")).alias("work"), keys.key("summary", F.col(text)).alias("k")).where(F.char_length("k") >= least)
-    hashed = keyed.select(row_id, "work", F.sha2("k", 256).alias("digest"))
+    hashed = stored(keyed.select(row_id, "work", F.sha2("k", 256).alias("digest")))  # keys are made once
     groups = hashed.groupBy("digest").agg(F.min(row_id).alias("first_id"), F.count("*").alias("n"), F.count_distinct("work").alias("works")).where("works > 1")
     return join_facts(hashed, groups, "digest").select(row_id, "first_id", "n", "works")
 
